@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, media, packing, quality, secrets
+from . import bpe, exact_dedup, jaccard, langid, media, packing, quality, secrets
 
 
 def tokenizer_file(name: str) -> str:
@@ -36,6 +36,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -48,5 +52,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_langid": op2_langid, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op9_packing": op9_packing, "op10_media": op10_media}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_langid": op2_langid, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard": op8_jaccard, "op9_packing": op9_packing, "op10_media": op10_media}
 SQL: dict[str, str] = {"op7_exact_dedup": exact_dedup.SQL}
