@@ -42,9 +42,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def bitmaps(df: DataFrame, hash_col: str, flags: list[str], bits: int) -> list[np.ndarray]:
-    """For each flag a bitmap of 2^bits bits, set at the lowest bits of the hashes of rows with that flag. Built by bitwise
-    or on the executors; what comes to the driver has 2^bits / 64 rows at most, however many rows df has."""
+#: Bits that a bitmap has for each key, and the least and the most of its size as a power of two: 8 KB to 32 MB.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 8, 16, 28
+
+
+def bitmaps(df: DataFrame, hash_col: str, flags: list[str]) -> list[np.ndarray]:
+    """For each flag a bitmap, set at the lowest bits of the hashes of rows with that flag; df has a row for each hash. Built by
+    bitwise or on the executors. Its size follows the number of keys up to 2^MOST_BITS bits, so what comes to the driver and
+    is broadcast is bounded; beyond that more hashes look like members, which costs time and changes no result."""
+    keys = df.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_KEY * keys).bit_length()))
     word, bit = F.expr(f"shiftright({hash_col} & {(1 << bits) - 1}, 6)"), F.expr(f"shiftleft(1L, cast({hash_col} & 63 as int))")
     rows = df.select(word.alias("word"), *[F.when(F.col(f), bit).otherwise(F.lit(0).cast("long")).alias(f) for f in flags])
     found = rows.groupBy("word").agg(*[F.bit_or(f).alias(f) for f in flags]).toPandas()

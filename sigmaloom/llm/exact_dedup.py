@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 64
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -38,8 +37,11 @@ def digest(text: Column) -> Column:
 class DigestIndex:
     """A catalog table of digests, bucketed and sorted by them, whose files lie in the shared folder or at `path`."""
 
-    def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int = BUCKETS) -> None:
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int | None = None) -> None:
+        """buckets: of a new table; by default as many as a shuffle has partitions, so that a batch that was just aggregated or
+        joined by digest already lies in the table's buckets."""
+        self.spark, self.name = spark, name
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.path = path or common.shared_path(spark, name)
 
     def exists(self) -> bool:
@@ -49,8 +51,10 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def append(self, rows: DataFrame) -> None:
-        """rows: one row for each digest that the index does not hold. Each task writes whole buckets."""
-        out = rows.select("text_sha256", "keep_id", "group_size").repartition(self.buckets, "text_sha256").write.format("parquet").mode("append")
+        """rows: one row for each digest that the index does not hold, hash-partitioned by digest: each task writes whole buckets."""
+        if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            rows = rows.repartition(self.buckets, "text_sha256")
+        out = rows.select("text_sha256", "keep_id", "group_size").write.format("parquet").mode("append")
         out.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").option("path", self.path).saveAsTable(self.name)
 
     def drop(self) -> None:

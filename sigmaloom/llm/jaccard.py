@@ -5,7 +5,7 @@ A document's set is that of its distinct shingles of five words. Two documents l
 
 1. Shingles have one order for all documents: frequent ones last, then by hash. If two sets of at least `n` elements
    share ceil(0.8 n) of them, then the first n - ceil(0.8 n) + MATCHES elements of both share MATCHES or all that they share.
-   Only these elements are posted, and of them only those that another class posts too: a bitmap of fixed size, built on
+   Only these elements are posted, and of them only those that another class posts too: a bitmap of bounded size, built on
    the executors, tells most others. Which shingles count as frequent decides how long lists get, not what is found.
 2. Classes on too few lists are out. The sets of the others are kept in the shared folder.
 3. Each class is verified against the one that leads most of its lists; links so found join classes to components.
@@ -41,8 +41,6 @@ SHINGLE = 5
 MATCHES = 16
 #: Documents from which a shingle counts as frequent, and the copies within one task's buffer from which it is reported.
 FREQUENT, REPORTED = 16, 3
-#: Bits of the bitmaps over shingles and over classes.
-BITS = 26
 #: Classes of a list that are one group; longer lists are cut into blocks of about this size.
 LIST_BLOCK = 512
 #: Candidates of one query that one task verifies.
@@ -166,7 +164,7 @@ def _census(texts: DataFrame) -> DataFrame:
 def _postings(texts: DataFrame, shared: np.ndarray, frequent: np.ndarray) -> DataFrame:
     """A row for each document: doc_id, sig, n, and hs, the shingles that it posts and another class may post."""
     schema = common.shape("doc_id long, sig long, n long, hs longs")
-    maps = texts.sparkSession.sparkContext.broadcast((shared, frequent))  # of fixed size
+    maps = texts.sparkSession.sparkContext.broadcast((shared, frequent))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_shared, is_frequent = maps.value
@@ -188,7 +186,7 @@ def _postings(texts: DataFrame, shared: np.ndarray, frequent: np.ndarray) -> Dat
 def _sets(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
     """sig, n, elements of the classes in the bitmap, once each."""
     schema = common.shape("sig long, n long, elements binary")
-    maps = texts.sparkSession.sparkContext.broadcast(wanted)  # of fixed size
+    maps = texts.sparkSession.sparkContext.broadcast(wanted)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -304,7 +302,7 @@ def _counted_pairs(lists: DataFrame) -> DataFrame:
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of each row."""
     texts = _texts(df, id_col, text_col)
-    shared, frequent = bitmaps(_census(texts), "h", ["shared", "frequent"], BITS)
+    shared, frequent = bitmaps(common.staged(_census(texts), "shingles"), "h", ["shared", "frequent"])
     documents = common.staged(_postings(texts, shared, frequent), "postings")
     classes = documents.groupBy("sig", "n").agg(F.min("doc_id").alias("least"))
     postings = documents.select("sig", "n", F.explode("hs").alias("h")).groupBy("h", "sig", "n").agg(F.lit(1).alias("one")).drop("one")
@@ -314,7 +312,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     enough = lists.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= F.least(F.lit(MATCHES), F.expr("(4 * n + 4) div 5"))).select("sig", F.lit(True).alias("wanted"))
     enough = common.staged(enough, "classes")
     lists = common.staged(lists.join(enough.select("sig"), "sig", "left_semi"), "lists")
-    sets = common.staged(_sets(texts, bitmaps(enough, "sig", ["wanted"], BITS)[0]), "sets")
+    sets = common.staged(_sets(texts, bitmaps(enough, "sig", ["wanted"])[0]), "sets")
     leaders = lists.groupBy("h").agg(F.min(F.struct("n", "sig")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     led = lists.join(leaders, "h").where("lead.sig <> sig and 5 * lead.n >= 4 * n").groupBy(F.col("lead.sig").alias("q"), F.col("sig").alias("c")).agg(F.count(F.lit(1)).alias("k"))
     first = led.groupBy("c").agg(F.max(F.struct("k", "q")).alias("x")).select(F.col("x.q").alias("q"), "c")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard, langid, media, packing, quality, secrets
+from . import bpe, exact_dedup, jaccard, langid, media, packing, quality, secrets, substring
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -52,5 +56,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_langid": op2_langid, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard": op8_jaccard, "op9_packing": op9_packing, "op10_media": op10_media}
-SQL: dict[str, str] = {"op7_exact_dedup": exact_dedup.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_langid": op2_langid, "op4_substring": op4_substring, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard": op8_jaccard, "op9_packing": op9_packing, "op10_media": op10_media}
+SQL: dict[str, str] = {"op4_substring": substring.SQL, "op7_exact_dedup": exact_dedup.SQL}
