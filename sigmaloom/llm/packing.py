@@ -15,6 +15,7 @@ partition number times 2^33 plus a counter.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ BLOCK_TOKENS = 6_000_000
 #: A gap below this is padded, not filled by cutting a document.
 LEAST_GAP = 64
 #: Entries of a worker's memory of encoded pieces; it starts anew beyond that.
-MEMORY = 500_000
+MEMORY = 900_000
 
 
 class CapacityTree:
@@ -157,7 +158,10 @@ class Packer:
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer that splits at spaces and drops them; pieces between spaces are encoded once."""
+    """Ids of whole texts by a tokenizer that lower-cases, splits at spaces and drops them, and parts letters from marks.
+
+    Pieces between spaces are remembered. An unknown piece is taken as a stem and the closing marks after its last
+    letter, and only unknown stems go to the tokenizer, many in one call, with a special token between them."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -166,16 +170,74 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        special = [x for x in self.tokenizer.get_added_tokens_decoder().items() if x[1].special and not x[1].normalized]
+        self.mark, self.mark_text = (special[0][0], special[0][1].content) if special else (None, "")
         self.pieces: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+        self.plain, self.ends = self._plain_tokenizer()
+
+    def _plain_tokenizer(self) -> tuple[object, np.ndarray]:
+        """The same model without its normaliser and its split, for words of lower-case letters, which these leave as they are;
+        and which ids end a word. None if the file's normaliser or split may do other things."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", ())]
+        if not suffix or steps != ["NFC", "Replace", "Lowercase"] or "[\\p{L}]+" not in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", ""):
+            return None, np.zeros(0, bool)
+        plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        return plain, ends
+
+    @staticmethod
+    def parts(piece: str) -> tuple[str, str]:
+        """Stem and closing marks; the tokenizer's ids of a piece are those of the two. Letters up to U+017F but one stay single
+        letters when they are normalised and lower-cased."""
+        simple = piece.isascii() or (max(piece) <= "\u017f" and "\u0130" not in piece)
+        low = piece.lower() if simple else piece
+        stem = low.rstrip(".,;:!?")
+        return (stem, low[len(stem) :]) if simple and stem and stem[-1].isalpha() else (low, "")
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Encodes the pieces of these texts that are not known yet."""
-        pieces = self.pieces
+        """Remembers every piece of these texts."""
+        pieces, stems = self.pieces, self.stems
         if len(pieces) > MEMORY:
             pieces.clear()
-        new = list({p for t in texts for p in t if p not in pieces})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            pieces[p] = np.array(e.ids, "<u4").tobytes()
+        if len(stems) > MEMORY:
+            stems.clear()
+            stems[""] = b""
+        new = set().union(*texts).difference(pieces)
+        split = [self.parts(p) for p in new]
+        unknown = list({x for pair in split for x in pair}.difference(stems))
+        whole = lambda x: self.plain is not None and x.isalpha() and x.islower() and (x.isascii() or max(x) <= "\u017f" and "\u00aa" not in x and "\u00ba" not in x)
+        simple = [x for x in unknown if whole(x)]
+        for i in range(0, len(simple), 512):
+            self._encode_plain(simple[i : i + 512])
+        self._encode([x for x in unknown if x not in stems and (not self.mark_text or self.mark_text not in x)])
+        for x in unknown:
+            if x not in stems:
+                stems[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        for piece, (stem, marks) in zip(new, split, strict=True):
+            pieces[piece] = stems[stem] + stems[marks] if marks else stems[stem]
+
+    def _encode_plain(self, stems: list[str]) -> None:
+        ids = np.array(self.plain.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+        raw, cut = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        self.stems.update((x, raw[a:z]) for x, a, z in zip(stems, cut[:-1], cut[1:], strict=True))
+
+    def _encode(self, stems: list[str], at_once: int = 512) -> None:
+        if self.mark is None:
+            return
+        groups = [stems[i : i + at_once] for i in range(0, len(stems), at_once)]
+        between = f" {self.mark_text} "
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark)
+            raw, begin, end = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
+            self.stems.update((x, raw[a:z]) for x, a, z in zip(group, begin, end, strict=True))
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -184,7 +246,7 @@ _LOADED: dict[str, WordIds] = {}
 def pack_documents(df: DataFrame, vocabulary: str, width: int = 4096, closing_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
-    vocabulary: a tokenizers JSON file that every executor has, whose tokenizer treats text between two spaces alone.
+    vocabulary: a tokenizers JSON file that every executor has, whose tokenizer drops white space and treats what lies between two spaces or line breaks alone.
     """
     common.small_batches(df.sparkSession)
     schema = common.shape("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids ints" * with_ids)
@@ -221,7 +283,7 @@ def pack_documents(df: DataFrame, vocabulary: str, width: int = 4096, closing_id
                 del held[doc]
 
         for batch in common.slices(batches):
-            texts = [(x or "").split(" ") for x in batch.column(1).to_pylist()]
+            texts = [(x or "").replace("\n", " ").split(" ") for x in batch.column(1).to_pylist()]
             words.learn(texts)
             for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 ids = b"".join(map(words.pieces.__getitem__, text)) + closing
