@@ -8,13 +8,14 @@ A document's set is that of its distinct shingles of five words. Two documents l
    Only these elements are posted, and of them only those that another class posts too: a bitmap of bounded size, built on
    the executors, tells most others. Which shingles count as frequent decides how long lists get, not what is found.
 2. Classes on too few lists are out. The sets of the others are kept in the shared folder.
-3. Each class is verified against the one that leads most of its lists; links so found join classes to components.
-4. On each list the pairs of classes of different components are counted; pairs that share enough lists are verified. Long lists
-   are cut into blocks, and each pair of blocks is one group, so no task holds a whole long list.
-
-A verification is a T-occurrence search: the query's elements have inverted lists over a block of candidates; the short ones are
-merged with a heap, the long ones are probed by binary search (DivideSkip), and candidates that reach the required
-overlap stay. Components over the links are found by star rounds.
+3. Pairs of classes are counted on lists of up to SHORT classes, so there are at most SHORT for each posting. A pair is out if
+   it shares too few lists, or if what it shares there and all elements after the last of them are too few.
+   Classes that meet on a longer list fall into one crowd (a component over such lists), in which all are compared; no pair is
+   made of them. A crowd is cut into blocks of bounded size, and each pair of blocks is one group.
+4. Each query, with its counted candidates or the other block of its crowd, is a T-occurrence search: the query's elements have
+   inverted lists over the candidates; the short ones are merged with a heap, the long ones are probed by binary
+   search (DivideSkip), and candidates that reach the required overlap stay. A group returns a spanning forest of
+   its links, and components over all of them are found by star rounds.
 
 Edge cases: a text of fewer than five words is one shingle of all its words; null text and text without words have an empty set, no
 link, and are their own component; rows that share a doc_id are rows of their own and share what they link to; a null
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +38,18 @@ from .components import bitmaps, components, in_bitmap
 
 SHINGLE = 5
 #: Shared elements by which prefixes are longer than one shared element needs.
-MATCHES = 16
+MATCHES = 8
 #: Documents from which a shingle counts as frequent, and the copies within one task's buffer from which it is reported.
 FREQUENT, REPORTED = 16, 3
-#: Classes of a list that are one group; longer lists are cut into blocks of about this size.
-LIST_BLOCK = 512
-#: Candidates of one query that one task verifies.
+#: Classes of a list whose pairs are counted; those of longer lists are one crowd.
+SHORT = 32
+#: Elements of a block of a crowd, about.
+BLOCK_ELEMENTS = 1_000_000
+#: Candidates of one query that are one group.
 QUERY_BLOCK = 256
 _BUFFER = 4_000_000
+#: Stands for a null doc_id in a bitmap.
+NO_ID = -(1 << 63)
 
 
 def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -81,43 +85,80 @@ def links(a: int, b: int, shared: int) -> bool:
     return 100 * shared >= 80 * (a + b - shared)
 
 
-def divide_skip(query: np.ndarray, candidates: list[np.ndarray]) -> list[int]:
-    """The candidates that link with the query."""
-    owner = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
-    elements = np.concatenate(candidates)
-    order = np.argsort(elements, kind="stable")
-    elements, owner = elements[order], owner[order]
-    begin, end = np.searchsorted(elements, query, "left"), np.searchsorted(elements, query, "right")
-    lists = sorted((owner[a:z].tolist() for a, z in zip(begin.tolist(), end.tolist(), strict=True) if z > a), key=len, reverse=True)
-    if not lists:
-        return []
-    n = len(query)
-    need = [-(-4 * (n + len(c)) // 9) for c in candidates]
-    least = min(need)
-    n_long = min(least - 1, int(least / (0.01 * math.log2(len(lists[0]) + 1) + 1)), len(lists))
-    long, short = lists[:n_long], lists[n_long:]
-    found, count, last = [], 0, -1
-
-    def settle(c: int, shared: int) -> None:
-        left = n_long
-        for probed in long:
-            if shared + left < need[c] or shared >= need[c]:
+class InvertedLists:
+    """The sets of some classes by element: the classes that have it, in order."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        owner = np.repeat(np.arange(len(sets)), [len(c) for c in sets])
+        elements = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(elements, kind="stable")
+        self.elements, self.owner = elements[order], owner[order]
+        self.sizes = np.array([len(c) for c in sets], np.int64)
+
+    def search(self, query: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """The classes, among those marked as wanted, that link with the query (DivideSkip)."""
+        begin, end = np.searchsorted(self.elements, query, "left"), np.searchsorted(self.elements, query, "right")
+        some = np.flatnonzero(end > begin)
+        some = some[np.argsort(begin[some] - end[some], kind="stable")]  # longest first
+        need = -(-4 * (len(query) + self.sizes) // 9)
+        open_ = (5 * np.minimum(self.sizes, len(query)) >= 4 * np.maximum(self.sizes, len(query))) & (need <= len(some))
+        if wanted is not None:
+            open_ &= wanted
+        if not open_.any():
+            return np.zeros(0, np.int64)
+        least = int(need[open_].min())
+        longest = int(end[some[0]] - begin[some[0]])
+        n_long = min(least - 1, int(least / (0.01 * math.log2(longest + 1) + 1)))
+        count: dict[int, int] = {}
+        for c in heapq.merge(*(self.owner[begin[i] : end[i]].tolist() for i in some[n_long:])):
+            count[c] = count.get(c, 0) + 1
+        left = np.fromiter((c for c, k in count.items() if k >= least - n_long), np.int64)
+        shared = np.fromiter((count[c] for c in left.tolist()), np.int64, len(left))
+        keep = open_[left]
+        left, shared = left[keep], shared[keep]
+        for probed, i in enumerate(some[:n_long]):
+            able = shared + (n_long - probed) >= need[left]
+            if not able.all():
+                left, shared = left[able], shared[able]
+            if not len(left):
                 break
-            i = bisect_left(probed, c)
-            shared += i < len(probed) and probed[i] == c
-            left -= 1
-        if shared >= need[c]:
-            found.append(c)
-
-    for c in heapq.merge(*short):
-        if c != last:
-            if last >= 0 and count >= least - n_long:
-                settle(last, count)
-            last, count = c, 0
-        count += 1
-    if last >= 0 and count >= least - n_long:
-        settle(last, count)
-    return found
+            held = self.owner[begin[i] : end[i]]
+            at = np.minimum(np.searchsorted(held, left), len(held) - 1)
+            shared = shared + (held[at] == left)
+        return np.sort(left[shared >= need[left]])
+
+
+class Forest:
+    """Union-find over 0, 1, ..., n - 1."""
+
+    def __init__(self, n: int) -> None:
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def forest_links(first: list[np.ndarray], second: list[np.ndarray] | None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets of `first`, or of those between `first` and `second`; numbers go on from one to
+    the other. Sets that are already joined to the query are not looked for again."""
+    inside = second is None
+    index, base = InvertedLists(first if inside else second), 0 if inside else len(first)
+    trees, out = Forest(len(first) + (0 if inside else len(second))), []
+    for i, query in enumerate(first):
+        root = trees.find(i)
+        wanted = np.array([trees.find(base + j) != root for j in range(len(index.sizes))]) if len(out) else np.arange(len(index.sizes)) + base != i
+        for j in index.search(query, wanted).tolist():
+            if trees.join(i, base + j):
+                out.append((i, base + j))
+    return out
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -162,166 +203,157 @@ def _census(texts: DataFrame) -> DataFrame:
 
 
 def _postings(texts: DataFrame, shared: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """A row for each document: doc_id, sig, n, and hs, the shingles that it posts and another class may post."""
-    schema = common.shape("doc_id long, sig long, n long, hs longs")
+    """A row for each document: doc_id, sig, n, and hs, the shingles that it posts and another class may post, with their places in order."""
+    schema = common.shape("doc_id long, sig long, n long, hs longs, spots longs")
     maps = texts.sparkSession.sparkContext.broadcast((shared, frequent))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_shared, is_frequent = maps.value
         for batch in common.slices(batches):
-            sets, hs = shingle_sets(batch), []
+            sets, hs, spots = shingle_sets(batch), [], []
             for s in sets:
                 p = prefix_length(len(s))
                 late = in_bitmap(is_frequent, s)
                 spot = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:p]
                 known = in_bitmap(is_shared, s[spot])
-                hs.append(common.signed(s[spot[known | (spot >= p)]]))
-            ends = np.cumsum([0, *map(len, hs)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hs) if hs else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(signature, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), lists], schema=schema)
+                post = np.flatnonzero(known | (spot >= p))
+                hs.append(common.signed(s[spot[post]]))
+                spots.append(post)
+            ends = pa.array(np.cumsum([0, *map(len, hs)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in (hs, spots)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(signature, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), *lists], schema=schema)
 
     return texts.mapInArrow(run, common.spark_type(schema))
 
 
 def _sets(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """sig, n, elements of the classes in the bitmap, once each."""
-    schema = common.shape("sig long, n long, elements binary")
+    """sig, elements of the documents whose ids are in the bitmap; of a class at least once."""
+    schema = common.shape("sig long, elements binary")
     maps = texts.sparkSession.sparkContext.broadcast(wanted)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            sets = [s for s in shingle_sets(batch) if len(s)]
-            sig = np.array([signature(s) for s in sets], np.int64)
-            keep = np.flatnonzero(in_bitmap(maps.value, sig.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], schema=schema)
-
-    return texts.mapInArrow(run, common.spark_type(schema)).groupBy("sig", "n").agg(F.first("elements").alias("elements"))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v: the pairs (q, c) of classes that link. A query's candidates are dealt to as many tasks as they fill."""
-    schema = common.shape("u long, v long")
-    many = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
-    one = sets.select(F.col("sig").alias("c"), "elements")
-    candidates = pairs.select("q", "c").join(one, "c").join(many, "q").select("q", F.pmod(F.xxhash64("c"), "parts").cast("int").alias("part"), "c", "elements")
-    queries = many.join(one.withColumnRenamed("c", "q"), "q").select("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("c"), "elements")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, query = None, np.zeros(0, np.uint64)
-        ids: list[int] = []
-        held: list[np.ndarray] = []
-
-        def search() -> Iterator[pa.RecordBatch]:
-            if ids:
-                found = [ids[i] for i in divide_skip(query, held)]
-                yield pa.RecordBatch.from_arrays([pa.array([group[0]] * len(found), pa.int64()), pa.array(found, pa.int64())], schema=schema)
-            ids.clear()
-            held.clear()
-
-        for batch in batches:
-            for q, part, c, elements in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (q, part) != group:
-                    yield from search()
-                    group = (q, part)
-                if c is None:
-                    query = np.frombuffer(elements, np.uint64)
-                else:
-                    ids.append(c)
-                    held.append(np.frombuffer(elements, np.uint64))
-                    if len(ids) >= QUERY_BLOCK:
-                        yield from search()
-        yield from search()
+            ids = np.array(batch.column(0).fill_null(NO_ID))
+            part = batch.filter(pa.array(in_bitmap(maps.value, ids.view(np.uint64))))
+            sets = [s for s in shingle_sets(part) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(signature, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
-    dealt = candidates.union(queries).repartition("q", "part").sortWithinPartitions("q", "part", F.col("c").asc_nulls_first())
-    return dealt.mapInArrow(run, common.spark_type(schema))
+    return texts.mapInArrow(run, common.spark_type(schema))
 
 
-def _counted_pairs(lists: DataFrame) -> DataFrame:
-    """q, c, shared: pairs of classes of different components and of sizes that can link, and the lists that they share.
-    lists: h, sig, n, component."""
-    schema = common.shape("q long, c long, shared long, need long")
-    sizes = lists.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z")
-    blocks = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
-    dealt = lists.join(sizes, "h").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"), (F.col("own") >= F.col("other")).alias("second"), "sig", "n", "component")
+def _pairs(lists: DataFrame) -> DataFrame:
+    """q, c: the pairs of classes that short lists leave. lists: h, sig, n, spot, size."""
+    schema = common.shape("q long, c long, nq long, nc long, shared long, q_spot long, c_spot long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
         ready: list[np.ndarray] = []
         size = 0
 
-        def pairs(x: dict[str, np.ndarray]) -> np.ndarray:
-            same_block = x["i"][0] == x["j"][0]
-            a = np.arange(len(x["sig"])) if same_block else np.flatnonzero(x["first"])
-            b = a if same_block else np.flatnonzero(x["second"])
-            n, m, c = x["n"], x["sig"], x["component"]
-            ok = (c[a][:, None] != c[b][None, :]) & (5 * np.minimum(n[a][:, None], n[b][None, :]) >= 4 * np.maximum(n[a][:, None], n[b][None, :]))
-            if same_block:
-                ok &= m[a][:, None] < m[b][None, :]
-            r, s = np.nonzero(ok)
-            r, s = a[r], b[s]
-            most = (4 * np.maximum(n[r], n[s]) + 4) // 5
-            return np.stack([np.minimum(m[r], m[s]), np.maximum(m[r], m[s]), np.minimum(MATCHES, most)], 1)
-
         def flush() -> Iterator[pa.RecordBatch]:
             if ready:
-                value, n = np.unique(np.concatenate(ready), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value[:, 0]), pa.array(value[:, 1]), pa.array(n.astype(np.int64)), pa.array(value[:, 2])], schema=schema)
+                rows = np.concatenate(ready)
+                rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+                first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)))
+                count = np.diff(np.append(first, len(rows)))
+                spots = [np.maximum.reduceat(rows[:, k], first) for k in (4, 5)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(rows[first, k] for k in range(4)), count, *spots)], schema=schema)
             ready.clear()
 
-        def groups() -> Iterator[dict[str, np.ndarray]]:
-            nonlocal rest
-            for batch in batches:
-                x = {f.name: batch.column(k).to_numpy(zero_copy_only=False) for k, f in enumerate(batch.schema)}
-                if rest is not None:
-                    x = {k: np.concatenate([rest[k], v]) for k, v in x.items()}
-                if not len(x["h"]):
-                    continue
-                new = np.flatnonzero((x["h"][1:] != x["h"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])) + 1
-                edges = [0, *new.tolist()]
-                for a, z in zip(edges[:-1], edges[1:], strict=True):
-                    yield {k: v[a:z] for k, v in x.items()}
+        def pairs(sig: np.ndarray, n: np.ndarray, spot: np.ndarray) -> np.ndarray:
+            r, s = np.triu_indices(len(sig), 1)
+            ok = (5 * np.minimum(n[r], n[s]) >= 4 * np.maximum(n[r], n[s])) & (sig[r] != sig[s])
+            r, s = r[ok], s[ok]
+            low = sig[r] < sig[s]
+            q, c = np.where(low, r, s), np.where(low, s, r)
+            return np.stack([sig[q], sig[c], n[q], n[c], spot[q], spot[c]], 1)
+
+        def whole(x: dict[str, np.ndarray], edges: list[int]) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if z - a > 1:
+                    ready.append(pairs(x["sig"][a:z], x["n"][a:z], x["spot"][a:z]))
+                    size += len(ready[-1])
+            if size > 1_000_000:
+                yield from flush()
+                size = 0
+
+        for batch in batches:
+            x = {f.name: batch.column(k).to_numpy(zero_copy_only=False) for k, f in enumerate(batch.schema)}
+            if rest is not None:
+                x = {k: np.concatenate([rest[k], v]) for k, v in x.items()}
+            if len(x["h"]):
+                edges = [0, *(np.flatnonzero(x["h"][1:] != x["h"][:-1]) + 1).tolist()]
+                yield from whole(x, edges)
                 rest = {k: v[edges[-1] :] for k, v in x.items()}
-            if rest is not None and len(rest["h"]):
-                yield rest
-
-        for x in groups():
-            if len(x["h"]) > 1:
-                ready.append(pairs(x))
-                size += len(ready[-1])
-                if size > 1_000_000:
-                    yield from flush()
-                    size = 0
+        if rest is not None and len(rest["h"]):
+            yield from whole(rest, [0, len(rest["h"])])
         yield from flush()
 
-    found = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, common.spark_type(schema))
-    return found.groupBy("q", "c", "need").agg(F.sum("shared").alias("shared")).where("shared >= need").select("q", "c")
+    short = lists.where(F.col("size") <= SHORT).select("h", "sig", "n", "spot")
+    found = short.repartition("h").sortWithinPartitions("h").mapInArrow(run, common.spark_type(schema))
+    counted = found.groupBy("q", "c", "nq", "nc").agg(F.sum("shared").alias("shared"), F.max("q_spot").alias("q_spot"), F.max("c_spot").alias("c_spot"))
+    most = F.expr("shared + least(nq - q_spot, nc - c_spot) - 1")
+    return counted.where(F.expr(f"shared >= least({MATCHES}, (4 * greatest(nq, nc) + 4) div 5)") & (9 * most >= 4 * (F.col("nq") + F.col("nc")))).select("q", "c")
+
+
+def _links(pairs: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: links of which the components are those of all links."""
+    # a group is (kind, a, i, j): a query q with a part of its candidates, or two blocks of a crowd
+    parts = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
+    kind = F.lit(0).alias("kind")
+    candidates = pairs.join(parts, "q").select(F.col("c").alias("sig"), kind, F.col("q").alias("a"), F.pmod(F.xxhash64("c"), "parts").cast("int").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"))
+    queries = parts.select(F.col("q").alias("sig"), kind, F.col("q").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    long = lists.where(F.col("size") > SHORT)
+    leaders = long.groupBy("h").agg(F.min("sig").alias("lead"))
+    members = common.staged(components(long.join(leaders, "h").select(F.col("sig").alias("u"), F.col("lead").alias("v"))), "crowds")
+    sized = members.join(long.groupBy("sig").agg(F.max("n").alias("n")), members["node"] == F.col("sig")).select("sig", "n", "component")
+    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    own = sized.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("sig"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    crowds = own.select("sig", F.lit(1).alias("kind"), F.col("component").alias("a"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    dealt = candidates.union(queries).union(crowds).join(sets, "sig").select("kind", "a", "i", "j", "side", "sig", "elements")
+    schema = common.shape("u long, v long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        sides: tuple[dict[int, np.ndarray], dict[int, np.ndarray]] = ({}, {})
+
+        def search() -> Iterator[pa.RecordBatch]:
+            if group is not None:
+                first, second = list(sides[0].values()), list(sides[1].values())
+                names = [*sides[0], *sides[1]]
+                found = forest_links(first, None if group[0] == 1 and group[2] == group[3] else second) if first else []
+                yield pa.RecordBatch.from_arrays([pa.array([names[x[k]] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+            sides[0].clear()
+            sides[1].clear()
+
+        for batch in batches:
+            for kind, a, i, j, side, sig, elements in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (kind, a, i, j) != group:
+                    yield from search()
+                    group = (kind, a, i, j)
+                sides[side][sig] = np.frombuffer(elements, np.uint64)
+        yield from search()
+
+    return dealt.repartition("kind", "a", "i", "j").sortWithinPartitions("kind", "a", "i", "j").mapInArrow(run, common.spark_type(schema))
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of each row."""
     texts = _texts(df, id_col, text_col)
     shared, frequent = bitmaps(common.staged(_census(texts), "shingles"), "h", ["shared", "frequent"])
-    documents = common.staged(_postings(texts, shared, frequent), "postings")
+    documents = common.staged(_postings(texts, shared, frequent), "documents")
     classes = documents.groupBy("sig", "n").agg(F.min("doc_id").alias("least"))
-    postings = documents.select("sig", "n", F.explode("hs").alias("h")).groupBy("h", "sig", "n").agg(F.lit(1).alias("one")).drop("one")
-    postings = common.staged(postings, "lists")
-    several = postings.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("h")
-    lists = common.staged(postings.join(several, "h"), "lists")
-    enough = lists.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("on")).where(F.col("on") >= F.least(F.lit(MATCHES), F.expr("(4 * n + 4) div 5"))).select("sig", F.lit(True).alias("wanted"))
-    enough = common.staged(enough, "classes")
-    lists = common.staged(lists.join(enough.select("sig"), "sig", "left_semi"), "lists")
-    sets = common.staged(_sets(texts, bitmaps(enough, "sig", ["wanted"])[0]), "sets")
-    leaders = lists.groupBy("h").agg(F.min(F.struct("n", "sig")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    led = lists.join(leaders, "h").where("lead.sig <> sig and 5 * lead.n >= 4 * n").groupBy(F.col("lead.sig").alias("q"), F.col("sig").alias("c")).agg(F.count(F.lit(1)).alias("k"))
-    first = led.groupBy("c").agg(F.max(F.struct("k", "q")).alias("x")).select(F.col("x.q").alias("q"), "c")
-    near = common.staged(_verified(first, sets), "links")
-    part = components(near)
-    labelled = lists.join(part, lists["sig"] == part["node"], "left").select("h", "sig", "n", F.coalesce("component", "sig").alias("component"))
-    rest = common.staged(_counted_pairs(labelled), "pairs")
-    more = common.staged(_verified(rest, sets), "links")
-    parts = components(near.union(more))
+    posted = documents.select("sig", "n", F.explode(F.arrays_zip(F.col("hs").alias("h"), F.col("spots").alias("spot"))).alias("x")).select("x.h", "sig", "n", "x.spot")
+    posted = common.staged(posted.groupBy("h", "sig", "n").agg(F.first("spot").alias("spot")), "lists")
+    sizes = posted.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    lists = common.staged(posted.join(sizes, "h"), "lists")
+    enough = lists.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("on")).where(F.expr(f"on >= least({MATCHES}, (4 * n + 4) div 5)"))
+    chosen = common.staged(enough.join(classes, ["sig", "n"]).select("sig", F.coalesce("least", F.lit(NO_ID)).alias("id"), F.lit(True).alias("wanted")), "classes")
+    lists = lists.join(chosen.select("sig"), "sig", "left_semi")
+    sets = common.staged(_sets(texts, bitmaps(chosen, "id", ["wanted"])[0]), "sets")
+    pairs = common.staged(_pairs(lists), "pairs")
+    parts = components(_links(pairs, lists, sets))
     named = classes.join(parts, classes["sig"] == parts["node"], "left").select("sig", "n", "least", F.coalesce("component", "sig").alias("component"), F.col("node").isNotNull().alias("linked"))
     smallest = named.where("linked").groupBy("component").agg(F.min("least").alias("smallest"))
     reached = common.staged(named.join(smallest, "component", "left").select("sig", "n", F.coalesce("smallest", "least").alias("component_id")), "classes")
