@@ -11,8 +11,10 @@ factor has WINDOW words at least; its words are a duplicate span.
 A window is a duplicate if its words also start earlier: in a document with a smaller doc_id, or earlier
 in the same one. Windows are judged on the input.
 
-What is shuffled: a row for each block (about one for eight words) to find the anchors that several documents have,
-two bitmaps of bounded size over those, a row for each block or window of these, and the texts that hold any.
+What is shuffled: a row for each block (about one for eight words) to find the anchors that several documents have, a row
+for each block or window of those, once to find the ones that several documents have and, of these only, once more to
+tell their documents, and the texts that lose words. Bitmaps of bounded size say which rows to make. Texts are read
+four times, which costs less than to keep what was made of them. Keys of blocks and windows have 96 bits.
 
 Edge cases: null text and text without words have no words; texts of fewer than WINDOW words lose none;
 rows that share a doc_id are documents of their own, none earlier than the other; a null doc_id counts as larger than
@@ -27,7 +29,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,7 @@ class Parsed:
         self.first, self.last = spot[b], spot[np.append(b[1:], len(spot)) - 1] if len(spot) else spot
         self.anchor, self.owner = a[b], d[b]
         self.content = common.span_hashes(self.h, self.first, self.last + WINDOW)
+        self.text = common.span_hashes(self.h, self.at[:-1], self.at[1:])  # a name for each text's words
 
     def windows(self) -> np.ndarray:
         """The hash of each window."""
@@ -137,76 +140,95 @@ def _anchors(texts: DataFrame) -> DataFrame:
     return found.select("anchor", F.lit(True).alias("shared"), (F.col("a") != F.col("z")).alias("varied"))
 
 
-def _units(texts: DataFrame, shared: np.ndarray, varied: np.ndarray) -> DataFrame:
-    """A row for each document. Those without a shared anchor are done: n_words, n_removed, kept_sha256. The others bring their text
-    and their units: key a, key u, first window and number of windows of a block, or of single windows where blocks vary."""
-    schema = common.shape("row long, doc_id long, n_words long, n_removed long, kept_sha256 string, removed longs, text string, a longs, u longs, first longs, count longs")
-    maps = texts.sparkSession.sparkContext.broadcast((shared, varied))  # of bounded size
+def _units(texts: DataFrame, shared: np.ndarray, varied: np.ndarray, indexed: np.ndarray | None = None) -> DataFrame:
+    """A row for each block whose anchor several documents have, or for each of its windows if the anchor has several blocks: d, t
+    (the document), a, u (the key), first, count (its windows). indexed: of the keys to return, by a."""
+    schema = common.shape("d long, t long, a long, u int, first int, count int")
+    maps = texts.sparkSession.sparkContext.broadcast((shared, varied, indexed))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_shared, is_varied = maps.value
-        row = TaskContext.get().partitionId() << 33
+        is_shared, is_varied, is_indexed = maps.value
         for batch in common.slices(batches):
-            p, raw, ids = Parsed(batch, 1), _raw(batch, 1), batch.column(0).to_pylist()
-            hashes = p.windows()
-            again = p.repeats(hashes)
+            p = Parsed(batch, 1)
             blocks = np.flatnonzero(in_bitmap(is_shared, p.anchor))
             vary = in_bitmap(is_varied, p.anchor[blocks])
             whole, cut = blocks[~vary], blocks[vary]
             size = p.last[cut] - p.first[cut] + 1
             single = _ranges(p.first[cut], size)
-            a = np.concatenate([p.anchor[whole], np.repeat(p.anchor[cut], size)])
-            u = np.concatenate([p.content[whole], hashes[single]])
+            anchor = np.concatenate([p.anchor[whole], np.repeat(p.anchor[cut], size)])
+            content = np.concatenate([p.content[whole], common.span_hashes(p.h, single, single + WINDOW)])
             first = np.concatenate([p.first[whole], single])
             count = np.concatenate([p.last[whole] - p.first[whole] + 1, np.ones(len(single), np.int64)])
             owner = np.concatenate([p.owner[whole], np.repeat(p.owner[cut], size)])
-            order = np.argsort(owner, kind="stable")
-            a, u, first, count, owner = a[order], u[order], first[order] - p.at[owner[order]], count[order], owner[order]
-            ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            key = common.mix(anchor * np.uint64(3) + content)
+            if is_indexed is not None:
+                keep = np.flatnonzero(in_bitmap(is_indexed, key))
+                key, content, first, count, owner = key[keep], content[keep], first[keep], count[keep], owner[keep]
+            d = np.array(batch.column(0).fill_null(_LAST))[owner]
+            columns = (d, common.signed(p.text)[owner], common.signed(key), (content >> np.uint64(32)).astype(np.uint32).view(np.int32), (first - p.at[owner]).astype(np.int32), count.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
+
+    return texts.mapInArrow(run, common.spark_type(schema))
+
+
+def _opened(texts: DataFrame, losing: np.ndarray) -> DataFrame:
+    """A row for each document: doc_id, d, t; its text, if it may lose words to others, or else its result."""
+    schema = common.shape("doc_id long, d long, t long, text string, n_words long, n_removed long, kept_sha256 string, removed longs")
+    maps = texts.sparkSession.sparkContext.broadcast(losing)  # of bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            p, raw = Parsed(batch, 1), _raw(batch, 1)
+            open_ = in_bitmap(maps.value, p.text)
+            again = p.repeats(p.windows())
             local = np.searchsorted(p.of[again], np.arange(batch.num_rows + 1))
-            done: list[tuple] = []
+            out = []
             for i, text in enumerate(raw):
-                n = int(p.at[i + 1] - p.at[i])
-                if ends[i] < ends[i + 1]:
-                    done.append((n, None, None, None, text.decode()))
-                else:
-                    mine = again[local[i] : local[i + 1]] - p.at[i]
-                    mask = _covered(n, mine, np.ones(len(mine), np.int64)) if len(mine) else np.zeros(n, bool)
-                    done.append((*_row(text, mask), [x for s in _spans(mask) for x in s], None))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (common.signed(a), common.signed(u), first, count)]
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), list(schema)[2:7], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), pa.array(ids, pa.int64()), *columns, *lists], schema=schema)
-            row += batch.num_rows
+                mine = again[local[i] : local[i + 1]] - p.at[i]
+                out.append((text.decode(), None, None, None, None) if open_[i] else (None, *_result(text, int(p.at[i + 1] - p.at[i]), mine, np.ones(len(mine), np.int64))))
+            d = batch.column(0).fill_null(_LAST)
+            yield pa.RecordBatch.from_arrays([batch.column(0), d, pa.array(common.signed(p.text)), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[3:], strict=True))], schema=schema)
 
     return texts.mapInArrow(run, common.spark_type(schema))
 
 
+def _result(text: bytes, n: int, first: np.ndarray, count: np.ndarray) -> tuple[int, int, str, list[int]]:
+    mask = _covered(n, first, count) if len(first) else np.zeros(n, bool)
+    return (*_row(text, mask), [x for span in _spans(mask) for x in span])
+
+
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space) and removed (first word and
     number of words of each duplicate span, in turn) of each row."""
     common.small_batches(df.sparkSession)
     texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    rows = common.staged(_units(texts, *bitmaps(common.staged(_anchors(texts), "anchors"), "anchor", ["shared", "varied"])), "blocks")
-    units = rows.where("text is not null").select("row", F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.explode(F.arrays_zip("a", "u", "first", "count")).alias("x")).select("row", "d", "x.*")
-    index = units.groupBy("a", "u").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("a", "u", "low")
-    copied = units.join(index, ["a", "u"]).where("d > low").groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("x"))
-    open_rows = rows.where("text is not null").select("row", "doc_id", "text").join(copied, "row", "left")
-    open_rows = open_rows.select("doc_id", "text", F.col("x.first").alias("first"), F.col("x.count").alias("count"))
+    shared, varied = bitmaps(common.staged(_anchors(texts), "anchors"), "anchor", ["shared", "varied"])
+    index = _units(texts, shared, varied).groupBy("a", "u").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high")
+    index = common.staged(index.select("a", "u", "low", F.lit(True).alias("indexed")), "index")
+    units = _units(texts, shared, varied, bitmaps(index, "a", ["indexed"])[0])
+    copied = units.join(index, ["a", "u"]).where("d > low").groupBy("d", "t").agg(F.collect_list(F.struct("first", "count")).alias("x"))
+    copied = common.staged(copied.select("d", "t", F.col("x.first").alias("first"), F.col("x.count").alias("count"), F.lit(True).alias("losing")), "copies")
+    rows = _opened(texts, bitmaps(copied, "t", ["losing"])[0]).join(copied.drop("losing"), ["d", "t"], "left").select("doc_id", "text", "first", "count", "n_words", "n_removed", "kept_sha256", "removed")
     schema = common.shape("doc_id long, n_words long, n_removed long, kept_sha256 string, removed longs")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            p, out = Parsed(batch, 1), []
+            is_open = batch.column(1).is_valid()
+            done = batch.filter(pa.compute.invert(is_open))
+            yield pa.RecordBatch.from_arrays([done.column(k) for k in (0, 4, 5, 6, 7)], schema=schema)
+            part = batch.filter(is_open)
+            if not part.num_rows:
+                continue
+            p, out = Parsed(part, 1), []
             again = p.repeats(p.windows())
-            local = np.searchsorted(p.of[again], np.arange(batch.num_rows + 1))
-            for i, (text, first, count) in enumerate(zip(_raw(batch, 1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                n, mine = int(p.at[i + 1] - p.at[i]), again[local[i] : local[i + 1]] - p.at[i]
-                mask = _covered(n, np.concatenate([mine, np.array(first or [], np.int64)]), np.concatenate([np.ones(len(mine), np.int64), np.array(count or [], np.int64)]))
-                out.append((*_row(text, mask), [x for s in _spans(mask) for x in s]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))], schema=schema)
-
-    done = rows.where("text is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "removed")
-    return done.union(open_rows.mapInArrow(parse, common.spark_type(schema)))
+            local = np.searchsorted(p.of[again], np.arange(part.num_rows + 1))
+            for i, (text, first, count) in enumerate(zip(_raw(part, 1), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+                mine = again[local[i] : local[i + 1]] - p.at[i]
+                runs = np.concatenate([mine, np.array(first or [], np.int64)]), np.concatenate([np.ones(len(mine), np.int64), np.array(count or [], np.int64)])
+                out.append(_result(text, int(p.at[i + 1] - p.at[i]), *runs))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))], schema=schema)
+
+    return rows.mapInArrow(parse, common.spark_type(schema))
 
 
 SQL = """
