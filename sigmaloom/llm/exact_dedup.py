@@ -90,6 +90,17 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: s
     return DigestIndex(df.sparkSession, name or f"digest_index_{uuid.uuid4().hex}").add(digests)
 
 
+def unique(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str | None = None) -> DataFrame:
+    """The rows of df that stay, with df's columns."""
+    found = dedup(df, id_col, text_col, name).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    marked = df.withColumn("_row_sha", digest(df[text_col]))
+    stays = marked.join(found, marked[id_col].eqNullSafe(found["_kept_id"]) & (marked["_row_sha"] == found["_kept_sha"]), "left_semi")
+    repeated = df.groupBy(id_col, digest(df[text_col]).alias("_sha")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    if not repeated.isEmpty():
+        stays = stays.dropDuplicates([id_col, "_row_sha"])
+    return stays.drop("_row_sha")
+
+
 SQL = """
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)

@@ -42,9 +42,9 @@ MATCHES = 8
 #: Documents from which a shingle counts as frequent, and the copies within one task's buffer from which it is reported.
 FREQUENT, REPORTED = 16, 3
 #: Classes of a list whose pairs are counted; those of longer lists are one crowd.
-SHORT = 32
+SHORT = 64
 #: Elements of a block of a crowd, about.
-BLOCK_ELEMENTS = 1_000_000
+BLOCK_ELEMENTS = 2_000_000
 #: Candidates of one query that are one group.
 QUERY_BLOCK = 256
 _BUFFER = 4_000_000
@@ -359,3 +359,11 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     reached = common.staged(named.join(smallest, "component", "left").select("sig", "n", F.coalesce("smallest", "least").alias("component_id")), "classes")
     out = documents.select("doc_id", "sig", "n").join(reached.where("n > 0"), ["sig", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with its columns, of one document of each component: that with the smallest id. Rows that share an id
+    stay together."""
+    found = join(df, id_col, text_col)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
+    return df.join(kept, df[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -332,6 +332,29 @@ def spans(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col:
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, common.spark_type(schema))
 
 
+def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
+    """The rows of df, with its columns, whose text is in a language: not null, with a letter, and with a labelled word. Without
+    any learned language no row is rejected for want of one."""
+    common.small_batches(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = batch.column(at)
+            if model.languages:
+                w = _labelled(model, pa.RecordBatch.from_arrays([texts, texts], ["id", "text"]), switch)
+                labelled = np.bincount(w.doc, weights=w.letters, minlength=batch.num_rows) > 0
+            else:
+                labelled = np.zeros(batch.num_rows, bool)
+            for i in np.flatnonzero(~labelled):
+                labelled[i] = any(map(str.isalpha, texts[int(i)].as_py() or ""))
+            yield batch.filter(pa.array(labelled))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fold(id_col: str, folds: int) -> F.Column:
     """crc32 of the id as text, modulo `folds`."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
