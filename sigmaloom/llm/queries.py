@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard, langid, media, packing, quality, secrets, substring
+from . import bpe, exact_dedup, jaccard, langid, media, packing, quality, secrets, substring, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +28,14 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+#: verdict, host, path of each rule of op3_url_filter.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_table(spark, sf_dir, "documents")).drop("removed")
 
@@ -56,5 +64,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_langid": op2_langid, "op4_substring": op4_substring, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard": op8_jaccard, "op9_packing": op9_packing, "op10_media": op10_media}
-SQL: dict[str, str] = {"op4_substring": substring.SQL, "op7_exact_dedup": exact_dedup.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_langid": op2_langid, "op3_url_filter": op3_url_filter, "op4_substring": op4_substring, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard": op8_jaccard, "op9_packing": op9_packing, "op10_media": op10_media}
+SQL: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op4_substring": substring.SQL, "op7_exact_dedup": exact_dedup.SQL}
