@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Tokens that a block gathers before it is packed.
-BLOCK_TOKENS = 6_000_000
+BLOCK_TOKENS = 4_000_000
 #: A gap below this is padded, not filled by cutting a document.
 LEAST_GAP = 64
-#: Entries of a worker's memory of encoded pieces; it starts anew beyond that.
-MEMORY = 900_000
+#: Words that a worker remembers; its memory starts anew beyond that.
+MEMORY = 3_000_000
 
 
 class CapacityTree:
@@ -158,10 +158,11 @@ class Packer:
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer that lower-cases, splits at spaces and drops them, and parts letters from marks.
+    """Ids of whole texts by a tokenizer that lower-cases, splits at white space and drops it, and parts letters from marks.
 
-    Pieces between spaces are remembered. An unknown piece is taken as a stem and the closing marks after its last
-    letter, and only unknown stems go to the tokenizer, many in one call, with a special token between them."""
+    A batch is cut into words over its bytes, and each distinct word that is not known yet is encoded once. What is known
+    lies in arrays sorted by the words' hashes, about thirty bytes a word. An unknown word is taken as a stem and the closing
+    marks after its last letter, and stems go to the tokenizer many in one call, with a special token between them."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -170,11 +171,18 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [x for x in self.tokenizer.get_added_tokens_decoder().items() if x[1].special and not x[1].normalized]
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = [x for x in added.items() if x[1].special and not x[1].normalized]
         self.mark, self.mark_text = (special[0][0], special[0][1].content) if special else (None, "")
-        self.pieces: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {"": b""}
+        #: By this a text may hold an added token, whose letters do not stand for those of the other case.
+        self.heads = {x.content[:2].encode() for x in added.values()}
         self.plain, self.ends = self._plain_tokenizer()
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)  # sorted
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each word's ids in `ids`
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
 
     def _plain_tokenizer(self) -> tuple[object, np.ndarray]:
         """The same model without its normaliser and its split, for words of lower-case letters, which these leave as they are;
@@ -192,52 +200,75 @@ class WordIds:
         ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
         return plain, ends
 
+    def batch(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, one after the other, and the offsets of the texts in them."""
+        data, offsets = common.text_bytes(col)
+        whole = data.tobytes()
+        fold = not any(h in whole for h in self.heads)
+        start, end, h = common.words(data, offsets, fold)
+        if not fold:
+            h = common.mix(h + np.uint64(1))
+        if len(self.hashes) > MEMORY:
+            self.forget()
+        value, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, value)
+        new = np.flatnonzero((at == len(self.hashes)) | (self.hashes[np.minimum(at, max(len(self.hashes) - 1, 0))] != value)) if len(self.hashes) else np.arange(len(value))
+        if len(new):
+            spots = where[new]
+            self._learn(value[new], at[new], [whole[a:z].decode() for a, z in zip(start[spots].tolist(), end[spots].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, value)
+        word = at[inverse]
+        count = self.count[word]
+        total = np.append(0, np.cumsum(count))
+        ids = self.ids[np.arange(total[-1]) + np.repeat(self.first[word] - total[:-1], count)]
+        return ids, total[np.searchsorted(start, offsets)]
+
+    def _learn(self, hashes: np.ndarray, at: np.ndarray, words: list[str]) -> None:
+        split = [self.parts(w) for w in words]
+        stems = self._stems({x for pair in split for x in pair if x})
+        found = [stems[s] + stems[m] if m else stems[s] for s, m in split]
+        fresh = np.frombuffer(b"".join(found), "<u4")
+        while self.used + len(fresh) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(fresh)] = fresh
+        count = np.array([len(x) // 4 for x in found], np.int64)
+        first = self.used + np.append(0, np.cumsum(count)[:-1])
+        self.used += len(fresh)
+        self.hashes, self.first, self.count = np.insert(self.hashes, at, hashes), np.insert(self.first, at, first), np.insert(self.count, at, count)
+
     @staticmethod
-    def parts(piece: str) -> tuple[str, str]:
-        """Stem and closing marks; the tokenizer's ids of a piece are those of the two. Letters up to U+017F but one stay single
+    def parts(word: str) -> tuple[str, str]:
+        """Stem and closing marks; the tokenizer's ids of a word are those of the two. Letters up to U+017F but one stay single
         letters when they are normalised and lower-cased."""
-        simple = piece.isascii() or (max(piece) <= "\u017f" and "\u0130" not in piece)
-        low = piece.lower() if simple else piece
-        stem = low.rstrip(".,;:!?")
-        return (stem, low[len(stem) :]) if simple and stem and stem[-1].isalpha() else (low, "")
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Remembers every piece of these texts."""
-        pieces, stems = self.pieces, self.stems
-        if len(pieces) > MEMORY:
-            pieces.clear()
-        if len(stems) > MEMORY:
-            stems.clear()
-            stems[""] = b""
-        new = set().union(*texts).difference(pieces)
-        split = [self.parts(p) for p in new]
-        unknown = list({x for pair in split for x in pair}.difference(stems))
-        whole = lambda x: self.plain is not None and x.isalpha() and x.islower() and (x.isascii() or max(x) <= "\u017f" and "\u00aa" not in x and "\u00ba" not in x)
-        simple = [x for x in unknown if whole(x)]
+        simple = word.isascii() or (max(word) <= "\u017f" and "\u0130" not in word)
+        if not simple:
+            return word, ""
+        stem = word.rstrip(".,;:!?")
+        return (stem, word[len(stem) :]) if stem and stem[-1].isalpha() else (word, "")
+
+    def _stems(self, stems: set[str]) -> dict[str, bytes]:
+        lower = lambda x: x.lower() if x.isascii() or (max(x) <= "\u017f" and "\u0130" not in x) else x
+        whole = lambda x: x.isalpha() and x.islower() and (x.isascii() or max(x) <= "\u017f" and "\u00aa" not in x and "\u00ba" not in x)
+        out: dict[str, bytes] = {}
+        low = {x: lower(x) for x in stems}
+        simple = [x for x, y in low.items() if self.plain is not None and whole(y)]
         for i in range(0, len(simple), 512):
-            self._encode_plain(simple[i : i + 512])
-        self._encode([x for x in unknown if x not in stems and (not self.mark_text or self.mark_text not in x)])
-        for x in unknown:
-            if x not in stems:
-                stems[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
-        for piece, (stem, marks) in zip(new, split, strict=True):
-            pieces[piece] = stems[stem] + stems[marks] if marks else stems[stem]
-
-    def _encode_plain(self, stems: list[str]) -> None:
-        ids = np.array(self.plain.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
-        raw, cut = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-        self.stems.update((x, raw[a:z]) for x, a, z in zip(stems, cut[:-1], cut[1:], strict=True))
-
-    def _encode(self, stems: list[str], at_once: int = 512) -> None:
-        if self.mark is None:
-            return
-        groups = [stems[i : i + at_once] for i in range(0, len(stems), at_once)]
+            group = simple[i : i + 512]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(map(low.__getitem__, group))], add_special_tokens=False)[0].ids, "<u4")
+            raw, cut = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            out.update((x, raw[a:z]) for x, a, z in zip(group, cut[:-1], cut[1:], strict=True))
+        other = [x for x in stems if x not in out and self.mark_text and self.mark_text not in x]
         between = f" {self.mark_text} "
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
+        for i in range(0, len(other), 512):
+            group = other[i : i + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(group)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(ids == self.mark)
             raw, begin, end = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
-            self.stems.update((x, raw[a:z]) for x, a, z in zip(group, begin, end, strict=True))
+            out.update((x, raw[a:z]) for x, a, z in zip(group, begin, end, strict=True))
+        for x in stems:
+            if x not in out:
+                out[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -246,7 +277,7 @@ _LOADED: dict[str, WordIds] = {}
 def pack_documents(df: DataFrame, vocabulary: str, width: int = 4096, closing_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
-    vocabulary: a tokenizers JSON file that every executor has, whose tokenizer drops white space and treats what lies between two spaces or line breaks alone.
+    vocabulary: a tokenizers JSON file that every executor has, whose tokenizer drops white space and treats what lies between alone.
     """
     common.small_batches(df.sparkSession)
     schema = common.shape("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids ints" * with_ids)
@@ -283,13 +314,12 @@ def pack_documents(df: DataFrame, vocabulary: str, width: int = 4096, closing_id
                 del held[doc]
 
         for batch in common.slices(batches):
-            texts = [(x or "").replace("\n", " ").split(" ") for x in batch.column(1).to_pylist()]
-            words.learn(texts)
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = b"".join(map(words.pieces.__getitem__, text)) + closing
-                held[n_docs] = (doc_id, ids)
-                waiting.append((n_docs, len(ids) // 4))
-                n_docs, gathered = n_docs + 1, gathered + len(ids) // 4
+            ids, ends = words.batch(batch.column(1))
+            raw, cut = ids.tobytes(), (4 * ends).tolist()
+            for doc_id, a, z in zip(batch.column(0).to_pylist(), cut[:-1], cut[1:], strict=True):
+                held[n_docs] = (doc_id, raw[a:z] + closing)
+                waiting.append((n_docs, (z - a) // 4 + 1))
+                n_docs, gathered = n_docs + 1, gathered + (z - a) // 4 + 1
             if gathered >= BLOCK_TOKENS:
                 yield from block(LEAST_GAP)
         yield from block(1)
