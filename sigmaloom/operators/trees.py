@@ -311,17 +311,20 @@ def _splits(hist: np.ndarray, active: list[int], nodes: list[dict], chosen: list
     return [split for order, split in found.values() if worth(-order[0])]
 
 
+def _walker(tree: dict, b: Column) -> Callable[[Column, Column], Column]:
+    def step(node: Column, _: Column) -> Column:
+        pick = lambda name, kind: _lookup(tree[name], node, kind)
+        right = _goes_right(F.get(b, pick("feature", "int")), pick("cut", "int"), pick("default_left", "boolean"))
+        return F.when(pick("left", "int") < 0, node).when(right, pick("right", "int")).otherwise(pick("left", "int"))
+
+    return step
+
+
 def margin(model: dict, b: Column) -> Column:
     """The sum of a boosted model's leaves, on an array of bins."""
     out = F.lit(float(model["start"]))
     for tree in model["trees"]:
-
-        def step(node: Column, _: Column, tree: dict = tree) -> Column:
-            pick = lambda name, kind: _lookup(tree[name], node, kind)
-            right = _goes_right(F.get(b, pick("feature", "int")), pick("cut", "int"), pick("default_left", "boolean"))
-            return F.when(pick("left", "int") < 0, node).when(right, pick("right", "int")).otherwise(pick("left", "int"))
-
-        leaf = F.aggregate(F.sequence(F.lit(1), F.lit(_height(tree))), F.lit(0), step) if _height(tree) else F.lit(0)
+        leaf = F.aggregate(F.sequence(F.lit(1), F.lit(_height(tree))), F.lit(0), _walker(tree, b)) if _height(tree) else F.lit(0)
         out = out + _lookup(tree["leaf"], leaf, "double")
     return out
 
