@@ -15,7 +15,7 @@ WORD_BREAKS = (9, 10, 11, 12, 13, 32)
 #: Bytes hashed at once; the working arrays hold eight bytes for each of them.
 BLOCK_BYTES = 1 << 20
 #: Bytes of text handed to a vectorised step at once; one document may exceed it.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -46,7 +46,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that Python workers receive, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shape(fields: str) -> pa.Schema:

@@ -313,7 +313,7 @@ def pack_documents(df: DataFrame, vocabulary: str, width: int = 4096, closing_id
             for doc in [d for d in held if d not in still]:
                 del held[doc]
 
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, most=4 << 20):
             ids, ends = words.batch(batch.column(1))
             raw, cut = ids.tobytes(), (4 * ends).tolist()
             for doc_id, a, z in zip(batch.column(0).to_pylist(), cut[:-1], cut[1:], strict=True):
