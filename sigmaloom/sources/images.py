@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -16,17 +17,11 @@ def decode(content: bytes) -> np.ndarray | None:
     """A 2-D array, or None if it is no image of a known kind or too large."""
     try:
         if content[:2] == b"P5":
-            fields, at = [], 2
-            while len(fields) < 3:
-                end = at + 1
-                while content[end : end + 1].strip():
-                    end += 1
-                fields += [content[at:end].strip()] if content[at:end].strip() else []
-                at = end
-            width, height = int(fields[0]), int(fields[1])
+            head = re.match(rb"P5\s+(\d{1,9})\s+(\d{1,9})\s+(\d{1,5})\s", content)
+            width, height = int(head[1]), int(head[2])
             if width * height > MAX_ELEMENTS:
                 return None
-            return np.frombuffer(content, np.uint8, width * height, at + 1).reshape(height, width).astype(float)
+            return np.frombuffer(content, np.uint8, width * height, head.end()).reshape(height, width).astype(float)
         if content[:8] == b"\x89PNG\r\n\x1a\n":
             at, data, head = 8, b"", None
             while at < len(content):
