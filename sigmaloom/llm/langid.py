@@ -146,6 +146,9 @@ class LanguageModel:
 def _model(languages: list[str], grams: np.ndarray, words: np.ndarray, scripts: np.ndarray) -> LanguageModel:
     """From counts [buckets, languages]."""
 
+    if not languages:
+        return LanguageModel([], np.zeros((GRAMS + 1, 0), np.float32), np.zeros((WORDS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
+
     def nats(counts: np.ndarray, add: float) -> np.ndarray:
         p = np.log((counts + add) / (counts.sum(0) + add * len(counts)))
         return (p - p.mean(1, keepdims=True)).astype(np.float32)
@@ -345,10 +348,10 @@ def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text", switch
             texts = batch.column(at)
             if model.languages:
                 w = _labelled(model, pa.RecordBatch.from_arrays([texts, texts], ["id", "text"]), switch)
-                labelled = np.bincount(w.doc, weights=w.letters, minlength=batch.num_rows) > 0
+                labelled = (np.bincount(w.doc, weights=w.letters, minlength=batch.num_rows) > 0) & ~w.no_ascii
             else:
                 labelled = np.zeros(batch.num_rows, bool)
-            for i in np.flatnonzero(~labelled):
+            for i in np.flatnonzero(~labelled):  # script ranges are coarse: ask for a letter proper
                 labelled[i] = any(map(str.isalpha, texts[int(i)].as_py() or ""))
             yield batch.filter(pa.array(labelled))
 

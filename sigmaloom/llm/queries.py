@@ -65,4 +65,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_langid": op2_langid, "op3_url_filter": op3_url_filter, "op4_substring": op4_substring, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard": op8_jaccard, "op9_packing": op9_packing, "op10_media": op10_media}
-SQL: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op4_substring": substring.SQL, "op7_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op4_substring": substring.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_jaccard": jaccard.SQL}
