@@ -58,3 +58,11 @@ def capabilities() -> dict[str, list[str]]:
     from ..operators.trees import ENGINES
 
     return {"engines": sorted(ENGINES), "tasks": ["association", "binary", "multiclass", "ordinal", "multilabel", "regression", "count"], "resampling": ["holdout", "folds"], "units": ["row", "subject"]}
+
+
+def image_samples(samples: DataFrame, labels: DataFrame, manifest: DataFrame, files: DataFrame, contract: Contract) -> DataFrame:
+    """The samples of an image bundle: each with its label by left join, made total, and its resolved path. No sample is lost."""
+    from ..operators import joins
+
+    labelled = joins.label_join(samples.drop(contract.target), labels, "sample_id", [contract.target])
+    return joins.resolved_paths(labelled, manifest, files).withColumn("y", target_column(contract))

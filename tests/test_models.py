@@ -109,3 +109,16 @@ def test_links(spark):
     for loss in ("cross_entropy", "ordinal"):
         p = df.select(models.predictions(F.col("z"), loss)).first()[0]
         assert sum(p) == pytest.approx(1) and min(p) >= 0
+
+
+def test_functions_beyond_spark(spark):
+    import math
+
+    from sigmaloom.functions import arrow
+
+    df = spark.createDataFrame([(0.5, 3.0), (-1.0, 0.0)], "z double, y double")
+    got = df.select(arrow.gelu(F.col("z")).alias("g"), arrow.lgamma(F.col("y")).alias("l"), arrow.negbin_nll(F.col("z"), F.col("y"), 2.0).alias("n")).collect()
+    assert got[0]["g"] == pytest.approx(0.5 * 0.5 * (1 + math.erf(0.5 / math.sqrt(2)))) and got[0]["l"] == pytest.approx(math.log(2)) and got[1]["l"] is None
+    mu = math.exp(0.5)
+    p = math.gamma(5) / (math.gamma(2) * math.gamma(4)) * (2 / (2 + mu)) ** 2 * (mu / (2 + mu)) ** 3
+    assert got[0]["n"] == pytest.approx(-math.log(p))

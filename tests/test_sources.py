@@ -68,3 +68,13 @@ def test_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["coord"], r["value"]) for r in spark.table("cells").collect()) == [(1, 2), (2, 1)]
+
+
+def test_image_samples(spark):
+    samples = spark.createDataFrame([("a", None), ("b", "x/b.png"), ("c", "../c"), ("d", None)], "sample_id string, relative_path string")
+    labels = spark.createDataFrame([("a", "1"), ("b", "1"), ("b", "0"), ("d", "1")], "sample_id string, y0 string")
+    manifest = spark.createDataFrame([("a", 2, "late"), ("a", 1, "m/a.png")], "sample_id string, ordinal int, path string")
+    files = spark.createDataFrame([("f/c.nii.gz",)], "path string")
+    c = contract.Contract("y0", ("f",), levels=(0, 1))
+    got = {r["sample_id"]: (r["relative_path"], r["y"]) for r in prepare.image_samples(samples, labels, manifest, files, c).collect()}
+    assert got == {"a": ("m/a.png", 1), "b": ("x/b.png", 0), "c": ("f/c.nii.gz", 0), "d": ("__invalid_path__", 1)}
