@@ -54,11 +54,11 @@ def bitmaps(df: DataFrame, hash_col: str, flags: list[str]) -> list[np.ndarray]:
     bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_KEY * keys).bit_length()))
     word, bit = F.expr(f"shiftright({hash_col} & {(1 << bits) - 1}, 6)"), F.expr(f"shiftleft(1L, cast({hash_col} & 63 as int))")
     rows = df.select(word.alias("word"), *[F.when(F.col(f), bit).otherwise(F.lit(0).cast("long")).alias(f) for f in flags])
-    found = rows.groupBy("word").agg(*[F.bit_or(f).alias(f) for f in flags]).toPandas()
+    found = rows.groupBy("word").agg(*[F.bit_or(f).alias(f) for f in flags]).toArrow()
     out = []
     for f in flags:
         m = np.zeros(1 << (bits - 6), np.uint64)
-        m[found["word"].to_numpy(np.int64)] = found[f].to_numpy(np.int64).view(np.uint64)
+        m[found["word"].to_numpy()] = found[f].to_numpy().view(np.uint64)
         out.append(m)
     return out
 

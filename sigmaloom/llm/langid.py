@@ -184,10 +184,13 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Lang
 
     rows = df.select(df[lang_col].cast("string").alias("lang"), df[text_col].alias("text")).dropna().mapInArrow(count, common.spark_type(schema)).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # a row for each language and bucket: its number does not depend on the documents'
-    found = rows.limit(MOST_LANGUAGES * size).toPandas()
-    languages = sorted(found["lang"].unique().tolist())
+    found = rows.limit(MOST_LANGUAGES * size).toArrow()
+    code = found["lang"].combine_chunks().dictionary_encode()
+    names = code.dictionary.to_pylist()
+    languages = sorted(names)
     table = np.zeros((size, len(languages)))
-    table[found["bucket"].to_numpy(int), [languages.index(x) for x in found["lang"]]] = found["n"].to_numpy()
+    place = np.array([languages.index(x) for x in names], int)
+    table[found["bucket"].to_numpy(), place[code.indices.to_numpy()] if names else []] = found["n"].to_numpy()
     return _model(languages, table[:GRAMS], table[GRAMS : GRAMS + WORDS], table[GRAMS + WORDS :])
 
 

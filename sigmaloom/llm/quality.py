@@ -236,7 +236,7 @@ def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     texts = df.select(df[id_col].cast("long").alias("_id"), df[text_col].alias("_text"))
     # most_rows bounds the side that is sent to every executor: 12 bytes a row
     rows = features_of(texts.join(F.broadcast(chosen.select("_id")), "_id", "left_semi"), "_id", "_text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    found = rows.select("doc_id", "_label", *FEATURES).limit(2 * most_rows).toPandas().sort_values(["doc_id", "_label", *FEATURES])
+    found = rows.select("doc_id", "_label", *FEATURES).limit(2 * most_rows).toArrow().to_pandas().sort_values(["doc_id", "_label", *FEATURES])
     return fit(found[list(FEATURES)].to_numpy(float), (found["_label"].to_numpy() > 0).astype(float))
 
 
