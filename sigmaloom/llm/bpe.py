@@ -35,7 +35,7 @@ from . import common
 #: The pre-split of byte-level BPE; white space is Unicode's.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Entries of a worker's memory of encoded pieces; it starts anew beyond that.
-MEMORY = 500_000
+MEMORY = 900_000
 
 
 def byte_letters() -> dict[str, int]:
