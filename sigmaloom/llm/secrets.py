@@ -39,7 +39,7 @@ GUESS_LOG10 = 10.0
 
 # Common passwords and the words that passwords are made of, by falling frequency.
 WORDS = """password qwerty dragon monkey letmein football baseball master shadow michael superman batman trustno welcome login admin princess
-sunshine iloveyou starwars hello freedom whatever secret summer winter spring autumn flower hunter ranger jordan soccer killer pepper ginger
+sunshine iloveyou starwars hello freedom whatever secret summer winter spring autumn garden hunter ranger jordan soccer killer pepper ginger
 cookie cheese banana orange purple yellow silver golden diamond access computer internet service server system user guest root test temp
 changeme default example sample demo public private love life time world house money magic power black white green blue red king queen star
 moon fire water earth wind january february march april june july august september october november december monday tuesday wednesday
