@@ -6,7 +6,8 @@ A document's set is that of its distinct shingles of five words. Two documents l
 1. Shingles have one order for all documents: frequent ones last, then by hash. If two sets of at least `n` elements
    share ceil(0.8 n) of them, then the first n - ceil(0.8 n) + MATCHES elements of both share MATCHES or all that they share.
    Only these elements are posted, and of them only those that another class posts too: a bitmap of bounded size, built on
-   the executors, tells most others. Which shingles count as frequent decides how long lists get, not what is found.
+   the executors over these same elements, tells most others. Which shingles count as frequent decides how long lists get, not what
+   is found.
 2. Classes on too few lists are out. The sets of the others are kept in the shared folder.
 3. Pairs of classes are counted on lists of up to SHORT classes, so there are at most SHORT for each posting. A pair is out if
    it shares too few lists, or if what it shares there and all elements after the last of them are too few.
@@ -166,10 +167,15 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
 
 
-def _census(texts: DataFrame) -> DataFrame:
-    """h, low, high, n: for each posted shingle in order of hash the lowest and highest class; for shingles that are frequent in a
-    task's buffer their number there."""
-    schema = common.shape("h long, low long, high long, n long")
+def prefix(s: np.ndarray, is_frequent: np.ndarray) -> np.ndarray:
+    """The places in s, a sorted set, of its first elements in the order that all documents have: frequent ones last, then by hash."""
+    late = in_bitmap(is_frequent, s)
+    return np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[: prefix_length(len(s))]
+
+
+def _frequent(texts: DataFrame) -> DataFrame:
+    """h, frequent: the shingles that are frequent, of those that are so in a task's buffer."""
+    schema = common.shape("h long, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer: list[np.ndarray] = []
@@ -179,18 +185,11 @@ def _census(texts: DataFrame) -> DataFrame:
             if buffer:
                 value, n = np.unique(np.concatenate(buffer), return_counts=True)
                 some = n >= REPORTED
-                none = pa.nulls(int(some.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(common.signed(value[some])), none, none, pa.array(n[some])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(common.signed(value[some])), pa.array(n[some])], schema=schema)
             buffer.clear()
 
         for batch in common.slices(batches):
             sets = [s for s in shingle_sets(batch) if len(s)]
-            if not sets:
-                continue
-            posted = [s[: prefix_length(len(s))] for s in sets]
-            h = pa.array(common.signed(np.concatenate(posted)))
-            sig = pa.array(np.repeat(np.array([signature(s) for s in sets], np.int64), [len(p) for p in posted]))
-            yield pa.RecordBatch.from_arrays([h, sig, sig, pa.nulls(len(h), pa.int64())], schema=schema)
             buffer += sets
             size += sum(map(len, sets))
             if size > _BUFFER:
@@ -198,8 +197,27 @@ def _census(texts: DataFrame) -> DataFrame:
                 size = 0
         yield from frequent()
 
-    counted = texts.mapInArrow(run, common.spark_type(schema)).groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    return counted.select("h", F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("shared"), F.coalesce(F.col("n") >= FREQUENT, F.lit(False)).alias("frequent")).where("shared or frequent")
+    counted = texts.mapInArrow(run, common.spark_type(schema)).groupBy("h").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= FREQUENT).select("h", F.lit(True).alias("frequent"))
+
+
+def _census(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """h, shared: the shingles that the prefixes of two classes or more hold, the same prefixes that are posted."""
+    schema = common.shape("h long, low long, high long")
+    maps = texts.sparkSession.sparkContext.broadcast(frequent)  # of bounded size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            sets = [s for s in shingle_sets(batch) if len(s)]
+            if not sets:
+                continue
+            posted = [s[prefix(s, maps.value)] for s in sets]
+            h = pa.array(common.signed(np.concatenate(posted)))
+            sig = pa.array(np.repeat(np.array([signature(s) for s in sets], np.int64), [len(p) for p in posted]))
+            yield pa.RecordBatch.from_arrays([h, sig, sig], schema=schema)
+
+    counted = texts.mapInArrow(run, common.spark_type(schema)).groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return counted.where("low <> high").select("h", F.lit(True).alias("shared"))
 
 
 def _postings(texts: DataFrame, shared: np.ndarray, frequent: np.ndarray) -> DataFrame:
@@ -212,11 +230,8 @@ def _postings(texts: DataFrame, shared: np.ndarray, frequent: np.ndarray) -> Dat
         for batch in common.slices(batches):
             sets, hs, spots = shingle_sets(batch), [], []
             for s in sets:
-                p = prefix_length(len(s))
-                late = in_bitmap(is_frequent, s)
-                spot = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:p]
-                known = in_bitmap(is_shared, s[spot])
-                post = np.flatnonzero(known | (spot >= p))
+                spot = prefix(s, is_frequent)
+                post = np.flatnonzero(in_bitmap(is_shared, s[spot]))
                 hs.append(common.signed(s[spot[post]]))
                 spots.append(post)
             ends = pa.array(np.cumsum([0, *map(len, hs)]), pa.int32())
@@ -341,7 +356,8 @@ def _links(pairs: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of each row."""
     texts = _texts(df, id_col, text_col)
-    shared, frequent = bitmaps(common.staged(_census(texts), "shingles"), "h", ["shared", "frequent"])
+    (frequent,) = bitmaps(common.staged(_frequent(texts), "shingles"), "h", ["frequent"])
+    (shared,) = bitmaps(common.staged(_census(texts, frequent), "shingles"), "h", ["shared"])
     documents = common.staged(_postings(texts, shared, frequent), "documents")
     classes = documents.groupBy("sig", "n").agg(F.min("doc_id").alias("least"))
     posted = documents.select("sig", "n", F.explode(F.arrays_zip(F.col("hs").alias("h"), F.col("spots").alias("spot"))).alias("x")).select("x.h", "sig", "n", "x.spot")

@@ -284,6 +284,18 @@ def test_a_crowd_of_near_copies(spark):
     assert got == linked_by_brute_force(rows)
 
 
+def test_cut_copies_that_share_frequent_passages(spark):
+    """Copies cut to 80 to 85 % of a document, where frequent shingles move others into the prefixes."""
+    rng = random.Random(12)
+    passages = [words(rng, 30, 4000) for _ in range(6)]
+    rows = []
+    for k in range(150):
+        w = [*words(rng, 120, 9000), *passages[k % 6], *passages[(k + 1 + k % 5) % 6]]
+        rows += [(k, " ".join(w)), (1000 + k, " ".join(w[int(len(w) * rng.uniform(0.15, 0.2)) :])), (2000 + k, " ".join(w[: int(len(w) * rng.uniform(0.8, 0.85)) + 1]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(table(spark, rows)).collect()}
+    assert got == linked_by_brute_force(rows)
+
+
 def test_divide_skip_finds_what_counting_finds():
     rng = np.random.default_rng(1)
     for _ in range(30):
