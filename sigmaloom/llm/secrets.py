@@ -34,6 +34,8 @@ CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|credentials?|auth)(?:["']?\x20*(?::=|=>|[:=])\x20*|\x20(?:is|was)\x20+(?=\S*[0-9]))["'`]?([^\s"'`,;<>(){}\[\]]{6,})""",
     re.I | re.A,
 )
+#: What every match of CONTEXT holds, by the same flags.
+_JOINT = re.compile(r"[:=]|\x20(?:is|was)\x20", re.I | re.A)
 #: Decimal digits of guesses from which a value counts as a secret.
 GUESS_LOG10 = 10.0
 
@@ -152,7 +154,7 @@ def spans(text: str, least: float = GUESS_LOG10) -> list[tuple[str, int, int]]:
     if ":" in text or "=" in text:
         base += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGNED]
     base += [("access", *m.span()) for m in ACCESS.finditer(text)] + [("hex", *m.span()) for m in HEX.finditer(text)]
-    found = [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_log10(m[1]) >= least] if ":" in text or "=" in text or " is " in text or " was " in text else []
+    found = [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_log10(m[1]) >= least] if _JOINT.search(text) else []
     added = [x for x in found if not any(a < x[2] and x[1] < b for _, a, b in base)]
     return sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
 

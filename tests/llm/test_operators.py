@@ -194,6 +194,12 @@ def test_secrets(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_contexts_in_any_case():
+    """Texts without a colon or an equals sign."""
+    for text in ("PASSWORD IS Xk9#vQ2!mLz8", "My Password Is Xk9#vQ2!mLz8", "the Token wAs  Xk9#vQ2!mLz8", "the secret is Xk9#vQ2!mLz8"):
+        assert secrets.spans(text) == [("guess", text.index("Xk9"), len(text))] and secrets.redact(text) == text[: text.index("Xk9")] + "<SECRET>"
+
+
 def test_guess_costs():
     cost = secrets.guess_log10
     assert cost("") == 0 and cost("password1") < cost("hunter2x") < cost("b7db7aa4a5fcc78305")
