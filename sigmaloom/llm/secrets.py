@@ -71,8 +71,9 @@ def _alphabet(value: str) -> float:
     return math.log10(max(10, sum(n for p, n in sizes if re.search(p, value))))
 
 
-def guess_log10(value: str) -> float:
-    """The decimal logarithm of the least guesses over all segmentations of the value; 0 for an empty one.
+def guess_log10(value: str, least: float = GUESS_LOG10) -> float:
+    """The decimal logarithm of the least guesses over all segmentations of the value; 0 for an empty one. Exact below `least`;
+    a value that costs more may be given a lower figure, of `least` or more.
 
     A segmentation costs the sum of its segments' digits and, for s segments, the digits of s!: an attacker
     has to try their orders. Brute force grows character by character, so time is linear in the length
@@ -131,7 +132,10 @@ def guess_log10(value: str) -> float:
             if j - i >= 3 and (i == 0 or ord(value[i]) - ord(value[i - 1]) != step):
                 offer(i, j, 1.5 + math.log10(j - i))
     # best[s]: state after a prefix in s segments; a brute-force span goes on at one letter's digits without a new segment.
-    most = min(n, 8)
+    # Segments are counted until the digits of s! alone are `least`.
+    most = 0
+    while most < n and math.log10(math.factorial(most)) < least:
+        most += 1
     closed = [[math.inf] * (most + 1) for _ in range(n + 1)]
     brute = [[math.inf] * (most + 1) for _ in range(n + 1)]
     closed[0][0] = 0.0
@@ -154,7 +158,7 @@ def spans(text: str, least: float = GUESS_LOG10) -> list[tuple[str, int, int]]:
     if ":" in text or "=" in text:
         base += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGNED]
     base += [("access", *m.span()) for m in ACCESS.finditer(text)] + [("hex", *m.span()) for m in HEX.finditer(text)]
-    found = [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_log10(m[1]) >= least] if _JOINT.search(text) else []
+    found = [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_log10(m[1], least) >= least] if _JOINT.search(text) else []
     added = [x for x in found if not any(a < x[2] and x[1] < b for _, a, b in base)]
     return sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
 

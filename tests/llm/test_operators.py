@@ -204,6 +204,8 @@ def test_guess_costs():
     cost = secrets.guess_log10
     assert cost("") == 0 and cost("password1") < cost("hunter2x") < cost("b7db7aa4a5fcc78305")
     assert cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 6 and cost("19870512") < 8 and cost("x9$Kq!2zRw") > 12
+    assert cost("password" * 9) < 10 < cost("password" * 12)  # 9! and 12! orders
+    assert secrets.spans("token: " + "password" * 12, 10.0) and cost("password" * 40, 20.0) > 20
     assert cost("aB3" * 2000) < cost("aB3$" * 3) * 10  # long values are read whole, and repeats are cheap
 
 
