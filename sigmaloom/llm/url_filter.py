@@ -3,21 +3,29 @@ r"""URL filters with redirect equivalence.
 A rule (host, path) fits its host and all subdomains, if the URL's path starts with the rule's; of the rules that fit a
 URL the longest decides, and of two equally long ones the allow rule. URLs without a rule take the verdict of the URLs
 that they are equivalent to: pages that redirect to each other (meta refresh) or name each other as canonical
-form a component, found by distributed star rounds over these links. A component with a page that a rule blocks is
-blocked; a page that a rule allows stays allowed in it. What no component decides is allowed.
+form a component, found by distributed star rounds over these links. A component with a URL that a rule blocks is
+blocked, whether that URL is a row or only the end of a link; a page that a rule allows stays allowed in it. What no component
+decides is allowed.
 
 The node of a URL is its host, path and query: scheme and fragment tell no pages apart. Links without a host are taken on
-the page's host; relative paths without a leading slash are taken from its root.
+the page's host; relative paths without a leading slash are taken from its root. Character references in links are
+resolved as HTML resolves them in attributes.
+
+SQL below knows neither blocked URLs that are no rows nor character references; without such links the rows are the same.
 
 Edge cases: a null URL, or one without "://", has an empty host and path, no rule and no node, and is allowed; null HTML
 has no links; a link to itself is none; repeated rows and page_ids give a row each; other columns are not read;
-an empty table gives an empty table. DataFrame operations only.
+an empty table gives an empty table. DataFrame operations only, but for character references.
 """
 
 from __future__ import annotations
 
+import html as _html
+import re
 from collections.abc import Sequence
+from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +53,28 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), path_of(url), query))
 
 
+def split_node(node: Column) -> tuple[Column, Column]:
+    """Host and path of a node: hosts have no / and ?, paths have no ? and begin with / or are empty."""
+    return F.regexp_extract(node, r"(?s)^([^/?]*)", 1), F.regexp_extract(node, r"(?s)^[^/?]*([^?]*)", 1)
+
+
+# A name without a semicolon is none in an attribute if = or a letter or digit follows, as in ?a=1&copy=2.
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|([A-Za-z][A-Za-z0-9]*(?:;|(?![=A-Za-z0-9]))))")
+
+
+def unescaped(text: str) -> str:
+    """An attribute's text with its character references resolved."""
+    return _REFERENCE.sub(lambda m: html5.get(m[1], m[0]) if m[1] else _html.unescape(m[0]), text)
+
+
+def resolved(text: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or "&" not in t else unescaped(t) for t in x.to_pylist()], pa.string())
+
+    return run(text)
+
+
 def decide(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """struct(rule, verdict) of the rule that decides, or null. rules is a list in the program, so the expression is as long as
     that list; see decide_by_join for rules that are a table."""
@@ -76,8 +106,12 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """u, v: nodes of pages and of the URLs that their HTML redirects to or names as canonical."""
     html, url = F.col(html_col), F.col(url_col)
     tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    target = F.when(F.col("tag").rlike("(?i)^<link"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)).otherwise(F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    some = pages.where(html.rlike("(?i)canonical|refresh") & url.contains("://")).select(url.alias("url"), F.explode(tags).alias("tag")).select("url", F.trim(target).alias("to")).where("to <> ''")
+    is_link = F.col("tag").rlike("(?i)^<link")
+    # a link's href is cut out and then resolved; a refresh's URL is a part of its attribute's resolved text
+    cut = F.when(is_link, F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)).otherwise(F.col("tag"))
+    target = F.when(F.col("link"), F.col("text")).otherwise(F.regexp_extract("text", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
+    some = pages.where(html.rlike("(?i)canonical|refresh") & url.contains("://")).select(url.alias("url"), F.explode(tags).alias("tag")).select("url", is_link.alias("link"), cut.alias("cut"))
+    some = some.select("url", "link", resolved(F.col("cut")).alias("text")).select("url", F.trim(target).alias("to")).where("to <> ''")
     to = F.col("to")
     full = (
         F.when(to.contains("://"), to)
@@ -94,10 +128,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     judged = urls.withColumn("own", decide(F.col("host"), F.col("path"), rules))
     parts = common.staged(components(page_links(pages, url_col, html_col)).withColumnRenamed("node", "_node"), "aliases")
-    blocked = judged.where("own.verdict = 'block'").select("node").distinct()
-    # a component is blocked if any node of it is; nodes without a link are a component each
-    spread = parts.join(blocked, parts["_node"] == blocked["node"], "left_semi").select(F.col("component").alias("_component")).distinct()
-    aliases = parts.join(spread, parts["component"] == spread["_component"], "left_semi").select("_node").union(blocked.select(F.col("node").alias("_node"))).distinct()
+    # a component is blocked if any node of it is, a row or not; a node without a link has its own rule or none
+    spread = parts.where(decide(*split_node(F.col("_node")), rules)["verdict"] == "block").select(F.col("component").alias("_component")).distinct()
+    aliases = parts.join(spread, parts["component"] == spread["_component"], "left_semi").select("_node")
     open_ = judged.where("own is null")
     caught = open_.join(aliases, open_["node"] == aliases["_node"], "left").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("_node").isNotNull(), "block").otherwise("allow").alias("verdict"))
     return judged.where("own is not null").select("page_id", "host", "path", "own.rule", "own.verdict").union(caught)

@@ -128,6 +128,20 @@ def test_urls(spark):
     assert joined == {i: r["rule"] for i, r in got.items()}
 
 
+def test_links_to_blocked_urls_that_are_no_rows(spark):
+    rules = (("block", "x.net", "/es/"), ("allow", "ok.org", "/"))
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        (1, "http://a.org/", refresh.format("http://X.net/es/1?k#f"), "block"), (2, "http://b.org/", link.format("http://x.net/es/1?k"), "block"), (3, "http://c.org/", link.format("http://x.net/de/1"), "allow"),
+        (4, "http://ok.org/p", link.format("http://x.net/es/1?k"), "allow"), (5, "http://d.org/?a=1&b=2", "", "block"), (6, "http://e.org/", link.format("http://d.org/?a=1&amp;b=2"), "block"),
+        (7, "http://d.org/?a=1&b=2", refresh.format("&#39;http://x.net/es/2?a=1&amp;b=2&#39;"), "block"), (8, "http://f.org/?a=1&copy=2", link.format("http://g.org/?a=1&copy=2"), "block"),
+        (9, "http://g.org/?a=1&copy=2", link.format("http&#x3A;//x.net/es&sol;3"), "block"), (10, "http://h.org/", refresh.format("http://x.net/es/2?a=1&amp;b=2"), "block"),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string"), rules).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+    assert url_filter.unescaped("?a&amp;b&copy=1&copyx&copy;&notit;&#38;&amp") == "?a&b&copy=1&copyx©&notit;&&"
+
+
 # --- 4: substring dedup --------------------------------------------------------------------------------------------------
 
 
