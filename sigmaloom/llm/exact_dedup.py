@@ -2,7 +2,7 @@
 
 The index is a table bucketed and sorted by digest, one row for each distinct text: digest, keep_id, group_size.
 A batch is reduced to one row for each digest with partial aggregation, anti-joined to the index by sort-merge, and
-what is new is appended. The index's side of every join is read in its buckets, without a shuffle.
+what is new is appended; the first batch meets an empty index. The index's side of every join is read in its buckets, without a shuffle.
 DataFrame operations only.
 
 Texts are equal if identical after lower-casing A-Z; null counts as empty. Of equal texts in one batch the row
@@ -64,15 +64,13 @@ class DigestIndex:
         """Adds a batch of (doc_id, text_sha256). Returns a row for each row of it: doc_id, keep_id, group_size (of this batch's
         rows with that text and the index's), kept, text_sha256."""
         batch = digests.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if self.exists():
-            before = common.staged(self.read(), "digest-index")  # what the index held when this batch came
-            self.append(batch.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti"))
-            old = before.select("text_sha256", F.col("group_size").alias("_before"), F.lit(True).alias("_known"))
-            held = self.read().join(batch.select("text_sha256", F.col("group_size").alias("_size")).hint("merge"), "text_sha256").join(old.hint("merge"), "text_sha256", "left")
-            one = held.select("text_sha256", "keep_id", (F.col("_size") + F.coalesce("_before", F.lit(0))).alias("group_size"), F.coalesce("_known", F.lit(False)).alias("_known"))
-        else:
-            self.append(batch)
-            one = self.read().withColumn("_known", F.lit(False))
+        if not self.exists():
+            self.append(batch.limit(0))
+        before = common.staged(self.read(), "digest-index")  # what the index held when this batch came
+        self.append(batch.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti"))
+        old = before.select("text_sha256", F.col("group_size").alias("_before"), F.lit(True).alias("_known"))
+        held = self.read().join(batch.select("text_sha256", F.col("group_size").alias("_size")).hint("merge"), "text_sha256").join(old.hint("merge"), "text_sha256", "left")
+        one = held.select("text_sha256", "keep_id", (F.col("_size") + F.coalesce("_before", F.lit(0))).alias("group_size"), F.coalesce("_known", F.lit(False)).alias("_known"))
         found = digests.join(one.hint("merge"), "text_sha256")
         # rows that share text and doc_id: their number is small for any pair, however many rows share the text
         same = digests.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")

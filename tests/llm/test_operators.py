@@ -255,6 +255,19 @@ def test_index_persists(spark):
     index.drop()
 
 
+def test_every_batch_is_anti_joined(spark):
+    index, plans = exact_dedup.DigestIndex(spark, "test_anti_join"), []
+    append = index.append
+    index.append = lambda rows: (plans.append(rows._jdf.queryExecution().analyzed().toString()), append(rows))
+    docs = table(spark, [(1, "a"), (2, "A"), (3, "b")]).select("doc_id", exact_dedup.digest(F.col("text")).alias("text_sha256"))
+    for known in (False, True):
+        plans.clear()
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in index.add(docs).collect()}
+        assert got == ({1: (2, 4, False), 2: (2, 4, False), 3: (3, 2, False)} if known else {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)})
+        assert "LeftAnti" in plans[-1] and index.read().count() == 2
+    index.drop()
+
+
 # --- 8: Jaccard join -------------------------------------------------------------------------------------------------------
 
 
