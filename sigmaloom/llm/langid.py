@@ -281,6 +281,25 @@ def _labelled(model: LanguageModel, batch: pa.RecordBatch, switch: float) -> Lab
     return Labelled(doc, letters, viterbi(scores, at, switch), at, no_ascii)
 
 
+def decided(model: LanguageModel, batch: pa.RecordBatch, switch: float = SWITCH, lead: float = LEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and number of spans of each text in column 1, for a model with languages."""
+    w, n, k = _labelled(model, batch, switch), batch.num_rows, len(model.languages)
+    held = np.bincount(w.doc * k + w.label, weights=w.letters, minlength=n * k).reshape(n, k)
+    total = held.sum(1)
+    spans = np.bincount(w.doc, weights=_begins(w), minlength=n).astype(np.int64)
+    pick = held.argmax(1)
+    some = np.flatnonzero(np.diff(w.at))
+    first = w.label[w.at[some]]
+    leads = held[some, first] >= lead * total[some]
+    pick[some[leads]] = first[leads]
+    names = np.array(model.languages, object)[pick]
+    score = held[np.arange(n), pick] / np.maximum(total, 1)
+    for i in np.flatnonzero(w.no_ascii):  # script ranges are coarse: ask for a letter proper
+        if not any(map(str.isalpha, batch.column(1)[int(i)].as_py() or "")):
+            names[i], score[i], spans[i] = UNKNOWN, 0.0, 0
+    return names, score, spans
+
+
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH, lead: float = LEAD) -> DataFrame:
     """doc_id, lang_pred, score and n_spans of each row's whole text."""
     common.small_batches(df.sparkSession)
@@ -294,20 +313,7 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
             if not k:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([UNKNOWN] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n, np.int64))], schema=schema)
                 continue
-            w = _labelled(model, batch, switch)
-            held = np.bincount(w.doc * k + w.label, weights=w.letters, minlength=n * k).reshape(n, k)
-            total = held.sum(1)
-            spans = np.bincount(w.doc, weights=_begins(w), minlength=n).astype(np.int64)
-            pick = held.argmax(1)
-            some = np.flatnonzero(np.diff(w.at))
-            first = w.label[w.at[some]]
-            leads = held[some, first] >= lead * total[some]
-            pick[some[leads]] = first[leads]
-            names = np.array(model.languages, object)[pick]
-            score = held[np.arange(n), pick] / np.maximum(total, 1)
-            for i in np.flatnonzero(w.no_ascii):  # script ranges are coarse: ask for a letter proper
-                if not any(map(str.isalpha, batch.column(1)[int(i)].as_py() or "")):
-                    names[i], score[i], spans[i] = UNKNOWN, 0.0, 0
+            names, score, spans = decided(model, batch, switch, lead)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(spans)], schema=schema)
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, common.spark_type(schema))
@@ -339,8 +345,8 @@ def spans(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col:
 
 
 def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text", switch: float = SWITCH) -> DataFrame:
-    """The rows of df, with its columns, whose text is in a language: not null, with a letter, and with a labelled word. Without
-    any learned language no row is rejected for want of one."""
+    """The rows of df, with its columns, that predict does not call UNKNOWN. Texts with a letter always get a language, so which
+    rows stay does not depend on what was learned. Without any learned language, rows with a letter stay."""
     common.small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
@@ -350,13 +356,10 @@ def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text", switch
                 continue
             texts = batch.column(at)
             if model.languages:
-                w = _labelled(model, pa.RecordBatch.from_arrays([texts, texts], ["id", "text"]), switch)
-                labelled = (np.bincount(w.doc, weights=w.letters, minlength=batch.num_rows) > 0) & ~w.no_ascii
+                stays = decided(model, pa.RecordBatch.from_arrays([texts, texts], ["id", "text"]), switch)[0] != UNKNOWN
             else:
-                labelled = np.zeros(batch.num_rows, bool)
-            for i in np.flatnonzero(~labelled):  # script ranges are coarse: ask for a letter proper
-                labelled[i] = any(map(str.isalpha, texts[int(i)].as_py() or ""))
-            yield batch.filter(pa.array(labelled))
+                stays = [any(map(str.isalpha, t or "")) for t in texts.to_pylist()]
+            yield batch.filter(pa.array(stays, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

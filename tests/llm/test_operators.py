@@ -86,6 +86,15 @@ def test_languages(spark):
     assert {r["doc_id"] for r in docs.join(langid.accepted(docs, model).select("doc_id"), "doc_id", "left_anti").collect()} == {900, 901, 902, 903}
 
 
+def test_accepted_decides_as_predict(spark):
+    docs = spark.createDataFrame([(1, "xx", "abc de"), (2, "yy", "vw xyz"), (3, None, "12 --"), (4, None, None), (5, None, "É"), (6, None, "")], "doc_id long, lang string, text string")
+    model = langid.train(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    batch = docs.select("doc_id", "text").toArrow().combine_chunks().to_batches()[0]
+    assert dict(zip(batch.column(0).to_pylist(), langid.decided(model, batch)[0].tolist(), strict=True)) == got
+    assert {r["doc_id"] for r in langid.accepted(docs, model).collect()} == {i for i, lang in got.items() if lang != langid.UNKNOWN} == {1, 2, 5}
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(3)
     scores, offsets = rng.normal(0, 2, (60, 3)).astype(np.float32), np.array([0, 0, 1, 9, 30, 60])
