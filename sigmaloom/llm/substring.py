@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of every document's blocks.
+"""Substring dedup by an exact join with an index of every document's blocks, in place of a greedy relative Lempel-Ziv parse.
 
 Reference blocks are cut where the text says, not where documents do: each window of WINDOW words has an
 anchor, the least hash among its runs of GRAM words, and a block is a longest run of windows with one anchor. Equal
-texts are cut into equal blocks but for their edges. A document is parsed from left to right into factors: a
-block that the index has from an earlier document is copied whole, neighbouring copies grow into one
-factor. Where copies of a block begin or end differently (its anchor has several blocks), the parse
-goes on window by window, so every window at a factor's boundary is checked against the index as well. A
-factor has WINDOW words at least; its words are a duplicate span.
+texts are cut into equal blocks but for their edges. Blocks are joined with the index by hash; what the index
+has from an earlier document is copied whole. Where copies of a block begin or end differently (its anchor has several
+blocks), every window is joined instead. The words of all copied blocks and windows, united, are the duplicate spans; no
+longest factor is sought from left to right, as the verdict on a window depends on no other.
 
 A window is a duplicate if its words also start earlier: in a document with a smaller doc_id, or earlier
 in the same one. Windows are judged on the input.
