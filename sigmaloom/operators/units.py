@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import keyed
 from ..functions.clean import clamp, unit_id
+from ..sources import store
 
 
 def with_unit(df: DataFrame, subject: str | None, row_key: str | None = None, name: str = "unit") -> DataFrame:
@@ -58,9 +60,25 @@ def visits(df: DataFrame, unit: str, name: str = "visits") -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """Adds the place of each row, from 0, in the order of a declared key, without one task that holds all rows: counts of
-    ranges are prefix-summed, places inside a range are counted there."""
-    ranged = df.withColumn("_part", F.spark_partition_id()) if not order else df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    before = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    ranges are prefix-summed, places inside a range are counted there. The ranged rows are staged once, so that counts and places
+    are of the same ranges. Rows with equal keys come in any order."""
+    ranged = df.repartitionByRange(*order) if order else df
+    ranged = store.staged(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
+    before = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
     offsets = before.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    inside = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*(order or ["_part"]))))
     return inside.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")
+
+
+def row_blocks(df: DataFrame, key: bytes, row_key: list[str], blocks: int, name: str = "block") -> DataFrame:
+    """Adds a block, 0 .. blocks - 1, to each row: rows stand in the order of a keyed hash of their declared key, which is a random
+    permutation to all without the key, and are cut into runs of sizes that differ by one at most."""
+    if blocks < 1:
+        raise ValueError("at least one block")
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in row_key])
+    placed = numbered(df.withColumn("_rank", F.lower(keyed.hmac_hex(key, keyed.token("row", text, "row-blocks/v1")))), ["_rank", *row_key], "_place")
+    n = placed.agg(F.count(F.lit(1)).alias("_rows"))  # one row
+    # the first n % blocks blocks hold one row more
+    small, more = F.expr(f"_rows div {blocks}"), F.col("_rows") % blocks
+    block = F.when(F.col("_place") < more * (small + 1), F.expr(f"_place div (_rows div {blocks} + 1)")).otherwise(more + F.expr(f"(_place - (_rows % {blocks}) * (_rows div {blocks} + 1)) div greatest(_rows div {blocks}, 1)"))
+    return placed.crossJoin(F.broadcast(n)).withColumn(name, block.cast("int")).drop("_rank", "_place", "_rows")
