@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.store import shared_path, shared_root, staged, temporary_table  # noqa: F401  re-exported
 
 #: Bytes that separate words: space and \t \n \v \f \r.
 WORD_BREAKS = (9, 10, 11, 12, 13, 32)
@@ -17,36 +19,44 @@ BLOCK_BYTES = 1 << 20
 #: Bytes of text handed to a vectorised step at once; one document may exceed it.
 SLICE_BYTES = 1 << 20
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sigmaloom-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: computed once, and safe when executors are lost."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that Python workers receive, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Bounds the Arrow batches that Python workers receive, by rows and by bytes, for this session from now on; a bound of the
+    session that is tighter stays. It cannot be set back here, as frames run later than they are made."""
+    for name, most in (("maxRecordsPerBatch", 4096), ("maxBytesPerBatch", 4 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that are none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+#: A key is hot if more than one in this many rows have it; so there are fewer hot keys than this.
+HOT = 10_000
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], count: str, drop: bool = True) -> DataFrame:
+    """rows joined with `one`, which has a row for each key and in `count` the number of rows with it. Hot keys are joined by
+    broadcast, where the rows lie; there are fewer than HOT of them, whatever the data. `one` should be staged."""
+    total = one.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = F.col(count) * HOT > total
+    flag = new_names(rows, "hot")[0]
+    few, most = one.where(hot), one.where(~hot)
+    marked = rows.join(F.broadcast(few.select(*keys, F.lit(True).alias(flag))), keys, "left")
+    found = marked.where(F.col(flag).isNull()).drop(flag).join(most.hint("merge"), keys)
+    found = found.unionByName(marked.where(flag).drop(flag).join(F.broadcast(few), keys))
+    return found.drop(count) if drop else found
 
 
 def shape(fields: str) -> pa.Schema:
@@ -99,35 +109,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse, grown as they are needed."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def need(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
-        return self.up, self.down
-
-
-_BYTE_POWERS = Powers(_BASE)
-_RUN_POWERS = Powers(0xD1342543DE82EF95 | 1)
+#: Longest word that is hashed in vectorised steps; a longer one is hashed by itself.
+LONG_WORD = 512
+_PRIME = np.uint64((1 << 61) - 1)
 _IS_BREAK = np.zeros(256, bool)
 _IS_BREAK[list(WORD_BREAKS)] = True
-
-
-def _byte_codes(fold: bool) -> np.ndarray:
-    b = np.arange(256, dtype=np.uint64)
-    if fold:
-        b[65:91] += np.uint64(32)
-    return mix(b + np.uint64(0x1234567))
-
-
-_CODES = {fold: _byte_codes(fold) for fold in (False, True)}
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: The first k bytes of eight, little-endian.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _word_hashes(block: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes a step. Every step is mixed, so no arrangement of letters cancels out."""
+    size = end - start
+    eight = np.ndarray(len(block), "<u8", np.concatenate([block, np.zeros(8, np.uint8)]).data, strides=(1,))
+    h = mix(size.astype(np.uint64) + np.uint64(0x1234567))
+    live, at, left = np.flatnonzero(size <= LONG_WORD), start, size
+    while len(live):
+        value = eight[at[live]] & _FIRST[np.minimum(left[live], 8)]
+        h[live] = mix(h[live] * np.uint64(_BASE) ^ value)
+        at, left = at + 8, left - 8
+        live = live[left[live] > 0]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(block[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,33 +158,77 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray
         after[:-1] |= gap[1:]
         after[-1] = True
         s, e = np.flatnonzero(before & ~gap), np.flatnonzero(after & ~gap) + 1
-        up, down = _BYTE_POWERS.need(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_CODES[fold][block] * up[: hi - lo], out=total[1:])
-        h = (total[e] - total[s]) * down[s]
-        parts.append((s + lo, e + lo, mix(h + (e - s).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))))
+        parts.append((s + lo, e + lo, _word_hashes(_FOLD[block] if fold else block, s, e)))
         lo = hi
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def runs(hashes: np.ndarray, length: int) -> np.ndarray:
-    """The hash of each run of `length` consecutive hashes."""
+    """The hash of each run of `length` consecutive hashes; every place has a multiplier of its own."""
     n = len(hashes)
     if n < length:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n - length + 1, np.uint64)
+    by = mix(np.arange(1, length + 1, dtype=np.uint64)) | np.uint64(1)
+    out = np.full(n - length + 1, length, np.uint64)
     for k in range(length):
-        out *= np.uint64(_BASE)
-        out += hashes[k : n - length + 1 + k]
-    return mix(out + np.uint64(length))
+        out += hashes[k : n - length + 1 + k] * by[k]
+    return mix(out)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^61 - 1."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, of factors below it, by halves of 31 bits."""
+    low, half, m30 = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64((1 << 30) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    mid = a1 * b0 + a0 * b1
+    return _folded(np.uint64(2) * (a1 * b1) + (mid >> np.uint64(30)) + ((mid & m30) << half) + a0 * b0)
+
+
+class Powers:
+    """Powers of a base modulo 2^61 - 1 and of its inverse, grown as they are needed."""
+
+    def __init__(self, base: int) -> None:
+        self.base, self.inverse = base, pow(base, -1, int(_PRIME))
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def need(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, _times(self.up, np.uint64(pow(self.base, k, int(_PRIME))))])
+            self.down = np.concatenate([self.down, _times(self.down, np.uint64(pow(self.inverse, k, int(_PRIME))))])
+        return self.up, self.down
+
+
+_POWERS = (Powers(0x1234567DEADBEEF), Powers(0x0A5F3C9917B2D4E1))
+
+
+class Spans:
+    """Hashes of spans of hashes, by sums over powers modulo a prime, at which equal parts of different texts do not cancel out.
+    lane: of two independent bases."""
+
+    def __init__(self, hashes: np.ndarray, lane: int = 0) -> None:
+        n = len(hashes)
+        up, self.down = _POWERS[lane].need(n + 1)
+        x = _times(_folded(hashes), up[:n])
+        self.low, self.high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(x & np.uint64(0xFFFFFFFF), out=self.low[1:])
+        np.cumsum(x >> np.uint64(32), out=self.high[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of hashes[start:end] for each pair."""
+        low, high = self.low[end] - self.low[start], self.high[end] - self.high[start]
+        total = _folded(_folded(low) + _times(_folded(high), np.uint64(1 << 32)))
+        return mix(_times(total, self.down[start]) ^ (mix((end - start).astype(np.uint64))))
 
 
-def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
     """The hash of hashes[start:end] for each pair."""
-    up, down = _RUN_POWERS.need(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return Spans(hashes, lane).of(start, end)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

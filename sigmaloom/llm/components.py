@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds, and bitmaps of fixed size over hashes."""
+"""Connected components by alternating large-star and small-star rounds, and bitmaps of bounded size over hashes."""
 
 from __future__ import annotations
 
@@ -42,24 +42,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-#: Bits that a bitmap has for each key, and the least and the most of its size as a power of two: 8 KB to 32 MB.
+#: Bits of a bitmap for each key, and the least and the most of its size as powers of two: 8 KB to 32 MB.
 BITS_A_KEY, LEAST_BITS, MOST_BITS = 8, 16, 28
 
 
-def bitmaps(df: DataFrame, hash_col: str, flags: list[str]) -> list[np.ndarray]:
-    """For each flag a bitmap, set at the lowest bits of the hashes of rows with that flag; df has a row for each hash. Built by
-    bitwise or on the executors. Its size follows the number of keys up to 2^MOST_BITS bits, so what comes to the driver and
-    is broadcast is bounded; beyond that more hashes look like members, which costs time and changes no result."""
-    keys = df.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_A_KEY * keys).bit_length()))
+def bitmap_of_most(df: DataFrame, hash_col: str, count_col: str, least: int) -> np.ndarray:
+    """A bitmap, set at the lowest bits of the hashes whose count is `least` or more, or if those are too many for BITS_A_KEY bits
+    each, twice that or more, and so on; so its size is bounded and it never fills up. df has a row for each hash. Built by bitwise
+    or on the executors."""
+    keys = df.where(F.col(count_col) >= least).count()
+    while BITS_A_KEY * keys > 1 << MOST_BITS:
+        least *= 2
+        keys = df.where(F.col(count_col) >= least).count()
+    bits = max(LEAST_BITS, (BITS_A_KEY * keys).bit_length())
     word, bit = F.expr(f"shiftright({hash_col} & {(1 << bits) - 1}, 6)"), F.expr(f"shiftleft(1L, cast({hash_col} & 63 as int))")
-    rows = df.select(word.alias("word"), *[F.when(F.col(f), bit).otherwise(F.lit(0).cast("long")).alias(f) for f in flags])
-    found = rows.groupBy("word").agg(*[F.bit_or(f).alias(f) for f in flags]).toArrow()
-    out = []
-    for f in flags:
-        m = np.zeros(1 << (bits - 6), np.uint64)
-        m[found["word"].to_numpy()] = found[f].to_numpy().view(np.uint64)
-        out.append(m)
+    found = df.where(F.col(count_col) >= least).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 

@@ -5,18 +5,21 @@ A document's set is that of its distinct shingles of five words. Two documents l
 
 1. Shingles have one order for all documents: frequent ones last, then by hash. If two sets of at least `n` elements
    share ceil(0.8 n) of them, then the first n - ceil(0.8 n) + MATCHES elements of both share MATCHES or all that they share.
-   Only these elements are posted, and of them only those that another class posts too: a bitmap of bounded size, built on
-   the executors over these same elements, tells most others. Which shingles count as frequent decides how long lists get, not what
-   is found.
-2. Classes on too few lists are out. The sets of the others are kept in the shared folder.
-3. Pairs of classes are counted on lists of up to SHORT classes, so there are at most SHORT for each posting. A pair is out if
-   it shares too few lists, or if what it shares there and all elements after the last of them are too few.
-   Classes that meet on a longer list fall into one crowd (a component over such lists), in which all are compared; no pair is
-   made of them. A crowd is cut into blocks of bounded size, and each pair of blocks is one group.
-4. Each query, with its counted candidates or the other block of its crowd, is a T-occurrence search: the query's elements have
-   inverted lists over the candidates; the short ones are merged with a heap, the long ones are probed by binary
-   search (DivideSkip), and candidates that reach the required overlap stay. A group returns a spanning forest of
-   its links, and components over all of them are found by star rounds.
+   These elements are posted: an inverted list of each shingle that two classes or more post. So a link is a pair with MATCHES
+   (or all) lists in common, a T-occurrence problem over these lists. Which shingles count as frequent decides how long lists get,
+   not what is found.
+2. Stars: each class is counted on the lists of which one class is the first; pairs of a class and a first one that meet often enough
+   are verified, and components of these links are found. That joins most of a group of near copies, however large, by a row for each
+   posting and no pair inside the group.
+3. What may be left are links between components. Lists inside one component are dropped, then classes on too few lists. Classes are
+   dealt to blocks by their least hash, which near copies mostly share, and a block gets the lists of its classes: those
+   entries whose component is larger than that of some class of the block on that list, so each pair of components
+   is looked at from its smaller one, and a list that one large component fills costs as much as the others on it.
+   In a block every class is a query of DivideSkip: its short lists are merged with a heap, its long ones are probed by
+   binary search, and classes that reach the required count stay, if lengths and places allow a link. A block that gets
+   many entries is divided by candidates.
+4. Pairs are verified on their whole sets, many candidates of one query at once, again by DivideSkip. Components over all links
+   are found by star rounds.
 
 Edge cases: a text of fewer than five words is one shingle of all its words; null text and text without words have an empty set, no
 link, and are their own component; rows that share a doc_id are rows of their own and share what they link to; a null
@@ -31,26 +34,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import bitmaps, components, in_bitmap
+from .components import bitmap_of_most, components, in_bitmap
 
 SHINGLE = 5
 #: Shared elements by which prefixes are longer than one shared element needs.
 MATCHES = 8
 #: Documents from which a shingle counts as frequent, and the copies within one task's buffer from which it is reported.
 FREQUENT, REPORTED = 16, 3
-#: Classes of a list whose pairs are counted; those of longer lists are one crowd.
-SHORT = 64
-#: Elements of a block of a crowd, about.
-BLOCK_ELEMENTS = 2_000_000
-#: Candidates of one query that are one group.
+#: Postings of a block's own classes, and the entries that one group of a block holds, about.
+BLOCK_POSTINGS, GROUP_ENTRIES = 200_000, 2_000_000
+#: Candidates of one query that are verified as one group.
 QUERY_BLOCK = 256
 _BUFFER = 4_000_000
-#: Stands for a null doc_id in a bitmap.
-NO_ID = -(1 << 63)
+#: Lists that a pair of classes must share, if their sizes are nq and nc: all that a link shares if that is less than MATCHES.
+_ENOUGH = f"least({MATCHES}, (4 * greatest(nq, nc) + 4) div 5)"
 
 
 def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -68,9 +70,12 @@ def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> int:
-    """The name of a set's class; 64 bits, to which its size is added wherever classes are told apart."""
-    return int(common.mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0
+def signature(s: np.ndarray) -> tuple[int, int]:
+    """The name of a set: 128 bits, to which its size is added wherever sets are told apart."""
+    if not len(s):
+        return 0, 0
+    a, b = common.mix(s), common.mix(s * np.uint64(0xD1342543DE82EF95) + np.uint64(0x632BE59BD9B4E019))
+    return int(a.sum(dtype=np.uint64).astype(np.int64)), int(b.sum(dtype=np.uint64).astype(np.int64))
 
 
 def required(n: int) -> int:
@@ -86,80 +91,93 @@ def links(a: int, b: int, shared: int) -> bool:
     return 100 * shared >= 80 * (a + b - shared)
 
 
+def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that occur on `least` or more of the sorted lists, and on how many. The longest lists are left out of the merge: an id
+    needs `least` less their number on the others, which a heap merges; the long ones are then probed by binary search."""
+    lists = sorted((x for x in lists if len(x)), key=len, reverse=True)
+    if len(lists) < max(least, 1):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n_long = min(least - 1, int(least / (0.01 * math.log2(len(lists[0]) + 1) + 1)))
+    count: dict[int, int] = {}
+    for c in heapq.merge(*(x.tolist() for x in lists[n_long:])):
+        count[c] = count.get(c, 0) + 1
+    left = np.fromiter((c for c, k in count.items() if k >= least - n_long), np.int64)
+    shared = np.fromiter((count[c] for c in left.tolist()), np.int64, len(left))
+    for probed, held in enumerate(lists[:n_long]):
+        able = shared + (n_long - probed) >= least
+        left, shared = left[able], shared[able]
+        if not len(left):
+            break
+        at = np.minimum(np.searchsorted(held, left), len(held) - 1)
+        shared = shared + (held[at] == left)
+    enough = shared >= least
+    return left[enough], shared[enough]
+
+
 class InvertedLists:
-    """The sets of some classes by element: the classes that have it, in order."""
+    """Entries (element, owner) by element: of each the owners that have it, in order."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        owner = np.repeat(np.arange(len(sets)), [len(c) for c in sets])
-        elements = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        order = np.argsort(elements, kind="stable")
+    def __init__(self, elements: np.ndarray, owner: np.ndarray) -> None:
+        order = np.lexsort((owner, elements))
         self.elements, self.owner = elements[order], owner[order]
-        self.sizes = np.array([len(c) for c in sets], np.int64)
 
-    def search(self, query: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
-        """The classes, among those marked as wanted, that link with the query (DivideSkip)."""
+    def of(self, query: np.ndarray) -> list[np.ndarray]:
         begin, end = np.searchsorted(self.elements, query, "left"), np.searchsorted(self.elements, query, "right")
-        some = np.flatnonzero(end > begin)
-        some = some[np.argsort(begin[some] - end[some], kind="stable")]  # longest first
-        need = -(-4 * (len(query) + self.sizes) // 9)
-        open_ = (5 * np.minimum(self.sizes, len(query)) >= 4 * np.maximum(self.sizes, len(query))) & (need <= len(some))
-        if wanted is not None:
-            open_ &= wanted
-        if not open_.any():
-            return np.zeros(0, np.int64)
-        least = int(need[open_].min())
-        longest = int(end[some[0]] - begin[some[0]])
-        n_long = min(least - 1, int(least / (0.01 * math.log2(longest + 1) + 1)))
-        count: dict[int, int] = {}
-        for c in heapq.merge(*(self.owner[begin[i] : end[i]].tolist() for i in some[n_long:])):
-            count[c] = count.get(c, 0) + 1
-        left = np.fromiter((c for c, k in count.items() if k >= least - n_long), np.int64)
-        shared = np.fromiter((count[c] for c in left.tolist()), np.int64, len(left))
-        keep = open_[left]
-        left, shared = left[keep], shared[keep]
-        for probed, i in enumerate(some[:n_long]):
-            able = shared + (n_long - probed) >= need[left]
-            if not able.all():
-                left, shared = left[able], shared[able]
-            if not len(left):
-                break
-            held = self.owner[begin[i] : end[i]]
-            at = np.minimum(np.searchsorted(held, left), len(held) - 1)
-            shared = shared + (held[at] == left)
-        return np.sort(left[shared >= need[left]])
-
-
-class Forest:
-    """Union-find over 0, 1, ..., n - 1."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def forest_links(first: list[np.ndarray], second: list[np.ndarray] | None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets of `first`, or of those between `first` and `second`; numbers go on from one to
-    the other. Sets that are already joined to the query are not looked for again."""
-    inside = second is None
-    index, base = InvertedLists(first if inside else second), 0 if inside else len(first)
-    trees, out = Forest(len(first) + (0 if inside else len(second))), []
-    for i, query in enumerate(first):
-        root = trees.find(i)
-        wanted = np.array([trees.find(base + j) != root for j in range(len(index.sizes))]) if len(out) else np.arange(len(index.sizes)) + base != i
-        for j in index.search(query, wanted).tolist():
-            if trees.join(i, base + j):
-                out.append((i, base + j))
-    return out
+        return [self.owner[a:z] for a, z in zip(begin.tolist(), end.tolist(), strict=True) if z > a]
+
+
+def linked(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
+    """The places of the sets that link with the query."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    near = np.flatnonzero(5 * np.minimum(sizes, len(query)) >= 4 * np.maximum(sizes, len(query)))
+    if not len(near):
+        return []
+    index = InvertedLists(np.concatenate([sets[i] for i in near]), np.repeat(near, sizes[near]))
+    least = -(-4 * (len(query) + int(sizes[near].min())) // 9)
+    return [int(c) for c, k in zip(*divide_skip(index.of(query), least), strict=True) if links(len(query), int(sizes[c]), int(k))]
+
+
+class Block:
+    """The entries of one group of a block: element h, class cid of size n, its place spot in that class's prefix, its component's rank
+    (size, comp), and whether the class is a query or a candidate here."""
+
+    def __init__(self, x: dict[str, np.ndarray]) -> None:
+        self.x = x
+        candidates = np.flatnonzero(x["candidate"])
+        self.cid, first, owner = np.unique(x["cid"][candidates], return_index=True, return_inverse=True)
+        self.n, self.size, self.comp = (x[k][candidates[first]] for k in ("n", "size", "comp"))
+        self.lists = InvertedLists(x["h"][candidates], owner)
+        self.own = self._by_owner(candidates, owner, len(self.cid))
+
+    def _by_owner(self, rows: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows by owner and element, and where each owner's begin."""
+        order = np.lexsort((self.x["h"][rows], owner))
+        return rows[order], np.searchsorted(owner[order], np.arange(n + 1))
+
+    def pairs(self) -> list[tuple[int, int]]:
+        """(query, candidate) of classes of different components that may link, from the smaller component."""
+        x, out = self.x, []
+        asked = np.flatnonzero(x["query"])
+        cids, owner = np.unique(x["cid"][asked], return_inverse=True)
+        rows, begin = self._by_owner(asked, owner, len(cids))
+        mine, at = self.own
+        for i, q in enumerate(cids.tolist()):
+            held = rows[begin[i] : begin[i + 1]]
+            n, size, comp = (int(x[k][held[0]]) for k in ("n", "size", "comp"))
+            least = min(MATCHES, required(n))
+            if len(held) < least:
+                continue
+            found, _ = divide_skip(self.lists.of(x["h"][held]), least)
+            m = self.n[found]
+            able = (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & ((self.size[found] > size) | ((self.size[found] == size) & (self.comp[found] > comp)))
+            for c in found[able].tolist():
+                other = mine[at[c] : at[c + 1]]
+                _, a, b = np.intersect1d(x["h"][held], x["h"][other], assume_unique=True, return_indices=True)
+                larger = max(n, int(self.n[c]))
+                most = len(a) + min(n - int(x["spot"][held[a]].max()), int(self.n[c]) - int(x["spot"][other[b]].max())) - 1
+                if len(a) >= min(MATCHES, required(larger)) and 9 * most >= 4 * (n + int(self.n[c])):
+                    out.append((q, int(self.cid[c])))
+        return out
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,14 +185,17 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
 
 
-def prefix(s: np.ndarray, is_frequent: np.ndarray) -> np.ndarray:
-    """The places in s, a sorted set, of its first elements in the order that all documents have: frequent ones last, then by hash."""
+def prefix(s: np.ndarray, is_frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """The places in s, a sorted set, of its first elements in the order that all documents have: frequent ones last, then by hash;
+    and how many of them are not frequent."""
     late = in_bitmap(is_frequent, s)
-    return np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[: prefix_length(len(s))]
+    rare = np.flatnonzero(~late)
+    n = prefix_length(len(s))
+    return np.concatenate([rare, np.flatnonzero(late)])[:n], min(n, len(rare))
 
 
 def _frequent(texts: DataFrame) -> DataFrame:
-    """h, frequent: the shingles that are frequent, of those that are so in a task's buffer."""
+    """h, n: the shingles that are frequent, of those that are so in a task's buffer, and their documents."""
     schema = common.shape("h long, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,191 +219,207 @@ def _frequent(texts: DataFrame) -> DataFrame:
         yield from frequent()
 
     counted = texts.mapInArrow(run, common.spark_type(schema)).groupBy("h").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= FREQUENT).select("h", F.lit(True).alias("frequent"))
+    return counted.where(F.col("n") >= FREQUENT)
 
 
-def _census(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """h, shared: the shingles that the prefixes of two classes or more hold, the same prefixes that are posted."""
-    schema = common.shape("h long, low long, high long")
+def _documents(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """A row for each document: doc_id, row (a number), a, b, n (the name and size of its set), least (its least hash), hs (its prefix), and
+    rare, how many of these are not frequent."""
+    schema = common.shape("doc_id long, row long, a long, b long, n long, least long, rare int, hs longs")
     maps = texts.sparkSession.sparkContext.broadcast(frequent)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in common.slices(batches):
-            sets = [s for s in shingle_sets(batch) if len(s)]
-            if not sets:
-                continue
-            posted = [s[prefix(s, maps.value)] for s in sets]
-            h = pa.array(common.signed(np.concatenate(posted)))
-            sig = pa.array(np.repeat(np.array([signature(s) for s in sets], np.int64), [len(p) for p in posted]))
-            yield pa.RecordBatch.from_arrays([h, sig, sig], schema=schema)
-
-    counted = texts.mapInArrow(run, common.spark_type(schema)).groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return counted.where("low <> high").select("h", F.lit(True).alias("shared"))
-
-
-def _postings(texts: DataFrame, shared: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """A row for each document: doc_id, sig, n, and hs, the shingles that it posts and another class may post, with their places in order."""
-    schema = common.shape("doc_id long, sig long, n long, hs longs, spots longs")
-    maps = texts.sparkSession.sparkContext.broadcast((shared, frequent))  # of bounded size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_shared, is_frequent = maps.value
-        for batch in common.slices(batches):
-            sets, hs, spots = shingle_sets(batch), [], []
-            for s in sets:
-                spot = prefix(s, is_frequent)
-                post = np.flatnonzero(in_bitmap(is_shared, s[spot]))
-                hs.append(common.signed(s[spot[post]]))
-                spots.append(post)
+            sets = shingle_sets(batch)
+            chosen = [prefix(s, maps.value) for s in sets]
+            names = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2)
+            hs = [s[p] for s, (p, _) in zip(sets, chosen, strict=True)]
             ends = pa.array(np.cumsum([0, *map(len, hs)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in (hs, spots)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(signature, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), *lists], schema=schema)
+            least = np.array([s[0] if len(s) else 0 for s in sets], np.uint64)
+            columns = [np.arange(row, row + len(sets)), names[:, 0], names[:, 1], np.array([len(s) for s in sets], np.int64), common.signed(least), np.array([r for _, r in chosen], np.int32)]
+            row += len(sets)
+            lists = pa.ListArray.from_arrays(ends, pa.array(common.signed(np.concatenate(hs)), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), lists], schema=schema)
 
     return texts.mapInArrow(run, common.spark_type(schema))
 
 
-def _sets(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """sig, elements of the documents whose ids are in the bitmap; of a class at least once."""
-    schema = common.shape("sig long, elements binary")
-    maps = texts.sparkSession.sparkContext.broadcast(wanted)  # of bounded size
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings of shingles that several classes post. Rows of one shingle come one after the other, and none is held back longer
+    than until the second comes."""
+    schema = common.shape("h long, cid long, n long, spot int, least long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the last row so far, and whether it was given out
+        given, before = False, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            same = h[1:] == h[:-1]
+            joined = before is not None and h[0] == before
+            keep = np.zeros(len(h), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            keep[0] |= joined
+            if joined and not given:
+                yield last
+            before, last, given = h[-1], batch.slice(len(h) - 1), bool(keep[-1])
+            yield batch.filter(pa.array(keep))
+
+    return postings.repartition("h").sortWithinPartitions("h").mapInArrow(run, common.spark_type(schema))
+
+
+def _lists(documents: DataFrame, classes: DataFrame) -> DataFrame:
+    """h, cid, n, spot, least: the inverted lists of two classes or more, by entries."""
+    one = documents.join(classes.select(F.col("cid").alias("row")), "row", "left_semi")
+    posted = one.select(F.col("row").alias("cid"), "n", "least", "rare", F.posexplode("hs").alias("spot", "h"))
+    columns = ("h", "cid", "n", "spot", "least")
+    common_ones = posted.where("spot >= rare").select(*columns)  # lists of any length: never in one task
+    sizes = common_ones.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("h")
+    return _shared(posted.where("spot < rare").select(*columns)).unionByName(common_ones.join(sizes, "h", "left_semi"))
+
+
+def _on_enough(lists: DataFrame) -> DataFrame:
+    """The entries of classes that are on as many lists as a link needs."""
+    enough = lists.groupBy("cid", "n").agg(F.count(F.lit(1)).alias("on")).where(F.expr(f"on >= least({MATCHES}, (4 * n + 4) div 5)"))
+    return lists.join(enough.select("cid"), "cid", "left_semi")
+
+
+def _sets(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """cid, elements of the chosen classes (a, b, n, cid, doc), where doc is a document of each. Texts are chosen by their ids
+    before they are moved; those without an id by their sets."""
+    named = texts.where("doc_id is not null").join(chosen.select(F.col("doc").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    some = named if chosen.where("doc is null").isEmpty() else named.unionByName(texts.where("doc_id is null"))
+    schema = common.shape("a long, b long, n long, elements binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            ids = np.array(batch.column(0).fill_null(NO_ID))
-            part = batch.filter(pa.array(in_bitmap(maps.value, ids.view(np.uint64))))
-            sets = [s for s in shingle_sets(part) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(signature, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            sets = [s for s in shingle_sets(batch) if len(s)]
+            names = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
-    return texts.mapInArrow(run, common.spark_type(schema))
+    return some.mapInArrow(run, common.spark_type(schema)).join(chosen.select("a", "b", "n", "cid"), ["a", "b", "n"]).select("cid", "elements")
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """q, c: classes c that meet the first class q of lists on enough of those."""
+    first = lists.groupBy("h").agg(F.min(F.struct("cid", "n")).alias("q")).select("h", F.col("q.cid").alias("q"), F.col("q.n").alias("nq"))
+    met = lists.join(first, "h").where("cid <> q").groupBy("q", "nq", F.col("cid").alias("c"), F.col("n").alias("nc")).agg(F.count(F.lit(1)).alias("shared"))
+    return met.where(F.expr(f"5 * least(nq, nc) >= 4 * greatest(nq, nc) and shared >= {_ENOUGH}")).select("q", "c")
 
 
-def _pairs(lists: DataFrame) -> DataFrame:
-    """q, c: the pairs of classes that short lists leave. lists: h, sig, n, spot, size."""
-    schema = common.shape("q long, c long, nq long, nc long, shared long, q_spot long, c_spot long")
+def _in_groups(df: DataFrame, keys: tuple[str, ...], schema: pa.Schema, work) -> DataFrame:
+    """work(columns by name, as numpy) of each group of rows; groups are of bounded size. keys come first in df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
-        ready: list[np.ndarray] = []
-        size = 0
+        held: list[pa.RecordBatch] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if ready:
-                rows = np.concatenate(ready)
-                rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-                first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)))
-                count = np.diff(np.append(first, len(rows)))
-                spots = [np.maximum.reduceat(rows[:, k], first) for k in (4, 5)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*(rows[first, k] for k in range(4)), count, *spots)], schema=schema)
-            ready.clear()
-
-        def pairs(sig: np.ndarray, n: np.ndarray, spot: np.ndarray) -> np.ndarray:
-            r, s = np.triu_indices(len(sig), 1)
-            ok = (5 * np.minimum(n[r], n[s]) >= 4 * np.maximum(n[r], n[s])) & (sig[r] != sig[s])
-            r, s = r[ok], s[ok]
-            low = sig[r] < sig[s]
-            q, c = np.where(low, r, s), np.where(low, s, r)
-            return np.stack([sig[q], sig[c], n[q], n[c], spot[q], spot[c]], 1)
-
-        def whole(x: dict[str, np.ndarray], edges: list[int]) -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            for a, z in zip(edges[:-1], edges[1:], strict=True):
-                if z - a > 1:
-                    ready.append(pairs(x["sig"][a:z], x["n"][a:z], x["spot"][a:z]))
-                    size += len(ready[-1])
-            if size > 1_000_000:
-                yield from flush()
-                size = 0
+        def whole() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            rows = work({name: (t[name].combine_chunks() if pa.types.is_binary(t.schema.field(name).type) else t[name].to_numpy()) for name in t.column_names})
+            held.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            x = {f.name: batch.column(k).to_numpy(zero_copy_only=False) for k, f in enumerate(batch.schema)}
-            if rest is not None:
-                x = {k: np.concatenate([rest[k], v]) for k, v in x.items()}
-            if len(x["h"]):
-                edges = [0, *(np.flatnonzero(x["h"][1:] != x["h"][:-1]) + 1).tolist()]
-                yield from whole(x, edges)
-                rest = {k: v[edges[-1] :] for k, v in x.items()}
-        if rest is not None and len(rest["h"]):
-            yield from whole(rest, [0, len(rest["h"])])
-        yield from flush()
-
-    short = lists.where(F.col("size") <= SHORT).select("h", "sig", "n", "spot")
-    found = short.repartition("h").sortWithinPartitions("h").mapInArrow(run, common.spark_type(schema))
-    counted = found.groupBy("q", "c", "nq", "nc").agg(F.sum("shared").alias("shared"), F.max("q_spot").alias("q_spot"), F.max("c_spot").alias("c_spot"))
-    most = F.expr("shared + least(nq - q_spot, nc - c_spot) - 1")
-    return counted.where(F.expr(f"shared >= least({MATCHES}, (4 * greatest(nq, nc) + 4) div 5)") & (9 * most >= 4 * (F.col("nq") + F.col("nc")))).select("q", "c")
-
-
-def _links(pairs: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v: links of which the components are those of all links."""
-    # a group is (kind, a, i, j): a query q with a part of its candidates, or two blocks of a crowd
-    parts = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
-    kind = F.lit(0).alias("kind")
-    candidates = pairs.join(parts, "q").select(F.col("c").alias("sig"), kind, F.col("q").alias("a"), F.pmod(F.xxhash64("c"), "parts").cast("int").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"))
-    queries = parts.select(F.col("q").alias("sig"), kind, F.col("q").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
-    long = lists.where(F.col("size") > SHORT)
-    leaders = long.groupBy("h").agg(F.min("sig").alias("lead"))
-    members = common.staged(components(long.join(leaders, "h").select(F.col("sig").alias("u"), F.col("lead").alias("v"))), "crowds")
-    sized = members.join(long.groupBy("sig").agg(F.max("n").alias("n")), members["node"] == F.col("sig")).select("sig", "n", "component")
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
-    own = sized.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("sig"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    crowds = own.select("sig", F.lit(1).alias("kind"), F.col("component").alias("a"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    dealt = candidates.union(queries).union(crowds).join(sets, "sig").select("kind", "a", "i", "j", "side", "sig", "elements")
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(k).to_numpy() for k in range(len(keys))]
+            change = np.zeros(batch.num_rows, bool)
+            for k, c in enumerate(cols):
+                change[1:] |= c[1:] != c[:-1]
+                change[0] |= bool(held) and held[-1].column(k)[-1].as_py() != c[0]
+            cuts = [*np.flatnonzero(change).tolist(), batch.num_rows]
+            at = 0
+            for cut in cuts:
+                if cut > at:
+                    held.append(batch.slice(at, cut - at))
+                if cut < batch.num_rows and held:
+                    yield from whole()
+                at = cut
+        if held:
+            yield from whole()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, common.spark_type(schema))
+
+
+def _across(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """q, c: pairs of classes of different components that may link. comps: cid, comp, size of the classes that are linked."""
+    rank = F.struct("size", "comp")
+    entries = lists.join(comps, "cid", "left").withColumns({"comp": F.coalesce("comp", "cid"), "size": F.coalesce("size", F.lit(1).cast("long"))})
+    mixed = entries.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("h")
+    entries = common.staged(_on_enough(entries.join(mixed, "h", "left_semi")), "entries")
+    blocks = max(1, entries.count() // BLOCK_POSTINGS)
+    base = F.expr(f"(shiftrightunsigned(least, 40) * {blocks}L) div {1 << 24}L")
+    entries = entries.withColumn("base", base)
+    parts = entries.groupBy("base").agg(F.ceil(F.count(F.lit(1)) / BLOCK_POSTINGS).alias("parts"))  # copies of one text have one least hash
+    entries = entries.join(parts, "base").withColumn("block", F.expr("base * 1048576L + pmod(xxhash64(cid), parts)")).drop("base", "parts")
+    top = entries.groupBy("h").agg(F.max(rank).alias("top"))
+    heads = entries.groupBy("h", "block").agg(F.min(rank).alias("low")).join(top, "h").where("low < top").select("h", F.col("block").alias("to"), "low", "top")
+    dealt = entries.join(heads, "h").withColumns({"query": (F.col("block") == F.col("to")) & (rank < F.col("top")), "candidate": rank > F.col("low")}).where("query or candidate")
+    dealt = common.staged(dealt.select("to", "h", "cid", "n", "spot", "size", "comp", "query", "candidate"), "dealt")
+    groups = dealt.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / GROUP_ENTRIES).alias("groups"))
+    # a query goes to all groups of its block, a candidate to one
+    own = F.expr("pmod(xxhash64(cid), groups)")
+    dealt = dealt.join(groups, "to").withColumn("own", own).withColumn("group", F.explode(F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).otherwise(F.array("own"))))
+    dealt = dealt.select("to", "group", "h", "cid", "n", "spot", "size", "comp", "query", (F.col("candidate") & (F.col("own") == F.col("group"))).alias("candidate"))
+    schema = common.shape("q long, c long")
+    return _in_groups(dealt, ("to", "group"), schema, lambda x: Block(x | {"h": x["h"].view(np.uint64)}).pairs() if x["candidate"].any() else []).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v: the pairs that link. A group is a query with a part of its candidates."""
+    parts = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("parts"))
+    candidates = pairs.join(parts, "q").select("q", F.pmod(F.xxhash64("c"), "parts").alias("part"), F.col("c").alias("cid"))
+    queries = parts.select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("q").alias("cid"))
+    dealt = candidates.unionByName(queries).join(sets, "cid").select("q", "part", "cid", "elements")
     schema = common.shape("u long, v long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple | None = None
-        sides: tuple[dict[int, np.ndarray], dict[int, np.ndarray]] = ({}, {})
-
-        def search() -> Iterator[pa.RecordBatch]:
-            if group is not None:
-                first, second = list(sides[0].values()), list(sides[1].values())
-                names = [*sides[0], *sides[1]]
-                found = forest_links(first, None if group[0] == 1 and group[2] == group[3] else second) if first else []
-                yield pa.RecordBatch.from_arrays([pa.array([names[x[k]] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
-            sides[0].clear()
-            sides[1].clear()
-
-        for batch in batches:
-            for kind, a, i, j, side, sig, elements in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if (kind, a, i, j) != group:
-                    yield from search()
-                    group = (kind, a, i, j)
-                sides[side][sig] = np.frombuffer(elements, np.uint64)
-        yield from search()
+    def search(x: dict) -> list[tuple[int, int]]:
+        q, held = int(x["q"][0]), {}
+        for cid, elements in zip(x["cid"].tolist(), x["elements"], strict=True):
+            held[cid] = np.frombuffer(elements.as_buffer(), np.uint64)
+        query, names = held.pop(q), list(held)
+        return [(q, names[i]) for i in linked(query, list(held.values()))]
 
-    return dealt.repartition("kind", "a", "i", "j").sortWithinPartitions("kind", "a", "i", "j").mapInArrow(run, common.spark_type(schema))
+    return _in_groups(dealt, ("q", "part"), schema, search)
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of each row."""
     texts = _texts(df, id_col, text_col)
-    (frequent,) = bitmaps(common.staged(_frequent(texts), "shingles"), "h", ["frequent"])
-    (shared,) = bitmaps(common.staged(_census(texts, frequent), "shingles"), "h", ["shared"])
-    documents = common.staged(_postings(texts, shared, frequent), "documents")
-    classes = documents.groupBy("sig", "n").agg(F.min("doc_id").alias("least"))
-    posted = documents.select("sig", "n", F.explode(F.arrays_zip(F.col("hs").alias("h"), F.col("spots").alias("spot"))).alias("x")).select("x.h", "sig", "n", "x.spot")
-    posted = common.staged(posted.groupBy("h", "sig", "n").agg(F.first("spot").alias("spot")), "lists")
-    sizes = posted.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    lists = common.staged(posted.join(sizes, "h"), "lists")
-    enough = lists.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("on")).where(F.expr(f"on >= least({MATCHES}, (4 * n + 4) div 5)"))
-    chosen = common.staged(enough.join(classes, ["sig", "n"]).select("sig", F.coalesce("least", F.lit(NO_ID)).alias("id"), F.lit(True).alias("wanted")), "classes")
-    lists = lists.join(chosen.select("sig"), "sig", "left_semi")
-    sets = common.staged(_sets(texts, bitmaps(chosen, "id", ["wanted"])[0]), "sets")
-    pairs = common.staged(_pairs(lists), "pairs")
-    parts = components(_links(pairs, lists, sets))
-    named = classes.join(parts, classes["sig"] == parts["node"], "left").select("sig", "n", "least", F.coalesce("component", "sig").alias("component"), F.col("node").isNotNull().alias("linked"))
-    smallest = named.where("linked").groupBy("component").agg(F.min("least").alias("smallest"))
-    reached = common.staged(named.join(smallest, "component", "left").select("sig", "n", F.coalesce("smallest", "least").alias("component_id")), "classes")
-    out = documents.select("doc_id", "sig", "n").join(reached.where("n > 0"), ["sig", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    frequent = bitmap_of_most(common.staged(_frequent(texts), "shingles"), "h", "n", FREQUENT)
+    documents = common.staged(_documents(texts, frequent), "documents")
+    name = ["a", "b", "n"]
+    classes = documents.where("n > 0").groupBy(*name).agg(F.min("doc_id").alias("doc"), F.min("row").alias("cid"), F.count(F.lit(1)).alias("rows"))
+    classes = common.staged(classes, "classes")
+    lists = common.staged(_on_enough(common.staged(_lists(documents, classes), "lists")), "lists")
+    chosen = classes.join(lists.select("cid").distinct(), "cid", "left_semi")
+    sets = common.staged(_sets(texts, chosen), "sets")
+    near = common.staged(_verified(common.staged(_stars(lists), "pairs"), sets), "links")
+    comps = common.staged(components(near), "components")
+    sized = comps.join(comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("node").alias("cid"), F.col("component").alias("comp"), "size")
+    pairs = common.staged(_across(lists, sized), "pairs")
+    if not pairs.isEmpty():
+        far = _verified(pairs, sets)
+        comps = common.staged(components(far.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
+    named = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    reached = common.staged(named.join(smallest, "component").select(*name, "rows", "component_id"), "classes")
+    found = common.spread_join(documents.where("n > 0").select("doc_id", *name), reached, name, "rows")
+    alone = documents.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return found.select("doc_id", "n", "component_id").unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, with its columns, of one document of each component: that with the smallest id. Rows that share an id
-    stay together."""
+    stay together; of a component whose ids are all null, every row stays."""
+    (kept_id,) = common.new_names(df, "kept_id")
     found = join(df, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
-    return df.join(kept, df[id_col].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
+    return df.join(kept, df[id_col].cast("long").eqNullSafe(kept[kept_id]), "left_semi")
 
 
 SQL = r"""

@@ -1,19 +1,22 @@
-"""Substring dedup by an exact join with an index of every document's blocks, in place of a greedy relative Lempel-Ziv parse.
+"""Substring dedup by relative Lempel-Ziv parsing against an index of every document's blocks.
 
-Reference blocks are cut where the text says, not where documents do: each window of WINDOW words has an
-anchor, the least hash among its runs of GRAM words, and a block is a longest run of windows with one anchor. Equal
-texts are cut into equal blocks but for their edges. Blocks are joined with the index by hash; what the index
-has from an earlier document is copied whole. Where copies of a block begin or end differently (its anchor has several
-blocks), every window is joined instead. The words of all copied blocks and windows, united, are the duplicate spans; no
-longest factor is sought from left to right, as the verdict on a window depends on no other.
+Reference blocks are cut where the text says, not where documents do: each window of WINDOW words has an anchor, the least hash
+among its runs of GRAM words, and a block is a longest run of windows with one anchor. So equal passages are cut into equal
+blocks but for their edges, and a block can only hold windows of blocks with the same anchor: those are the blocks that it is
+factored against, wherever they lie.
 
-A window is a duplicate if its words also start earlier: in a document with a smaller doc_id, or earlier
-in the same one. Windows are judged on the input.
+* A block whose anchor has one content in all documents is one factor: it is copied whole from the earliest of them.
+* Blocks of other anchors come together in the order of their documents. Each is parsed from left to right: where a window stands in
+  the reference of earlier documents, the factor goes on from that place for as long as both agree, and the next factor
+  begins with the next window, which crosses the boundary and is looked up by itself; what is not found is a literal and
+  joins the reference. A factor of n windows copies n + WINDOW - 1 words, so every factor is long enough to count.
+* An anchor with more than HOT_BLOCKS blocks does not come to one task: its windows are joined one by one, with the same result.
 
-What is shuffled: a row for each block (about one for eight words) to find the anchors that several documents have, a row
-for each block or window of those, once to find the ones that several documents have and, of these only, once more to
-tell their documents, and the texts that lose words. Bitmaps of bounded size say which rows to make. Texts are read
-four times, which costs less than to keep what was made of them. Keys of blocks and windows have 96 bits.
+A document's factors and its own repeats, united, are its duplicate spans. A window is a duplicate if its words also start
+earlier: in a document with a smaller doc_id, or earlier in the same one. Windows are judged on the input.
+
+What is shuffled: a row for each block (about one for eight words), twice; the window hashes of blocks whose anchors vary; the texts,
+to make these hashes and to cut the spans. Windows are told apart by their hash and their anchor, 128 bits.
 
 Edge cases: null text and text without words have no words; texts of fewer than WINDOW words lose none;
 rows that share a doc_id are documents of their own, none earlier than the other; a null doc_id counts as larger than
@@ -28,20 +31,20 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import bitmaps, in_bitmap
 
 WINDOW, GRAM = 20, 5
+#: Blocks of one anchor that one task parses.
+HOT_BLOCKS = 20_000
 _LAST = (1 << 63) - 1
 
 
 class Parsed:
-    """The windows and blocks of a batch of texts. Window s is that of words s to s + WINDOW - 1 of the batch; `doc` is by window
-    in `of`, `valid` says which lie in one text. Blocks: windows first[b] to last[b], anchor[b], content[b]."""
+    """The windows and blocks of a batch of texts. Window s is that of words s to s + WINDOW - 1 of the batch; `of` tells the text
+    of each, `valid` whether it lies in one text. Blocks: windows first[b] to last[b], anchor[b], owner[b] (the text)."""
 
     def __init__(self, batch: pa.RecordBatch, text: int) -> None:
         data, offsets = common.text_bytes(batch.column(text))
@@ -64,13 +67,14 @@ class Parsed:
         b = np.flatnonzero(new)
         self.first, self.last = spot[b], spot[np.append(b[1:], len(spot)) - 1] if len(spot) else spot
         self.anchor, self.owner = a[b], d[b]
-        self.content = common.span_hashes(self.h, self.first, self.last + WINDOW)
-        self.text = common.span_hashes(self.h, self.at[:-1], self.at[1:])  # a name for each text's words
 
     def windows(self) -> np.ndarray:
         """The hash of each window."""
-        n = len(self.valid)
-        return common.span_hashes(self.h, np.arange(n), np.arange(n) + WINDOW)
+        return common.runs(self.h, WINDOW)
+
+    def contents(self) -> np.ndarray:
+        """The hash of each block's words."""
+        return common.span_hashes(self.h, self.first, self.last + WINDOW)
 
     def repeats(self, hashes: np.ndarray) -> np.ndarray:
         """The windows whose words start earlier in the same text, in order. Close repeats are compared directly. Others have
@@ -93,6 +97,42 @@ class Parsed:
         return np.flatnonzero(near)
 
 
+class Reference:
+    """The windows of one anchor's blocks that were seen so far, and the parse of a block against them."""
+
+    def __init__(self) -> None:
+        self.windows: list[int] = []
+        self.doc: list[int] = []  # the document of each
+        self.at: dict[int, int] = {}  # the first place of a window
+
+    def factors(self, block: list[int], doc: int) -> list[tuple[int, int, int]]:
+        """(first window, windows, document copied from) of each factor of a block, whose document is no earlier than those before.
+        What is new is added."""
+        out, i, n = [], 0, len(block)
+        windows, docs, at = self.windows, self.doc, self.at
+        fresh: list[int] = []
+        while i < n:
+            p = at.get(block[i])
+            if p is None:
+                fresh.append(block[i])
+                i += 1
+                continue
+            if docs[p] >= doc:  # of the same document
+                i += 1
+                continue
+            k, source = 1, docs[p]
+            while i + k < n and p + k < len(windows) and docs[p + k] == source and windows[p + k] == block[i + k]:
+                k += 1
+            out.append((i, k, source))
+            i += k
+        for w in fresh:
+            if w not in at:
+                at[w] = len(windows)
+                windows.append(w)
+                docs.append(doc)
+        return out
+
+
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ..., of length[0]; then those of start[1]; ..."""
     if not len(start):
@@ -109,14 +149,18 @@ def _covered(n: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
+def _spans(mask: np.ndarray) -> list[int]:
+    """First word and number of words of each run, in turn."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist(), strict=True))
+    return np.stack([edge[::2], edge[1::2] - edge[::2]], 1).ravel().tolist()
 
 
-def _row(text: bytes, mask: np.ndarray) -> tuple[int, int, str]:
-    kept = b" ".join(compress(text.split(), (~mask).tolist())) if mask.any() else b" ".join(text.split())
-    return len(mask), int(mask.sum()), hashlib.sha256(kept).hexdigest()
+def _row(text: bytes, n: int, first: np.ndarray, count: np.ndarray) -> tuple[int, int, str, list[int]]:
+    if not len(first):
+        return n, 0, hashlib.sha256(b" ".join(text.split())).hexdigest(), []
+    mask = _covered(n, first, count)
+    kept = b" ".join(compress(text.split(), (~mask).tolist()))
+    return n, int(mask.sum()), hashlib.sha256(kept).hexdigest(), _spans(mask)
 
 
 def _raw(batch: pa.RecordBatch, text: int) -> list[bytes]:
@@ -125,109 +169,101 @@ def _raw(batch: pa.RecordBatch, text: int) -> list[bytes]:
     return [whole[a:z] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def _anchors(texts: DataFrame) -> DataFrame:
-    """anchor, shared (several documents have it), varied (in several blocks)."""
-    schema = common.shape("anchor long, content long, d long")
+def _blocks(texts: DataFrame) -> DataFrame:
+    """A row for each block: anchor, content, d, t (the document), first, count (its windows)."""
+    schema = common.shape("anchor long, content long, d long, t long, first int, count int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            p = Parsed(batch, 1)
-            d = np.array(batch.column(0).fill_null(_LAST))[p.owner]
-            yield pa.RecordBatch.from_arrays([pa.array(common.signed(p.anchor)), pa.array(common.signed(p.content)), pa.array(d)], schema=schema)
+        for batch in common.slices(batches, 3):
+            p = Parsed(batch, 3)
+            d, t = (batch.column(k).to_numpy()[p.owner] for k in (1, 2))
+            columns = (common.signed(p.anchor), common.signed(p.contents()), d, t, (p.first - p.at[p.owner]).astype(np.int32), (p.last - p.first + 1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
 
-    found = texts.mapInArrow(run, common.spark_type(schema)).groupBy("anchor").agg(F.min("content").alias("a"), F.max("content").alias("z"), F.min("d").alias("low"), F.max("d").alias("high")).where("low < high")
-    return found.select("anchor", F.lit(True).alias("shared"), (F.col("a") != F.col("z")).alias("varied"))
+    return texts.mapInArrow(run, common.spark_type(schema))
 
 
-def _units(texts: DataFrame, shared: np.ndarray, varied: np.ndarray, indexed: np.ndarray | None = None) -> DataFrame:
-    """A row for each block whose anchor several documents have, or for each of its windows if the anchor has several blocks: d, t
-    (the document), a, u (the key), first, count (its windows). indexed: of the keys to return, by a."""
-    schema = common.shape("d long, t long, a long, u int, first int, count int")
-    maps = texts.sparkSession.sparkContext.broadcast((shared, varied, indexed))  # of bounded size
+def _opened(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """anchor, d, t, first, hot and the window hashes of the blocks asked for: d, t, blocks (anchor, first, count, hot)."""
+    schema = common.shape("anchor long, d long, t long, first int, hot boolean, windows longs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_shared, is_varied, is_indexed = maps.value
-        for batch in common.slices(batches):
-            p = Parsed(batch, 1)
-            blocks = np.flatnonzero(in_bitmap(is_shared, p.anchor))
-            vary = in_bitmap(is_varied, p.anchor[blocks])
-            whole, cut = blocks[~vary], blocks[vary]
-            size = p.last[cut] - p.first[cut] + 1
-            single = _ranges(p.first[cut], size)
-            anchor = np.concatenate([p.anchor[whole], np.repeat(p.anchor[cut], size)])
-            content = np.concatenate([p.content[whole], common.span_hashes(p.h, single, single + WINDOW)])
-            first = np.concatenate([p.first[whole], single])
-            count = np.concatenate([p.last[whole] - p.first[whole] + 1, np.ones(len(single), np.int64)])
-            owner = np.concatenate([p.owner[whole], np.repeat(p.owner[cut], size)])
-            key = common.mix(anchor * np.uint64(3) + content)
-            if is_indexed is not None:
-                keep = np.flatnonzero(in_bitmap(is_indexed, key))
-                key, content, first, count, owner = key[keep], content[keep], first[keep], count[keep], owner[keep]
-            d = np.array(batch.column(0).fill_null(_LAST))[owner]
-            columns = (d, common.signed(p.text)[owner], common.signed(key), (content >> np.uint64(32)).astype(np.uint32).view(np.int32), (first - p.at[owner]).astype(np.int32), count.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
+        for batch in common.slices(batches, 3):
+            p, lists = Parsed(batch, 3), batch.column(4)
+            blocks, sizes = lists.flatten(), np.diff(np.array(lists.offsets))
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            anchor, first, count, hot = (blocks.field(k) for k in ("anchor", "first", "count", "hot"))
+            at = p.at[owner] + np.array(first)
+            windows = p.windows()[_ranges(at, np.array(count, np.int64))]
+            ends = pa.array(np.append(0, np.cumsum(np.array(count, np.int64))), pa.int32())
+            d, t = (pa.array(batch.column(k).to_numpy()[owner]) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([anchor, d, t, first, hot, pa.ListArray.from_arrays(ends, pa.array(common.signed(windows)))], schema=schema)
 
-    return texts.mapInArrow(run, common.spark_type(schema))
+    return texts.join(asked, ["d", "t"]).select("doc_id", "d", "t", "text", "blocks").mapInArrow(run, common.spark_type(schema))
 
 
-def _opened(texts: DataFrame, losing: np.ndarray) -> DataFrame:
-    """A row for each document: doc_id, d, t; its text, if it may lose words to others, or else its result."""
-    schema = common.shape("doc_id long, d long, t long, text string, n_words long, n_removed long, kept_sha256 string, removed longs")
-    maps = texts.sparkSession.sparkContext.broadcast(losing)  # of bounded size
+def _parsed(blocks: DataFrame) -> DataFrame:
+    """d, t, first, count of the factors of blocks, anchor by anchor."""
+    schema = common.shape("d long, t long, first int, count int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            p, raw = Parsed(batch, 1), _raw(batch, 1)
-            open_ = in_bitmap(maps.value, p.text)
-            again = p.repeats(p.windows())
-            local = np.searchsorted(p.of[again], np.arange(batch.num_rows + 1))
+        now, reference = None, Reference()
+        for batch in batches:
+            anchors, d, t, first = (batch.column(k).to_pylist() for k in range(4))
             out = []
-            for i, text in enumerate(raw):
-                mine = again[local[i] : local[i + 1]] - p.at[i]
-                out.append((text.decode(), None, None, None, None) if open_[i] else (None, *_result(text, int(p.at[i + 1] - p.at[i]), mine, np.ones(len(mine), np.int64))))
-            d = batch.column(0).fill_null(_LAST)
-            yield pa.RecordBatch.from_arrays([batch.column(0), d, pa.array(common.signed(p.text)), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[3:], strict=True))], schema=schema)
+            for i, windows in enumerate(batch.column(4).to_pylist()):
+                if anchors[i] != now:
+                    now, reference = anchors[i], Reference()
+                out += [(d[i], t[i], first[i] + at, n) for at, n, _ in reference.factors(windows, d[i])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(run, common.spark_type(schema))
+    ordered = blocks.select("anchor", "d", "t", "first", "windows").repartition("anchor").sortWithinPartitions("anchor", "d", "t", "first")
+    return ordered.mapInArrow(run, common.spark_type(schema))
 
 
-def _result(text: bytes, n: int, first: np.ndarray, count: np.ndarray) -> tuple[int, int, str, list[int]]:
-    mask = _covered(n, first, count) if len(first) else np.zeros(n, bool)
-    return (*_row(text, mask), [x for span in _spans(mask) for x in span])
+def _joined(blocks: DataFrame) -> DataFrame:
+    """The same by single windows, for anchors of any number of blocks."""
+    each = blocks.select("anchor", "d", "t", "first", F.posexplode("windows").alias("at", "w"))
+    low = each.groupBy("anchor", "w").agg(F.min("d").alias("low"))
+    return each.join(low, ["anchor", "w"]).where("d > low").select("d", "t", (F.col("first") + F.col("at")).alias("first"), F.lit(1).alias("count"))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space) and removed (first word and
-    number of words of each duplicate span, in turn) of each row."""
-    common.small_batches(df.sparkSession)
-    texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    shared, varied = bitmaps(common.staged(_anchors(texts), "anchors"), "anchor", ["shared", "varied"])
-    index = _units(texts, shared, varied).groupBy("a", "u").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high")
-    index = common.staged(index.select("a", "u", "low", F.lit(True).alias("indexed")), "index")
-    units = _units(texts, shared, varied, bitmaps(index, "a", ["indexed"])[0])
-    copied = units.join(index, ["a", "u"]).where("d > low").groupBy("d", "t").agg(F.collect_list(F.struct("first", "count")).alias("x"))
-    copied = common.staged(copied.select("d", "t", F.col("x.first").alias("first"), F.col("x.count").alias("count"), F.lit(True).alias("losing")), "copies")
-    rows = _opened(texts, bitmaps(copied, "t", ["losing"])[0]).join(copied.drop("losing"), ["d", "t"], "left").select("doc_id", "text", "first", "count", "n_words", "n_removed", "kept_sha256", "removed")
+def _cut(texts: DataFrame, copied: DataFrame) -> DataFrame:
+    """The result of each document. copied: d, t and the arrays first, count of its factors."""
     schema = common.shape("doc_id long, n_words long, n_removed long, kept_sha256 string, removed longs")
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            is_open = batch.column(1).is_valid()
-            done = batch.filter(pa.compute.invert(is_open))
-            yield pa.RecordBatch.from_arrays([done.column(k) for k in (0, 4, 5, 6, 7)], schema=schema)
-            part = batch.filter(is_open)
-            if not part.num_rows:
-                continue
-            p, out = Parsed(part, 1), []
+            p, out = Parsed(batch, 1), []
             again = p.repeats(p.windows())
-            local = np.searchsorted(p.of[again], np.arange(part.num_rows + 1))
-            for i, (text, first, count) in enumerate(zip(_raw(part, 1), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+            local = np.searchsorted(p.of[again], np.arange(batch.num_rows + 1))
+            for i, (text, first, count) in enumerate(zip(_raw(batch, 1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 mine = again[local[i] : local[i + 1]] - p.at[i]
                 runs = np.concatenate([mine, np.array(first or [], np.int64)]), np.concatenate([np.ones(len(mine), np.int64), np.array(count or [], np.int64)])
-                out.append(_result(text, int(p.at[i + 1] - p.at[i]), *runs))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))], schema=schema)
+                out.append(_row(text, int(p.at[i + 1] - p.at[i]), *runs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(schema)[1:], strict=True))], schema=schema)
+
+    return texts.join(copied, ["d", "t"], "left").select("doc_id", "text", "first", "count").mapInArrow(run, common.spark_type(schema))
 
-    return rows.mapInArrow(parse, common.spark_type(schema))
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space) and removed (first word and
+    number of words of each duplicate span, in turn) of each row."""
+    common.small_batches(df.sparkSession)
+    id_, text = df[id_col].cast("long"), df[text_col]
+    # a document is its id and a hash of its text: rows that agree in both have one result
+    texts = df.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(_LAST)).alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), text.alias("text"))
+    blocks = common.staged(_blocks(texts), "blocks")
+    anchors = blocks.groupBy("anchor").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.min("content").alias("a"), F.max("content").alias("z"), F.count(F.lit(1)).alias("blocks"))
+    anchors = anchors.where("low < high").select("anchor", "low", (F.col("a") != F.col("z")).alias("varied"), (F.col("blocks") > HOT_BLOCKS).alias("hot"))
+    shared = common.staged(blocks.join(anchors, "anchor").where("varied or d > low").select("anchor", "d", "t", "first", "count", "varied", "hot"), "shared")
+    asked = shared.where("varied").distinct().groupBy("d", "t").agg(F.collect_list(F.struct("anchor", "first", "count", "hot")).alias("blocks"))
+    opened = common.staged(_opened(texts, asked), "opened")
+    whole = shared.where("not varied").select("d", "t", "first", "count")
+    factors = whole.unionByName(_parsed(opened.where("not hot"))).unionByName(_joined(opened.where("hot"))).distinct()
+    copied = factors.groupBy("d", "t").agg(F.collect_list(F.struct("first", "count")).alias("x")).select("d", "t", F.col("x.first").alias("first"), F.col("x.count").alias("count"))
+    return _cut(texts, copied)
 
 
 SQL = """

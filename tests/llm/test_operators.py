@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigmaloom.llm import bpe, exact_dedup, jaccard, langid, media, packing, quality, secrets, substring, url_filter
+from sigmaloom.llm import bpe, common, exact_dedup, jaccard, langid, media, packing, quality, secrets, substring, url_filter
 from sigmaloom.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, n long, row long, sig long, text_sha256 string, d long"
@@ -177,6 +177,68 @@ def test_substrings(spark, corpus):
     assert [r["n_removed"] for r in substring.dedup(table(spark, [*same, (None, same[0][1])])).orderBy("doc_id").collect()] == [40, 0, 0]
 
 
+def passages(rng):
+    """Texts of shifted and nested copies of a few passages, which start and end at any word, some twice in one text."""
+    source = [words(rng, 120, 5000) for _ in range(6)]
+    rows = []
+    for k in range(160):
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            s = rng.choice(source)
+            a = rng.randrange(90)
+            w += [*s[a : a + rng.randint(10, 60)], *words(rng, rng.randint(0, 6), 5000)]
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_shifted_and_nested_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT_BLOCKS", hot)
+    rows = passages(random.Random(31))
+    got = substring.dedup(table(spark, rows)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == removed_by_brute_force(rows)
+    for r in got:
+        assert sum(r["removed"][1::2]) == r["n_removed"] and all(n >= 20 for n in r["removed"][1::2])
+
+
+def test_factors_are_copies():
+    """Each factor is a run of windows of one earlier document, and no window of a literal has been seen earlier."""
+    rng = random.Random(8)
+    reference, seen = substring.Reference(), []
+    for doc in range(60):
+        block = [rng.randrange(12) for _ in range(rng.randint(1, 20))]
+        factors = reference.factors(block, doc)
+        covered = set()
+        for at, n, source in factors:
+            assert source < doc and any(i == source and b[k : k + n] == block[at : at + n] for i, b in seen for k in range(len(b))) or n > 1
+            covered |= set(range(at, at + n))
+        known = {w for _, b in seen for w in b}
+        assert covered == {k for k, w in enumerate(block) if w in known}
+        seen.append((doc, block))
+
+
+def dealt_by_parity(n, swap=False):
+    """A word whose letters follow the parity of their place's bits, at which hashes by powers of an odd number collide."""
+    return "".join("ab"[(k.bit_count() & 1) ^ swap] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_dealt_by_parity_differ(spark, n):
+    one, two = dealt_by_parity(n), dealt_by_parity(n, True)
+    tail = " ".join(f"t{k}" for k in range(30))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, one), (4, two)]
+    assert {r["doc_id"]: r["n_removed"] for r in substring.dedup(table(spark, rows)).collect()} == {1: 0, 2: 30, 3: 0, 4: 0}
+    w = [dealt_by_parity(8), dealt_by_parity(8, True)]
+    texts = [(k, " ".join(w[(i.bit_count() & 1) ^ swap] for i in range(n))) for k, swap in ((5, 0), (6, 1))]
+    assert component_ids(table(spark, rows[2:] + texts)) == linked_by_brute_force(rows[2:] + texts)
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    pieces = packing.pack_documents(table(spark, rows[2:]), path, width=1 << 14).collect()
+    assert {p["doc_id"]: p["ids_crc32"] for p in pieces} == {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows[2:]}
+
+
 # --- 5: BPE --------------------------------------------------------------------------------------------------------------
 
 
@@ -254,26 +316,70 @@ def test_exact(spark, corpus):
     assert sorted(r["doc_id"] for r in unique.collect()) == [1, 2] and unique.columns == table(spark, []).columns
 
 
+def batch_of(spark, rows):
+    return exact_dedup.digests(table(spark, rows))
+
+
 def test_index_persists(spark):
     index = exact_dedup.DigestIndex(spark, "test_index")
-    digests = lambda rows: table(spark, rows).select("doc_id", exact_dedup.digest(F.col("text")).alias("text_sha256"))
-    index.add(digests([(1, "a"), (2, "b")])).collect()
-    second = {r["doc_id"]: r for r in index.add(digests([(5, "A"), (6, "c"), (7, "c")])).collect()}
+    index.add(batch_of(spark, [(1, "a"), (2, "b")])).collect()
+    second = {r["doc_id"]: r for r in index.add(batch_of(spark, [(5, "A"), (6, "c"), (7, "c")])).collect()}
     assert not second[5]["kept"] and second[5]["keep_id"] == 1 and second[5]["group_size"] == 2 and second[7]["kept"] and not second[6]["kept"]
     assert index.read().count() == 3
     index.drop()
 
 
+def answers(df):
+    return sorted(map(tuple, df.select("doc_id", "keep_id", "group_size", "kept").collect()), key=repr)
+
+
+def test_later_copies_are_counted_and_batches_may_be_repeated(spark):
+    index = exact_dedup.DigestIndex(spark, "test_three", buckets=3)
+    batches = {"one": [(1, "a"), (2, "b")], "two": [(3, "A"), (4, "c"), (None, "d")], "three": [(0, "a"), (5, "C"), (9, "a")]}
+    first = {name: answers(index.add(batch_of(spark, rows), name)) for name, rows in batches.items()}
+    assert first == {"one": [(1, 1, 1, True), (2, 2, 1, True)], "two": [(3, 1, 2, False), (4, 4, 1, True), (None, None, 1, True)], "three": [(0, 1, 4, False), (5, 4, 2, False), (9, 1, 4, False)]}
+    for name, rows in reversed(batches.items()):
+        assert answers(index.add(batch_of(spark, rows), name)) == first[name]
+    assert sorted(tuple(r)[1:] for r in index.read().collect() if r["keep_id"]) == [(1, 4), (2, 1), (4, 2)] and index.rows().count() == 7
+    index.drop()
+
+
+def test_a_batch_that_failed_in_its_append(spark):
+    index = exact_dedup.DigestIndex(spark, "test_failure")
+    index.add(batch_of(spark, [(1, "a")]), "one").collect()
+    append, calls = index.append, []
+
+    def half(rows):
+        calls.append(1)
+        append(rows.where("group_size = 1"))  # the rows that came before the failure
+        raise OSError("lost")
+
+    index.append = half
+    rows = [(2, "a"), (3, "b"), (4, "c"), (5, "c")]
+    with pytest.raises(OSError):
+        index.add(batch_of(spark, rows), "two")
+    index.append = append
+    assert calls == [1] and index.rows().count() == 2
+    assert answers(index.add(batch_of(spark, rows), "two")) == [(2, 1, 2, False), (3, 3, 1, True), (4, 5, 2, False), (5, 5, 2, True)] and index.rows().count() == 4
+    index.drop()
+
+
+def test_a_hot_text(spark, monkeypatch):
+    rows = [(k if k % 3 else None, "Hot" if k % 2 else "hot") for k in range(900)] + [(1000 + k, f"t{k}") for k in range(30)]
+    monkeypatch.setattr(common, "HOT", 10)
+    got = exact_dedup.dedup(table(spark, rows)).collect()
+    assert len(got) == 930 and sum(r["kept"] for r in got) == 31 and {(r["keep_id"], r["group_size"]) for r in got if r["group_size"] > 1} == {(899, 900)}
+
+
 def test_every_batch_is_anti_joined(spark):
     index, plans = exact_dedup.DigestIndex(spark, "test_anti_join"), []
     append = index.append
     index.append = lambda rows: (plans.append(rows._jdf.queryExecution().analyzed().toString()), append(rows))
-    docs = table(spark, [(1, "a"), (2, "A"), (3, "b")]).select("doc_id", exact_dedup.digest(F.col("text")).alias("text_sha256"))
     for known in (False, True):
         plans.clear()
-        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in index.add(docs).collect()}
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in index.add(batch_of(spark, [(1, "a"), (2, "A"), (3, "b")])).collect()}
         assert got == ({1: (2, 4, False), 2: (2, 4, False), 3: (3, 2, False)} if known else {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)})
-        assert "LeftAnti" in plans[-1] and index.read().count() == 2
+        assert any("LeftAnti" in p for p in plans) and index.read().count() == 2
     index.drop()
 
 
@@ -310,22 +416,64 @@ def test_jaccard(spark, corpus):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, c in linked_by_brute_force(corpus).values()}
 
 
-def test_a_crowd_of_near_copies(spark):
-    """More classes on one list than a short list has, in several blocks."""
+def component_ids(df):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()}
+
+
+def edited(rng, base, edits, k):
+    w = list(base)
+    for _ in range(edits):
+        w[rng.randrange(len(w))] = f"e{k}_{rng.randrange(99)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_a_crowd_of_near_copies(spark, monkeypatch, split):
+    """Near copies of one text, farther and nearer ones; in one block, or in many groups of a few entries."""
     rng = random.Random(9)
     base = words(rng, 120)
-    rows = []
-    for k in range(150):
-        w = list(base)
-        for _ in range(rng.choice([1, 2, 6])):
-            w[rng.randrange(120)] = f"e{k}_{rng.randrange(99)}"
-        rows.append((k, " ".join(w)))
-    old, jaccard.BLOCK_ELEMENTS = jaccard.BLOCK_ELEMENTS, 4000
-    try:
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(table(spark, rows)).collect()}
-    finally:
-        jaccard.BLOCK_ELEMENTS = old
-    assert got == linked_by_brute_force(rows)
+    rows = [(k, edited(rng, base, rng.choice([1, 2, 6, 9]), k)) for k in range(150)]
+    if split:
+        monkeypatch.setattr(jaccard, "BLOCK_POSTINGS", 300)
+        monkeypatch.setattr(jaccard, "GROUP_ENTRIES", 500)
+        monkeypatch.setattr(jaccard, "QUERY_BLOCK", 3)
+    assert component_ids(table(spark, rows)) == linked_by_brute_force(rows)
+
+
+def test_many_documents_of_one_template(spark):
+    """5000 documents that share most of their shingles, of which no two link but the planted ones; none is a pair's worth of work
+    for all others."""
+    rng = random.Random(21)
+    template = words(rng, 60, 9000)
+    rows = [(k, " ".join([*template, *words(rng, 30, 90_000)])) for k in range(5000)]
+    for k in range(0, 400, 4):
+        rows.append((10_000 + k, rows[k][1] + " tail"))
+    got = component_ids(table(spark, rows))
+    assert all(got[k][1] == k for k in range(5000)) and all(got[10_000 + k][1] == k for k in range(0, 400, 4))
+
+
+def test_chains_across_components(spark):
+    """Links that no first class of a list has: texts that drift, so that only neighbours link, in shuffled ids."""
+    rng = random.Random(5)
+    rows, ids = [], list(range(300))
+    rng.shuffle(ids)
+    for chain in range(5):
+        w = words(rng, 150, 5000)
+        for k in range(60):
+            rows.append((ids.pop(), " ".join(w)))
+            for _ in range(2):
+                w[rng.randrange(150)] = f"d{chain}_{k}"
+    assert component_ids(table(spark, rows)) == linked_by_brute_force(rows)
+
+
+def test_links_of_small_sets_and_null_ids(spark):
+    rng = random.Random(3)
+    base = [words(rng, rng.randint(1, 16), 12) for _ in range(150)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(base)] + [(500 + k, " ".join([*w, rng.choice("xyz")])) for k, w in enumerate(base)]
+    assert component_ids(table(spark, rows)) == linked_by_brute_force(rows)
+    long = " ".join(words(rng, 60))
+    got = sorted(map(tuple, jaccard.join(table(spark, [(None, long), (None, long), (None, long + " x"), (7, long + " y"), (None, None)])).collect()), key=repr)
+    assert got == sorted([(None, 56, 7), (None, 56, 7), (None, 57, 7), (7, 57, 7), (None, 0, None)], key=repr)
 
 
 def test_cut_copies_that_share_frequent_passages(spark):
@@ -347,7 +495,12 @@ def test_divide_skip_finds_what_counting_finds():
         sets = [np.unique(np.concatenate([base[: rng.integers(60, 100)], rng.integers(1000, 2000, rng.integers(1, 40)).astype(np.uint64)])) for _ in range(40)]
         query = np.sort(base)
         want = [k for k, s in enumerate(sets) if jaccard.links(100, len(s), len(np.intersect1d(query, s)))]
-        assert jaccard.InvertedLists(sets).search(query).tolist() == want
+        assert sorted(jaccard.linked(query, sets)) == want
+    for least in (1, 2, 3, 8):
+        lists = [np.unique(rng.integers(0, 60, rng.integers(0, 200))) for _ in range(12)]
+        count = np.bincount(np.concatenate(lists), minlength=60)
+        found, shared = jaccard.divide_skip(lists, least)
+        assert dict(zip(found.tolist(), shared.tolist(), strict=True)) == {k: c for k, c in enumerate(count.tolist()) if c >= least}
 
 
 # --- 9: packing ------------------------------------------------------------------------------------------------------------
