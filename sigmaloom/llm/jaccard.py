@@ -287,20 +287,40 @@ def _on_enough(lists: DataFrame) -> DataFrame:
     return lists.join(enough.select("cid"), "cid", "left_semi")
 
 
-def _sets(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """cid, elements of the chosen classes (a, b, n, cid, doc), where doc is a document of each. Texts are chosen by their ids
-    before they are moved; those without an id by their sets."""
-    named = texts.where("doc_id is not null").join(chosen.select(F.col("doc").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    some = named if chosen.where("doc is null").isEmpty() else named.unionByName(texts.where("doc_id is null"))
-    schema = common.shape("a long, b long, n long, elements binary")
+def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """q, part, cid, elements of the classes wanted (cid, a, b, n, doc, groups), where doc is a document of each and groups are the (q, part)
+    to send it to. A text is told by its id, and its set by its name; texts without an id by the name alone."""
+    schema = common.shape("q long, part long, cid long, elements binary")
+    named = texts.where("doc_id is not null").join(wanted.where("doc is not null").withColumnRenamed("doc", "doc_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            sets = shingle_sets(batch)
+            names = zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
+            rows = [i for i, (s, name) in enumerate(zip(sets, names, strict=True)) if (*signature(s), len(s)) == name]
+            part = batch.take(pa.array(rows, pa.int64()))
+            groups = part.column(6)
+            owner = np.repeat(np.arange(len(rows)), np.diff(np.array(groups.offsets)))
+            flat, cid = groups.flatten(), part.column(5).to_numpy()
+            for lo in range(0, len(owner), 64):  # a batch of some sets at once
+                some = owner[lo : lo + 64]
+                elements = pa.array([sets[rows[i]].tobytes() for i in some.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([flat.field("q")[lo : lo + 64], flat.field("part")[lo : lo + 64], pa.array(cid[some]), elements], schema=schema)
+
+    out = named.select("doc_id", "text", "a", "b", "n", "cid", "groups").mapInArrow(run, common.spark_type(schema))
+    nameless = wanted.where("doc is null")
+    if nameless.isEmpty():
+        return out
+    all_sets = common.shape("a long, b long, n long, elements binary")
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             sets = [s for s in shingle_sets(batch) if len(s)]
             names = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=all_sets)
 
-    return some.mapInArrow(run, common.spark_type(schema)).join(chosen.select("a", "b", "n", "cid"), ["a", "b", "n"]).select("cid", "elements")
+    found = texts.where("doc_id is null").mapInArrow(run_all, common.spark_type(all_sets)).join(nameless, ["a", "b", "n"])
+    return out.unionByName(found.select(F.explode("groups").alias("g"), "cid", "elements").select("g.q", "g.part", "cid", "elements"))
 
 
 def _stars(lists: DataFrame) -> DataFrame:
@@ -369,12 +389,13 @@ def _across(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return _in_groups(dealt, ("to", "group"), schema, lambda x: Block(x | {"h": x["h"].view(np.uint64)}).pairs() if x["candidate"].any() else []).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """u, v: the pairs that link. A group is a query with a part of its candidates."""
     parts = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("parts"))
     candidates = pairs.join(parts, "q").select("q", F.pmod(F.xxhash64("c"), "parts").alias("part"), F.col("c").alias("cid"))
     queries = parts.select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("q").alias("cid"))
-    dealt = candidates.unionByName(queries).join(sets, "cid").select("q", "part", "cid", "elements")
+    wanted = candidates.unionByName(queries).groupBy("cid").agg(F.collect_list(F.struct("q", "part")).alias("groups")).join(classes.select("cid", "a", "b", "n", "doc"), "cid")
+    dealt = _sets(texts, wanted)
     schema = common.shape("u long, v long")
 
     def search(x: dict) -> list[tuple[int, int]]:
@@ -395,15 +416,13 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     name = ["a", "b", "n"]
     classes = documents.where("n > 0").groupBy(*name).agg(F.min("doc_id").alias("doc"), F.min("row").alias("cid"), F.count(F.lit(1)).alias("rows"))
     classes = common.staged(classes, "classes")
-    lists = common.staged(_on_enough(common.staged(_lists(documents, classes), "lists")), "lists")
-    chosen = classes.join(lists.select("cid").distinct(), "cid", "left_semi")
-    sets = common.staged(_sets(texts, chosen), "sets")
-    near = common.staged(_verified(common.staged(_stars(lists), "pairs"), sets), "links")
+    lists = common.staged(_lists(documents, classes), "lists")
+    near = common.staged(_verified(common.staged(_stars(lists), "pairs"), texts, classes), "links")
     comps = common.staged(components(near), "components")
     sized = comps.join(comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("node").alias("cid"), F.col("component").alias("comp"), "size")
     pairs = common.staged(_across(lists, sized), "pairs")
     if not pairs.isEmpty():
-        far = _verified(pairs, sets)
+        far = _verified(pairs, texts, classes)
         comps = common.staged(components(far.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
     named = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
