@@ -2,13 +2,17 @@
 
 Base spans are the leftmost non-overlapping matches of each kind, kept if long enough. Beyond them, every
 value that stands in a credential context gets the least number of guesses that a dynamic programme
-finds over segmentations into words, dates, repeats, keyboard walks and brute-force spans; a value
+finds over segmentations into words, dates, repeats, sequences, keyboard walks and brute-force spans; a value
 that costs GUESS_LOG10 decimal digits of guesses or more becomes a span of kind `guess`, unless a base
 span covers a part of it.
 
-Edge cases: null and empty text have no spans; texts and values are read whole, whatever their length;
-offsets count code points; repeated rows give repeated rows; a null doc_id stays null; other columns
-are not read; an empty table gives an empty table.
+Words are priced by their rank among the MOST_WORDS most frequent ones of the corpus, counted over all texts, and in a short list of
+common passwords. A run of letters that is in neither but reads like a word is priced as one of 10^UNLISTED words. So prose after
+`token:` is no secret.
+
+Edge cases: null and empty text have no spans; texts and values are read whole, whatever their length, and a value takes memory for
+the states whose cost is still below the threshold only; offsets count code points; repeated rows give repeated rows; a null
+doc_id stays null; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,10 +20,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -38,6 +45,9 @@ CONTEXT = re.compile(
 _JOINT = re.compile(r"[:=]|\x20(?:is|was)\x20", re.I | re.A)
 #: Decimal digits of guesses from which a value counts as a secret.
 GUESS_LOG10 = 10.0
+#: Words of the corpus that are priced by rank; how often each is seen, as a value that stands here or there is no word; the longest of
+#: them; and decimal digits of the number of words beyond.
+MOST_WORDS, LEAST_SEEN, LONGEST_WORD, UNLISTED = 50_000, 5, 30, 6.0
 
 # Common passwords and the words that passwords are made of, by falling frequency.
 WORDS = """password qwerty dragon monkey letmein football baseball master shadow michael superman batman trustno welcome login admin princess
@@ -49,10 +59,9 @@ thursday friday saturday sunday the and for you are not with this that from have
 # The rows of a keyboard, unshifted; column c of a row lies next to columns c and c + 1 of the row above.
 KEYS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 # Letters that stand for others.
-LEET = str.maketrans("@4831!05$7+2", "aaeeiiosstts"[:12])
+LEET = str.maketrans("@4831!05$7+2", "aabeiiosstts")
 
 _RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-_LONGEST = max(map(len, WORDS))
 _DATE = re.compile(r"(?:19|20)\d\d|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:(?:19|20)?\d\d)|(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])")
 
 
@@ -71,95 +80,149 @@ def _alphabet(value: str) -> float:
     return math.log10(max(10, sum(n for p, n in sizes if re.search(p, value))))
 
 
-def guess_log10(value: str, least: float = GUESS_LOG10) -> float:
-    """The decimal logarithm of the least guesses over all segmentations of the value; 0 for an empty one. Exact below `least`;
-    a value that costs more may be given a lower figure, of `least` or more.
-
-    A segmentation costs the sum of its segments' digits and, for s segments, the digits of s!: an attacker
-    has to try their orders. Brute force grows character by character, so time is linear in the length
-    times the longest pattern; repeats and walks, which may be long, are taken from each start at every
-    power-of-two length and at their full length.
-    """
-    n = len(value)
-    if not n:
-        return 0.0
-    low = value.lower()
-    plain, letter = low.translate(LEET) if len(low) == n else value, _alphabet(value)
-    ends: list[dict[int, float]] = [{} for _ in range(n)]  # start -> end -> digits of one segment
-
-    def offer(i: int, j: int, digits: float) -> None:
-        ends[i][j] = min(digits, ends[i].get(j, math.inf))
-
-    for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(plain[i:j])
-            if rank:
-                shape = 2 * (value[i:j] != value[i:j].lower()) + 2 * (plain[i:j] != value[i:j].lower())
-                offer(i, j, math.log10(rank * max(1, shape)) + 0.3)
-    for i in range(n):
-        m = _DATE.match(value, i)
+#: A run of letters that reads like a word: of 3 to 20 letters, in one case or with a capital, and with no five consonants in a row.
+_READS = re.compile(r"(?=[^\W\d_]{3,20}(?![^\W\d_]))(?:[^\W\d_](?:(?![bcdfghjklmnpqrstvwxz]{5})[^\W\d_A-Z])+|(?:(?![BCDFGHJKLMNPQRSTVWXZ]{5})[^\W\d_a-z])+)(?![^\W\d_])")
+#: Prose: such runs joined by hyphens and apostrophes, with closing marks.
+_PROSE = re.compile(rf"{_READS.pattern}(?:[-'’]{_READS.pattern}|[-'’][^\W\d_]{{1,2}}(?![^\W\d_]))+[.,!?:;]*")
+_AGAIN = {k: re.compile(rf"(.{{{k}}})\1{{{2 if k == 1 else 1},}}", re.S) for k in (1, 2, 3, 4)}
+
+
+def segments(value: str, i: int, most: float, ranks: dict[str, int], letter: float) -> dict[int, float]:
+    """Ends of the segments that start at i, with their decimal digits of guesses, for those below `most`; brute force is not among
+    them. A word: its rank, and twice for each of other case and of letters written as signs; an unlisted word to its end. A date. A walk of
+    three or more neighbouring keys, of any length. A unit of up to four characters said again as often as it goes on. Steps up or
+    down the alphabet as far as they go."""
+    n, out = len(value), {}
+
+    def offer(j: int, digits: float) -> None:
+        if digits < most:
+            out[j] = min(digits, out.get(j, math.inf))
+
+    part = value[i : i + LONGEST_WORD]
+    low = part.lower()
+    if len(low) != len(part):
+        low = part
+    plain = low.translate(LEET)
+    for k in range(3, len(part) + 1):
+        rank = min(ranks.get(low[:k], math.inf), _RANK.get(low[:k], math.inf))
+        signs = 1
+        if rank == math.inf and plain[:k] != low[:k]:
+            rank, signs = min(ranks.get(plain[:k], math.inf), _RANK.get(plain[:k], math.inf)), 2
+        if rank < math.inf:
+            offer(i + k, math.log10(rank * signs * (2 if part[:k] != low[:k] else 1)) + 0.3)
+    if not i or not value[i - 1].isalpha():
+        m = _READS.match(value, i)
         if m:
-            offer(i, m.end(), math.log10(120 * 365) if len(m[0]) > 4 else math.log10(120))
-    i = 0
-    while i < n:  # a walk along neighbouring keys
-        j = i + 1
-        while j < n and value[j].lower() in _NEAR.get(value[j - 1].lower(), ()):
-            j += 1
-        for k in range(i, j - 2):
-            sizes = {j - k} | {1 << p for p in range(2, (j - k).bit_length())}
-            for size in sizes:
-                if 3 <= size <= j - k:
-                    offer(k, k + size, math.log10(len(_NEAR)) + 0.5 * size * math.log10(4))
-        i = j
-    for size in (1, 2, 3, 4):  # a unit said again
-        i = 0
-        while i + 2 * size <= n:
-            j = i + size
-            while j < n and value[j] == value[j - size]:
-                j += 1
-            times = (j - i) // size
-            if times >= (3 if size == 1 else 2):
-                offer(i, i + times * size, size * letter + math.log10(times))
-                i = i + times * size
-            else:
-                i += 1
-    for i in range(n - 2):  # up or down the alphabet or the digits
+            offer(m.end(), UNLISTED)
+    m = _DATE.match(value, i)
+    if m:
+        offer(m.end(), math.log10(120 * 365) if len(m[0]) > 4 else math.log10(120))
+    j, digits = i + 1, math.log10(len(_NEAR)) + 0.5 * math.log10(4)
+    while j < n and digits < most and value[j].lower() in _NEAR.get(value[j - 1].lower(), ()):
+        j, digits = j + 1, digits + 0.5 * math.log10(4)
+        if j - i >= 3:
+            offer(j, digits)
+    for k, again in _AGAIN.items():
+        m = again.match(value, i)
+        if m:
+            offer(m.end(), k * letter + math.log10((m.end() - i) // k))
+    if i + 2 < n:
         step = ord(value[i + 1]) - ord(value[i])
         if step in (1, -1):
             j = i + 2
             while j < n and ord(value[j]) - ord(value[j - 1]) == step:
                 j += 1
-            if j - i >= 3 and (i == 0 or ord(value[i]) - ord(value[i - 1]) != step):
-                offer(i, j, 1.5 + math.log10(j - i))
-    # best[s]: state after a prefix in s segments; a brute-force span goes on at one letter's digits without a new segment.
-    # Segments are counted until the digits of s! alone are `least`.
-    most = 0
-    while most < n and math.log10(math.factorial(most)) < least:
-        most += 1
-    closed = [[math.inf] * (most + 1) for _ in range(n + 1)]
-    brute = [[math.inf] * (most + 1) for _ in range(n + 1)]
-    closed[0][0] = 0.0
-    for i in range(n):
-        for s in range(most + 1):
-            at = min(closed[i][s], brute[i][s])
-            if at == math.inf:
-                continue
-            brute[i + 1][s] = min(brute[i + 1][s], brute[i][s] + letter)
-            t = min(most, s + 1)
-            brute[i + 1][t] = min(brute[i + 1][t], closed[i][s] + letter)
-            for j, digits in ends[i].items():
-                closed[j][t] = min(closed[j][t], at + digits)
-    return min(min(closed[n][s], brute[n][s]) + math.log10(math.factorial(s)) for s in range(most + 1))
-
-
-def spans(text: str, least: float = GUESS_LOG10) -> list[tuple[str, int, int]]:
+            if j - i >= 3:
+                offer(j, 1.5 + math.log10(j - i))
+    return out
+
+
+def guess_log10(value: str, least: float = GUESS_LOG10, ranks: dict[str, int] | None = None) -> float:
+    """The decimal logarithm of the least guesses over all segmentations of the value, or `least` if that is less; 0 for an empty value.
+
+    A segmentation costs the sum of its segments' digits and, for s segments, the digits of s!: an attacker has to try their orders.
+    A brute-force span costs the digits of one character of the value's alphabet for each of its characters. States that cost `least`
+    or more are dropped, so few are left at any place, and a costly value ends early."""
+    n, ranks = len(value), ranks or {}
+    if not n:
+        return 0.0
+    letter, orders = _alphabet(value), [0.0]
+    while orders[-1] < least:
+        orders.append(orders[-1] + math.log10(len(orders)))
+    # at each place still to come: by number of segments, the least digits where a segment ends and inside a brute-force span
+    ahead: dict[int, tuple[dict[int, float], dict[int, float]]] = {0: ({0: 0.0}, {})}
+    while ahead:
+        i = min(ahead)
+        closed, brute = ahead.pop(i)
+        if i == n:
+            return min(least, min(d + orders[s] for states in (closed, brute) for s, d in states.items()))
+
+        def reach(j: int, kind: int, s: int, digits: float) -> None:
+            if s < len(orders) and digits + orders[s] < least:
+                states = ahead.setdefault(j, ({}, {}))[kind]
+                states[s] = min(digits, states.get(s, math.inf))
+
+        best = {s: min(closed.get(s, math.inf), brute.get(s, math.inf)) for s in closed.keys() | brute.keys()}
+        for s, digits in closed.items():
+            reach(i + 1, 1, s + 1, digits + letter)
+        for s, digits in brute.items():
+            reach(i + 1, 1, s, digits + letter)
+        for j, more in segments(value, i, least - min(best.values()), ranks, letter).items():
+            for s, digits in best.items():
+                reach(j, 0, s + 1, digits + more)
+    return least
+
+
+def counted_words(df: DataFrame, text_col: str = "text", most: int = MOST_WORDS, least: int = LEAST_SEEN) -> dict[str, int]:
+    """The ranks, from 1, of the `most` most frequent words of all texts, of those seen `least` times; of equally frequent ones by the alphabet. Words are runs between white
+    space without what surrounds their letters, in lower case, of 3 to LONGEST_WORD letters and nothing else. Every word is counted; only
+    the asked ones come to the driver."""
+    common.small_batches(df.sparkSession)
+    schema = common.shape("word string, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter[str] = Counter()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if count:
+                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], schema=schema)
+            count.clear()
+
+        for batch in common.slices(batches, 0):
+            data, offsets = common.text_bytes(batch.column(0))
+            start, end, h = common.words(data, offsets, fold=True)
+            _, first, n = np.unique(h, return_index=True, return_counts=True)
+            whole = data.tobytes()
+            for a, z, k in zip(start[first].tolist(), end[first].tolist(), n.tolist(), strict=True):
+                if z - a <= 4 * LONGEST_WORD + 16:
+                    word = _EDGES.sub("", whole[a:z].decode("utf-8", "replace")).lower()
+                    if 3 <= len(word) <= LONGEST_WORD and word.isalpha():
+                        count[word] += k
+            if len(count) > 200_000:
+                yield from counted()
+        yield from counted()
+
+    rows = df.select(df[text_col].alias("text")).mapInArrow(run, common.spark_type(schema)).groupBy("word").agg(F.sum("n").alias("n"))
+    found = rows.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
+    return {r["word"]: k for k, r in enumerate(found, 1)}
+
+
+_EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+
+
+def _is_secret(value: str, least: float, ranks: dict[str, int] | None) -> bool:
+    return not _PROSE.fullmatch(value) and guess_log10(value, least, ranks) >= least
+
+
+def spans(text: str, least: float = GUESS_LOG10, ranks: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, in order."""
     base = []
     if ":" in text or "=" in text:
         base += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGNED]
     base += [("access", *m.span()) for m in ACCESS.finditer(text)] + [("hex", *m.span()) for m in HEX.finditer(text)]
-    found = [("guess", *m.span(1)) for m in CONTEXT.finditer(text) if guess_log10(m[1], least) >= least] if _JOINT.search(text) else []
-    added = [x for x in found if not any(a < x[2] and x[1] < b for _, a, b in base)]
+    found = [m.span(1) for m in CONTEXT.finditer(text)] if _JOINT.search(text) else []
+    free = [x for x in found if not any(a < x[1] and x[0] < b for _, a, b in base)]
+    added = [("guess", a, b) for a, b in free if _is_secret(text[a:b], least, ranks)]
     return sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -167,14 +230,16 @@ def listed(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = GUESS_LOG10) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256 and spans of each row's whole text."""
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = GUESS_LOG10, ranks: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256 and spans of each row's whole text. ranks: of words; by default those
+    of df's own texts."""
     common.small_batches(df.sparkSession)
     schema = common.shape("doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
+    known = df.sparkSession.sparkContext.broadcast(counted_words(df, text_col) if ranks is None else ranks)  # MOST_WORDS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            each = [spans(x or "", least) for x in batch.column(1).to_pylist()]
+            each = [spans(x or "", least, known.value) for x in batch.column(1).to_pylist()]
             count = [pa.array([sum(k == kind for k, _, _ in f) for f in each], pa.int64()) for kind in KINDS]
             sha = [hashlib.sha256(listed([x for x in f if x[0] != "guess"]).encode()).hexdigest() for f in each]
             yield pa.RecordBatch.from_arrays([batch.column(0), *count, pa.array(sha, pa.string()), pa.array(map(listed, each), pa.string())], schema=schema)
@@ -182,25 +247,26 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, common.spark_type(schema))
 
 
-def redact(text: str, least: float = GUESS_LOG10, mark: str = "<SECRET>") -> str:
+def redact(text: str, least: float = GUESS_LOG10, ranks: dict[str, int] | None = None, mark: str = "<SECRET>") -> str:
     """The text with each span, or run of overlapping spans, replaced by `mark`."""
     out, at = [], 0
-    for _, a, b in spans(text, least):
+    for _, a, b in spans(text, least, ranks):
         if a >= at:
             out += [text[at:a], mark]
         at = max(at, b)
     return "".join([*out, text[at:]]) if at else text
 
 
-def redacted(df: DataFrame, text_col: str = "text", least: float = GUESS_LOG10) -> DataFrame:
-    """df with the same columns and the spans of text_col replaced; a null text stays null."""
+def redacted(df: DataFrame, text_col: str = "text", least: float = GUESS_LOG10, ranks: dict[str, int] | None = None) -> DataFrame:
+    """df with the same columns and the spans of text_col replaced; a null text stays null. ranks: as for scan."""
     common.small_batches(df.sparkSession)
     at = df.columns.index(text_col)
+    known = df.sparkSession.sparkContext.broadcast(counted_words(df, text_col) if ranks is None else ranks)  # MOST_WORDS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(at)
-            new = pa.array([x if x is None else redact(x, least) for x in col.to_pylist()], col.type)
+            new = pa.array([x if x is None else redact(x, least, known.value) for x in col.to_pylist()], col.type)
             yield batch.set_column(at, batch.schema.field(at), new)
 
     return df.mapInArrow(run, df.schema)
