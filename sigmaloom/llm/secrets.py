@@ -248,9 +248,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
 
 
 def redact(text: str, least: float = GUESS_LOG10, ranks: dict[str, int] | None = None, mark: str = "<SECRET>") -> str:
-    """The text with each span, or run of overlapping spans, replaced by `mark`."""
+    """The text with each span, or run of overlapping spans, replaced by `mark`; but an assigned value of plain words stays."""
     out, at = [], 0
-    for _, a, b in spans(text, least, ranks):
+    for kind, a, b in spans(text, least, ranks):
+        value = ASSIGN.match(text, a)[2] if kind == "assign" else ""
+        if value.replace("-", "").isalpha() and not _is_secret(value, least, ranks):
+            continue
         if a >= at:
             out += [text[at:a], mark]
         at = max(at, b)
