@@ -11,6 +11,7 @@ import hashlib
 import hmac
 import json
 import math
+import os
 from collections.abc import Callable, Sequence
 from fractions import Fraction
 
@@ -266,15 +267,49 @@ def fold_budget(epsilon: float, delta: float, folds: int) -> dict[str, tuple[flo
 
 class ReplayGuard:
     """One answer for each operation, fold and round: the same request is replayed, another one under the same name is refused before
-    any data are read."""
+    any data are read. With a folder, claims and answers are files there and outlive the process: a claim is made by exclusive
+    creation, so of two processes one answers; an answer is written whole and then named. A claim whose process ended before it
+    answered is answered again for the same request only, with the same noise, as that follows from secret and vector."""
 
-    def __init__(self) -> None:
+    def __init__(self, folder: str | None = None) -> None:
         self.seen: dict[tuple, tuple[str, object]] = {}
+        self.folder = folder
+        if folder:
+            os.makedirs(folder, exist_ok=True)
 
     def claim(self, operation: str, fold: int, round_: int, request: object, answer: Callable[[], object]) -> object:
         name, digest = (operation, fold, round_), hashlib.sha256(json.dumps(request, sort_keys=True).encode()).hexdigest()
+        if self.folder:
+            return self._claim_file(name, digest, answer)
+        if name in self.seen and self.seen[name][0] != digest:
+            raise ValueError("this round was answered for another request")
         if name not in self.seen:
             self.seen[name] = (digest, answer())
-        if self.seen[name][0] != digest:
-            raise ValueError("this round was answered for another request")
         return self.seen[name][1]
+
+    def _claim_file(self, name: tuple, digest: str, answer: Callable[[], object]) -> object:
+        path = os.path.join(self.folder, hashlib.sha256(json.dumps(name).encode()).hexdigest())
+        temporary = f"{path}.{os.getpid()}.{id(answer)}"
+        with open(temporary, "w") as f:
+            f.write(digest)
+            f.flush()
+            os.fsync(f.fileno())
+        try:
+            os.link(temporary, path + ".claim")  # exclusive, and never half written
+        except FileExistsError:
+            with open(path + ".claim") as f:
+                if f.read() != digest:
+                    raise ValueError("this round was answered for another request") from None
+        finally:
+            os.unlink(temporary)
+        try:
+            with open(path + ".json") as f:
+                return json.load(f)
+        except FileNotFoundError:
+            text = json.dumps(answer(), sort_keys=True, separators=(",", ":"), allow_nan=False)
+        with open(temporary, "w") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(temporary, path + ".json")
+        return json.loads(text)

@@ -11,8 +11,9 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -20,18 +21,10 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed
 from ..sources import store
-from . import statistics
+from . import privacy, statistics
 from .privacy import KeyedStream, project_to_simplex, semantic_seed
 from .statistics import SCALE
 
-Noise = Callable[[np.ndarray, str], np.ndarray]
-
-
-def no_noise(vector: np.ndarray, label: str) -> np.ndarray:
-    """For tests and for statistics that never leave the site."""
-    return vector
-
-
 @dataclass(frozen=True)
 class TreeSchema:
     """Ordered features with cuts strictly between public bounds, a task and, for regression, target bounds."""
@@ -59,6 +52,62 @@ class TreeSchema:
         return y.cast("double") if self.task == "binary" else (y - self.lower) / (self.upper - self.lower)
 
 
+class Exact:
+    """No noise: for tests and for statistics that never leave the site."""
+
+    def __call__(self, vector: np.ndarray, label: str) -> np.ndarray:
+        return vector
+
+    def integers(self, vector: np.ndarray, label: str) -> np.ndarray:
+        return vector
+
+
+no_noise = Exact()
+Noise = Exact
+
+
+class Released(Exact):
+    """The noise of a whole training run for one budget: the release is planned before any data are read, from the engine, the public
+    schema and the parameters alone. Each released vector gets the deviation of its kind, from a stream that is bound to the secret, the
+    plan, the label and the exact vector, so a replay gives the same model and another input gives independent noise."""
+
+    def __init__(self, engine: str, schema: TreeSchema, epsilon: float, delta: float, secret: bytes, parameters: dict) -> None:
+        privacy.check_policy(epsilon, delta)
+        if not secret:
+            raise ValueError("a release needs the secret of its site")
+        self.secret = secret
+        self.plan = release_plan(engine, schema, epsilon, delta, parameters)
+        self.layout = {"plan": {k: repr(v) for k, v in self.plan.items()}, "schema": schema.sha256(), "parameters": {k: repr(v) for k, v in sorted(parameters.items())}}
+
+    def __call__(self, vector: np.ndarray, label: str) -> np.ndarray:
+        sigma = self.plan["sigma_leaf" if label == "leaves" and "sigma_leaf" in self.plan else "sigma"]
+        return privacy.release(vector, sigma, self.secret, f"trees/{label}", self.layout)
+
+    def integers(self, vector: np.ndarray, label: str) -> np.ndarray:
+        sigma = self.plan["sigma_root" if label.endswith("step 0") else "sigma_level"]
+        return np.array(privacy.release_integers([int(v) for v in vector], sigma, self.secret, f"trees/{label}", self.layout), float)
+
+
+def release_plan(engine: str, schema: TreeSchema, epsilon: float, delta: float, parameters: dict) -> dict:
+    """The number of releases of a training run, and the sensitivity and the deviation of each kind of vector when one unit is replaced."""
+    trees, depth = int(parameters["trees"]), int(parameters["depth"])
+    if engine == "extra_trees":
+        x = privacy.forest_releases("extra_trees", schema.task, trees, depth)
+        return {"releases": 1, "sensitivity": x["leaf"], "sigma": privacy.gaussian_sigma(epsilon, delta, x["leaf"])}
+    if engine == "random_forest":
+        x = privacy.forest_releases("random_forest", schema.task, trees, depth, int(parameters["max_features"]))
+        sigma = {k: privacy.gaussian_sigma(epsilon, delta, x[k], int(x["releases"])) for k in ("level", "leaf")}
+        return {"releases": int(x["releases"]), "sensitivity": x["level"], "sensitivity_leaf": x["leaf"], "sigma": sigma["level"], "sigma_leaf": sigma["leaf"]}
+    how = Boosting(ENGINES[engine], **parameters)
+    features = how.features_a_step or len(schema.features)
+    releases = privacy.boosting_releases(how.growth, trees, how.leaves, depth)
+    if how.growth == "depthwise":
+        x = privacy.discrete_allocation(Fraction(repr(float(epsilon))), Fraction(repr(float(delta))), trees, depth, features, schema.task, SCALE)
+        return {"releases": releases, **x}
+    size = privacy.boosting_sensitivity(features, how.g_clip, how.h_clip)
+    return {"releases": releases, "sensitivity": size, "sigma": privacy.gaussian_sigma(epsilon, delta, size, releases)}
+
+
 def binned_rows(df: DataFrame, schema: TreeSchema, target: str) -> DataFrame:
     """b (an array of bins; null where missing) and y, written to the shared folder."""
     from ..functions.clean import bin_of
@@ -112,6 +161,45 @@ def leaf_values(stats: np.ndarray, schema: TreeSchema) -> np.ndarray:
     return schema.lower + (np.minimum(s[..., 1], s[..., 0]) + 0.5) / (s[..., 0] + 1) * (schema.upper - schema.lower)
 
 
+def heap_leaves(topology: list[dict], depth: int, b: np.ndarray) -> np.ndarray:
+    """The leaf, from 0, of each row of bins [rows, features], -1 where missing, in each complete tree: [trees, rows]."""
+    rows, out = np.arange(len(b)), np.empty((len(topology), len(b)), np.int64)
+    for t, tree in enumerate(topology):
+        node = np.zeros(len(b), np.int64)
+        feature, cut, left = (np.array(tree[k]) for k in ("features", "cuts", "default_left"))
+        for _ in range(depth):
+            x = b[rows, feature[node]]
+            node = 2 * node + 1 + np.where(x < 0, ~left[node], x > cut[node])
+        out[t] = node - ((1 << depth) - 1)
+    return out
+
+
+def _leaf_sums(rows: DataFrame, topology: list[dict], depth: int) -> DataFrame:
+    """coord (tree and leaf), n, s: counts and sums over the leaves of complete trees. rows: b, an array of bins, and s. Each task adds
+    up its own batches in one vector of the public layout, whose cells are then summed."""
+    import pyarrow as pa
+
+    size = len(topology) << depth
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b = np.array(batch.column(0).flatten().fill_null(-1), np.int64).reshape(batch.num_rows, -1)
+            coord = (heap_leaves(topology, depth, b) + (np.arange(len(topology)) << depth)[:, None]).ravel()
+            value = np.tile(batch.column(1).to_numpy(), len(topology))
+            n += np.bincount(coord, minlength=size)
+            order = np.argsort(coord, kind="stable")  # sums in integers: bincount's weights are floating
+            at = np.flatnonzero(np.diff(coord[order], prepend=-1))
+            if len(at):
+                s[coord[order][at]] += np.add.reduceat(value[order], at)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used]), pa.array(s[used])], names=["coord", "n", "s"])
+
+    return rows.mapInArrow(run, "coord bigint, n bigint, s bigint").groupBy("coord").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
 def extra_trees(df: DataFrame, schema: TreeSchema, target: str, trees: int, depth: int, noise: Noise = no_noise) -> dict:
     """Random public trees; all leaves of all trees are one aggregation and one release."""
     if not (1 <= depth <= 12 and 1 <= trees <= 512):
@@ -119,8 +207,7 @@ def extra_trees(df: DataFrame, schema: TreeSchema, target: str, trees: int, dept
     rows, topology, leaves = binned_rows(df, schema, target), random_topology(schema, trees, depth), 1 << depth
     y = schema.unit_target(F.col("y"))
     second = y.cast("long") if schema.task == "binary" else F.rint(y * SCALE).cast("long")
-    at = F.posexplode(F.array(*[heap_leaf(t, depth) for t in topology])).alias("t", "leaf")
-    sums = rows.select(second.alias("s"), at).groupBy((F.col("t") * leaves + F.col("leaf")).alias("coord")).agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"))
+    sums = _leaf_sums(rows.select("b", second.alias("s")), topology, depth)
     n, s = _vector(sums, trees * leaves, "n", "s").T
     stats = np.stack([n - s, s] if schema.task == "binary" else [n, s / SCALE], -1)
     stats = noise(stats.ravel(), "leaves").reshape(trees, leaves, 2)
@@ -210,6 +297,8 @@ class Boosting:
 
     def __post_init__(self) -> None:
         limits = {"leafwise": 32, "oblivious": 16, "depthwise": 30}
+        if self.growth == "depthwise" and self.min_count:
+            raise ValueError("depth-wise trees release no counts")
         if self.growth not in limits or not (1 <= self.depth <= limits[self.growth] and self.trees >= 1 and 2 <= self.leaves <= 256 and 0 < self.rate <= 1 and self.l2 > 0 and self.max_step > 0):
             raise ValueError("a parameter is outside its range")
 
@@ -253,15 +342,14 @@ def boost(df: DataFrame, schema: TreeSchema, target: str, p: Boosting, noise: No
             active = [k for k, x in enumerate(nodes) if x["left"] < 0]
             slot = _lookup([active.index(k) if k in active else -1 for k in range(len(nodes))], node, "int")
             cells = statistics.gradient_histogram(work, slot, {k: F.get("b", F.lit(f)) for k, f in enumerate(chosen)}, schema.bins - 1, F.col("g"), F.col("h"))
-            raw = np.zeros((len(active), take, schema.bins, 3))
+            fixed = np.zeros((len(active), take, schema.bins, 3), np.int64)
             for c in cells.collect():
-                raw[c["slot"], c["feature"], c["bin"]] = (c["g"] / SCALE * p.g_clip, c["h"] / SCALE * p.h_clip, c["n"])
-            hist = noise(raw.ravel(), f"tree {t} step {r}").reshape(raw.shape)
+                fixed[c["slot"], c["feature"], c["bin"]] = (c["g"], c["h"], c["n"])
             if p.growth == "depthwise":
-                for i, k in enumerate(active):
-                    for f in range(take):
-                        known = nodes[k]["stats"]
-                        hist[i, f, :, 1] = project_to_simplex(hist[i, f, :, 1], max(float(hist[i, f, :, 1].sum()) if known is None else float(known[1]), 0.0))
+                hist = _released_pairs(fixed, [nodes[k]["stats"] for k in active], noise, f"tree {t} step {r}", p)
+            else:
+                raw = fixed * np.array([p.g_clip / SCALE, p.h_clip / SCALE, 1.0])
+                hist = noise(raw.ravel(), f"tree {t} step {r}").reshape(raw.shape)
             splits = _splits(hist, active, nodes, chosen, schema, p)
             for k, f, cut, default, left, right in splits:
                 nodes[k] |= {"left": len(nodes), "right": len(nodes) + 1, "feature": f, "cut": cut, "default_left": default}
@@ -283,6 +371,26 @@ def boost(df: DataFrame, schema: TreeSchema, target: str, p: Boosting, noise: No
     return {"kind": "boosting", "engine": p.growth, "task": schema.task, "start": start, "lower": schema.lower, "upper": schema.upper, "trees": trees}
 
 
+def _released_pairs(fixed: np.ndarray, known: list[np.ndarray | None], noise: Noise, label: str, p: Boosting) -> np.ndarray:
+    """The histogram [nodes, features, bins, 3] of a level of depth-wise trees from integer sums of gradients and hessians. Released are the
+    observed bins and, of a root, its total pair; a missing bin is the node's total less the observed ones, and hessians are projected on
+    the node's total. Counts are not released, and stay zero."""
+    n, take, bins, _ = fixed.shape
+    at_root = known[0] is None
+    total = fixed[0, 0, :, :2].sum(0) if at_root else np.zeros(0, np.int64)
+    out = noise.integers(np.concatenate([total, fixed[:, :, :-1, :2].ravel()]), label)
+    unit = np.array([p.g_clip, p.h_clip]) / SCALE
+    totals = [out[:2] * unit] if at_root else [k[:2] for k in known]
+    hist = np.zeros(fixed.shape)
+    hist[:, :, :-1, :2] = out[len(total) :].reshape(n, take, bins - 1, 2) * unit
+    for i in range(n):
+        whole = np.maximum(totals[i], [-math.inf, 0.0])
+        for f in range(take):
+            hist[i, f, -1, :2] = whole - hist[i, f, :-1, :2].sum(0)
+            hist[i, f, :, 1] = project_to_simplex(hist[i, f, :, 1], float(whole[1]))
+    return hist
+
+
 def _splits(hist: np.ndarray, active: list[int], nodes: list[dict], chosen: list[int], schema: TreeSchema, p: Boosting) -> list[tuple]:
     """(node, feature, cut, default_left, left, right) of the splits of one step: the best leaf's, all leaves' together, or each one's."""
     found: dict[int, tuple] = {}
@@ -342,15 +450,8 @@ def _walk(model: dict, b: np.ndarray) -> np.ndarray:
     """Predictions of one model on bins [rows, features], -1 where missing."""
     rows = np.arange(len(b))
     if model["kind"] == "forest":
-        total = np.zeros(len(b))
-        for tree in model["trees"]:
-            node = np.zeros(len(b), int)
-            feature, cut, left = (np.array(tree[k]) for k in ("features", "cuts", "default_left"))
-            for _ in range(model["depth"]):
-                x = b[rows, feature[node]]
-                node = 2 * node + 1 + np.where(x < 0, ~left[node], x > cut[node])
-            total += np.array(tree["leaves"])[node - ((1 << model["depth"]) - 1)]
-        return total / len(model["trees"])
+        leaf = heap_leaves(model["trees"], model["depth"], b)
+        return sum(np.array(tree["leaves"])[at] for tree, at in zip(model["trees"], leaf, strict=True)) / len(model["trees"])
     total = np.full(len(b), float(model["start"]))
     for tree in model["trees"]:
         node = np.zeros(len(b), int)
@@ -367,7 +468,9 @@ def predict(df: DataFrame, models: list[dict], schema: TreeSchema, keep: list[st
     """keep and prediction: the mean of the models' predictions (of a boosted binary model: of its probability), Arrow batch by batch."""
     import pyarrow as pa
 
-    models = ordered(models)
+    models = ordered([m for m in models if m["kind"] != "empty"])
+    if not models:
+        raise ValueError("no site has training rows")
     rows = df.select(*keep, F.array(*[F.coalesce(_bins(schema, k), F.lit(-1)).cast("int") for k in range(len(schema.features))]).alias("_b"))
 
     def run(batches):
@@ -421,13 +524,25 @@ def sanitised(model: dict, schema: TreeSchema, max_bytes: int = 64 << 20) -> dic
 ENGINES = {"extra_trees": extra_trees, "random_forest": random_forest, "lightgbm": "leafwise", "catboost": "oblivious", "xgboost": "depthwise"}
 
 
-def train(engine: str, df: DataFrame, schema: TreeSchema, target: str, noise: Noise = no_noise, key: bytes = b"", **parameters: float) -> dict:
-    """Trains by engine name."""
+def train(engine: str, df: DataFrame, schema: TreeSchema, target: str, noise: Noise = no_noise, key: bytes = b"", epsilon: float | None = None, delta: float | None = None, secret: bytes = b"", **parameters: float) -> dict:
+    """Trains by engine name. With epsilon and delta the model is a release within that budget, of units that are replaced, and tells
+    its plan; secret is the site's. Without them it is exact and must not leave the site, unless `noise` says otherwise."""
     if engine not in ENGINES:
         raise ValueError(f"no such engine: {engine}")
+    if (epsilon is None) != (delta is None):
+        raise ValueError("a budget has an epsilon and a delta")
+    plan = {}
+    if epsilon is not None:
+        noise = Released(engine, schema, epsilon, delta, secret, parameters)
+        plan = {"release": {"epsilon": epsilon, "delta": delta, **{k: v if isinstance(v, int) else float(v) for k, v in noise.plan.items()}}}
     how = ENGINES[engine]
     if engine == "random_forest":
-        return how(df, schema, target, key=key, noise=noise, **parameters)
+        return how(df, schema, target, key=key, noise=noise, **parameters) | plan
     if callable(how):
-        return how(df, schema, target, noise=noise, **parameters)
-    return boost(df, schema, target, Boosting(how, **parameters), noise)
+        return how(df, schema, target, noise=noise, **parameters) | plan
+    return boost(df, schema, target, Boosting(how, **parameters), noise) | plan
+
+
+def empty_side(schema: TreeSchema, engine: str) -> dict:
+    """What a site without training rows returns: a model of no trees, which takes no part in an ensemble's mean."""
+    return {"kind": "empty", "engine": engine, "task": schema.task, "trees": [], "n": 0}
