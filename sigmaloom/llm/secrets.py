@@ -174,9 +174,9 @@ def guess_log10(value: str, least: float = GUESS_LOG10, ranks: dict[str, int] |
 
 
 def counted_words(df: DataFrame, text_col: str = "text", most: int = MOST_WORDS, least: int = LEAST_SEEN) -> dict[str, int]:
-    """The ranks, from 1, of the `most` most frequent words of all texts, of those seen `least` times; of equally frequent ones by the alphabet. Words are runs between white
-    space without what surrounds their letters, in lower case, of 3 to LONGEST_WORD letters and nothing else. Every word is counted; only
-    the asked ones come to the driver."""
+    """The ranks, from 1, of the most frequent words of all texts, of those seen `least` times; of equally frequent ones by the alphabet. Words are runs between white
+    space without what surrounds their letters, in lower case, of 3 to LONGEST_WORD letters and nothing else. Every word is counted; as many
+    come to the driver as have counts of which, by steps of a sixteenth of a doubling, there are no more than `most` from there up."""
     common.small_batches(df.sparkSession)
     schema = common.shape("word string, n long")
 
@@ -202,9 +202,17 @@ def counted_words(df: DataFrame, text_col: str = "text", most: int = MOST_WORDS,
                 yield from counted()
         yield from counted()
 
-    rows = df.select(df[text_col].alias("text")).mapInArrow(run, common.spark_type(schema)).groupBy("word").agg(F.sum("n").alias("n"))
-    found = rows.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
-    return {r["word"]: k for k, r in enumerate(found, 1)}
+    counts = df.select(df[text_col].alias("text")).mapInArrow(run, common.spark_type(schema)).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # counts by sixteenths of their binary logarithm, a thousand at most; the highest of them that hold `most` words together
+    counts = common.staged(counts.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "words")
+    total, lowest = 0, None
+    for step, n in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        total += n
+        if total > most:
+            break
+        lowest = step
+    found = [] if lowest is None else counts.where(F.col("step") >= lowest).select("word", "n").toArrow().to_pylist()
+    return {r["word"]: k for k, r in enumerate(sorted(found, key=lambda r: (-r["n"], r["word"])), 1)}
 
 
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
