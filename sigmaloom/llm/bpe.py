@@ -34,8 +34,8 @@ from . import common
 
 #: The pre-split of byte-level BPE; white space is Unicode's.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Entries of a worker's memory of encoded pieces; it starts anew beyond that.
-MEMORY = 900_000
+#: Entries of a worker's memory of encoded pieces, which starts anew beyond that, and the longest piece that it keeps.
+MEMORY, LONGEST_KEPT = 900_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -158,7 +158,9 @@ class ByteBpe:
                 if len(self.words) > MEMORY:
                     self.words.clear()
                 found = self.automaton.encode(word.encode())
-                ids = self.words[word] = struct.pack(f"<{len(found)}I", *found)
+                ids = struct.pack(f"<{len(found)}I", *found)
+                if len(word) <= LONGEST_KEPT:
+                    self.words[word] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -178,7 +180,9 @@ class ByteBpe:
                 if len(pieces) > MEMORY:
                     pieces.clear()
                 whole = piece and not piece[0].isspace() and not piece[-1].isspace()
-                ids = pieces[piece] = self._piece(" " + piece) if whole else None
+                ids = self._piece(" " + piece) if whole else None
+                if len(piece) <= LONGEST_KEPT:
+                    pieces[piece] = ids
             if ids is None:
                 return self._piece(text)
             out.append(ids)

@@ -184,7 +184,11 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Lang
 
     rows = df.select(df[lang_col].cast("string").alias("lang"), df[text_col].alias("text")).dropna().mapInArrow(count, common.spark_type(schema)).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # a row for each language and bucket: its number does not depend on the documents'
-    found = rows.limit(MOST_LANGUAGES * size).toArrow()
+    rows = common.staged(rows, "languages")
+    n = rows.select("lang").distinct().count()
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages, more than the {MOST_LANGUAGES} that a table on the driver may hold")
+    found = rows.toArrow()
     code = found["lang"].combine_chunks().dictionary_encode()
     names = code.dictionary.to_pylist()
     languages = sorted(names)

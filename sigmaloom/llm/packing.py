@@ -31,8 +31,8 @@ from . import common
 BLOCK_TOKENS = 4_000_000
 #: A gap below this is padded, not filled by cutting a document.
 LEAST_GAP = 64
-#: Words that a worker remembers; its memory starts anew beyond that.
-MEMORY = 3_000_000
+#: Words that a worker remembers, and their bytes; its memory starts anew beyond that.
+MEMORY, MEMORY_BYTES = 3_000_000, 48 << 20
 
 
 class CapacityTree:
@@ -161,7 +161,8 @@ class WordIds:
     """Ids of whole texts by a tokenizer that lower-cases, splits at white space and drops it, and parts letters from marks.
 
     A batch is cut into words over its bytes, and each distinct word that is not known yet is encoded once. What is known
-    lies in arrays sorted by the words' hashes, about thirty bytes a word. An unknown word is taken as a stem and the closing
+    lies in arrays sorted by the words' hashes, about fifty bytes a word. Words that share a hash are compared byte by byte; if any differ,
+    the batch is encoded without hashes. An unknown word is taken as a stem and the closing
     marks after its last letter, and stems go to the tokenizer many in one call, with a special token between them."""
 
     def __init__(self, path: str) -> None:
@@ -183,6 +184,8 @@ class WordIds:
         self.hashes = np.zeros(0, np.uint64)  # sorted
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each word's ids in `ids`
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
+        self.text_first, self.text_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _plain_tokenizer(self) -> tuple[object, np.ndarray]:
         """The same model without its normaliser and its split, for words of lower-case letters, which these leave as they are;
@@ -208,14 +211,22 @@ class WordIds:
         start, end, h = common.words(data, offsets, fold)
         if not fold:
             h = common.mix(h + np.uint64(1))
-        if len(self.hashes) > MEMORY:
+        if len(self.hashes) > MEMORY or self.text_used > MEMORY_BYTES:
             self.forget()
+        plain, size = common.folded(data) if fold else data, end - start
         value, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, value)
-        new = np.flatnonzero((at == len(self.hashes)) | (self.hashes[np.minimum(at, max(len(self.hashes) - 1, 0))] != value)) if len(self.hashes) else np.arange(len(value))
+        known = np.zeros(len(value), bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == value
+        old, new = np.flatnonzero(known), np.flatnonzero(~known)
+        first = where[inverse]
+        same = common.same_words(plain, start, size, plain, start[first], size[first]).all()
+        if not same or not common.same_words(plain, start[where[old]], size[where[old]], self.text[: self.text_used], self.text_first[at[old]], self.text_size[at[old]]).all():
+            return self._by_bytes(whole, plain, start, end, offsets)
         if len(new):
             spots = where[new]
-            self._learn(value[new], at[new], [whole[a:z].decode() for a, z in zip(start[spots].tolist(), end[spots].tolist(), strict=True)])
+            self._learn(value[new], at[new], [whole[a:z].decode() for a, z in zip(start[spots].tolist(), end[spots].tolist(), strict=True)], [plain[a:z] for a, z in zip(start[spots].tolist(), end[spots].tolist(), strict=True)])
             at = np.searchsorted(self.hashes, value)
         word = at[inverse]
         count = self.count[word]
@@ -223,10 +234,29 @@ class WordIds:
         ids = self.ids[np.arange(total[-1]) + np.repeat(self.first[word] - total[:-1], count)]
         return ids, total[np.searchsorted(start, offsets)]
 
-    def _learn(self, hashes: np.ndarray, at: np.ndarray, words: list[str]) -> None:
+    def _by_bytes(self, whole: bytes, plain: np.ndarray, start: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same without hashes."""
+        places = list(zip(start.tolist(), end.tolist(), strict=True))
+        words = {plain[a:z].tobytes(): whole[a:z].decode() for a, z in places}
+        found = dict(zip(words, self._encoded(list(words.values())), strict=True))
+        ids = [found[plain[a:z].tobytes()] for a, z in places]
+        total = np.append(0, np.cumsum([len(x) // 4 for x in ids])).astype(np.int64)
+        return np.frombuffer(b"".join(ids), "<u4"), total[np.searchsorted(start, offsets)]
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
         split = [self.parts(w) for w in words]
         stems = self._stems({x for pair in split for x in pair if x})
-        found = [stems[s] + stems[m] if m else stems[s] for s, m in split]
+        return [stems[s] + stems[m] if m else stems[s] for s, m in split]
+
+    def _learn(self, hashes: np.ndarray, at: np.ndarray, words: list[str], plain: list[np.ndarray]) -> None:
+        found = self._encoded(words)
+        text, size = np.concatenate(plain), np.array([len(x) for x in plain], np.int64)
+        while self.text_used + len(text) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.text_used : self.text_used + len(text)] = text
+        spot = self.text_used + np.append(0, np.cumsum(size)[:-1])
+        self.text_used += len(text)
+        self.text_first, self.text_size = np.insert(self.text_first, at, spot), np.insert(self.text_size, at, size)
         fresh = np.frombuffer(b"".join(found), "<u4")
         while self.used + len(fresh) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])

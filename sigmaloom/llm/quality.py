@@ -230,13 +230,15 @@ def features_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def train(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = 20_000) -> AdditiveModel:
-    """Fits a model to the labelled rows of df whose hashed ids are smallest, `most_rows` ids at most."""
+    """Fits a model to the labelled rows of df whose hashed ids are smallest, `most_rows` ids at most. Of rows that share an id the one
+    with the least features counts."""
     known = labels.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("_label")).dropna().groupBy("_id").agg(F.max("_label").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
     texts = df.select(df[id_col].cast("long").alias("_id"), df[text_col].alias("_text"))
     # most_rows bounds the side that is sent to every executor: 12 bytes a row
     rows = features_of(texts.join(F.broadcast(chosen.select("_id")), "_id", "left_semi"), "_id", "_text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    found = rows.select("doc_id", "_label", *FEATURES).limit(2 * most_rows).toArrow().to_pandas().sort_values(["doc_id", "_label", *FEATURES])
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("_label", *FEATURES)).alias("x")).select("doc_id", "x.*")
+    found = one.toArrow().to_pandas().sort_values("doc_id")
     return fit(found[list(FEATURES)].to_numpy(float), (found["_label"].to_numpy() > 0).astype(float))
 
 

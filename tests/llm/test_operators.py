@@ -87,6 +87,20 @@ def test_languages(spark):
     assert {r["doc_id"] for r in docs.join(langid.accepted(docs, model).select("doc_id"), "doc_id", "left_anti").collect()} == {900, 901, 902, 903}
 
 
+def test_too_many_languages_fail(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, lang, "abc de") for i, lang in enumerate(["xx", "yy", "zz"])], "doc_id long, lang string, text string")
+    with pytest.raises(ValueError, match="3 languages"):
+        langid.train(docs)
+
+
+def test_repeated_ids_train_once(spark):
+    docs = table(spark, [(i, f"Good text number {i}.") for i in range(40)] * 3 + [(100 + i, "spam spam spam " * 9) for i in range(40)])
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, quality int")
+    model, once = quality.train(docs, labels), quality.train(docs.dropDuplicates(["doc_id"]), labels)
+    assert [r["score"] for r in quality.score(docs, model).orderBy("doc_id").collect()] == [r["score"] for r in quality.score(docs, once).orderBy("doc_id").collect()]
+
+
 def test_accepted_decides_as_predict(spark):
     docs = spark.createDataFrame([(1, "xx", "abc de"), (2, "yy", "vw xyz"), (3, None, "12 --"), (4, None, None), (5, None, "É"), (6, None, "")], "doc_id long, lang string, text string")
     model = langid.train(docs)
@@ -624,6 +638,21 @@ def test_packing(spark, corpus):
     assert sorted(p["doc_tokens"] for p in twice) == [1, 2, 2]
 
 
+def test_words_that_share_a_hash(spark, corpus, monkeypatch):
+    """With hashes that tell nothing apart, ids are those of the bytes."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    library, real = Tokenizer.from_file(path), common.words
+    monkeypatch.setattr(common, "words", lambda *a: (*real(*a)[:2], real(*a)[2] % np.uint64(3)))
+    ids, words_ = {}, packing.WordIds(path)
+    for rows in ([(1, "one two THREE"), (2, None)], corpus[:40], [(3, "two one"), (4, "x" * 2000 + " y")]):
+        batch = table(spark, rows).select("doc_id", "text").toArrow().combine_chunks().to_batches()[0]
+        flat, ends = words_.batch(batch.column(1))
+        ids = [flat[a:z].tolist() for a, z in zip(ends[:-1], ends[1:], strict=True)]
+        assert ids == [library.encode(t or "", add_special_tokens=False).ids for t in batch.column(1).to_pylist()]
+
+
 def test_tightest_window():
     rng, tree, open_ = random.Random(0), packing.CapacityTree(64), []
     for k in range(2000):
