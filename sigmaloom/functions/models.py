@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,27 @@ def losses(z: Column, y: Column, delta: float = 1.0, tau: float = 0.5, shape: fl
     }
 
 
+def class_losses(z: Column, y: Column, classes: int, margin: float = 1.0) -> dict[str, Column]:
+    """The loss of an array of outputs z by name. y: a class for cross_entropy, multi_margin and ordinal (whose z has one output less than
+    classes, for a class above each of the first ones), an array of 0 and 1 for multilabel_bce."""
+    safe = F.transform(z, lambda v: saturated(v, LOGIT_LIMIT))
+    top = F.array_max(safe)
+    own = F.get(safe, y.cast("int"))
+    above = F.transform(safe, lambda v, k: softplus(v) - F.when(y > k, v).otherwise(F.lit(0.0)))
+    others = F.transform(safe, lambda v, k: F.when(k == y, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(float(margin)) - own + v)))
+    return {
+        "cross_entropy": top + F.log(total(F.transform(safe, lambda v: F.exp(v - top)))) - own,
+        "multi_margin": total(others) / classes,
+        "ordinal": total(above) / (classes - 1),
+    }
+
+
+def multilabel_bce(z: Column, y: Column) -> Column:
+    """The mean over labels of the binary cross entropy of logits z for an array y of 0 and 1."""
+    safe = F.transform(z, lambda v: saturated(v, LOGIT_LIMIT))
+    return total(F.zip_with(safe, y, lambda a, b: softplus(a) - a * b)) / F.size(z)
+
+
 def predictions(logits: Column, loss: str) -> Column:
     """Outputs of a model whose last layer gives an array of logits: identity, exp, sigmoid, softmax, or ordinal differences."""
     z = F.transform(logits, lambda v: saturated(v, LOGIT_LIMIT))
@@ -68,7 +91,53 @@ def linear(x: Column, weights: list[list[float]], bias: list[float] | None = Non
     return F.array(*rows)
 
 
+def gelu(v: Column) -> Column:
+    """x times the normal distribution function at x, by its error function to 1.5e-7 (a published rational approximation)."""
+    x = F.abs(v) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    # fixed values: coefficients of the approximation
+    series = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    erf = 1 - series * F.exp(-x * x)
+    return 0.5 * v * (1 + F.when(v < 0, -erf).otherwise(erf))
+
+
+#: Elements that a layer may have, and layers of a model.
+MOST_WIDTH, MOST_LAYERS = 4096, 64
+
+
+def output_width(spec: list[dict], width: int) -> int:
+    """The elements of a model's output for an input of `width`; ValueError if a layer does not fit or the model is too large."""
+    if not 1 <= width <= MOST_WIDTH or len(spec) > MOST_LAYERS:
+        raise ValueError("the model is too large")
+    for op in spec:
+        kind = op["op"]
+        if kind == "linear":
+            rows = op["weights"]
+            if not rows or any(len(r) != width for r in rows) or len(rows) > MOST_WIDTH or len(op.get("bias") or rows) != len(rows):
+                raise ValueError("a linear layer does not fit its input")
+            width = len(rows)
+        elif kind == "reshape":
+            if math.prod(op["shape"]) != width:
+                raise ValueError("a reshape changes the number of elements")
+        elif kind not in ("affine", "layernorm", "softmax", "flatten", "leaky_relu", "transpose") and kind not in ACTIVATIONS:
+            raise ValueError(f"no such layer: {kind}")
+        elif kind == "transpose" and math.prod(op["shape"]) != width:
+            raise ValueError("a transpose does not fit its input")
+    return width
+
+
+def matmul(a: Column, b: Column, n: int, k: int, m: int) -> Column:
+    """The product of an n by k and a k by m matrix, both as arrays by rows."""
+    cell = lambda i, j: sum((F.get(a, F.lit(i * k + x)) * F.get(b, F.lit(x * m + j)) for x in range(k)), F.lit(0.0))
+    return F.array(*[cell(i, j) for i in range(n) for j in range(m)])
+
+
+def transposed(x: Column, rows: int, columns: int) -> Column:
+    return F.array(*[F.get(x, F.lit(i * columns + j)) for j in range(columns) for i in range(rows)])
+
+
 ACTIVATIONS = {
+    "gelu": gelu,
     "relu": lambda v: F.greatest(v, F.lit(0.0)),
     "tanh": F.tanh,
     "sigmoid": sigmoid,
@@ -97,21 +166,37 @@ JOINS = {
 }
 
 
+def _leaky(x: Column, slope: float) -> Column:
+    return F.transform(x, lambda v: F.when(v > 0, v).otherwise(slope * v))
+
+
+def _affine(x: Column, scale: float, shift: float) -> Column:
+    return F.transform(x, lambda v: v * scale + shift)
+
+
+def _softmax(x: Column) -> Column:
+    top = F.array_max(x)
+    return normalised(F.transform(x, lambda v: F.exp(v - top)))
+
+
 def build(spec: list[dict], x: Column) -> Column:
-    """Evaluates a declarative list of layers on an array column; every layer's output is made finite."""
+    """Evaluates a declarative list of layers on an array column; every layer's output is made finite. See output_width for a check."""
     for op in spec:
         kind = op["op"]
         if kind == "linear":
             x = linear(x, op["weights"], op.get("bias"))
         elif kind == "affine":
-            x = F.transform(x, lambda v, op=op: v * float(op.get("scale", 1.0)) + float(op.get("shift", 0.0)))
+            x = _affine(x, float(op.get("scale", 1.0)), float(op.get("shift", 0.0)))
         elif kind == "layernorm":
             x = layer_norm(x)
         elif kind == "softmax":
-            top = F.array_max(x)
-            x = normalised(F.transform(x, lambda v, top=top: F.exp(v - top)))
+            x = _softmax(x)
         elif kind in ("flatten", "reshape"):
-            pass
+            pass  # arrays are flat
+        elif kind == "transpose":
+            x = transposed(x, *op["shape"])
+        elif kind == "leaky_relu":
+            x = _leaky(x, float(op.get("negative_slope", 0.01)))
         elif kind in ACTIVATIONS:
             x = F.transform(x, ACTIVATIONS[kind])
         else:
@@ -120,6 +205,30 @@ def build(spec: list[dict], x: Column) -> Column:
     return x
 
 
+def build_graph(nodes: list[dict], inputs: dict[str, Column]) -> Column:
+    """Evaluates a graph: each node has a name, an `op` and the names it takes from (`from`), which come before it: layers take one, add, sub,
+    mul, div and concat two or more, matmul two and n, k, m. The last node is the output."""
+    at, last = dict(inputs), None
+    for node in nodes:
+        name, sources = node["name"], [at.get(f) for f in node["from"]]
+        if name in at or not sources or any(c is None for c in sources):
+            raise ValueError("a node has a name twice, or takes from one that is not before it")
+        if node["op"] == "matmul":
+            last = F.transform(matmul(*sources, node["n"], node["k"], node["m"]), lambda v: saturated(v, FEATURE_LIMIT))
+        elif node["op"] in JOINS or node["op"] == "concat":
+            last = sources[0]
+            for other in sources[1:]:
+                last = join_arrays(node["op"], last, other)
+        elif len(sources) == 1:
+            last = build([node], sources[0])
+        else:
+            raise ValueError("a layer takes from one node")
+        at[name] = last
+    if last is None:
+        raise ValueError("an empty graph")
+    return last
+
+
 def join_arrays(kind: str, a: Column, b: Column) -> Column:
     """Two arrays by an operation of a model graph: add, sub, mul, div or concat."""
     out = F.concat(a, b) if kind == "concat" else F.zip_with(a, b, JOINS[kind])

@@ -82,3 +82,30 @@ def row_blocks(df: DataFrame, key: bytes, row_key: list[str], blocks: int, name:
     small, more = F.expr(f"_rows div {blocks}"), F.col("_rows") % blocks
     block = F.when(F.col("_place") < more * (small + 1), F.expr(f"_place div (_rows div {blocks} + 1)")).otherwise(more + F.expr(f"(_place - (_rows % {blocks}) * (_rows div {blocks} + 1)) div greatest(_rows div {blocks}, 1)"))
     return placed.crossJoin(F.broadcast(n)).withColumn(name, block.cast("int")).drop("_rank", "_place", "_rows")
+
+
+def small_cells_hidden(counts: DataFrame, count: str, least: int) -> DataFrame:
+    """The rows of a table of counts that stand for `least` units or more. Never applied by itself: whether a row is there tells about
+    the data, which noise does not cover."""
+    return counts.where(F.col(count) >= least)
+
+
+def check_least_rows(df: DataFrame, least: int) -> DataFrame:
+    """df, if it has `least` rows or more; else ValueError. Looks at no more rows than it needs."""
+    if least > 0 and len(df.select(F.lit(1)).limit(least).groupBy().count().where(F.col("count") >= least).take(1)) == 0:
+        raise ValueError(f"fewer than {least} rows")
+    return df
+
+
+def check_label_range(df: DataFrame, label: str, classes: int) -> DataFrame:
+    """df, if each label is a whole number of 0 .. classes - 1; else ValueError. Null labels are outside."""
+    y = F.col(label).cast("double")
+    outside = df.where(y.isNull() | F.isnan(y) | (y < 0) | (y >= classes) | (y != F.floor(y)))
+    if not outside.isEmpty():
+        raise ValueError(f"a label is outside 0 .. {classes - 1}")
+    return df
+
+
+def canonical_order(df: DataFrame, token: str, features: list[str], target: str) -> DataFrame:
+    """Rows by token, features and target, nulls first. No sum here depends on the order; it is for files that are compared byte by byte."""
+    return df.orderBy(*[F.col(c).asc_nulls_first() for c in (token, *features, target)])

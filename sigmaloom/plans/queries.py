@@ -80,7 +80,10 @@ def pooled_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooling.pooled(_subject_cells(spark, sf_dir), "site", 3, 9)
 
 
-@_query("SELECT unnest(range(9))::INT AS coord, NULL::DOUBLE AS value, false AS available")
+@_query(
+    f"""WITH {_CELLS}, v AS (SELECT count(DISTINCT site) = 3 AND count(*) = 27 AS available FROM a WHERE site < 2)
+    SELECT coord::INT AS coord, CASE WHEN available THEN sum(value) END::DOUBLE AS value, available FROM a CROSS JOIN v GROUP BY coord, available"""
+)
 def pooled_association_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooling.pooled(_subject_cells(spark, sf_dir).where("site < 2"), "site", 3, 9)
 
@@ -114,9 +117,12 @@ def released_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.association_measures(pooling.pooled(noised, "site", 3, 9), [])
 
 
-@_query("SELECT sqrt(4.0 + 9.0 + 36.0)::DOUBLE AS noise_sd_pooled")
+@_query("WITH s AS (SELECT 1 + count(*) / 100.0 AS sigma FROM customer GROUP BY c_nationkey) SELECT round(sqrt(sum(sigma * sigma)), 8)::DOUBLE AS noise_sd_pooled FROM s")
 def pooled_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pooling.pooled_noise(spark.createDataFrame([(2.0,), (3.0,), (6.0,)], "sigma double"))
+    """A site for each nation, with a noise that depends on its customers."""
+    sigmas = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg((1 + F.count(F.lit(1)) / 100.0).alias("sigma"))
+    return pooling.pooled_noise(sigmas).select(F.round("noise_sd_pooled", 8).alias("noise_sd_pooled"))
+
 
 
 # --- cleaning --------------------------------------------------------------------------------------------------------
@@ -228,7 +234,13 @@ def subject_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _units(spark, sf_dir).select("o_orderkey", keyed.block(TEST_KEY, F.col("unit"), 8).alias("block"))
 
 
-@_query("WITH t AS (SELECT (SELECT count(*) FROM orders) AS n) SELECT n AS rows, n AS in_train_or_test, 0::BIGINT AS in_both, 0::BIGINT AS not_nested FROM t")
+_SIDES = f"s AS (SELECT o_orderkey, {_hmac_sql('subject', 'o_custkey::VARCHAR', 'holdout/v1')} AS h FROM orders), t AS (SELECT o_orderkey, h < '{keyed.threshold_hex(200_000, 1_000_000)}' AS test_20, h < '{keyed.threshold_hex(300_000, 1_000_000)}' AS test_30 FROM s)"
+
+
+@_query(
+    f"""WITH {_SIDES}, b AS (SELECT o_orderkey FROM t WHERE test_20 INTERSECT SELECT o_orderkey FROM t WHERE NOT test_20)
+    SELECT count(*) AS rows, count(*) FILTER (test_20 OR NOT test_20) AS in_train_or_test, (SELECT count(*) FROM b) AS in_both, count(*) FILTER (test_20 AND NOT test_30) AS not_nested FROM t"""
+)
 def holdout_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = holdout_sides(spark, sf_dir)
     train, test = s.where("not test_20").select("o_orderkey"), s.where("test_20").select("o_orderkey")
@@ -379,10 +391,23 @@ def row_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.numbered(_t(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"]).select("o_orderkey", F.col("ordinal").cast("long").alias("ordinal"))
 
 
-@_query("SELECT f AS fold, v FROM (SELECT 1 AS f, 1 AS v) WHERE false UNION ALL SELECT 0, 0 WHERE false UNION ALL SELECT coord, (coord * 5)::INT FROM (SELECT unnest(range(4))::INT AS coord)")
+@_query(f"""WITH f AS (SELECT o_orderstatus, ({_fold_sql(5)}) AS fold FROM orders), n AS (SELECT count(DISTINCT fold) = 5 AS available FROM f),
+    g AS (SELECT (o_orderstatus = 'O')::INT AS coord, count(*) AS v FROM f GROUP BY 1) SELECT coord, CASE WHEN available THEN v END::DOUBLE AS value, available FROM g CROSS JOIN n""")
 def accumulated_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.range(4).crossJoin(F.broadcast(spark.range(1, 6).withColumnRenamed("id", "fold"))).select("fold", F.col("id").cast("int").alias("coord"), F.col("id").cast("double").alias("value"))
-    return pooling.accumulated_folds(v, 5).select(F.col("coord").alias("fold"), F.col("value").cast("int").alias("v"))
+    """Counts of open orders, and of others, over five folds of subjects."""
+    o = _t(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "O").cast("int").alias("coord"), keyed.fold(TEST_KEY, clean.unit_id(F.col("o_custkey")), 5).alias("fold"))
+    vectors = o.groupBy("fold", "coord").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return pooling.accumulated_folds(vectors, 5)
+
+
+@_query(f"SELECT o_orderkey, (ntile(7) OVER (ORDER BY {_hmac_sql('row', 'o_orderkey::VARCHAR', 'row-blocks/v1')}, o_orderkey) - 1)::INT AS block FROM orders")
+def row_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.row_blocks(_t(spark, sf_dir, "orders").select("o_orderkey"), TEST_KEY, ["o_orderkey"], 7).select("o_orderkey", "block")
+
+
+@_query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment HAVING count(*) >= 30")
+def small_cells_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.small_cells_hidden(_t(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")), "n", 30)
 
 
 # --- tree and gradient statistics --------------------------------------------------------------------------------------
@@ -438,11 +463,30 @@ def _trained(engine: str, spark: SparkSession, sf_dir: str, **parameters: float)
     return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(((F.col("prediction") >= 0.5) == (F.col("y") == 1)).cast("double")), 6).alias("accuracy"))
 
 
-@_query()
+_FOREST = trees.random_topology(_SCHEMA, 32, 4)
+
+
+@_query(
+    f"""WITH r AS (SELECT {_B} FROM lineitem), c AS (SELECT b0, b1, b2, count(*) AS n, sum(y) AS pos FROM r GROUP BY ALL),
+    l AS ({' UNION ALL '.join(f'SELECT {t} AS t, {_leaf_sql(tree, 4)} AS leaf, b0, b1, b2, n, pos FROM c' for t, tree in enumerate(_FOREST))}),
+    v AS (SELECT t, leaf, (sum(pos) + 1)::DOUBLE / (sum(n) + 2)::DOUBLE AS value FROM l GROUP BY ALL),
+    p AS (SELECT b0, b1, b2, any_value(n) AS n, any_value(pos) AS pos, list_reduce(list(value ORDER BY t), lambda a, b: a + b) / 32 AS p FROM l JOIN v USING (t, leaf) GROUP BY b0, b1, b2)
+    SELECT sum(n)::BIGINT AS n, round(sum(CASE WHEN p >= 0.5 THEN pos ELSE n - pos END)::DOUBLE / sum(n)::DOUBLE, 6) AS accuracy FROM p"""
+)
 def extra_trees_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained("extra_trees", spark, sf_dir, trees=32, depth=4)
 
 
+@_query()
+def private_extra_trees_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained("extra_trees", spark, sf_dir, trees=32, depth=4, epsilon=3.0, delta=1e-6, secret=TEST_KEY)
+
+
+@_query()
+def private_depthwise_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained("xgboost", spark, sf_dir, trees=3, depth=3, rate=0.5, epsilon=3.0, delta=1e-6, secret=TEST_KEY)
+
+
 @_query()
 def random_forest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained("random_forest", spark, sf_dir, trees=8, depth=4, max_features=2)
@@ -466,7 +510,18 @@ def depthwise_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- linear models, layers, losses -----------------------------------------------------------------------------------------
 
 
-@_query()
+def _gradient_sql(steps: int) -> str:
+    """Full-batch steps of clipped logistic gradients on two scaled features."""
+    ctes = ["x AS (SELECT (least(greatest(l_quantity, 1), 50) - 25.5) / 24.5 AS q, (least(greatest(l_discount, 0), 0.1) - 0.05) / 0.05 AS d, (l_returnflag = 'R')::INT::DOUBLE AS y FROM lineitem)", "w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c)"]
+    for t in range(steps):
+        ctes.append(f"r{t} AS (SELECT q, d, 1 / (1 + exp(-(c + q * a + d * b))) - y AS r FROM x CROSS JOIN w{t})")
+        ctes.append(f"g{t} AS (SELECT q, d, r, CASE WHEN sqrt((r * q) ** 2 + (r * d) ** 2 + r ** 2) > 1 THEN 1 / sqrt((r * q) ** 2 + (r * d) ** 2 + r ** 2) ELSE 1 END AS s FROM r{t})")
+        mean = lambda v: f"0.5 * sum({v} * s) / count(*)"
+        ctes.append(f"w{t + 1} AS (SELECT any_value(a) - {mean('r * q')} AS a, any_value(b) - {mean('r * d')} AS b, any_value(c) - {mean('r')} AS c FROM g{t} CROSS JOIN w{t})")
+    return f"WITH {', '.join(ctes)} SELECT coord::INT AS coord, round(CASE coord WHEN 0 THEN a WHEN 1 THEN b ELSE c END, 6) AS weight FROM w{steps} CROSS JOIN (SELECT unnest(range(3)) AS coord)"
+
+
+@_query(_gradient_sql(5))
 def logistic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of a logistic model after full-batch steps."""
     rows = _scored(spark, sf_dir).select(F.col("l_orderkey").cast("string").alias("unit"), "y", clean.scaled(F.col("q"), 1, 50).alias("q"), clean.scaled(F.col("disc"), 0, 0.1).alias("d"))
@@ -518,13 +573,33 @@ def prepared_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("is_test").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("unit").alias("n_units"))
 
 
+_PLANS = (("extra_trees", 32, 4, {}), ("random_forest", 8, 4, {"max_features": 2}), ("lightgbm", 3, 4, {"leaves": 8}), ("catboost", 3, 3, {}))
+
+
 @_query(
-    """WITH v(name, eps, delta, s, r) AS (VALUES ('association', 1.0, 1e-6, sqrt(2.0), 1.0), ('multiclass', 3.0, 1e-5, sqrt(8.0), 1.0), ('regression', 1.0, 1e-6, 2.0, 5.0)), l AS (SELECT *, 2 * ln(1 / delta) AS k FROM v)
-    SELECT name, round(s * sqrt(r) / (2 * eps / (sqrt(k + 2 * eps) + sqrt(k))), 8)::DOUBLE AS sigma FROM l"""
+    """WITH r AS (SELECT n_regionkey, 0.5 + 0.5 * n_regionkey AS eps, count(*) AS releases FROM nation GROUP BY ALL), l AS (SELECT *, 2 * ln(1 / 1e-6) AS k FROM r)
+    SELECT n_regionkey::INT AS region, round(sqrt(2.0) * sqrt(releases) / (2 * eps / (sqrt(k + 2 * eps) + sqrt(k))), 6)::DOUBLE AS sigma FROM l"""
 )
 def calibrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = [("association", privacy.gaussian_sigma(1, 1e-6, privacy.sensitivity("association"))), ("multiclass", privacy.gaussian_sigma(3, 1e-5, privacy.sensitivity("multiclass", classes=3))), ("regression", privacy.gaussian_sigma(1, 1e-6, privacy.sensitivity("regression"), 5))]
-    return spark.createDataFrame([(n, round(v, 8)) for n, v in s], "name string, sigma double")
+    """A budget for each region, with a release for each of its nations: five rows."""
+    regions = _t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n")).collect()
+    sigmas = [(int(r["n_regionkey"]), round(privacy.gaussian_sigma(0.5 + 0.5 * r["n_regionkey"], 1e-6, privacy.sensitivity("association"), r["n"]), 6)) for r in regions]
+    return spark.createDataFrame(sigmas, "region int, sigma double")
+
+
+@_query(
+    """WITH p(engine, sens, releases) AS (VALUES ('extra_trees', sqrt(2.0 * 32), 1), ('random_forest', sqrt(2.0 * 2), 5), ('lightgbm', sqrt(3.0 * 6), 21), ('catboost', sqrt(3.0 * 6), 9)),
+    r AS (SELECT r_regionkey, 1 + 0.5 * r_regionkey AS eps, 2 * ln(1 / 1e-6) AS k FROM region)
+    SELECT engine, r_regionkey::INT AS region, releases::INT AS releases, round(sens * sqrt(releases) / (2 * eps / (sqrt(k + 2 * eps) + sqrt(k))), 6)::DOUBLE AS sigma FROM p CROSS JOIN r"""
+)
+def tree_release_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noise of the engines' training runs, for a budget of each region."""
+    rows = []
+    for r in _t(spark, sf_dir, "region").select("r_regionkey").collect():
+        for engine, n, depth, more in _PLANS:
+            plan = trees.release_plan(engine, _SCHEMA, 1 + 0.5 * r["r_regionkey"], 1e-6, {"trees": n, "depth": depth, **more})
+            rows.append((engine, int(r["r_regionkey"]), plan["releases"], round(plan["sigma"], 6)))
+    return spark.createDataFrame(rows, "engine string, region int, releases int, sigma double")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

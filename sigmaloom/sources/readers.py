@@ -60,10 +60,16 @@ def read_feather(spark: SparkSession, path: str) -> DataFrame:
     import pyarrow as pa
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    first = files.limit(1).collect()
+
+    def head(batches):  # the schema alone leaves the task
+        for batch in batches:
+            for content in batch.column(0):
+                yield pa.RecordBatch.from_pydict({"schema": [pa.ipc.open_file(io.BytesIO(content.as_py())).schema.serialize().to_pybytes()]})
+
+    first = files.limit(1).mapInArrow(head, "schema binary").collect()
     if not first:
         raise FileNotFoundError(path)
-    schema = pa.ipc.open_file(io.BytesIO(first[0]["content"])).schema
+    schema = pa.ipc.read_schema(pa.py_buffer(bytes(first[0]["schema"])))
     from pyspark.sql.pandas.types import from_arrow_schema
 
     def run(batches):
