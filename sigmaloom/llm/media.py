@@ -16,6 +16,7 @@ of equal content have equal stored bytes; null payloads count as empty; other co
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -89,9 +90,14 @@ def features(payload: bytes) -> str:
     return f"rows={len(x) // WIDTH};mean={x.mean():.3f};sd={x.std():.3f};entropy={entropy:.3f};step={step:.3f}"
 
 
+#: Ends of these close a caption that was left open.
+_HOLDERS = {"figure", "div", "section", "article", "main", "body", "html", "td", "li"}
+
+
 class _Items(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, silent_tags: set[str]) -> None:
         super().__init__(convert_charrefs=True)
+        self.silent_tags = silent_tags
         self.items: list[dict] = []
         self.text: list[str] = []
         self.caption: list[str] | None = None
@@ -107,9 +113,22 @@ class _Items(HTMLParser):
     def _add(self, kind: str, text: str | None = None, digest: str | None = None, caption: str | None = None) -> None:
         self.items.append({"position": len(self.items), "kind": kind, "text": text, "digest": digest, "caption": caption})
 
+    def end_caption(self, whole: bool) -> None:
+        """Closes the caption: it belongs to the figure's media if it was closed as one, or is text like other."""
+        if self.caption is None:
+            return
+        said, self.caption = " ".join("".join(self.caption).split()), None
+        if whole and len(self.figure) > 1:
+            for i in self.figure[1:]:
+                self.items[i]["caption"] = said or self.items[i]["caption"]
+        elif said and not whole:
+            self._add("text", text=said)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _SILENT:
+        if tag in self.silent_tags:
             self.silent += 1
+        elif self.silent:
+            return
         elif tag in _MEDIA:
             src = dict(attrs).get("src") or ""
             if tag in ("audio", "video") and not src:
@@ -120,37 +139,46 @@ class _Items(HTMLParser):
                 self.figure.append(len(self.items) - 1)
         elif tag == "figcaption":
             self._flush()
+            self.end_caption(whole=False)
             self.caption = []
         elif tag in _BLOCK:
             self._flush()
+            if self.caption is not None:
+                self.caption.append(" ")
             if tag == "figure":
+                self.end_caption(whole=False)
                 self.figure = [-1]
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SILENT:
+        if tag in self.silent_tags:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for i in self.figure[1:]:
-                self.items[i]["caption"] = said or self.items[i]["caption"]
-        elif tag in _BLOCK:
+        elif self.silent:
+            return
+        elif tag == "figcaption":
+            self.end_caption(whole=True)
+        elif tag in _BLOCK | _HOLDERS:
             self._flush()
+            if tag in _HOLDERS and self.caption is not None:
+                self.end_caption(whole=tag == "figure")
             if tag == "figure":
                 self.figure = []
 
     def handle_data(self, data: str) -> None:
-        if self.caption is not None:
-            self.caption.append(data)
-        elif not self.silent:
-            self.text.append(data)
+        if self.silent:
+            return
+        (self.text if self.caption is None else self.caption).append(data)
 
 
 def parse(html: str | None) -> list[dict]:
-    """The items of a page, in order."""
-    parser = _Items()
-    parser.feed(html or "")
+    """The items of a page, in order. A template or noscript that is opened more often than closed hides nothing; a caption that is left open
+    ends with what holds it, or with the page, and is text unless its figure ends there."""
+    html = html or ""
+    open_ = {t for t in ("template", "noscript") if len(re.findall(rf"(?i)<{t}[\s/>]", html)) > len(re.findall(rf"(?i)</{t}[\s/>]", html))}
+    parser = _Items(_SILENT - open_)
+    parser.feed(html)
     parser.close()
     parser._flush()
+    parser.end_caption(whole=False)
     return parser.items
 
 

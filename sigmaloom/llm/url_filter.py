@@ -7,15 +7,15 @@ form a component, found by distributed star rounds over these links. A component
 blocked, whether that URL is a row or only the end of a link; a page that a rule allows stays allowed in it. What no component
 decides is allowed.
 
-The node of a URL is its host, path and query: scheme and fragment tell no pages apart. Links without a host are taken on
-the page's host; relative paths without a leading slash are taken from its root. Character references in links are
-resolved as HTML resolves them in attributes.
+The node of a URL is its host, path and query: scheme and fragment tell no pages apart. Links are taken relative to the
+page's URL, from its folder, with . and .. resolved; rel may hold other words beside canonical. Character references in links are
+resolved as HTML resolves them in attributes. Redirects that a crawler saw can be given as a table.
 
-SQL below knows neither blocked URLs that are no rows nor character references; without such links the rows are the same.
+SQL below knows neither blocked URLs that are no rows nor character references nor ..; without such links the rows are the same.
 
 Edge cases: a null URL, or one without "://", has an empty host and path, no rule and no node, and is allowed; null HTML
 has no links; a link to itself is none; repeated rows and page_ids give a row each; other columns are not read;
-an empty table gives an empty table. DataFrame operations only, but for character references.
+an empty table gives an empty table. DataFrame operations only, but for the resolution of links.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import html as _html
 import re
 from collections.abc import Sequence
 from html.entities import html5
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,22 @@ def unescaped(text: str) -> str:
     return _REFERENCE.sub(lambda m: html5.get(m[1], m[0]) if m[1] else _html.unescape(m[0]), text)
 
 
+def joined(url: Column, link: Column) -> Column:
+    """The absolute URL of a page's link, or null if it has none."""
+
+    def one(base: str, to: str) -> str | None:
+        try:
+            return to if "://" in to.split("?")[0] else urljoin("http://" + base.split("://", 1)[1], to)
+        except ValueError:  # not a URL
+            return None
+
+    @F.arrow_udf("string")
+    def run(urls: pa.Array, links: pa.Array) -> pa.Array:
+        return pa.array([None if a is None or b is None else one(a, b) for a, b in zip(urls.to_pylist(), links.to_pylist(), strict=True)], pa.string())
+
+    return run(url, link)
+
+
 def resolved(text: Column) -> Column:
     @F.arrow_udf("string")
     def run(x: pa.Array) -> pa.Array:
@@ -105,29 +122,25 @@ def decide_by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """u, v: nodes of pages and of the URLs that their HTML redirects to or names as canonical."""
     html, url = F.col(html_col), F.col(url_col)
-    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?is)\brel\s*=\s*(?:\"[^\"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)") | t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     is_link = F.col("tag").rlike("(?i)^<link")
     # a link's href is cut out and then resolved; a refresh's URL is a part of its attribute's resolved text
     cut = F.when(is_link, F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)).otherwise(F.col("tag"))
     target = F.when(F.col("link"), F.col("text")).otherwise(F.regexp_extract("text", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
     some = pages.where(html.rlike("(?i)canonical|refresh") & url.contains("://")).select(url.alias("url"), F.explode(tags).alias("tag")).select("url", is_link.alias("link"), cut.alias("cut"))
     some = some.select("url", "link", resolved(F.col("cut")).alias("text")).select("url", F.trim(target).alias("to")).where("to <> ''")
-    to = F.col("to")
-    full = (
-        F.when(to.contains("://"), to)
-        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
-        .when(to.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), to))
-        .otherwise(F.concat(F.lit("http://"), host_of(F.col("url")), F.lit("/"), to))
-    )
-    return some.select(node_of(F.col("url")).alias("u"), node_of(full).alias("v")).where("u <> v")
-
-
-def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, host, path, rule and verdict of each row."""
+    return some.select(node_of(F.col("url")).alias("u"), node_of(joined(F.col("url"), F.col("to"))).alias("v")).where("u <> v")
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule and verdict of each row. redirects: from_url, to_url of further links, both absolute."""
     url = F.col(url_col)
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     judged = urls.withColumn("own", decide(F.col("host"), F.col("path"), rules))
-    parts = common.staged(components(page_links(pages, url_col, html_col)).withColumnRenamed("node", "_node"), "aliases")
+    links = page_links(pages, url_col, html_col)
+    if redirects is not None:
+        links = links.unionByName(redirects.select(node_of(F.col("from_url")).alias("u"), node_of(F.col("to_url")).alias("v")).where("u <> v"))
+    parts = common.staged(components(links).withColumnRenamed("node", "_node"), "aliases")
     # a component is blocked if any node of it is, a row or not; a node without a link has its own rule or none
     spread = parts.where(decide(*split_node(F.col("_node")), rules)["verdict"] == "block").select(F.col("component").alias("_component")).distinct()
     aliases = parts.join(spread, parts["component"] == spread["_component"], "left_semi").select("_node")
@@ -143,10 +156,10 @@ WITH RECURSIVE p AS (
 n AS (SELECT *, CASE WHEN contains(url, '://') THEN host || path || query END AS node FROM p),
 rules(v, h, x) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 own AS (SELECT page_id, url, node, arg_max(h || x, length(h || x)) AS rule, arg_max(v, length(h || x)) AS verdict FROM n JOIN rules ON ends_with('.' || host, '.' || h) AND starts_with(path, x) GROUP BY ALL),
-tags AS (SELECT url, host, node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM n WHERE node IS NOT NULL),
-targets AS (SELECT host, node, trim(CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END) AS t
-  FROM tags WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b|\bhttp-equiv\s*=\s*["'']?refresh\b')),
-fulls AS (SELECT node, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t ELSE 'http://' || host || '/' || t END AS f FROM targets WHERE t <> ''),
+tags AS (SELECT url, host, path, node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM n WHERE node IS NOT NULL),
+targets AS (SELECT host, path, node, trim(CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END) AS t
+  FROM tags WHERE regexp_matches(tag, '(?is)\brel\s*=\s*(?:"[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical\b)|\bhttp-equiv\s*=\s*["'']?refresh\b')),
+fulls AS (SELECT node, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t ELSE 'http://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || t END AS f FROM targets WHERE t <> ''),
 links AS (SELECT node AS a, translate(regexp_extract(f, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(f, '(?s)^.*?://[^/?#]*([^?#]*)', 1) || regexp_extract(f, '(?s)^.*?://[^?#]*(\?[^#]*)?', 1) AS b FROM fulls),
 both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 bad AS (SELECT DISTINCT node FROM own WHERE verdict = 'block' AND node IS NOT NULL UNION SELECT b FROM bad JOIN both_ways ON bad.node = a)

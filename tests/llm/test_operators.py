@@ -166,6 +166,20 @@ def test_links_to_blocked_urls_that_are_no_rows(spark):
     assert url_filter.unescaped("?a&amp;b&copy=1&copyx&copy;&notit;&#38;&amp") == "?a&b&copy=1&copyx©&notit;&&"
 
 
+def test_relative_links_and_redirect_tables(spark):
+    rules = (("block", "x.net", "/es/"),)
+    link = '<link rel="{}" href="{}">'
+    rows = [
+        (1, "http://x.net/es/1", "", "block"), (2, "http://a.org/d/e/p.html?q", link.format("alternate canonical", "q.html"), "block"), (3, "http://a.org/d/e/q.html", link.format("canonical", "../r"), "block"),
+        (4, "http://a.org/d/r", link.format("nofollow CANONICAL", "//x.net/es/9"), "block"), (5, "http://a.org/q.html", link.format("canonicalish", "http://x.net/es/1"), "allow"),
+        (6, "http://b.org/1", "", "block"), (7, "http://b.org/2", link.format("canonical", "mailto:a@b"), "allow"), (8, "http://b.org/3", link.format("canonical", "http://[bad"), "allow"),
+    ]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    redirects = spark.createDataFrame([("https://b.org/1#x", "http://c.org/"), ("http://c.org/", "http://x.net/es/1"), (None, "http://x.net/es/1")], "from_url string, to_url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, rules, redirects=redirects).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 # --- 4: substring dedup --------------------------------------------------------------------------------------------------
 
 
@@ -693,3 +707,13 @@ def test_sequences(spark):
     store = spark.createDataFrame([(digest, 7), (digest, 7)], "digest string, payload int")
     got = [tuple(r) for r in media.resolve(media.sequences(pages), store).orderBy("page_id", "position").select("page_id", "position", "kind", "text", "caption", "payload").collect()]
     assert got == [(1, 0, "text", "one & two", None, None), (1, 1, "image", None, "cap <1>", 7), (1, 2, "text", "three", None, None), (1, 3, "image", None, "none", None), (3, 0, "text", "open x", None, None), (3, 1, "image", "http://u/i.png", "t", None)]
+
+
+def test_tags_that_are_left_open():
+    kinds = lambda html: [(x["kind"], x["text"], x["caption"]) for x in media.parse(html)]
+    assert kinds("<figure><img src=a><figcaption>cap</figure><p>rest</p>") == [("image", "a", "cap"), ("text", "rest", None)]
+    assert kinds("<div><figcaption>cap</div><p>rest") == [("text", "cap", None), ("text", "rest", None)]
+    assert kinds("a<figcaption>cap<p>rest") == [("text", "a", None), ("text", "cap rest", None)]
+    assert kinds("a<template>b<p>c") == [("text", "ab", None), ("text", "c", None)] and kinds("a<template>b</template>c") == [("text", "ac", None)]
+    assert kinds("a<noscript><img src=x>b</noscript>c<noscript>d</noscript>") == [("text", "ac", None)]
+    assert kinds("<figure><img src=a><figcaption><p>one</p><p>two</p></figcaption></figure>") == [("image", "a", "one two")]
