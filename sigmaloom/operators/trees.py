@@ -221,6 +221,12 @@ def _split_scores(left: np.ndarray, right: np.ndarray, task: str) -> np.ndarray:
     return sum(x[..., 1] ** 2 / np.maximum(x[..., 0], tiny) for x in (left, right))
 
 
+def candidate_features(schema: TreeSchema, trees: int, depth: int, max_features: int) -> list[list[list[list[int]]]]:
+    """Of each level, tree and node the features that may split it, drawn from a stream that only the public schema and sizes seed."""
+    stream = KeyedStream(semantic_seed(b"public", "candidates/v1", schema.sha256(), trees, depth, max_features))
+    return [[[sorted(stream.permutation(len(schema.features))[:max_features]) for _ in range(1 << level)] for _ in range(trees)] for level in range(depth)]
+
+
 def random_forest(df: DataFrame, schema: TreeSchema, target: str, trees: int, depth: int, max_features: int, key: bytes, noise: Noise = no_noise) -> dict:
     """Each record trains one tree, chosen by a keyed hash of its bins and target; depth + 1 aggregations in all."""
     if not (1 <= depth <= 12 and 1 <= trees <= 512 and 1 <= max_features <= len(schema.features)):
@@ -229,7 +235,7 @@ def random_forest(df: DataFrame, schema: TreeSchema, target: str, trees: int, de
     tree = keyed.tree_of(key, [F.get("b", k) for k in range(len(schema.features))], F.col("y"), trees)
     y = schema.unit_target(F.col("y"))
     rows = store.staged(rows.select("b", (y.cast("long") if schema.task == "binary" else F.rint(y * SCALE).cast("long")).alias("s"), tree.alias("tree")), "assigned")
-    stream = KeyedStream(semantic_seed(b"public", "candidates/v1", schema.sha256(), trees, depth, max_features))
+    schedule = candidate_features(schema, trees, depth, max_features)
     grown = [{"features": [], "cuts": [], "default_left": []} for _ in range(trees)]
     node: Column = F.lit(0)
     slots = schema.bins
@@ -239,7 +245,7 @@ def random_forest(df: DataFrame, schema: TreeSchema, target: str, trees: int, de
 
     for level in range(depth):
         width = 1 << level
-        chosen = [[sorted(stream.permutation(len(schema.features))[:max_features]) for _ in range(width)] for _ in range(trees)]
+        chosen = schedule[level]
         flat = [f for t in chosen for n in t for f in n]
         group = F.col("tree") * width + node
         each = F.posexplode(F.slice(F.array(*[F.lit(f) for f in flat]), group * max_features + 1, max_features)).alias("k", "f")

@@ -16,6 +16,7 @@ from ..operators import joins, linear, metrics, pooling, privacy, statistics, tr
 from ..sources import readers
 from . import contract as contracts
 from . import prepare as prepared
+from . import tree_sql
 
 #: A public test key: whoever has it can undo the keyed partitions and the noise of these queries.
 TEST_KEY = bytes(range(32))
@@ -487,22 +488,22 @@ def private_depthwise_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained("xgboost", spark, sf_dir, trees=3, depth=3, rate=0.5, epsilon=3.0, delta=1e-6, secret=TEST_KEY)
 
 
-@_query()
+@_query(tree_sql.random_forest(_SCHEMA, f"SELECT {_B} FROM lineitem", 8, 4, 2, lambda text: _hmac_sql('record', text, 'tree/v1')))
 def random_forest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained("random_forest", spark, sf_dir, trees=8, depth=4, max_features=2)
 
 
-@_query()
+@_query(tree_sql.boosted(_SCHEMA, f"SELECT {_B} FROM lineitem", "leafwise", trees=3, depth=4, rounds=7, rate=0.5))
 def leafwise_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained("lightgbm", spark, sf_dir, trees=3, depth=4, leaves=8, rate=0.5)
 
 
-@_query()
+@_query(tree_sql.boosted(_SCHEMA, f"SELECT {_B} FROM lineitem", "oblivious", trees=3, depth=3, rounds=3, rate=0.5))
 def oblivious_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained("catboost", spark, sf_dir, trees=3, depth=3, rate=0.5)
 
 
-@_query()
+@_query(tree_sql.boosted(_SCHEMA, f"SELECT {_B} FROM lineitem", "depthwise", trees=3, depth=3, rounds=3, rate=0.5))
 def depthwise_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained("xgboost", spark, sf_dir, trees=3, depth=3, rate=0.5)
 
