@@ -21,10 +21,23 @@ def base_name(c: Column) -> Column:
     return F.element_at(F.split(c, "/"), -1)
 
 
+_SUFFIX = "(?i)(" + "|".join(s.replace(".", r"\.") for s in IMAGE_SUFFIXES) + ")$"
+
+
+def without_suffix(c: Column) -> Column:
+    """The path without its image suffix, whatever its case."""
+    return F.regexp_replace(c, _SUFFIX, "")
+
+
+def suffix_rank(c: Column) -> Column:
+    """The place of the path's image suffix in the list of suffixes, from 0; null without one."""
+    found = F.array_position(F.array(*[F.lit(s) for s in IMAGE_SUFFIXES]), F.lower(F.regexp_extract(c, _SUFFIX, 1)))
+    return F.when(found > 0, found - 1)
+
+
 def stem(c: Column) -> Column:
     """The name without its image suffix, whatever its case."""
-    endings = "|".join(s.replace(".", r"\.") for s in IMAGE_SUFFIXES)
-    return F.regexp_replace(base_name(c), f"(?i)({endings})$", "")
+    return without_suffix(base_name(c))
 
 
 def bucket(uri: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import MISSING_UNIT, unit_id
-from ..functions.paths import INVALID_PATH, base_name, first_path, stem
+from ..functions.paths import INVALID_PATH, base_name, first_path, stem, suffix_rank, without_suffix
 
 
 def label_join(samples: DataFrame, labels: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -26,11 +26,15 @@ def first_match(left: DataFrame, lookup: DataFrame, left_key: Column, lookup_key
 
 def resolved_paths(samples: DataFrame, manifest: DataFrame, files: DataFrame, id_col: str = "sample_id", path_col: str = "relative_path") -> DataFrame:
     """The path of each sample: its own, else that of the first manifest row with its id, else that of the first file whose stem is its
-    id, else INVALID_PATH. manifest: sample_id, ordinal, path; files: path."""
+    id, else the file that is its id, folders included, and an image suffix, in the order of the suffixes, else INVALID_PATH.
+    manifest: sample_id, ordinal, path; files: path."""
     with_manifest = first_match(samples, manifest, F.col(id_col), "sample_id", "path", "ordinal", "_from_manifest")
     named = files.select(stem(F.col("path")).alias("_stem"), F.col("path").alias("_path"))
     with_files = first_match(with_manifest, named, F.col(id_col), "_stem", "_path", "_path", "_from_files")
-    return with_files.withColumn(path_col, first_path(F.col(path_col), F.col("_from_manifest"), F.col("_from_files"))).drop("_from_manifest", "_from_files")
+    probes = files.where(suffix_rank(F.col("path")).isNotNull()).select(without_suffix(F.col("path")).alias("_whole"), F.col("path").alias("_path"), F.struct(suffix_rank(F.col("path")), "path").alias("_rank"))
+    with_probes = first_match(with_files, probes, F.col(id_col), "_whole", "_path", "_rank", "_from_probe")
+    found = first_path(F.col(path_col), F.col("_from_manifest"), F.col("_from_files"), F.col("_from_probe"))
+    return with_probes.withColumn(path_col, found).drop("_from_manifest", "_from_files", "_from_probe")
 
 
 def invalid_paths(df: DataFrame, path_col: str = "relative_path") -> DataFrame:

@@ -40,10 +40,14 @@ class Contract:
     epsilon: float = 1.0
     delta: float = 1e-6
     clip: float = 1.0
+    #: Further binary targets of a multilabel task.
+    more_targets: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         check_policy(self.epsilon, self.delta, self.clip)
-        names = [self.target, *self.features]
+        names = [*self.targets, *self.features]
+        if bool(self.more_targets) != (self.task == "multilabel"):
+            raise ValueError("a multilabel task has several targets, any other has one")
         if not all(names) or len(set(names)) != len(names) or not self.features:
             raise ValueError("target and features must be named, once each")
         if any(not (math.isfinite(a) and math.isfinite(b) and -1e6 <= a < b <= 1e6) for a, b in [*self.bounds.values(), *([self.target_bounds] if self.target_bounds else [])]):
@@ -53,6 +57,10 @@ class Contract:
         if self.task in ("regression", "count") and self.target_bounds is None:
             raise ValueError("a numeric task needs target bounds")
 
+    @property
+    def targets(self) -> tuple[str, ...]:
+        return (self.target, *self.more_targets)
+
     @property
     def model_features(self) -> tuple[str, ...]:
         """Features without the subject's column."""
@@ -60,7 +68,7 @@ class Contract:
 
     @property
     def columns(self) -> list[str]:
-        return list(dict.fromkeys([self.target, *self.features, *([self.subject] if self.subject else [])]))
+        return list(dict.fromkeys([*self.targets, *self.features, *([self.subject] if self.subject else [])]))
 
     def sha256(self) -> str:
         return sha256_json(asdict(self))

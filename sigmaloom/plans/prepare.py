@@ -11,6 +11,10 @@ from .contract import Contract
 
 
 def target_column(contract: Contract) -> Column:
+    """The target made total; of a multilabel task an array of 0 and 1, one for each target."""
+    if contract.task == "multilabel":
+        one = lambda name: clean.level_code(F.col(name), contract.levels) if contract.levels else clean.integer_code(F.col(name), 2)
+        return F.array(*[one(name) for name in contract.targets])
     c = F.col(contract.target)
     if contract.task in ("regression", "count"):
         return clean.regression_target(c, *contract.target_bounds)
@@ -34,6 +38,11 @@ def pooled(frame: DataFrame, contract: Contract) -> DataFrame:
     features = list(contract.model_features)
     if contract.task in ("regression", "count"):
         return units.pooled_means(frame, "unit", features, "y")
+    if contract.task == "multilabel":
+        flat = frame.withColumns({f"_y{k}": F.get("y", F.lit(k)) for k in range(len(contract.targets))})
+        names = [f"_y{k}" for k in range(len(contract.targets))]
+        labels = units.pooled_multilabel(flat, "unit", names).select("unit", F.array(*names).alias("y"))
+        return units.pooled_means(frame, "unit", features).join(labels, "unit")
     return units.pooled_means(frame, "unit", features).join(units.pooled_mode(frame, "unit", "y"), "unit")
 
 

@@ -604,8 +604,10 @@ def tree_release_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import model_queries, source_queries  # noqa: F401  they register theirs
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: _SQL[name] for name in queries() if name in _SQL}
