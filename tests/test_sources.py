@@ -78,3 +78,23 @@ def test_image_samples(spark):
     c = contract.Contract("y0", ("f",), levels=(0, 1))
     got = {r["sample_id"]: (r["relative_path"], r["y"]) for r in prepare.image_samples(samples, labels, manifest, files, c).collect()}
     assert got == {"a": ("m/a.png", 1), "b": ("x/b.png", 0), "c": ("f/c.nii.gz", 0), "d": ("__invalid_path__", 1)}
+
+
+def test_multilabel_contract():
+    from sigmaloom.plans.contract import Contract
+
+    c = Contract("a", ("x",), task="multilabel", more_targets=("b",))
+    assert c.columns == ["a", "b", "x"]
+    for bad in ({"task": "multilabel"}, {"more_targets": ("b",)}, {"task": "multilabel", "more_targets": ("a",)}):
+        with pytest.raises(ValueError):
+            Contract("a", ("x",), **bad)
+
+
+def test_suffix_probe(spark):
+    from sigmaloom.operators import joins
+
+    samples = spark.createDataFrame([("f/a", None), ("f/b", None), (None, None)], "sample_id string, relative_path string")
+    manifest = spark.createDataFrame([], "sample_id string, ordinal int, path string")
+    files = spark.createDataFrame([("f/a.PNG",), ("f/a.dcm",), ("f/b.txt",), (None,)], "path string")
+    got = {r["sample_id"]: r["relative_path"] for r in joins.resolved_paths(samples, manifest, files).collect()}
+    assert got == {"f/a": "f/a.dcm", "f/b": "__invalid_path__", None: "__invalid_path__"}
