@@ -9,7 +9,7 @@ distinct chunk is encoded and aligned once for each worker's memory, and a text
 
 * Identity map: for every A id the B id of the same bytes. A link of such a pair is an exact one-to-one group, since tokens of equal
   bytes that end together also begin together. These are counted in a vector as long as A's vocabulary.
-* All other links are summed by pair in each task and then by a shuffle on the pair. Linked tokens end together, so the bytes of
+* The links of the irregular groups are summed by pair in each task and then by a shuffle on the pair. Linked tokens end together, so the bytes of
   one are a suffix of the other's: there are no more such pairs than the bytes of both vocabularies together times the most ids
   that share their bytes. That bounds the table of counts that goes to all tasks, whatever the corpus; it is checked.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +38,9 @@ from . import common
 from .bpe import byte_letters
 
 #: Chunks, and characters of chunks, that a worker remembers; beyond either it starts anew.
-MEMORY, MEMORY_CHARS = 200_000, 16_000_000
+MEMORY, MEMORY_CHARS = 400_000, 80_000_000
+#: Chunks that are encoded as one text, and distinct pairs of batches that a task adds up at once.
+JOINED, SEEN = 256, 1_000_000
 #: A place where a text may not be cut at every space.
 _ODD = re.compile(r"\s | \Z")
 _CUTS = re.compile(r"(?<=\S)(?= +[^ ])")
@@ -72,12 +75,16 @@ class Pair:
         for i in sorted(range(len(self.b_bytes)), key=lambda i: (plain[i], -i)):  # a piece goes before a byte, a lower id before a higher
             if not (self.b.is_control(i) or self.b.is_unknown(i)):
                 of[self.b_bytes[i]] = i
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        #: each id as text, followed by a comma, a bar or a semicolon
+        self.numbers = np.array([f"{i}{mark}" for mark in ",|;" for i in range(most)], object)
         self.same = np.array([of.get(x, -1) if x else -1 for x in self.a_bytes], np.int64)
         shared = max(max(Counter(side).values()) for side in ([x for x in self.a_bytes if x], self.b_bytes))
         self.most_pairs = shared * (sum(map(len, self.a_bytes)) + sum(map(len, self.b_bytes)))
 
     def align(self, chunk: str, a: list[int], b: list[int]) -> tuple[bool, list[tuple[int, int]], str]:
-        """Whether both sides spell the chunk; its links (A id, B id); and its groups as text."""
+        """Whether both sides spell the chunk; its links (A id, B id); and its groups as text, each with a semicolon."""
         a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         whole = chunk.encode()
         if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
@@ -92,15 +99,16 @@ class Pair:
                 j += 1
             if at_a == at_b:
                 links.append((a[i - 1], b[j - 1]))
-                groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
+                groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])) + ";")
                 i0, j0 = i, j
-        return True, links, ";".join(groups)
+        return True, links, "".join(groups)
 
 
 _LOADED: dict[tuple[str, str], Pair] = {}
 
 
 def loaded(a_file: str, b_file: str) -> Pair:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     if (a_file, b_file) not in _LOADED:
         _LOADED[a_file, b_file] = Pair(a_file, b_file)
     return _LOADED[a_file, b_file]
@@ -113,84 +121,108 @@ def chunks(text: str) -> list[str]:
     return [x[1:] for x in _CUTS.split(" " + text)]
 
 
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of `sizes` places from `starts` on, one run after the other."""
+    at = np.arange(int(sizes.sum()))
+    return at + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class Chunks:
-    """A worker's memory of aligned chunks: for each code the lengths, links and groups of a chunk."""
+    """A worker's memory of aligned chunks: for each code the tokens of both sides, the links and the groups as text."""
 
-    def __init__(self, pair: Pair, counts: Counts | None = None) -> None:
-        self.pair, self.counts = pair, counts
+    def __init__(self, pair: Pair) -> None:
+        self.pair = pair
         self.clear()
 
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
         self.chars = 0
         self.groups: list[str] = []
-        #: by code: A tokens, B tokens, links, links at their B id's best, sum of counts; whether both sides spell it
-        self.sums = np.zeros((1024, 5), np.int64)
+        #: by code: A tokens, B tokens, links, the first link; and whether both sides spell it
+        self.sums = np.zeros((1024, 4), np.int64)
         self.spelt = np.zeros(1024, bool)
-        self.seen = np.zeros(1024, np.int64)
-        self.links: list[np.ndarray] = []
-        self.link_code: list[np.ndarray] = []
+        self.links = np.zeros((1024, 2), np.int32)
+        self.n_links = 0
 
     def full(self) -> bool:
         return len(self.codes) > MEMORY or self.chars > MEMORY_CHARS
 
+    def _keep(self, keys: list[str], spelt: bool, sums: np.ndarray, links: np.ndarray, groups: list[str]) -> None:
+        first, n = len(self.groups), len(self.groups) + len(keys)
+        if n > len(self.spelt):
+            self.spelt.resize(2 * n, refcheck=False)
+            self.sums.resize((2 * n, 4), refcheck=False)
+        if self.n_links + len(links) > len(self.links):
+            self.links.resize((2 * (self.n_links + len(links)), 2), refcheck=False)
+        self.spelt[first:n] = spelt
+        self.sums[first:n, :3] = sums
+        self.sums[first:n, 3] = self.n_links + np.cumsum(sums[:, 2]) - sums[:, 2]
+        self.links[self.n_links : self.n_links + len(links)] = links
+        self.n_links += len(links)
+        self.groups += groups
+        self.codes.update(zip(keys, range(first, n), strict=True))
+        self.chars += sum(map(len, keys)) + sum(map(len, groups))
+
+    def _one(self, key: str) -> None:
+        pair = self.pair
+        a, b = pair.a.encode(" " + key, add_special_tokens=False).ids, pair.b.encode(key)
+        spelt, links, groups = pair.align(" " + key, a, b)
+        links = np.array(links, np.int32).reshape(-1, 2)
+        links[pair.same[links[:, 0]] == links[:, 1], 1] = -1
+        self._keep([key], spelt, np.array([[len(a), len(b), len(links)]]), links, [groups])
+
     def learn(self, new: list[str]) -> None:
-        """Encodes and aligns chunks that are not known yet."""
-        if not new:
+        """Encodes and aligns chunks that are not known yet: those that end with a character other than white space together, JOINED
+        of them in one text, the others and those whose text one side does not spell each by itself."""
+        plain = [k for k in new if k and not k[-1].isspace() and not "\x1c" <= k[-1] <= "\x1f"]
+        for k in set(new).difference(plain):
+            self._one(k)
+        for i in range(0, len(plain), JOINED * 64):
+            self._many([plain[j : j + JOINED] for j in range(i, min(i + JOINED * 64, len(plain)), JOINED)])
+
+    def _many(self, sets: list[list[str]]) -> None:
+        pair = self.pair
+        texts = [" ".join(x) for x in sets]
+        a, b = [x.ids for x in pair.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)], pair.b.encode(texts, num_threads=1)
+        good, sides = [], [[], []]
+        for keys, text, *ids in zip(sets, texts, a, b, strict=True):
+            whole = (" " + text).encode()
+            if all(b"".join(map(side.__getitem__, x)) == whole for side, x in zip((pair.a_bytes, pair.b_bytes), ids, strict=True)):
+                good += keys
+                for side, x in zip(sides, ids, strict=True):
+                    side += x
+            else:
+                for k in keys:
+                    self._one(k)
+        if not good:
             return
-        whole = [" " + x for x in new]
-        a, b = self.pair.a.encode_batch_fast(whole, add_special_tokens=False), self.pair.b.encode(new, num_threads=1)
-        first, keys, sizes = len(self.groups), [], []
-        size = len(self.seen)
-        while size < first + len(new):
-            size *= 2
-        if size > len(self.seen):
-            self.sums.resize((size, 5), refcheck=False)
-            self.spelt.resize(size, refcheck=False)
-            self.seen.resize(size, refcheck=False)
-        for k, (x, y, z) in enumerate(zip(whole, a, b, strict=True), first):
-            ids = y.ids
-            spelt, links, groups = self.pair.align(x, ids, z)
-            self.codes[x[1:]] = k
-            self.chars += len(x) + len(groups)
-            self.groups.append(groups)
-            self.spelt[k] = spelt
-            self.sums[k, :3] = len(ids), len(z), len(links)
-            keys += links
-            sizes.append(len(links))
-        pairs = np.array(keys, np.int64).reshape(-1, 2)
-        code = np.repeat(np.arange(first, first + len(new)), sizes)
-        if self.counts is None:
-            self.links.append(pairs[:, 0] << 32 | pairs[:, 1])
-            self.link_code.append(code)
-        elif len(pairs):
-            n, best = self.counts.of(pairs[:, 0], pairs[:, 1])
-            np.add.at(self.sums[:, 3], code, best)
-            np.add.at(self.sums[:, 4], code, n)
+        a, b = (np.array(x, np.int64) for x in sides)
+        a_end, b_end = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+        ends = np.cumsum([len(k.encode()) + 1 for k in good])
+        here = np.zeros((2, int(ends[-1]) + 1), bool)
+        here[0, a_end] = here[1, b_end] = True
+        a_last, b_last = here[1, a_end], here[0, b_end]  # tokens that end where one of the other side does
+        if not (here[0, ends] & here[1, ends]).all():
+            raise AssertionError("a token spans two chunks")
+        links = np.stack([a[a_last], b[b_last]], 1).astype(np.int32)
+        links[pair.same[links[:, 0]] == links[:, 1], 1] = -1
+        # the groups as text: the A tokens of a group, then its B tokens; each token with the mark that follows it
+        place_a = np.arange(len(a)) + np.searchsorted(b_end, a_end[np.flatnonzero(a_last)], "right")[np.cumsum(a_last) - a_last - 1] * (np.cumsum(a_last) - a_last > 0)
+        place_b = np.arange(len(b)) + np.searchsorted(a_end, b_end[np.flatnonzero(b_last)], "right")[np.cumsum(b_last) - b_last]
+        said = np.empty(len(a) + len(b), object)
+        said[place_a], said[place_b] = pair.numbers[a + len(pair.numbers) // 3 * a_last], pair.numbers[b + len(pair.numbers) // 3 * 2 * b_last]
+        said = said.tolist()
+        counts = np.stack([np.searchsorted(x, ends, "right") for x in (a_end, b_end, a_end[a_last])], 1)
+        until = (counts[:, 0] + counts[:, 1]).tolist()
+        self._keep(good, True, np.diff(counts, axis=0, prepend=0), links, ["".join(said[i:j]) for i, j in zip([0, *until], until, strict=False)])
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The codes of all texts' chunks, and where each text's begin; of those that have any."""
         parts = [chunks(x) for x in texts if x]
-        self.learn(sorted(set(chain.from_iterable(parts)) - self.codes.keys()))
+        flat = list(chain.from_iterable(parts))
+        self.learn(list(set(flat) - self.codes.keys()))
         starts = np.cumsum([0, *map(len, parts)])
-        return np.fromiter(map(self.codes.__getitem__, chain.from_iterable(parts)), np.int64, int(starts[-1])), starts
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How often each link was seen, as A ids, B ids and counts; B is -1 for the identity map's, which are counted in a vector.
-        Forgets all chunks."""
-        keys = np.concatenate([np.zeros(0, np.int64), *self.links])
-        n = self.seen[np.concatenate([np.zeros(0, np.int64), *self.link_code])]
-        a, b, same = keys >> 32, keys & 0xFFFFFFFF, self.pair.same
-        exact = same[a] == b
-        vector = np.zeros(len(same), np.int64)
-        np.add.at(vector, a[exact], n[exact])
-        at = np.flatnonzero(vector)
-        keys, of = np.unique(keys[~exact], return_inverse=True)
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, of, n[~exact])
-        keys, sums = keys[sums > 0], sums[sums > 0]
-        self.clear()
-        return np.concatenate([at, keys >> 32]), np.concatenate([np.full(len(at), -1), keys & 0xFFFFFFFF]), np.concatenate([vector[at], sums])
+        return np.fromiter(map(self.codes.__getitem__, flat), np.int64, len(flat)), starts
 
 
 class Counts:
@@ -207,72 +239,96 @@ class Counts:
         np.maximum.at(self.best, np.where(exact, pair.same[a], b), n)
 
     def of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The counts of pairs that were seen, 0 for others, and whether each is its B id's highest."""
-        n = np.where(self.same[a] == b, self.vector[a], 0)
-        if len(self.keys):
-            key = a << 32 | b
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            n = np.where(self.keys[at] == key, self.n[at], n)
-        return n, (n == self.best[b]) & (n > 0)
-
-
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    common.small_batches(df.sparkSession)
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
+        """The counts of links, all of them seen, b being -1 for the identity map's; and whether each is its B id's highest."""
+        exact = b < 0
+        n = self.vector[a]
+        n[~exact] = self.n[np.searchsorted(self.keys, a[~exact] << 32 | b[~exact])]
+        return n, n == self.best[np.where(exact, self.same[a], b)]
 
 
-def pair_counts(df: DataFrame, a_file: str, b_file: str, text_col: str = "text") -> DataFrame:
-    """a, b, n: how many links hold each pair of ids, over the whole texts of all rows; b is -1 for the identity map's B id. Its
-    rows are bounded by the vocabularies (Pair.most_pairs)."""
+def aligned(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
+    """Of each row's whole text: doc_id, n_a, n_b, groups_sha256, its links in order as a and b, and with `groups` the groups as text,
+    `a1,a2|b1;a3|b2,b3`. b is -1 for the identity map's id."""
     common.small_batches(df.sparkSession)
-    schema = common.shape("a long, b long, n long")
+    schema = common.shape("doc_id long, n_a long, n_b long, a ints, b ints, groups_sha256 string" + ", groups string" * groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Chunks(loaded(a_file, b_file))
-        for batch in common.slices(batches, 0):
-            codes, starts = memory.read(batch.column(0).to_pylist())
+        for batch in common.slices(batches):
+            texts = batch.column(1).to_pylist()
+            codes, starts = memory.read(texts)
+            row = np.flatnonzero([bool(x) for x in texts])
+            sums, said = np.zeros((len(texts), 3), np.int64), [""] * len(texts)
+            links = np.zeros((0, 2), np.int32)
             if len(codes):
                 whole = np.logical_and.reduceat(memory.spelt[codes], starts[:-1])
-                memory.seen[: len(memory.groups)] += np.bincount(codes[np.repeat(whole, np.diff(starts))], minlength=len(memory.groups))
+                sums[row[whole]] = np.add.reduceat(memory.sums[codes, :3], starts[:-1])[whole]
+                kept = codes[np.repeat(whole, np.diff(starts))]
+                links = memory.links[_gather(memory.sums[kept, 3], memory.sums[kept, 2])]
+                listed, every = codes.tolist(), starts.tolist()
+                for k in np.flatnonzero(whole).tolist():
+                    said[row[k]] = "".join(map(memory.groups.__getitem__, listed[every[k] : every[k + 1]]))[:-1]
+            ends = pa.array(np.concatenate([[0], np.cumsum(sums[:, 2])]), pa.int32())
+            columns = [pa.array(sums[:, 0]), pa.array(sums[:, 1]), *(pa.ListArray.from_arrays(ends, pa.array(links[:, k])) for k in (0, 1))]
+            columns.append(pa.array([hashlib.sha256(x.encode()).hexdigest() if x else "" for x in said], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *([pa.array(said, pa.string())] if groups else [])], schema=schema)
             if memory.full():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in memory.counted()], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in memory.counted()], schema=schema)
+                memory.clear()
+
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, common.spark_type(schema))
 
-    found = df.select(df[text_col].alias("text")).mapInArrow(run, common.spark_type(schema))
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
+def pair_counts(links: DataFrame, vocabulary: int) -> DataFrame:
+    """a, b, n: how many links of `aligned` rows hold each pair of ids. The identity map's (b is -1) are counted in a vector as long as A's
+    vocabulary, and each other pair once for about SEEN links of a task."""
+    schema = common.shape("a long, b long, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector, others, waiting = np.zeros(vocabulary, np.int64), [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in others)])
+            keys, of = np.unique(keys, return_inverse=True)
+            n = np.zeros(len(keys), np.int64)
+            np.add.at(n, of, np.concatenate([np.zeros(0, np.int64), *(n for _, n in others)]))
+            return keys, n
+
+        for batch in batches:
+            a, b = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            vector += np.bincount(a[b < 0], minlength=vocabulary)
+            others.append(np.unique(a[b >= 0] << 32 | b[b >= 0], return_counts=True))
+            waiting += len(others[-1][0])
+            if waiting > SEEN:
+                others = [summed()]
+                waiting = 0
+        at = np.flatnonzero(vector)
+        keys, n = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((at, keys >> 32), (np.full(len(at), -1), keys & 0xFFFFFFFF), (vector[at], n))], schema=schema)
 
-#: What `align` can return of a document.
-COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups", "groups_sha256")
+    return links.select("a", "b").mapInArrow(run, common.spark_type(schema)).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def align(df: DataFrame, a_file: str, b_file: str, columns: tuple[str, ...] = COLUMNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the asked columns (see COLUMNS) of each row's whole text. groups: `a1,a2|b1;a3|b2,b3`, ids in order."""
-    session = df.sparkSession
+def align(df: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, and with `groups` the groups as text, of each row's whole text. The
+    links are staged, so every text is encoded once."""
     pair = loaded(a_file, b_file)
-    table = pair_counts(df, a_file, b_file, text_col).toArrow()
-    if table.num_rows > pair.most_pairs + len(pair.a_bytes):
+    links = common.staged(aligned(df, a_file, b_file, id_col, text_col, groups), "links")
+    table = pair_counts(links, len(pair.a_bytes)).toArrow()
+    if table.num_rows > pair.most_pairs:
         raise AssertionError("more pairs than two vocabularies can link")
-    counts = session.sparkContext.broadcast(Counts(pair, *(table.column(c).to_numpy() for c in ("a", "b", "n"))))
-    schema = common.shape("doc_id long, " + ", ".join(f"{c} {'string' if c.startswith('groups') else 'long'}" for c in columns))
+    counts = df.sparkSession.sparkContext.broadcast(Counts(pair, *(table.column(c).to_numpy() for c in ("a", "b", "n"))))
+    schema = common.shape("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string" + ", groups string" * groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Chunks(loaded(a_file, b_file), counts.value)
-        for batch in common.slices(batches):
-            texts = batch.column(1).to_pylist()
-            codes, starts = memory.read(texts)
-            row = np.flatnonzero([bool(x) for x in texts])
-            sums, groups = np.zeros((len(texts), 5), np.int64), [""] * len(texts)
-            if len(codes):
-                whole = np.logical_and.reduceat(memory.spelt[codes], starts[:-1])
-                sums[row[whole]] = np.add.reduceat(memory.sums[codes], starts[:-1])[whole]
-                for k in np.flatnonzero(whole).tolist():
-                    groups[row[k]] = ";".join(map(memory.groups.__getitem__, codes[starts[k] : starts[k + 1]].tolist()))
-            out = dict(zip(("n_a", "n_b", "n_groups", "n_best", "count_sum"), sums[:, [0, 1, 2, 3, 4]].T, strict=True))
-            out |= {"n_links": out["n_groups"], "groups": groups}
-            out["groups_sha256"] = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in groups]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[c], schema.field(c).type) for c in columns)], schema=schema)
-            if memory.full():
-                memory.clear()
-
-    return _texts(df, id_col, text_col).mapInArrow(run, common.spark_type(schema))
+        for batch in batches:
+            a, b = batch.column("a"), batch.column("b").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            size = a.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            n, best = counts.value.of(a.flatten().to_numpy(zero_copy_only=False).astype(np.int64), b)
+            row = np.repeat(np.arange(len(size)), size)
+            out = np.zeros((2, len(size)), np.int64)
+            np.add.at(out[0], row, best)
+            np.add.at(out[1], row, n)
+            columns = [batch.column(c) for c in ("doc_id", "n_a", "n_b")] + [pa.array(x) for x in (size, size, *out)]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in ("groups_sha256", *(["groups"] if groups else [])))], schema=schema)
+
+    return links.mapInArrow(run, common.spark_type(schema))

@@ -66,7 +66,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
-    return alignment.align(_table(spark, sf_dir, "documents"), *files, ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"))
+    return alignment.align(_table(spark, sf_dir, "documents"), *files)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_langid": op2_langid, "op3_url_filter": op3_url_filter, "op4_substring": op4_substring, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard": op8_jaccard, "op9_packing": op9_packing, "op10_media": op10_media, "op13_alignment": op13_alignment}

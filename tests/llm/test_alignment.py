@@ -59,29 +59,34 @@ def rows():
 
 def test_equals_brute_force(spark, rows):
     df = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, a long, n long, groups string").repartition(3)
-    got = {r["doc_id"]: tuple(r)[1:] for r in alignment.align(df, *FILES, tuple(c for c in alignment.COLUMNS if c != "groups")).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in alignment.align(df, *FILES).collect()}
     assert got == brute(rows)
     assert alignment.align(df.limit(0), *FILES).count() == 0
 
 
-def test_small_memory(spark, rows, monkeypatch):
-    """A worker that forgets all the time counts the same."""
-    from pyspark import cloudpickle
-
-    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    want = {tuple(r) for r in alignment.pair_counts(df, *FILES).collect()}
+def test_small_memory_and_groups_as_text(rows, monkeypatch):
+    """A worker that forgets all the time, and chunks that are encoded one by one, give the same."""
+    pair = alignment.loaded(*FILES)
+    texts = [t for _, t in rows]
+
+    def said(size):
+        memory, out = alignment.Chunks(pair), []
+        for i in range(0, len(texts), size):
+            codes, starts = memory.read(texts[i : i + size])
+            out += [[(memory.groups[c], *memory.sums[c, :3], *memory.links[memory.sums[c, 3] :][: memory.sums[c, 2]].ravel()) for c in codes[a:b]] for a, b in zip(starts, starts[1:], strict=False)]
+            if memory.full():
+                memory.clear()
+        return out
+
+    want = said(len(texts))
     monkeypatch.setattr(alignment, "MEMORY", 5)
-    monkeypatch.setattr(alignment, "_LOADED", {})  # a pickled tokenizer forgets that special tokens are plain text
-    cloudpickle.register_pickle_by_value(alignment)
-    try:
-        assert {tuple(r) for r in alignment.pair_counts(df, *FILES).collect()} == want
-    finally:
-        cloudpickle.unregister_pickle_by_value(alignment)
+    monkeypatch.setattr(alignment, "JOINED", 1)
+    assert said(7) == want
 
 
 def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "hello world"), (7, "hello world"), (7, "hello world")], "doc_id long, text string")
-    got = sorted((tuple(r) for r in alignment.align(df, *FILES, ("n_links", "n_best", "count_sum")).collect()), key=repr)
+    got = sorted((tuple(r) for r in alignment.align(df, *FILES).select("doc_id", "n_links", "n_best", "count_sum").collect()), key=repr)
     assert [r[0] for r in got] == [7, 7, None] and {r[1:] for r in got} == {(2, 2, 6)}
 
 
