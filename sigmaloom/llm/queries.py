@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, exact_dedup, jaccard, langid, media, packing, quality, secrets, substring, url_filter
+from . import alignment, bpe, exact_dedup, extraction, jaccard, langid, media, packing, quality, secrets, substring, url_filter, whitening
 
 
 def tokenizer_file(name: str) -> str:
@@ -64,10 +64,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
     return alignment.align(_table(spark, sf_dir, "documents"), *files)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_langid": op2_langid, "op3_url_filter": op3_url_filter, "op4_substring": op4_substring, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard": op8_jaccard, "op9_packing": op9_packing, "op10_media": op10_media, "op13_alignment": op13_alignment}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_langid": op2_langid, "op3_url_filter": op3_url_filter, "op4_substring": op4_substring, "op5_bpe": op5_bpe, "op6_secrets": op6_secrets, "op7_exact_dedup": op7_exact_dedup, "op8_jaccard": op8_jaccard, "op9_packing": op9_packing, "op10_media": op10_media, "op11_whitening": op11_whitening, "op12_extraction": op12_extraction, "op13_alignment": op13_alignment}
 SQL: dict[str, str] = {"op3_url_filter": url_filter.SQL, "op4_substring": substring.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_jaccard": jaccard.SQL}
