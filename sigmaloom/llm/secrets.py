@@ -6,9 +6,10 @@ finds over segmentations into words, dates, repeats, sequences, keyboard walks a
 that costs GUESS_LOG10 decimal digits of guesses or more becomes a span of kind `guess`, unless a base
 span covers a part of it.
 
-Words are priced by their rank among the MOST_WORDS most frequent ones of the corpus, counted over all texts, and in a short list of
-common passwords. A run of letters that is in neither but reads like a word is priced as one of 10^UNLISTED words. So prose after
-`token:` is no secret.
+Words, compounds with hyphens among them, are priced by their rank among the MOST_WORDS most frequent ones of the corpus, counted over
+all texts but not where they stand as a value in credential context, and in a short list of common passwords. Other letters are priced
+by a model of three letters learnt from those words, digit for digit: letters that read like the corpus are cheaper than random ones, which
+cost their entropy or more. So a word of prose after `token:` is no secret, and twelve random letters are.
 
 Edge cases: null and empty text have no spans; texts and values are read whole, whatever their length, and a value takes memory for
 the states whose cost is still below the threshold only; offsets count code points; repeated rows give repeated rows; a null
@@ -17,6 +18,7 @@ doc_id stays null; other columns are not read; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -45,9 +47,10 @@ CONTEXT = re.compile(
 _JOINT = re.compile(r"[:=]|\x20(?:is|was)\x20", re.I | re.A)
 #: Decimal digits of guesses from which a value counts as a secret.
 GUESS_LOG10 = 10.0
-#: Words of the corpus that are priced by rank; how often each is seen, as a value that stands here or there is no word; the longest of
-#: them; and decimal digits of the number of words beyond.
-MOST_WORDS, LEAST_SEEN, LONGEST_WORD, UNLISTED = 50_000, 5, 30, 6.0
+#: Words of the corpus that are priced by rank; how often each is seen outside of credential context; and the longest of them.
+MOST_WORDS, LEAST_SEEN, LONGEST_WORD = 50_000, 5, 30
+#: Weight of the shorter context in the model of letters, in letters seen; decimal digits of a letter that is none of a-z, beyond its class.
+DRAWN, OTHER_LETTER = 5.0, 1.5
 
 # Common passwords and the words that passwords are made of, by falling frequency.
 WORDS = """password qwerty dragon monkey letmein football baseball master shadow michael superman batman trustno welcome login admin princess
@@ -62,7 +65,8 @@ KEYS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4831!05$7+2", "aabeiiosstts")
 
 _RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-_DATE = re.compile(r"(?:19|20)\d\d|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:(?:19|20)?\d\d)|(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])")
+_YEAR = re.compile(r"(?:19|20)\d\d")
+_DATE = re.compile(r"(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:(?:19|20)?\d\d)|(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])")
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -80,17 +84,37 @@ def _alphabet(value: str) -> float:
     return math.log10(max(10, sum(n for p, n in sizes if re.search(p, value))))
 
 
-#: A run of letters that reads like a word: of 3 to 20 letters, in one case or with a capital, and with no five consonants in a row.
-_READS = re.compile(r"(?=[^\W\d_]{3,20}(?![^\W\d_]))(?:[^\W\d_](?:(?![bcdfghjklmnpqrstvwxz]{5})[^\W\d_A-Z])+|(?:(?![BCDFGHJKLMNPQRSTVWXZ]{5})[^\W\d_a-z])+)(?![^\W\d_])")
-#: Prose: such runs joined by hyphens and apostrophes, with closing marks.
-_PROSE = re.compile(rf"{_READS.pattern}(?:[-'’]{_READS.pattern}|[-'’][^\W\d_]{{1,2}}(?![^\W\d_]))+[.,!?:;]*")
+class Prices:
+    """What words and letters cost, in decimal digits of guesses. ranks: of the corpus's words, from 1."""
+
+    def __init__(self, ranks: dict[str, int] | None = None) -> None:
+        self.ranks = _RANK | (ranks or {})
+        for word, rank in _RANK.items():
+            self.ranks[word] = min(rank, self.ranks[word])
+        n = np.zeros((28, 28, 27))  # two letters before, 27 for none; the letter
+        for word in self.ranks:
+            before, last = 27, 27
+            for c in map(_letter, filter(str.isalpha, word)):
+                n[before, last, c] += 1
+                before, last = last, c
+        one = (n.sum((0, 1)) + 1) / (n.sum() + 27)
+        two = (n.sum(0) + DRAWN * one) / (n.sum((0, 2))[:, None] + DRAWN)
+        three = (n + DRAWN * two) / (n.sum(2)[..., None] + DRAWN)
+        self.letters = (-np.log10(three)).tolist()
+
+
+def _letter(c: str) -> int:
+    c = c.lower()
+    return ord(c) - 97 if "a" <= c <= "z" else 26
+
+
 _AGAIN = {k: re.compile(rf"(.{{{k}}})\1{{{2 if k == 1 else 1},}}", re.S) for k in (1, 2, 3, 4)}
 
 
-def segments(value: str, i: int, most: float, ranks: dict[str, int], letter: float) -> dict[int, float]:
+def segments(value: str, i: int, most: float, prices: Prices, letter: float) -> dict[int, float]:
     """Ends of the segments that start at i, with their decimal digits of guesses, for those below `most`; brute force is not among
-    them. A word: its rank, and twice for each of other case and of letters written as signs; an unlisted word to its end. A date. A walk of
-    three or more neighbouring keys, of any length. A unit of up to four characters said again as often as it goes on. Steps up or
+    them. A word: its rank, and twice for each of other case and of letters written as signs. Letters as the model has them, twice if they are capitals
+    or begin with one, and twice each if their case is mixed. A year, a date. A walk of three or more neighbouring keys, of any length. A unit of up to four characters said again as often as it goes on. Steps up or
     down the alphabet as far as they go."""
     n, out = len(value), {}
 
@@ -104,19 +128,24 @@ def segments(value: str, i: int, most: float, ranks: dict[str, int], letter: flo
         low = part
     plain = low.translate(LEET)
     for k in range(3, len(part) + 1):
-        rank = min(ranks.get(low[:k], math.inf), _RANK.get(low[:k], math.inf))
-        signs = 1
+        rank, signs = prices.ranks.get(low[:k], math.inf), 1
         if rank == math.inf and plain[:k] != low[:k]:
-            rank, signs = min(ranks.get(plain[:k], math.inf), _RANK.get(plain[:k], math.inf)), 2
+            rank, signs = prices.ranks.get(plain[:k], math.inf), 2
         if rank < math.inf:
             offer(i + k, math.log10(rank * signs * (2 if part[:k] != low[:k] else 1)) + 0.3)
-    if not i or not value[i - 1].isalpha():
-        m = _READS.match(value, i)
-        if m:
-            offer(m.end(), UNLISTED)
+    j, digits, before, last, capitals = i, 0.0, 27, 27, 0
+    while j < n and digits < most and value[j].isalpha():
+        c = _letter(value[j])
+        digits += prices.letters[before][last][c] + (OTHER_LETTER if c == 26 else 0.0)
+        before, last, capitals, j = last, c, capitals + value[j].isupper(), j + 1
+        case = 0.0 if not capitals else math.log10(2) * (1 if capitals == j - i or (capitals == 1 and value[i].isupper()) else j - i)
+        offer(j, digits + case)
+    m = _YEAR.match(value, i)
+    if m:
+        offer(m.end(), math.log10(120))
     m = _DATE.match(value, i)
     if m:
-        offer(m.end(), math.log10(120 * 365) if len(m[0]) > 4 else math.log10(120))
+        offer(m.end(), math.log10(120 * 365))
     j, digits = i + 1, math.log10(len(_NEAR)) + 0.5 * math.log10(4)
     while j < n and digits < most and value[j].lower() in _NEAR.get(value[j - 1].lower(), ()):
         j, digits = j + 1, digits + 0.5 * math.log10(4)
@@ -137,13 +166,13 @@ def segments(value: str, i: int, most: float, ranks: dict[str, int], letter: flo
     return out
 
 
-def guess_log10(value: str, least: float = GUESS_LOG10, ranks: dict[str, int] | None = None) -> float:
+def guess_log10(value: str, least: float = GUESS_LOG10, prices: Prices | None = None) -> float:
     """The decimal logarithm of the least guesses over all segmentations of the value, or `least` if that is less; 0 for an empty value.
 
     A segmentation costs the sum of its segments' digits and, for s segments, the digits of s!: an attacker has to try their orders.
     A brute-force span costs the digits of one character of the value's alphabet for each of its characters. States that cost `least`
     or more are dropped, so few are left at any place, and a costly value ends early."""
-    n, ranks = len(value), ranks or {}
+    n, prices = len(value), prices or _plain()
     if not n:
         return 0.0
     letter, orders = _alphabet(value), [0.0]
@@ -167,16 +196,23 @@ def guess_log10(value: str, least: float = GUESS_LOG10, ranks: dict[str, int] |
             reach(i + 1, 1, s + 1, digits + letter)
         for s, digits in brute.items():
             reach(i + 1, 1, s, digits + letter)
-        for j, more in segments(value, i, least - min(best.values()), ranks, letter).items():
+        for j, more in segments(value, i, least - min(best.values()), prices, letter).items():
             for s, digits in best.items():
                 reach(j, 0, s + 1, digits + more)
     return least
 
 
+@functools.cache
+def _plain() -> Prices:
+    """Prices without a corpus."""
+    return Prices()
+
+
 def counted_words(df: DataFrame, text_col: str = "text", most: int = MOST_WORDS, least: int = LEAST_SEEN) -> dict[str, int]:
-    """The ranks, from 1, of the most frequent words of all texts, of those seen `least` times; of equally frequent ones by the alphabet. Words are runs between white
-    space without what surrounds their letters, in lower case, of 3 to LONGEST_WORD letters and nothing else. Every word is counted; as many
-    come to the driver as have counts of which, by steps of a sixteenth of a doubling, there are no more than `most` from there up."""
+    """The ranks, from 1, of the most frequent words of all texts, of those seen `least` times outside of credential context; of equally
+    frequent ones by the alphabet. Words are runs between white space without what surrounds their letters, in lower case, of 3 to LONGEST_WORD
+    letters, or such letters and hyphens. Every word is counted; as many come to the driver as have counts of which, by steps of a sixteenth of
+    a doubling, there are no more than `most` from there up."""
     common.small_batches(df.sparkSession)
     schema = common.shape("word string, n long")
 
@@ -195,9 +231,18 @@ def counted_words(df: DataFrame, text_col: str = "text", most: int = MOST_WORDS,
             whole = data.tobytes()
             for a, z, k in zip(start[first].tolist(), end[first].tolist(), n.tolist(), strict=True):
                 if z - a <= 4 * LONGEST_WORD + 16:
-                    word = _EDGES.sub("", whole[a:z].decode("utf-8", "replace")).lower()
-                    if 3 <= len(word) <= LONGEST_WORD and word.isalpha():
+                    word = _word(whole[a:z].decode("utf-8", "replace"))
+                    if word:
                         count[word] += k
+            for text in batch.column(0).to_pylist():
+                for a, z in contexts(text or ""):
+                    while a and text[a - 1] not in _BREAKS:
+                        a -= 1
+                    while z < len(text) and text[z] not in _BREAKS:
+                        z += 1
+                    word = _word(text[a:z]) if z - a <= LONGEST_WORD + 16 else ""
+                    if word:
+                        count[word] -= 1
             if len(count) > 200_000:
                 yield from counted()
         yield from counted()
@@ -216,13 +261,28 @@ def counted_words(df: DataFrame, text_col: str = "text", most: int = MOST_WORDS,
 
 
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_BREAKS = "".join(map(chr, common.WORD_BREAKS))
+
+
+def _word(run: str) -> str:
+    """The word of a run between white space, or ''."""
+    word = _EDGES.sub("", run).lower()
+    return word if 3 <= len(word) <= LONGEST_WORD and word.replace("-", "").isalpha() else ""
 
 
-def _is_secret(value: str, least: float, ranks: dict[str, int] | None) -> bool:
-    return not _PROSE.fullmatch(value) and guess_log10(value, least, ranks) >= least
+def contexts(text: str) -> list[tuple[int, int]]:
+    """Start and end of every value in credential context, by CONTEXT or by ASSIGN, in order and disjoint."""
+    if not _JOINT.search(text):
+        return []
+    out, at = [], 0
+    for a, z in sorted([m.span(1) for m in CONTEXT.finditer(text)] + [m.span(2) for m in ASSIGN.finditer(text)]):
+        if a >= at:
+            out.append((a, z))
+            at = z
+    return out
 
 
-def spans(text: str, least: float = GUESS_LOG10, ranks: dict[str, int] | None = None) -> list[tuple[str, int, int]]:
+def spans(text: str, least: float = GUESS_LOG10, prices: Prices | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, in order."""
     base = []
     if ":" in text or "=" in text:
@@ -230,7 +290,7 @@ def spans(text: str, least: float = GUESS_LOG10, ranks: dict[str, int] | None =
     base += [("access", *m.span()) for m in ACCESS.finditer(text)] + [("hex", *m.span()) for m in HEX.finditer(text)]
     found = [m.span(1) for m in CONTEXT.finditer(text)] if _JOINT.search(text) else []
     free = [x for x in found if not any(a < x[1] and x[0] < b for _, a, b in base)]
-    added = [("guess", a, b) for a, b in free if _is_secret(text[a:b], least, ranks)]
+    added = [("guess", a, b) for a, b in free if guess_log10(text[a:b], least, prices) >= least]
     return sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -243,7 +303,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
     of df's own texts."""
     common.small_batches(df.sparkSession)
     schema = common.shape("doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
-    known = df.sparkSession.sparkContext.broadcast(counted_words(df, text_col) if ranks is None else ranks)  # MOST_WORDS at most
+    known = df.sparkSession.sparkContext.broadcast(Prices(counted_words(df, text_col) if ranks is None else ranks))  # MOST_WORDS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -255,13 +315,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, common.spark_type(schema))
 
 
-def redact(text: str, least: float = GUESS_LOG10, ranks: dict[str, int] | None = None, mark: str = "<SECRET>") -> str:
-    """The text with each span, or run of overlapping spans, replaced by `mark`; but an assigned value of plain words stays."""
+def redact(text: str, least: float = GUESS_LOG10, prices: Prices | None = None, mark: str = "<SECRET>") -> str:
+    """The text with each span, or run of overlapping spans, replaced by `mark`; base spans whatever their value costs."""
     out, at = [], 0
-    for kind, a, b in spans(text, least, ranks):
-        value = ASSIGN.match(text, a)[2] if kind == "assign" else ""
-        if value.replace("-", "").isalpha() and not _is_secret(value, least, ranks):
-            continue
+    for _, a, b in spans(text, least, prices):
         if a >= at:
             out += [text[at:a], mark]
         at = max(at, b)
@@ -272,7 +329,7 @@ def redacted(df: DataFrame, text_col: str = "text", least: float = GUESS_LOG10,
     """df with the same columns and the spans of text_col replaced; a null text stays null. ranks: as for scan."""
     common.small_batches(df.sparkSession)
     at = df.columns.index(text_col)
-    known = df.sparkSession.sparkContext.broadcast(counted_words(df, text_col) if ranks is None else ranks)  # MOST_WORDS at most
+    known = df.sparkSession.sparkContext.broadcast(Prices(counted_words(df, text_col) if ranks is None else ranks))  # MOST_WORDS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -325,10 +325,10 @@ def test_guess_costs():
     assert secrets.guess_log10("".join(random.Random(1).choices("abcXYZ019$", k=3_000_000))) == secrets.GUESS_LOG10
 
 
-def cheapest_by_exhaustion(value, ranks):
+def cheapest_by_exhaustion(value, prices):
     """Every segmentation, spelled out."""
     letter, n = secrets._alphabet(value), len(value)
-    single = [secrets.segments(value, i, math.inf, ranks, letter) for i in range(n)]
+    single = [secrets.segments(value, i, math.inf, prices, letter) for i in range(n)]
     best = math.inf
     for cuts in range(1 << (n - 1)):
         ends = [k + 1 for k in range(n - 1) if cuts >> k & 1] + [n]
@@ -341,12 +341,12 @@ def cheapest_by_exhaustion(value, ranks):
 
 
 def test_guess_costs_are_least():
-    rng, ranks = random.Random(11), {"ana": 3, "banana": 9, "nab": 2}
+    rng, prices = random.Random(11), secrets.Prices({"ana": 3, "banana": 9, "nab": 2})
     parts = ["ana", "banana", "nab", "123", "aaa", "qwe", "x", "$", "19", "99", "Na", "abab"]
     for _ in range(150):
         value = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))[:12]
-        want = cheapest_by_exhaustion(value, ranks)
-        assert secrets.guess_log10(value, 200.0, ranks) == pytest.approx(want) and secrets.guess_log10(value, 3.0, ranks) == pytest.approx(min(3.0, want))
+        want = cheapest_by_exhaustion(value, prices)
+        assert secrets.guess_log10(value, 200.0, prices) == pytest.approx(want) and secrets.guess_log10(value, 3.0, prices) == pytest.approx(min(3.0, want))
 
 
 def base_by_hand(text):
@@ -400,19 +400,42 @@ def test_base_spans_equal_a_scan_by_hand():
 
 
 def test_plain_words_are_no_secrets(spark):
-    plain = ["token: information", "secret: ingredient list", "password: something", "auth: middleware", "Secret: Ingredients, chopped", "password = required", "token: state-of-the-art parsing", "access key: Schlüsselbund"]
-    secret = ["password: x9$Kq!2zRw", "token: kX8vQz2LpW", "pwd: zqxjkvbwpfgh"]
-    docs = table(spark, list(enumerate(plain + secret)))
+    """Words and compounds that the corpus has elsewhere; but assigned values of 12 characters are base spans, and go."""
+    plain = ["auth: middleware", "Secret: Ingredients, chopped", "password = required", "access key: Schlüsselbund", "pwd: state-of-the-art parsing", "auth: ingredient list"]
+    secret = ["password: x9$Kq!2zRw", "token: kX8vQz2LpW", "pwd: zqxjkvbwpfgh", "pwd: blue-hippo-rocket-lamp", "pwd: vuqazomitepalokeniru", "pwd: vexingtrompoz"]
+    prose = ["Good middleware is required. The ingredients, each ingredient, and the Schlüsselbund are state-of-the-art."] * 6 + ["pwd: vexingtrompoz"] * 20
+    docs = table(spark, list(enumerate(plain + secret + prose)))
     got = {r["doc_id"]: r["n_guess"] for r in secrets.scan(docs).collect()}
     assert [got[i] for i in range(len(plain))] == [0] * len(plain) and all(got[len(plain) + k] == 1 for k in range(len(secret)))
     assert {r["text"] for r in secrets.redacted(docs).collect()} >= set(plain)
+    for text in ("password: vuqazomitepalokeniru", "api_key: QAZOMITEPALOKENIRUVU", "token: correct-horse-battery-staple", "secret: information-"):
+        assert secrets.redact(text) == "<SECRET>"
+
+
+def test_recall_and_precision():
+    """Random values of five alphabets, and words of prose, by prices of a corpus of made-up words."""
+    rng = random.Random(5)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "or", "ti", "te", "is", "ou", "al", "st"]
+    prose = sorted({"".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(3000)}, key=lambda w: (len(w), w))
+    prices = secrets.Prices({w: k for k, w in enumerate(prose[:2500], 1)})
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters in (lower, lower.upper(), digits, lower + lower.upper() + digits, lower + lower.upper() + digits + "!#$%&*+-./:=?@^_~"):
+        for length in (12, 16, 24):
+            found = [bool(secrets.spans("pwd: " + "".join(rng.choices(letters, k=length)), prices=prices)) for _ in range(300)]
+            assert sum(found) >= 0.95 * len(found), (letters, length, sum(found))
+    joined = ["".join(rng.choices(lower, k=6)) + "-" + "".join(rng.choices(lower, k=6)) + "-" + "".join(rng.choices(lower, k=6)) for _ in range(300)]
+    assert sum(bool(secrets.spans("pwd: " + x, prices=prices)) for x in joined) >= 285
+    listed = rng.sample(prose[:2500], 400)
+    unlisted = rng.sample(prose[2500:], 100)
+    assert not any(secrets.spans("pwd: " + x, prices=prices) for x in listed)
+    assert sum(bool(secrets.spans("pwd: " + x, prices=prices)) for x in unlisted) <= 5
 
 
 def test_words_of_the_corpus_are_counted(spark):
-    docs = table(spark, [(1, "Alpha beta, (beta) gamma-ray x9 ab"), (2, "BETA alpha \"delta\"\nbeta été"), (3, None), (4, "")])
-    assert secrets.counted_words(docs, least=1) == {"beta": 1, "alpha": 2, "delta": 3, "été": 4} and secrets.counted_words(docs) == {}
+    docs = table(spark, [(1, "Alpha beta, (beta) gamma-ray x9 ab"), (2, "BETA alpha \"delta\"\nbeta été"), (3, None), (4, ""), (5, "password: hunterhunter (secret=delta, token: \"delta\")")])
+    assert secrets.counted_words(docs, least=1) == {"beta": 1, "alpha": 2, "delta": 3, "gamma-ray": 4, "password": 5, "été": 6} and secrets.counted_words(docs) == {}
     assert list(secrets.counted_words(docs, most=1, least=2)) == ["beta"] and secrets.counted_words(docs.limit(0)) == {}
-    assert secrets.guess_log10("Vastrandel7", 50.0, {"vastrandel": 40}) < 5 < secrets.guess_log10("Vastrandel7", 50.0)
+    assert secrets.guess_log10("Vastrandel7", 50.0, secrets.Prices({"vastrandel": 40})) < 5 < secrets.guess_log10("Vastrandel7", 50.0)
 
 
 # --- 7: exact dedup --------------------------------------------------------------------------------------------------------
