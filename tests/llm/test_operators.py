@@ -416,7 +416,7 @@ def test_recall_and_precision():
     """Random values of five alphabets, and words of prose, by prices of a corpus of made-up words."""
     rng = random.Random(5)
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "or", "ti", "te", "is", "ou", "al", "st"]
-    prose = sorted({"".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(3000)}, key=lambda w: (len(w), w))
+    prose = sorted({"".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(6000)}, key=lambda w: (len(w), w))
     prices = secrets.Prices({w: k for k, w in enumerate(prose[:2500], 1)})
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     for letters in (lower, lower.upper(), digits, lower + lower.upper() + digits, lower + lower.upper() + digits + "!#$%&*+-./:=?@^_~"):
