@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed
 from ..sources import store
-from . import privacy, statistics
+from . import forests, privacy, statistics
 from .privacy import KeyedStream, project_to_simplex, semantic_seed
 from .statistics import SCALE
 
@@ -80,7 +80,7 @@ class Released(Exact):
         self.layout = {"plan": {k: repr(v) for k, v in self.plan.items()}, "schema": schema.sha256(), "parameters": {k: repr(v) for k, v in sorted(parameters.items())}}
 
     def __call__(self, vector: np.ndarray, label: str) -> np.ndarray:
-        sigma = self.plan["sigma_leaf" if label == "leaves" and "sigma_leaf" in self.plan else "sigma"]
+        sigma = self.plan["sigma_leaf" if label.startswith("leaves") and "sigma_leaf" in self.plan else "sigma"]
         return privacy.release(vector, sigma, self.secret, f"trees/{label}", self.layout)
 
     def integers(self, vector: np.ndarray, label: str) -> np.ndarray:
@@ -108,12 +108,26 @@ def release_plan(engine: str, schema: TreeSchema, epsilon: float, delta: float,
     return {"releases": releases, "sensitivity": size, "sigma": privacy.gaussian_sigma(epsilon, delta, size, releases)}
 
 
-def binned_rows(df: DataFrame, schema: TreeSchema, target: str) -> DataFrame:
-    """b (an array of bins; null where missing) and y, written to the shared folder."""
-    from ..functions.clean import bin_of
+def units_of(df: DataFrame, schema: TreeSchema, target: str, unit: str) -> DataFrame:
+    """A row for each unit: means of the observed features, clamped just beyond the outer cuts, which no bin tells apart; and the majority
+    of a binary target, a tie counting as 0, or the clamped mean of a continuous one."""
+    from ..functions.clean import binary_tree_target, regression_target, tree_feature
+    from .units import pooled_tree_units
+
+    bounds = {f: (c[0] - 1, c[-1] + 1) for f, c in zip(schema.features, schema.cuts, strict=True)}
+    y = binary_tree_target(F.col(target)) if schema.task == "binary" else regression_target(F.col(target), schema.lower, schema.upper)
+    total = df.select(unit, *[tree_feature(F.col(f), *bounds[f], single=False).alias(f) for f in schema.features], y.alias(target))
+    return pooled_tree_units(total, unit, bounds, target, schema.task, (schema.lower, schema.upper))
+
+
+def binned_rows(df: DataFrame, schema: TreeSchema, target: str, fold: Column | None = None) -> DataFrame:
+    """b (an array of bins; null where missing), y, and fold (0: none), written to the shared folder. Targets are made total: a binary one is 1 from 0.5
+    on and 0 otherwise, a continuous one is clamped to its bounds, the middle if it is no finite number."""
+    from ..functions.clean import bin_of, binary_tree_target, regression_target
 
     b = F.array(*[bin_of(F.col(f), c).cast("short") for f, c in zip(schema.features, schema.cuts, strict=True)])
-    return store.staged(df.select(b.alias("b"), F.col(target).cast("double").alias("y")), "binned")
+    y = binary_tree_target(F.col(target)) if schema.task == "binary" else regression_target(F.col(target), schema.lower, schema.upper)
+    return store.staged(df.select(b.alias("b"), y.cast("double").alias("y"), (F.lit(0) if fold is None else fold).cast("int").alias("fold")), "binned")
 
 
 def _lookup(values: list, at: Column, kind: str) -> Column:
@@ -174,22 +188,22 @@ def heap_leaves(topology: list[dict], depth: int, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _leaf_sums(rows: DataFrame, topology: list[dict], depth: int) -> DataFrame:
-    """coord (tree and leaf), n, s: counts and sums over the leaves of complete trees. rows: b, an array of bins, and s. Each task adds
-    up its own batches in one vector of the public layout, whose cells are then summed."""
+def _leaf_sums(rows: DataFrame, topology: list[dict], depth: int, folds: int = 0) -> DataFrame:
+    """coord (fold, tree and leaf), n, s: counts and sums over the leaves of complete trees. rows: b, an array of bins, s, and with folds
+    the row's fold. Each task adds up its own batches in one vector of the public layout, whose cells are then summed."""
     import pyarrow as pa
 
     size = len(topology) << depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        n, s = np.zeros((folds + 1) * size, np.int64), np.zeros((folds + 1) * size, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             b = np.array(batch.column(0).flatten().fill_null(-1), np.int64).reshape(batch.num_rows, -1)
-            coord = (heap_leaves(topology, depth, b) + (np.arange(len(topology)) << depth)[:, None]).ravel()
+            coord = (heap_leaves(topology, depth, b) + (np.arange(len(topology)) << depth)[:, None] + batch.column(2).to_numpy().astype(np.int64) * size).ravel()
             value = np.tile(batch.column(1).to_numpy(), len(topology))
-            n += np.bincount(coord, minlength=size)
+            n += np.bincount(coord, minlength=len(n))
             order = np.argsort(coord, kind="stable")  # sums in integers: bincount's weights are floating
             at = np.flatnonzero(np.diff(coord[order], prepend=-1))
             if len(at):
@@ -197,89 +211,51 @@ def _leaf_sums(rows: DataFrame, topology: list[dict], depth: int) -> DataFrame:
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used]), pa.array(s[used])], names=["coord", "n", "s"])
 
-    return rows.mapInArrow(run, "coord bigint, n bigint, s bigint").groupBy("coord").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    rows = rows if "fold" in rows.columns else rows.withColumn("fold", F.lit(0))
+    return rows.select("b", "s", "fold").mapInArrow(run, "coord bigint, n bigint, s bigint").groupBy("coord").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
-def extra_trees(df: DataFrame, schema: TreeSchema, target: str, trees: int, depth: int, noise: Noise = no_noise) -> dict:
-    """Random public trees; all leaves of all trees are one aggregation and one release."""
+def extra_trees_models(rows: DataFrame, schema: TreeSchema, trees: int, depth: int, noise: Noise = no_noise, folds: int = 0) -> list[dict]:
+    """Random public trees for all rows, or for each fold those of the other folds' rows. rows: binned. All leaves of all trees of all models
+    are one aggregation by the rows' own folds; a model's statistics are those of all folds less its own."""
     if not (1 <= depth <= 12 and 1 <= trees <= 512):
         raise ValueError("depth up to 12, trees up to 512")
-    rows, topology, leaves = binned_rows(df, schema, target), random_topology(schema, trees, depth), 1 << depth
+    topology, leaves = random_topology(schema, trees, depth), 1 << depth
     y = schema.unit_target(F.col("y"))
     second = y.cast("long") if schema.task == "binary" else F.rint(y * SCALE).cast("long")
-    sums = _leaf_sums(rows.select("b", second.alias("s")), topology, depth)
-    n, s = _vector(sums, trees * leaves, "n", "s").T
-    stats = np.stack([n - s, s] if schema.task == "binary" else [n, s / SCALE], -1)
-    stats = noise(stats.ravel(), "leaves").reshape(trees, leaves, 2)
-    return {"kind": "forest", "engine": "extra_trees", "task": schema.task, "depth": depth, "trees": [t | {"leaves": v} for t, v in zip(topology, leaf_values(stats, schema).tolist(), strict=True)]}
+    sums = _leaf_sums(rows.select("b", second.alias("s"), "fold"), topology, depth, folds)
+    n, s = _vector(sums, (folds + 1) * trees * leaves, "n", "s").T.reshape(2, folds + 1, -1)
+    out = []
+    for k in range(1, folds + 1) if folds else (0,):
+        others = [f for f in range(folds + 1) if not folds or f != k]
+        nk, sk = n[others].sum(0), s[others].sum(0)
+        stats = np.stack([nk - sk, sk] if schema.task == "binary" else [nk, sk / SCALE], -1)
+        stats = noise(stats.ravel(), f"leaves fold {k}" if folds else "leaves").reshape(trees, leaves, 2)
+        out.append({"kind": "forest", "engine": "extra_trees", "task": schema.task, "depth": depth, "trees": [t | {"leaves": v} for t, v in zip(topology, leaf_values(stats, schema).tolist(), strict=True)]})
+    return out
 
 
-def _split_scores(left: np.ndarray, right: np.ndarray, task: str) -> np.ndarray:
-    tiny = np.finfo(float).tiny
-    if task == "binary":
-        return sum((x**2).sum(-1) / np.maximum(x.sum(-1), tiny) for x in (left, right))
-    return sum(x[..., 1] ** 2 / np.maximum(x[..., 0], tiny) for x in (left, right))
+def extra_trees(df: DataFrame, schema: TreeSchema, target: str, trees: int, depth: int, noise: Noise = no_noise) -> dict:
+    """Random public trees; all leaves of all trees are one aggregation and one release."""
+    return extra_trees_models(binned_rows(df, schema, target), schema, trees, depth, noise)[0]
 
 
 def candidate_features(schema: TreeSchema, trees: int, depth: int, max_features: int) -> list[list[list[list[int]]]]:
-    """Of each level, tree and node the features that may split it, drawn from a stream that only the public schema and sizes seed."""
-    stream = KeyedStream(semantic_seed(b"public", "candidates/v1", schema.sha256(), trees, depth, max_features))
-    return [[[sorted(stream.permutation(len(schema.features))[:max_features]) for _ in range(1 << level)] for _ in range(trees)] for level in range(depth)]
+    """Of each level, tree and node the features that may split it."""
+    return [[forests.candidates(schema, trees, depth, max_features, level, t).tolist() for t in range(trees)] for level in range(depth)]
 
 
-def random_forest(df: DataFrame, schema: TreeSchema, target: str, trees: int, depth: int, max_features: int, key: bytes, noise: Noise = no_noise) -> dict:
-    """Each record trains one tree, chosen by a keyed hash of its bins and target; depth + 1 aggregations in all."""
+def random_forest_models(rows: DataFrame, schema: TreeSchema, trees: int, depth: int, max_features: int, key: bytes, noise: Noise = no_noise, folds: int = 0) -> list[dict]:
+    """Each record trains one tree, chosen by a keyed hash of its bins and target; depth + 1 aggregations in all, however many folds' models
+    are grown. rows: binned."""
     if not (1 <= depth <= 12 and 1 <= trees <= 512 and 1 <= max_features <= len(schema.features)):
         raise ValueError("depth up to 12, trees up to 512, features up to their number")
-    rows = binned_rows(df, schema, target)
-    tree = keyed.tree_of(key, [F.get("b", k) for k in range(len(schema.features))], F.col("y"), trees)
-    y = schema.unit_target(F.col("y"))
-    rows = store.staged(rows.select("b", (y.cast("long") if schema.task == "binary" else F.rint(y * SCALE).cast("long")).alias("s"), tree.alias("tree")), "assigned")
-    schedule = candidate_features(schema, trees, depth, max_features)
-    grown = [{"features": [], "cuts": [], "default_left": []} for _ in range(trees)]
-    node: Column = F.lit(0)
-    slots = schema.bins
-
-    def pair(n: np.ndarray, s: np.ndarray) -> np.ndarray:
-        return np.stack([n - s, s] if schema.task == "binary" else [n, s / SCALE], -1)
-
-    for level in range(depth):
-        width = 1 << level
-        chosen = schedule[level]
-        flat = [f for t in chosen for n in t for f in n]
-        group = F.col("tree") * width + node
-        each = F.posexplode(F.slice(F.array(*[F.lit(f) for f in flat]), group * max_features + 1, max_features)).alias("k", "f")
-        cells = rows.select("b", "s", group.alias("g"), each).select("s", (F.col("g") * max_features + F.col("k")).alias("gk"), F.coalesce(F.get("b", F.col("f")), F.lit(slots - 1)).alias("bin"))
-        sums = cells.groupBy((F.col("gk") * slots + F.col("bin")).alias("coord")).agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"))
-        n, s = _vector(sums, trees * width * max_features * slots, "n", "s").T
-        h = np.clip(noise(pair(n, s).ravel(), f"level {level}").reshape(trees, width, max_features, slots, 2), 0, None)
-        if schema.task == "regression":
-            h[..., 1] = np.minimum(h[..., 1], h[..., 0])
-        for t in range(trees):
-            for w in range(width):
-                best = None
-                for k, f in enumerate(chosen[t][w]):
-                    c = len(schema.cuts[f])
-                    part, missing = h[t, w, k, : c + 1], h[t, w, k, slots - 1]
-                    low = part.cumsum(0)
-                    for default in (False, True):
-                        left = low[:c] + (missing if default else 0)
-                        right = low[c] - low[:c] + (0 if default else missing)
-                        for cut, score in enumerate(_split_scores(left, right, schema.task)):
-                            order = (-score, f, cut, default)
-                            best = order if best is None or order < best else best
-                for name, value in zip(("features", "cuts", "default_left"), best[1:], strict=True):
-                    grown[t][name].append(value)
-        offset = width - 1
-        pick = lambda name, kind: _lookup([v for g in grown for v in g[name][offset:]], group, kind)  # noqa: E731, B023
-        step = _goes_right(F.get("b", pick("features", "int")), pick("cuts", "int"), pick("default_left", "boolean")).cast("int")
-        rows = store.staged(rows.withColumn("node", 2 * node + step), "level")
-        node = F.col("node")
-    leaves = 1 << depth
-    sums = rows.groupBy((F.col("tree") * leaves + node).alias("coord")).agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("s"))
-    n, s = _vector(sums, trees * leaves, "n", "s").T
-    values = leaf_values(noise(pair(n, s).ravel(), "leaves").reshape(trees, leaves, 2), schema)
-    return {"kind": "forest", "engine": "random_forest", "task": schema.task, "depth": depth, "trees": [g | {"leaves": v} for g, v in zip(grown, values.tolist(), strict=True)]}
+    models = forests.grow(forests.assigned(rows, schema, key, trees), schema, trees, depth, max_features, noise, max(1, folds))
+    return [{"kind": "forest", "engine": "random_forest", "task": schema.task, "depth": depth, "trees": m} for m in models]
+
+
+def random_forest(df: DataFrame, schema: TreeSchema, target: str, trees: int, depth: int, max_features: int, key: bytes, noise: Noise = no_noise) -> dict:
+    return random_forest_models(binned_rows(df, schema, target), schema, trees, depth, max_features, key, noise)[0]
 
 
 @dataclass(frozen=True)
@@ -506,23 +482,74 @@ def ordered(models: list[dict]) -> list[dict]:
     return sorted(models, key=lambda m: hashlib.sha256(canonical(m).encode()).hexdigest())
 
 
+#: Fields of a model of each kind, of a tree, and the limits of what a model may hold.
+_FIELDS = {"forest": {"kind", "engine", "task", "depth", "trees"}, "boosting": {"kind", "engine", "task", "start", "lower", "upper", "trees"}}
+_TREE_FIELDS = {"forest": {"features", "cuts", "default_left", "leaves"}, "boosting": {"feature", "cut", "default_left", "left", "right", "leaf"}}
+_MODEL_ENGINES = {"forest": ("extra_trees", "random_forest"), "boosting": ("leafwise", "oblivious", "depthwise")}
+MOST_TREES, MOST_HEIGHT, MOST_NODES = {"forest": 512, "boosting": 10_000}, {"leafwise": 32, "oblivious": 16, "depthwise": 30}, 1 << 18
+#: The least and largest leaf of a boosted tree: a step of at most 100 at a rate of at most 1.
+MOST_STEP = 100.0
+
+
+def _need(fine: bool, why: str) -> None:
+    if not fine:
+        raise ValueError(why)
+
+
+def _number(x: object, lower: float, upper: float) -> bool:
+    return type(x) is float and lower <= x <= upper  # neither an integer, a boolean nor NaN
+
+
+def _sanitised_tree(tree: object, model: dict, schema: TreeSchema) -> dict:
+    kind = model["kind"]
+    _need(isinstance(tree, dict) and set(tree) == _TREE_FIELDS[kind] and all(isinstance(v, list) for v in tree.values()), "a tree has other fields")
+    forest = kind == "forest"
+    feature, cut, default = (tree[n] for n in (("features", "cuts", "default_left") if forest else ("feature", "cut", "default_left")))
+    leaves = tree["leaves" if forest else "leaf"]
+    nodes = (1 << model["depth"]) - 1 if forest else len(leaves)
+    _need(1 <= nodes <= MOST_NODES and len(feature) == len(cut) == len(default) == nodes, "a tree has the wrong shape")
+    _need(all(type(f) is int and type(c) is int and 0 <= f < len(schema.features) and 0 <= c < len(schema.cuts[f]) and type(d) is bool for f, c, d in zip(feature, cut, default, strict=True)), "a split is outside the schema")
+    if forest:
+        _need(len(leaves) == nodes + 1, "a tree has the wrong shape")
+        _need(all(_number(v, *((0.0, 1.0) if schema.task == "binary" else (schema.lower, schema.upper))) for v in leaves), "a leaf is outside its range")
+        return tree
+    left, right = tree["left"], tree["right"]
+    _need(len(left) == len(right) == nodes and all(type(x) is int for x in left + right), "a tree has the wrong shape")
+    _need(all(_number(v, -MOST_STEP, MOST_STEP) for v in leaves), "a leaf is outside its range")
+    parent, height = [-1] * nodes, [0] * nodes
+    for k, pair in enumerate(zip(left, right, strict=True)):
+        if pair == (-1, -1):
+            continue
+        for child in pair:
+            _need(k < child < nodes and parent[child] < 0, "a child is outside the tree, or another node's")
+            parent[child], height[child] = k, height[k] + 1
+    _need(all(p >= 0 for p in parent[1:]) and max(height) <= MOST_HEIGHT[model["engine"]], "a tree is too high, or a node has no parent")
+    return tree
+
+
 def sanitised(model: dict, schema: TreeSchema, max_bytes: int = 64 << 20) -> dict:
-    """The model if each field is of the right kind and within its bounds; else ValueError."""
-    if len(canonical(model)) > max_bytes or model.get("kind") not in ("forest", "boosting") or model.get("task") != schema.task:
-        raise ValueError("not a model of this schema")
-    names = ("features", "cuts", "default_left") if model["kind"] == "forest" else ("feature", "cut", "default_left")
+    """The model, if its fields are those of its kind and each is of the right type and within its bounds: trees as large as the depth says
+    or properly linked and no higher than their engine grows them, splits inside the schema, leaves and start inside the target's bounds or a
+    step's; else ValueError. A plan under `release`, if there is one, holds numbers only."""
+    _need(isinstance(model, dict) and model.get("kind") in _FIELDS, "not a model")
+    try:
+        size = len(canonical(model))
+    except (TypeError, ValueError, RecursionError):
+        raise ValueError("the model holds what JSON does not") from None
+    kind = model["kind"]
+    _need(size <= max_bytes, "the model is too large")
+    _need(set(model) - {"release"} == _FIELDS[kind] and model["task"] == schema.task and model["engine"] in _MODEL_ENGINES[kind], "not a model of this schema")
+    _need(isinstance(model["trees"], list) and 1 <= len(model["trees"]) <= MOST_TREES[kind], "too few or too many trees")
+    if kind == "forest":
+        _need(type(model["depth"]) is int and 1 <= model["depth"] <= 12, "the depth is outside its range")
+    else:
+        bounds = all(type(model[n]) is float for n in ("lower", "upper")) and (model["lower"], model["upper"]) == (schema.lower, schema.upper)
+        start = 0.0 if schema.task == "binary" else (schema.lower + schema.upper) / 2
+        _need(bounds and type(model["start"]) is float and model["start"] == start, "start or bounds are not the schema's")
+    plan = model.get("release", {})
+    _need(isinstance(plan, dict) and all(type(v) in (int, float) and math.isfinite(v) for v in plan.values()), "the plan holds more than numbers")
     for tree in model["trees"]:
-        feature, cut, default = (tree[n] for n in names)
-        leaves = tree["leaves" if model["kind"] == "forest" else "leaf"]
-        right_size = len(leaves) == len(feature) + 1 if model["kind"] == "forest" else len(leaves) == len(feature) == len(tree["left"]) == len(tree["right"])
-        if not right_size or len(feature) != len(cut) != len(default) and not right_size:
-            raise ValueError("a tree has the wrong shape")
-        if any(not 0 <= f < len(schema.features) or not 0 <= c < len(schema.cuts[f]) or not isinstance(d, bool) for f, c, d in zip(feature, cut, default, strict=True)):
-            raise ValueError("a split is outside the schema")
-        if not all(isinstance(v, float) and math.isfinite(v) for v in leaves):
-            raise ValueError("a leaf is not finite")
-        if model["kind"] == "boosting" and any((a < 0) != (z < 0) or a >= 0 and not (k < a < len(leaves) and k < z < len(leaves)) for k, (a, z) in enumerate(zip(tree["left"], tree["right"], strict=True))):
-            raise ValueError("a child is outside the tree")
+        _sanitised_tree(tree, model, schema)
     return json.loads(canonical(model))
 
 
@@ -530,8 +557,8 @@ def sanitised(model: dict, schema: TreeSchema, max_bytes: int = 64 << 20) -> dic
 ENGINES = {"extra_trees": extra_trees, "random_forest": random_forest, "lightgbm": "leafwise", "catboost": "oblivious", "xgboost": "depthwise"}
 
 
-def train(engine: str, df: DataFrame, schema: TreeSchema, target: str, noise: Noise = no_noise, key: bytes = b"", epsilon: float | None = None, delta: float | None = None, secret: bytes = b"", **parameters: float) -> dict:
-    """Trains by engine name. With epsilon and delta the model is a release within that budget, of units that are replaced, and tells
+def train(engine: str, df: DataFrame, schema: TreeSchema, target: str, noise: Noise = no_noise, key: bytes = b"", epsilon: float | None = None, delta: float | None = None, secret: bytes = b"", unit: str | None = None, **parameters: float) -> dict:
+    """Trains by engine name. unit: a column of which the rows of one value are pooled into one row first; without it the rows are the units. With epsilon and delta the model is a release within that budget, of units that are replaced, and tells
     its plan; secret is the site's. Without them it is exact and must not leave the site, unless `noise` says otherwise."""
     if engine not in ENGINES:
         raise ValueError(f"no such engine: {engine}")
@@ -541,6 +568,8 @@ def train(engine: str, df: DataFrame, schema: TreeSchema, target: str, noise: No
     if epsilon is not None:
         noise = Released(engine, schema, epsilon, delta, secret, parameters)
         plan = {"release": {"epsilon": epsilon, "delta": delta, **{k: v if isinstance(v, int) else float(v) for k, v in noise.plan.items()}}}
+    if unit is not None:
+        df = units_of(df, schema, target, unit)
     how = ENGINES[engine]
     if engine == "random_forest":
         return how(df, schema, target, key=key, noise=noise, **parameters) | plan

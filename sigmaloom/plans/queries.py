@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, keyed, models, paths
-from ..operators import joins, linear, metrics, pooling, privacy, statistics, trees, units
+from ..operators import joins, linear, metrics, pooling, privacy, statistics, trees, units, validation
 from ..sources import readers
 from . import contract as contracts
 from . import prepare as prepared
@@ -219,8 +219,8 @@ def holdout_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("o_orderkey", *[keyed.holdout(TEST_KEY, F.col("unit"), n * 10_000).alias(f"test_{n}") for n in (20, 30)])
 
 
-def _fold_sql(k: int) -> str:
-    h = _hmac_sql("subject", "o_custkey::VARCHAR", "folds/v1")
+def _fold_sql(k: int, unit: str = "o_custkey") -> str:
+    h = _hmac_sql("subject", f"{unit}::VARCHAR", "folds/v1")
     return "1 + " + " + ".join(f"({h} >= '{-(-i * (1 << 256) // k):064x}')::INT" for i in range(1, k))
 
 
@@ -493,6 +493,39 @@ def random_forest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained("random_forest", spark, sf_dir, trees=8, depth=4, max_features=2)
 
 
+def _folds(engine: str, spark: SparkSession, sf_dir: str, folds: int, **parameters: float) -> DataFrame:
+    """Rows of an order are in one fold; each is scored by the model that has not seen its order."""
+    rows = _tree_rows(spark, sf_dir).withColumn("fold", keyed.fold(TEST_KEY, clean.unit_id(F.col("l_orderkey")), folds))
+    models = [trees.sanitised(m, _SCHEMA) for m in validation.train_folds(engine, rows, _SCHEMA, "y", "fold", folds, TEST_KEY, **parameters)]
+    scored = validation.out_of_fold(rows, models, _SCHEMA, "fold", ["fold", "y"])
+    right = ((F.col("prediction") >= 0.5) == (F.col("y") == 1)).cast("double")
+    return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(right), 6).alias("accuracy"))
+
+
+_FOLD_ROWS = f"SELECT {_B}, ({_fold_sql(4, 'l_orderkey')}) AS fold FROM lineitem"
+
+
+@_query(
+    f"""WITH c AS (SELECT b0, b1, b2, fold, count(*) AS n, sum(y) AS pos FROM ({_FOLD_ROWS}) GROUP BY ALL),
+    l AS ({' UNION ALL '.join(f'SELECT {t} AS t, {_leaf_sql(tree, 4)} AS leaf, b0, b1, b2, fold, n, pos FROM c' for t, tree in enumerate(_FOREST))}),
+    a AS (SELECT t, leaf, fold, sum(n) AS n, sum(pos) AS pos FROM l GROUP BY ALL),
+    v AS (SELECT model, t, leaf, (coalesce(sum(pos) FILTER (fold <> model), 0) + 1)::DOUBLE / (coalesce(sum(n) FILTER (fold <> model), 0) + 2)::DOUBLE AS value FROM a CROSS JOIN (SELECT unnest(range(1, 5)) AS model) GROUP BY ALL),
+    p AS (SELECT b0, b1, b2, fold, any_value(n) AS n, any_value(pos) AS pos, list_reduce(list(value ORDER BY l.t), lambda a, b: a + b) / 32 AS p FROM l JOIN v ON v.t = l.t AND v.leaf = l.leaf AND v.model = l.fold GROUP BY b0, b1, b2, fold)
+    SELECT fold::INT AS fold, sum(n)::BIGINT AS n, round(sum(CASE WHEN p >= 0.5 THEN pos ELSE n - pos END)::DOUBLE / sum(n)::DOUBLE, 6) AS accuracy FROM p GROUP BY fold"""
+)
+def cross_validated_extra_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _folds("extra_trees", spark, sf_dir, 4, trees=32, depth=4)
+
+
+@_query(
+    " UNION ALL ".join(
+        f"SELECT {k}::INT AS fold, n, accuracy FROM ({tree_sql.random_forest(_SCHEMA, _FOLD_ROWS, 4, 3, 2, lambda text: _hmac_sql('record', text, 'tree/v1'), held_out=k)})" for k in range(1, 5)
+    )
+)
+def cross_validated_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _folds("random_forest", spark, sf_dir, 4, trees=4, depth=3, max_features=2)
+
+
 @_query(tree_sql.boosted(_SCHEMA, f"SELECT {_B} FROM lineitem", "leafwise", trees=3, depth=4, rounds=7, rate=0.5))
 def leafwise_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trained("lightgbm", spark, sf_dir, trees=3, depth=4, leaves=8, rate=0.5)

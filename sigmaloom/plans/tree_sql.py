@@ -54,14 +54,15 @@ def boosted(schema: TreeSchema, rows: str, growth: str, trees: int, depth: int,
     return f"WITH {', '.join(ctes)} {_accuracy('z')}"
 
 
-def random_forest(schema: TreeSchema, rows: str, trees: int, depth: int, max_features: int, digest: Callable[[str], str]) -> str:
+def random_forest(schema: TreeSchema, rows: str, trees: int, depth: int, max_features: int, digest: Callable[[str], str], held_out: int | None = None) -> str:
     """Trees on disjoint cells, dealt by a keyed digest of their text; each node's candidates come from the public schedule, and nodes that no
-    cell reaches split at their first candidate."""
+    cell reaches split at their first candidate. held_out: a fold of `rows` that trains nothing and alone is scored."""
     names = [f"b{k}" for k in range(len(schema.features))]
-    columns, text = ", ".join(names), " || ',' || ".join([*(f"{b}::VARCHAR" for b in names), "(CASE y WHEN 1 THEN '1.0' ELSE '0.0' END)"])
+    fold = "" if held_out is None else ", fold"
+    columns, text = ", ".join(names) + fold, " || ',' || ".join([*(f"{b}::VARCHAR" for b in names), "(CASE y WHEN 1 THEN '1.0' ELSE '0.0' END)"])
     ctes = [
         f"c AS MATERIALIZED (SELECT {columns}, y, count(*) AS n FROM ({rows}) GROUP BY ALL)",
-        f"a0 AS MATERIALIZED (SELECT c.*, t, 0 AS node, ('0x' || substr({digest(text)}, 1, 15))::BIGINT % {trees} = t AS mine FROM c CROSS JOIN (SELECT unnest(range({trees})) AS t))",
+        f"a0 AS MATERIALIZED (SELECT c.*, t, 0 AS node, ('0x' || substr({digest(text)}, 1, 15))::BIGINT % {trees} = t{f' AND fold <> {held_out}' if fold else ''} AS mine FROM c CROSS JOIN (SELECT unnest(range({trees})) AS t))",
     ]
     pick = "CASE f " + " ".join(f"WHEN {k} THEN {b}" for k, b in enumerate(names)) + " END"
     for level, chosen in enumerate(candidate_features(schema, trees, depth, max_features)):
@@ -75,5 +76,5 @@ def random_forest(schema: TreeSchema, rows: str, trees: int, depth: int, max_fea
         ctes.append(f"w{level} AS MATERIALIZED (SELECT t, node, f, cut FROM q{level} QUALIFY row_number() OVER (PARTITION BY t, node ORDER BY {half('l')} + {half('r')} DESC, f, cut) = 1)")
         ctes.append(f"a{level + 1} AS MATERIALIZED (SELECT {columns}, y, n, t, 2 * node + ({pick} > cut)::INT AS node, mine FROM a{level} JOIN w{level} USING (t, node))")
     ctes.append(f"l AS (SELECT t, node, (coalesce(sum(n) FILTER (mine AND y = 1), 0) + 1)::DOUBLE / (coalesce(sum(n) FILTER (mine), 0) + 2)::DOUBLE AS value FROM a{depth} GROUP BY ALL)")
-    ctes.append(f"z AS (SELECT y, any_value(n) AS n, list_reduce(list(value ORDER BY t), lambda a, b: a + b) / {trees} AS p FROM a{depth} JOIN l USING (t, node) GROUP BY {columns}, y)")
+    ctes.append(f"z AS (SELECT y, any_value(n) AS n, list_reduce(list(value ORDER BY t), lambda a, b: a + b) / {trees} AS p FROM a{depth} JOIN l USING (t, node){f' WHERE fold = {held_out}' if fold else ''} GROUP BY {columns}, y)")
     return f"WITH {', '.join(ctes)} {_accuracy('z')}"

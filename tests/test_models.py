@@ -58,13 +58,15 @@ def test_expression_equals_batch_prediction(rows):
     assert all(abs(left[i] - right[i]) < 1e-12 for i in right)
 
 
-def test_noise_is_asked_for_once_a_release(rows):
+def test_noise_is_asked_for_once_a_release(rows, tmp_path):
     seen = []
     trees.train("extra_trees", rows, BINARY, "y", noise=lambda v, label: seen.append((label, len(v))) or v, **PARAMETERS["extra_trees"])
     assert seen == [("leaves", 16 * 16 * 2)]
-    seen.clear()
-    trees.train("random_forest", rows, BINARY, "y", key=KEY, noise=lambda v, label: seen.append(label) or v, **PARAMETERS["random_forest"])
-    assert len(seen) == privacy.forest_releases("random_forest", "binary", 4, 3)["releases"]
+    # a level's noise is drawn where each tree's histogram lies: one disjoint part for each tree
+    tell = lambda v, label: (tmp_path / label).write_text(str(len(v))) and v
+    trees.train("random_forest", rows, BINARY, "y", key=KEY, noise=tell, **PARAMETERS["random_forest"])
+    told = {f.name.split(" tree ")[0] for f in tmp_path.iterdir()}
+    assert len(told) == privacy.forest_releases("random_forest", "binary", 4, 3)["releases"] and len(list(tmp_path.iterdir())) == 4 * len(told)
 
 
 def test_broken_models_are_refused(rows):
