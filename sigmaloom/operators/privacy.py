@@ -1,6 +1,6 @@
 """Noise for a release: calibration, keyed replay-stable streams, samplers, budgets and the replay guard.
 
-Released vectors are small and on the driver. A stream is a function of the site's secret, the mechanism and the exact
+Vectors of floating point are small and on the driver; integer sums may stay where they lie (`release_cells`). A stream is a function of the site's secret, the mechanism and the exact
 vector: asking again gives the same answer, another vector gives independent noise. Gaussian noise of floating point is not
 an exact Gaussian; the discrete sampler is exact. Workers and logs see raw data: the curator is trusted.
 """
@@ -12,10 +12,12 @@ import hmac
 import json
 import math
 import os
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Limits of a policy.
 MAX_EPSILON, MAX_DELTA, MAX_CLIP = 10.0, 1e-3, 100.0
@@ -223,10 +225,155 @@ def release(vector: Sequence[float], sigma: float, secret: bytes, mechanism: str
 
 
 def release_integers(vector: Sequence[int], sigma: int, secret: bytes, mechanism: str, layout: dict) -> list[int]:
-    """Exact discrete Gaussian noise, saturating at 64 bits."""
-    seed = semantic_seed(secret, mechanism, layout, sigma, np.asarray(vector, "<i8"))
-    stream = KeyedStream(sub_seed(seed, "noise"))
-    return [max(-(1 << 63), min((1 << 63) - 1, int(v) + stream.discrete_gaussian(sigma))) for v in vector]
+    """Exact discrete Gaussian noise, saturating at 64 bits; that of a coordinate follows from the binding and its place alone."""
+    seed = sub_seed(semantic_seed(secret, mechanism, layout, int(sigma), np.asarray(vector, "<i8")), "noise")
+    out: list[int] = []
+    for lo in range(0, len(vector), LANES_AT_ONCE):
+        part = vector[lo : lo + LANES_AT_ONCE]
+        noise = discrete_gaussians(seed, np.arange(lo, lo + len(part)), sigma)
+        out += [_saturated(int(v) + x) for v, x in zip(part, noise, strict=True)]
+    return out
+
+
+class Lanes:
+    """64-bit words of a stream for each coordinate: the words of coordinate i follow from the seed and i alone, so noise does not depend on
+    how coordinates are grouped or ordered."""
+
+    WORDS = 32
+
+    def __init__(self, seed: bytes, coords: np.ndarray) -> None:
+        self.seed, self.coords = seed, [int(c).to_bytes(8, "big", signed=True) for c in coords.tolist()]
+        self.words = np.zeros((len(coords), 0), np.uint64)
+        self.at = np.zeros(len(coords), np.int64)
+
+    def take(self, lanes: np.ndarray) -> np.ndarray:
+        """The next word of each of the given, distinct, lanes."""
+        while len(lanes) and int(self.at[lanes].max()) >= self.words.shape[1]:
+            block = (self.words.shape[1] // self.WORDS).to_bytes(8, "big")
+            more = b"".join([hashlib.shake_128(self.seed + block + c).digest(8 * self.WORDS) for c in self.coords])
+            self.words = np.concatenate([self.words, np.frombuffer(more, ">u8").astype(np.uint64).reshape(-1, self.WORDS)], 1)
+        out = self.words[lanes, self.at[lanes]]
+        self.at[lanes] += 1
+        return out
+
+    def below(self, lanes: np.ndarray, n: int) -> np.ndarray:
+        """Uniform integers below n, 1 to 2^62."""
+        out, limit, left = np.zeros(len(lanes), np.int64), (1 << 64) // n * n, np.arange(len(lanes))
+        while len(left):
+            w = self.take(lanes[left])
+            fine = np.ones(len(left), bool) if limit == 1 << 64 else w < np.uint64(limit)
+            out[left[fine]] = (w[fine] % np.uint64(n)).astype(np.int64)
+            left = left[~fine]
+        return out
+
+    def bernoulli(self, lanes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """True with chance p / q of Python integers, p from 0 to q, exactly: a word is compared with the first 64 bits of the
+        fraction, and where they are equal the next one with the next bits."""
+        out, left = np.zeros(len(lanes), bool), np.arange(len(lanes))
+        p, q = np.asarray(p, object), np.asarray(q, object)
+        sure = np.array(p >= q, bool)
+        out[sure] = True
+        left = left[~sure]
+        while len(left):
+            scaled = p[left] << 64
+            first, rest = scaled // q[left], scaled % q[left]
+            w, first = self.take(lanes[left]), first.astype(np.uint64)
+            out[left] = w < first
+            tied = w == first
+            p[left[tied]] = rest[tied]
+            left = left[tied]
+        return out
+
+    def exp_of_fraction(self, lanes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """True with chance exp(-p / q), p from 0 to q: whether the first failure of draws at p / (q k), k = 1, 2, ..., has an odd k."""
+        out, left, k = np.zeros(len(lanes), bool), np.arange(len(lanes)), 1
+        p, q = np.asarray(p, object), np.asarray(q, object)
+        while len(left):
+            went_on = self.bernoulli(lanes[left], p[left], q[left] * k)
+            out[left[~went_on]] = k % 2 == 1
+            left, k = left[went_on], k + 1
+        return out
+
+    def exp(self, lanes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """True with chance exp(-p / q) for any p from 0 on."""
+        p, q = np.asarray(p, object), np.asarray(q, object)
+        whole, out, left = p // q, np.ones(len(lanes), bool), np.arange(len(lanes))
+        turn = 0
+        while len(left := left[np.array(whole[left] > turn, bool)]):
+            one = np.ones(len(left), object)
+            out[left] = self.exp_of_fraction(lanes[left], one, one)
+            left, turn = left[out[left]], turn + 1
+        alive = np.flatnonzero(out)
+        out[alive] = self.exp_of_fraction(lanes[alive], (p % q)[alive], q[alive])
+        return out
+
+    def laplace(self, lanes: np.ndarray, t: int) -> np.ndarray:
+        """Discrete Laplace values of scale t."""
+        out, left = np.zeros(len(lanes), object), np.arange(len(lanes))
+        while len(left):
+            u = self.below(lanes[left], t).astype(object)
+            fine = self.exp_of_fraction(lanes[left], u, np.full(len(left), t, object))
+            here, u = left[fine], u[fine]
+            v, on = np.zeros(len(here), object), np.arange(len(here))
+            while len(on):
+                one = np.ones(len(on), object)
+                on = on[self.exp_of_fraction(lanes[here[on]], one, one)]
+                v[on] += 1
+            x = u + t * v
+            negative = self.below(lanes[here], 2) == 1
+            kept = ~(negative & np.array(x == 0, bool))
+            out[here[kept]] = np.where(negative, -x, x)[kept]
+            left = np.concatenate([left[~fine], here[~kept]])
+        return out
+
+
+def discrete_gaussians(seed: bytes, coords: np.ndarray, sigma: int) -> np.ndarray:
+    """An exact discrete Gaussian for each distinct coordinate, by rejection from discrete Laplace values, in steps over all of them."""
+    lanes, t = Lanes(seed, np.asarray(coords, np.int64)), int(sigma) + 1
+    out, left, square = np.zeros(len(coords), object), np.arange(len(coords)), int(sigma) ** 2
+    while len(left):
+        y = lanes.laplace(left, t)
+        gap = abs(y) * t - square
+        fine = lanes.exp(left, gap * gap, np.full(len(left), 2 * square * t * t, object))
+        out[left[fine]] = y[fine]
+        left = left[~fine]
+    return out
+
+
+def _saturated(x: object) -> int:
+    return max(-(1 << 63), min((1 << 63) - 1, int(x)))
+
+
+def release_cells(cells: DataFrame, sigma: int, secret: bytes, mechanism: str, layout: dict) -> DataFrame:
+    """coord, value: exact integer sums of a public layout, a row for each coordinate, with exact discrete Gaussian noise, where they lie. The
+    noise is bound to (secret, mechanism, layout, sigma, all cells): the binding is the exclusive or of keyed digests of the cells, so it
+    is the same in any partitioning and order. A coordinate that is null or comes twice raises ValueError; a null value counts as 0."""
+    import pyarrow as pa
+
+    from ..functions import keyed
+    from ..sources import store
+
+    total = store.staged(cells.select(F.col("coord").cast("long").alias("coord"), F.coalesce(F.col("value").cast("long"), F.lit(0)).alias("value")), "cells")
+    digest = keyed.hmac_hex(sub_seed(secret, f"cells/{mechanism}"), F.concat_ws(":", "coord", "value"))
+    part = lambda k: F.coalesce(F.bit_xor(F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("long")), F.lit(0)).alias(f"d{k}")
+    bound = total.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("coord").alias("distinct"), *map(part, range(4))).first()
+    if bound["n"] != bound["distinct"]:
+        raise ValueError("a coordinate is null or comes twice")
+    seed = sub_seed(semantic_seed(secret, mechanism, layout, int(sigma), [bound["n"], *(bound[f"d{k}"] for k in range(4))]), "noise")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coord, value = (batch.column(k).to_numpy() for k in (0, 1))
+            for lo in range(0, len(coord), LANES_AT_ONCE):
+                part = slice(lo, lo + LANES_AT_ONCE)
+                noise = discrete_gaussians(seed, coord[part], sigma)
+                yield pa.RecordBatch.from_arrays([pa.array(coord[part]), pa.array([_saturated(v + x) for v, x in zip(value[part].tolist(), noise, strict=True)], pa.int64())], names=["coord", "value"])
+
+    return total.mapInArrow(run, "coord bigint, value bigint")
+
+
+#: Coordinates whose noise is drawn in one step: their words take 8 MB or a little more.
+LANES_AT_ONCE = 32_768
 
 
 def project_to_simplex(x: np.ndarray, total: float) -> np.ndarray:

@@ -6,6 +6,7 @@ to itself; the release queries use a fixed public test key, so their noise prote
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,6 +119,16 @@ def released_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.association_measures(pooling.pooled(noised, "site", 3, 9), [])
 
 
+@_query()
+def released_part_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part the number of its lines, as each order counts once for one part of its own, with exact discrete Gaussian noise; parts
+    are public, and parts without lines have noise, too. An order that is replaced moves two counts by 1."""
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("coord")).groupBy("coord").agg(F.count(F.lit(1)).alias("value"))
+    cells = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("coord")).join(lines, "coord", "left")
+    sigma = math.ceil(privacy.gaussian_sigma(1.0, 1e-6, math.sqrt(2)))
+    return privacy.release_cells(cells, sigma, TEST_KEY, "part orders", {"cells": "parts"})
+
+
 @_query("WITH s AS (SELECT 1 + count(*) / 100.0 AS sigma FROM customer GROUP BY c_nationkey) SELECT round(sqrt(sum(sigma * sigma)), 8)::DOUBLE AS noise_sd_pooled FROM s")
 def pooled_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A site for each nation, with a noise that depends on its customers."""
