@@ -101,8 +101,38 @@ def gelu(v: Column) -> Column:
     return 0.5 * v * (1 + F.when(v < 0, -erf).otherwise(erf))
 
 
-#: Elements that a layer may have, and layers of a model.
-MOST_WIDTH, MOST_LAYERS = 4096, 64
+#: Elements that a layer may have, layers of a model, inputs of a node, parameters in all, and the size of a public scalar.
+MOST_WIDTH, MOST_LAYERS, MOST_INPUTS, MOST_PARAMETERS, MOST_SCALAR = 8192, 64, 64, 8_000_000, 1e6
+#: Products that a matmul may spell out: each is a term of the expression.
+MOST_TERMS = 4096
+
+
+def checked_width(width: int) -> int:
+    if not 1 <= width <= MOST_WIDTH:
+        raise ValueError("a layer is too wide")
+    return width
+
+
+def loss_width(loss: str, classes: int = 2, labels: int = 1) -> int:
+    """The outputs that a loss needs: a logit for each class, one less for ordinal levels, one for each label (given as classes or
+    labels), else one."""
+    return {"cross_entropy": max(2, classes), "multi_margin": max(2, classes), "ordinal": max(1, classes - 1), "multilabel_bce": max(classes, labels)}.get(loss, 1)
+
+
+def check_model(spec: list[dict]) -> None:
+    """ValueError if there are too many layers, inputs or parameters, a layer is too wide, or a number of the spec is too large."""
+    if len(spec) > MOST_LAYERS:
+        raise ValueError("the model is too large")
+    parameters = 0
+    for op in spec:
+        rows = op.get("weights") or []
+        parameters += sum(map(len, rows)) + len(op.get("bias") or [])
+        if len(rows) > MOST_WIDTH or any(len(r) > MOST_WIDTH for r in rows) or len(op.get("from") or []) > MOST_INPUTS or parameters > MOST_PARAMETERS:
+            raise ValueError("the model is too large")
+        if not all(abs(float(op.get(k, 0.0))) <= MOST_SCALAR for k in ("scale", "shift", "negative_slope")):
+            raise ValueError("a number of the model is too large")
+        if op["op"] == "matmul" and op["n"] * op["k"] * op["m"] > MOST_TERMS:
+            raise ValueError("a product is too large for an expression")
 
 
 def output_width(spec: list[dict], width: int) -> int:
@@ -180,7 +210,9 @@ def _softmax(x: Column) -> Column:
 
 
 def build(spec: list[dict], x: Column) -> Column:
-    """Evaluates a declarative list of layers on an array column; every layer's output is made finite. See output_width for a check."""
+    """Evaluates a declarative list of layers on an array column; every layer's output is made finite. Too large a model raises
+    ValueError; see output_width for a check of the widths."""
+    check_model(spec)
     for op in spec:
         kind = op["op"]
         if kind == "linear":
@@ -208,6 +240,7 @@ def build(spec: list[dict], x: Column) -> Column:
 def build_graph(nodes: list[dict], inputs: dict[str, Column]) -> Column:
     """Evaluates a graph: each node has a name, an `op` and the names it takes from (`from`), which come before it: layers take one, add, sub,
     mul, div and concat two or more, matmul two and n, k, m. The last node is the output."""
+    check_model(nodes)
     at, last = dict(inputs), None
     for node in nodes:
         name, sources = node["name"], [at.get(f) for f in node["from"]]

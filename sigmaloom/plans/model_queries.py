@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrow, clean, keyed, models
-from ..operators import blocks, linear, metrics, pooling, privacy, statistics
+from ..operators import blocks, linear, metrics, networks, pooling, privacy, statistics
 from .queries import _B, _SCHEMA, TEST_KEY, _dirty, _hmac_sql, _query, _t, _tree_rows
 
 # --- layers and losses -----------------------------------------------------------------------------------------------------
@@ -249,3 +249,25 @@ def cleaned_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes that were written and read, and the complete-case predicate, which no plan turns on."""
     n = F.col("l_linenumber")
     return _dirty(spark, sf_dir).select("l_orderkey", n, clean.association_again(n).alias("again"), clean.complete(F.col("d")).alias("complete"))
+
+
+# --- training of networks --------------------------------------------------------------------------------------------------
+
+_NET = networks.Network([{"op": "linear", "weights": [[1.5, -0.5], [-1.0, 2.0]], "bias": [-0.25, 0.125]}, {"op": "tanh"}, {"op": "linear", "weights": [[2.0, -1.0]], "bias": [0.25]}], 2, "bce_logits")
+_GRADIENT = ("dh0 * x0", "dh0 * x1", "dh1 * x0", "dh1 * x1", "dh0", "dh1", "dz * h0", "dz * h1", "dz")
+
+
+@_query(
+    f"""WITH x AS (SELECT l_quantity::DOUBLE / 50 AS x0, l_discount::DOUBLE * 10 AS x1, (l_quantity * (1 - 4 * l_discount) > 20)::INT AS y FROM lineitem),
+    h AS (SELECT *, tanh(1.5 * x0 - 0.5 * x1 - 0.25) AS h0, tanh(-x0 + 2 * x1 + 0.125) AS h1 FROM x), z AS (SELECT *, 1 / (1 + exp(-(2 * h0 - h1 + 0.25))) - y AS dz FROM h),
+    d AS (SELECT *, 2 * dz * (1 - h0 * h0) AS dh0, -dz * (1 - h1 * h1) AS dh1 FROM z),
+    c AS (SELECT *, least(1.0, 0.5 / sqrt(dh0 * dh0 * (x0 * x0 + x1 * x1 + 1) + dh1 * dh1 * (x0 * x0 + x1 * x1 + 1) + dz * dz * (h0 * h0 + h1 * h1 + 1))) AS s FROM d),
+    q AS (SELECT {', '.join(f'trunc(s * {v} * 262144) / 262144 AS {v}' for v in ('dh0', 'dh1', 'dz'))}, {', '.join(f'trunc({v} * 65536) / 65536 AS {v}' for v in ('x0', 'x1', 'h0', 'h1'))} FROM c)
+    {' UNION ALL '.join(f'SELECT {k}::INT AS coord, count(*) AS n, round(sum({v}), 3)::DOUBLE AS value FROM q' for k, v in enumerate(_GRADIENT))}"""
+)
+def network_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum over all lines of the gradient of a two-layer network's loss, each line's clipped to length 0.5: parameters in their layout.
+    Slopes and activations are cut to their grids, as training does."""
+    rows = _tree_rows(spark, sf_dir).select(F.array((F.col("l_quantity") / 50).cast("double"), (F.col("l_discount") * 10).cast("double")).alias("x"), "y")
+    total, n, _ = networks.gradient_sum(rows, _NET, _NET.start, F.col("x"), F.col("y"), 0.5)
+    return spark.createDataFrame([(k, n, float(round(v, 3)) + 0.0) for k, v in enumerate(total)], "coord int, n long, value double")
