@@ -11,7 +11,7 @@ The node of a URL is its host, path and query: scheme and fragment tell no pages
 page's URL, from its folder, with . and .. resolved; rel may hold other words beside canonical. Character references in links are
 resolved as HTML resolves them in attributes. Redirects that a crawler saw can be given as a table.
 
-SQL below knows neither blocked URLs that are no rows nor character references nor ..; without such links the rows are the same.
+SQL below knows neither blocked URLs that are no rows nor character references nor .. nor inert elements other than scripts; without such links the rows are the same.
 
 Edge cases: a null URL, or one without "://", has an empty host and path, no rule and no node, and is allowed; null HTML
 has no links; a link to itself is none; repeated rows and page_ids give a row each; other columns are not read;
@@ -119,10 +119,15 @@ def decide_by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(decided, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left").drop("_host", "_path")
 
 
+#: What holds no tags of the page: comments, and elements whose content is text or inert. One that is left open goes to the end.
+_NO_TAGS = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|textarea|title|xmp|iframe)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"
+
+
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """u, v: nodes of pages and of the URLs that their HTML redirects to or names as canonical."""
+    """u, v: nodes of pages and of the URLs that their HTML redirects to or names as canonical. Tags in comments, scripts and the like are none."""
     html, url = F.col(html_col), F.col(url_col)
-    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?is)\brel\s*=\s*(?:\"[^\"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)") | t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
+    shown = F.regexp_replace(html, _NO_TAGS, " ")
+    tags = F.filter(F.regexp_extract_all(shown, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?is)\brel\s*=\s*(?:\"[^\"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)") | t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
     is_link = F.col("tag").rlike("(?i)^<link")
     # a link's href is cut out and then resolved; a refresh's URL is a part of its attribute's resolved text
     cut = F.when(is_link, F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)).otherwise(F.col("tag"))
@@ -156,7 +161,7 @@ WITH RECURSIVE p AS (
 n AS (SELECT *, CASE WHEN contains(url, '://') THEN host || path || query END AS node FROM p),
 rules(v, h, x) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 own AS (SELECT page_id, url, node, arg_max(h || x, length(h || x)) AS rule, arg_max(v, length(h || x)) AS verdict FROM n JOIN rules ON ends_with('.' || host, '.' || h) AND starts_with(path, x) GROUP BY ALL),
-tags AS (SELECT url, host, path, node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM n WHERE node IS NOT NULL),
+tags AS (SELECT url, host, path, node, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script', ' ', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM n WHERE node IS NOT NULL),
 targets AS (SELECT host, path, node, trim(CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END) AS t
   FROM tags WHERE regexp_matches(tag, '(?is)\brel\s*=\s*(?:"[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical\b)|\bhttp-equiv\s*=\s*["'']?refresh\b')),
 fulls AS (SELECT node, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t ELSE 'http://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || t END AS f FROM targets WHERE t <> ''),

@@ -59,6 +59,38 @@ def test_quality(spark):
     assert {r["score"] for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_scores_are_sums_of_look_ups():
+    """Every score is the logistic of the intercept and one entry of each table, found bin by bin."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(400, 5)), 1)
+    model = quality.fit(x, ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float), rounds=10, pair_rounds=5)
+    assert model.pairs and any(np.any(t) for t in model.mains)
+    fresh = np.vstack([np.round(rng.normal(size=(100, 5)), 1), np.full((1, 5), 1e9), np.full((1, 5), -1e9)])
+    want = []
+    for row in fresh:
+        z = model.intercept + sum(t[sum(c < v for c in cuts)] for t, cuts, v in zip(model.mains, model.cuts, row, strict=True))
+        z += sum(t[sum(c < row[i] for c in model.coarse[i]), sum(c < row[j] for c in model.coarse[j])] for (i, j), t in model.pairs.items())
+        want.append(1 / (1 + math.exp(-z)))
+    assert model.score(fresh) == pytest.approx(want)
+
+
+def test_trees_and_quadrants_are_best_by_exhaustion():
+    rng = np.random.default_rng(9)
+    gain = lambda g, h: g * g / (h + 2.0)
+    for _ in range(40):
+        g, h = rng.normal(size=9), rng.uniform(0.1, 1, 9)
+        whole = gain(g.sum(), h.sum())
+        worth = {k: gain(g[:k].sum(), h[:k].sum()) + gain(g[k:].sum(), h[k:].sum()) - whole for k in range(1, 9)}
+        k = max(worth, key=worth.get)
+        want = np.where(np.arange(9) < k, g[:k].sum() / (h[:k].sum() + 2), g[k:].sum() / (h[k:].sum() + 2)) if worth[k] > 1e-9 else np.full(9, g.sum() / (h.sum() + 2))
+        assert quality._tree(g, h, 2, 2.0) == pytest.approx(want)
+        a, b = rng.normal(size=(4, 5)), rng.uniform(0.1, 1, (4, 5))
+        cells = lambda t, r, c: (t[:r, :c].sum(), t[:r, c:].sum(), t[r:, :c].sum(), t[r:, c:].sum())
+        best = max(sum(map(gain, cells(a, r, c), cells(b, r, c))) - gain(a.sum(), b.sum()) for r in range(1, 4) for c in range(1, 5))
+        got, r, c = quality._quadrants(a, b, 2.0)
+        assert got == pytest.approx(best) and got == pytest.approx(sum(map(gain, cells(a, r, c), cells(b, r, c))) - gain(a.sum(), b.sum()))
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.uniform(-1, 1, (4000, 3))
@@ -180,6 +212,15 @@ def test_relative_links_and_redirect_tables(spark):
     assert got == {r[0]: r[3] for r in rows}
 
 
+def test_links_that_are_no_tags_of_the_page(spark):
+    """Quoted in a comment, a script or another inert element, closed or left open, a link is none; behind it, it is one."""
+    rules, link = (("block", "x.net", "/es/"),), '<link rel="canonical" href="http://x.net/es/1">'
+    inert = [f"<!-- {link} -->", f"<script>var s = '{link}';</script>", f"<style>{link}</style >", f"<template>{link}</template>", f"<textarea>{link}</textarea>", f"<TITLE>{link}</TITLE>", f"<!-- {link}", f"<script src=x>{link}"]
+    rows = [(k, f"http://a.org/{k}", x) for k, x in enumerate(inert)] + [(100 + k, f"http://b.org/{k}", x + link) for k, x in enumerate(inert[:6])] + [(200, "http://c.org/", f"<scripture>{link}</scripture>"), (201, "http://d.org/", f"<noscript>{link}</noscript>")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert got == {i: "allow" if i < 100 else "block" for i, _, _ in rows}
+
+
 # --- 4: substring dedup --------------------------------------------------------------------------------------------------
 
 
