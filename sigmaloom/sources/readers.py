@@ -7,16 +7,18 @@ store prefixes. Columns are pruned at the scan; types are declared, not guessed.
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import os
 import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges, results
+from .store import canonical_json
+
 #: Bounds of a bounded projection.
 MAX_ROWS, MAX_BYTES = 5_000_000, 512 << 20
 KINDS = ("in_memory", "parquet", "csv", "feather", "image_bundle", "asset_ref")
@@ -43,7 +45,7 @@ class Descriptor:
         elif self.kind == "csv":
             df = read_csv(spark, self.path, self.schema)
         elif self.kind == "feather":
-            df = read_feather(spark, self.path)
+            df = read_feather(spark, self.path, columns)
         else:
             df = spark.read.parquet(self.path)
         return df.select(*columns) if columns else df
@@ -55,31 +57,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
-def read_feather(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files, read where Spark can read them: each file is decoded in the task that holds it, batch by batch."""
-    import pyarrow as pa
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def head(batches):  # the schema alone leaves the task
-        for batch in batches:
-            for content in batch.column(0):
-                yield pa.RecordBatch.from_pydict({"schema": [pa.ipc.open_file(io.BytesIO(content.as_py())).schema.serialize().to_pybytes()]})
-
-    first = files.limit(1).mapInArrow(head, "schema binary").collect()
-    if not first:
-        raise FileNotFoundError(path)
-    schema = pa.ipc.read_schema(pa.py_buffer(bytes(first[0]["schema"])))
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    def run(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                reader = pa.ipc.open_file(io.BytesIO(content))
-                for k in range(reader.num_record_batches):
-                    yield reader.get_batch(k)
-
-    return files.mapInArrow(run, from_arrow_schema(schema))
+def read_feather(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Arrow IPC files, one or a folder of them, split by record batch; see `ranges.read_arrow`."""
+    return ranges.read_arrow(spark, path, columns)
 
 
 def read_files(spark: SparkSession, prefix: str, pattern: str = "*") -> DataFrame:
@@ -98,21 +78,47 @@ def column_names(df: DataFrame) -> list[str]:
     return df.columns
 
 
-def bounded_projection(spark: SparkSession, path: str, columns: Sequence[str], max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Up to three scalar columns of a Parquet table, refused before a value is decoded if it has too many rows or bytes.
-
-    Footers are read by Spark's executors where the files lie: the row count comes from them alone, and the bytes are
-    estimated as 64 a row and column, which bounds what the driver may ask for later."""
-    if not 1 <= len(columns) <= 3:
-        raise ValueError("one to three columns")
-    df = spark.read.parquet(path)
-    kinds = dict(df.dtypes)
-    if any(kinds.get(c) is None or kinds[c].startswith(("array", "map", "struct", "binary")) for c in columns):
+def projection_plan(spark: SparkSession, path: str, columns: Sequence[str]) -> dict:
+    """rows, and the uncompressed bytes of the asked columns, of a Parquet table, from its footers, which executors read. ValueError if a column
+    is missing from a row group, is not scalar, or is named twice."""
+    if not 1 <= len(columns) <= 3 or len(set(columns)) != len(columns):
+        raise ValueError("one to three different columns")
+    feet = ranges.footers(spark, path)
+    groups = feet.groupBy("path", "row_group").agg(F.max("rows").alias("rows"), F.sum(F.when(F.col("column").isin(*columns), F.col("uncompressed")).otherwise(0)).alias("bytes"), F.count_if(F.col("column").isin(*columns) & F.col("scalar")).alias("found"))
+    found = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("row_groups"), F.min("found").alias("found")).first()
+    kinds = dict(spark.read.parquet(path).dtypes)
+    if found["found"] not in (None, len(columns)) or any(kinds.get(c) is None or kinds[c].startswith(("array", "map", "struct", "variant")) for c in columns):
         raise ValueError("a column is missing or is not scalar")
-    rows = df.count()
-    if rows > max_rows or rows * 64 * len(columns) > max_bytes:
+    return {"rows": found["rows"], "bytes": found["bytes"], "row_groups": found["row_groups"]}
+
+
+def _value_bytes(df: DataFrame) -> Column:
+    """The bytes of a row's values once decoded: of texts and binaries their own and 8 of their offset, of others 8 or 16."""
+    of = lambda name, kind: F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) + 8 if kind in ("string", "binary") else F.lit(16 if kind.startswith("decimal") else 8)
+    return sum((of(*c) for c in df.dtypes), F.lit(0))
+
+
+def bounded_projection(spark: SparkSession, path: str, columns: Sequence[str], max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Up to three scalar columns of a Parquet table, refused before a value is decoded if it has too many rows, or if its columns are larger,
+    uncompressed and with 64 bytes a row, than they may be, as the footers say."""
+    plan = projection_plan(spark, path, columns)
+    if plan["rows"] > max_rows or plan["bytes"] + 64 * plan["rows"] > max_bytes:
+        raise ValueError("the table is larger than a bounded projection may be")
+    return spark.read.parquet(path).select(*columns)
+
+
+def materialised_projection(spark: SparkSession, path: str, columns: Sequence[str], destination: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> dict:
+    """Writes a bounded projection as a committed result of its own, checked again by what was decoded: dictionaries and runs make a column
+    larger than its footer says. Returns rows, bytes and the digest of the rows, by which others compare their copy."""
+    df = bounded_projection(spark, path, columns, max_rows, max_bytes)
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_value_bytes(df)), F.lit(0)).alias("bytes")).first()
+    if found["rows"] > max_rows or found["bytes"] + 64 * found["rows"] > max_bytes:
         raise ValueError("the table is larger than a bounded projection may be")
-    return df.select(*columns)
+    note = {"rows": found["rows"], "bytes": found["bytes"], "sha256": results.content_digest(df)}
+    commit = results.publish(df, destination, "table", note)
+    if commit["rows"] != found["rows"] or results.content_digest(results.result(spark, destination)) != note["sha256"]:
+        raise ValueError("the table changed while it was read")
+    return note
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -120,10 +126,6 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer.option("compression", "zstd").parquet(path) if kind == "parquet" else writer.option("header", True).csv(path)
 
 
-def canonical_json(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, allow_nan=False, sort_keys=True, separators=(",", ":"))
-
-
 def sha256_json(value: object) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
