@@ -50,6 +50,8 @@ FREQUENT, REPORTED = 16, 3
 BLOCK_POSTINGS, GROUP_ENTRIES = 200_000, 2_000_000
 #: Candidates of one query that are verified as one group.
 QUERY_BLOCK = 256
+#: Stars that a class is verified with at first.
+STARS = 2
 _BUFFER = 4_000_000
 #: Lists that a pair of classes must share, if their sizes are nq and nc: all that a link shares if that is less than MATCHES.
 _ENOUGH = f"least({MATCHES}, (4 * greatest(nq, nc) + 4) div 5)"
@@ -324,10 +326,13 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _stars(lists: DataFrame) -> DataFrame:
-    """q, c: classes c that meet the first class q of lists on enough of those."""
+    """q, c: classes c that meet the first class q of lists on enough of those; of a class that meets several the STARS it shares most lists
+    with, so a group of copies has a few links for each class. What these miss is found between components."""
     first = lists.groupBy("h").agg(F.min(F.struct("cid", "n")).alias("q")).select("h", F.col("q.cid").alias("q"), F.col("q.n").alias("nq"))
     met = lists.join(first, "h").where("cid <> q").groupBy("q", "nq", F.col("cid").alias("c"), F.col("n").alias("nc")).agg(F.count(F.lit(1)).alias("shared"))
-    return met.where(F.expr(f"5 * least(nq, nc) >= 4 * greatest(nq, nc) and shared >= {_ENOUGH}")).select("q", "c")
+    enough = met.where(F.expr(f"5 * least(nq, nc) >= 4 * greatest(nq, nc) and shared >= {_ENOUGH}"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("less"), "q"))), 1, STARS)  # a class is on as many lists as its prefix has hashes
+    return enough.groupBy("c").agg(best.alias("best")).select(F.explode("best.q").alias("q"), "c")
 
 
 def _in_groups(df: DataFrame, keys: tuple[str, ...], schema: pa.Schema, work) -> DataFrame:
