@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins, units
-from ..sources import images, readers, store
+from ..sources import images, ranges, readers, results, store
 from ..streaming import windows
 from . import contract as contracts
 from . import prepare as prepared
@@ -123,3 +123,27 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts that a stream of events gives, over a table: windows of six hours."""
     counted = windows.windowed_counts(_t(spark, sf_dir, "events"), "ts", (F.col("event_type") == "error").cast("int"), "6 hours")
     return counted.select(F.unix_timestamp("start").alias("start"), "coord", "value")
+
+
+@_query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def committed_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that were published as a result, read back by its commit."""
+    folder = store.shared_path(spark, "result")
+    results.publish(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), folder, "table", {"of": "orders"})
+    return results.result(spark, folder, "table")
+
+
+@_query("SELECT doc_id, quality FROM labels")
+def materialised_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of the labels, planned from the footers and published with the digest of their rows."""
+    folder = store.shared_path(spark, "projection")
+    readers.materialised_projection(spark, f"{sf_dir}/labels.parquet", ["doc_id", "quality"], folder)
+    return results.result(spark, folder)
+
+
+@_query("SELECT count(*) AS n_rows, 2::INT AS n_columns FROM lineitem")
+def projected_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a table as the footers of its files tell them, column by column."""
+    feet = ranges.footers(spark, f"{sf_dir}/lineitem.parquet").where(F.col("column").isin("l_orderkey", "l_comment", "l_quantity") & F.col("scalar"))
+    rows = feet.where("column in ('l_orderkey', 'l_quantity')").groupBy("column").agg(F.sum("rows").alias("rows"))
+    return rows.agg(F.max("rows").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("n_columns"))
