@@ -167,11 +167,38 @@ def _means(x: np.ndarray, y: np.ndarray, config: dict) -> np.ndarray:
     return np.array([x.mean(), y.mean()]) * config["scale"]
 
 
-@_query(
+class _Means:
+    """The means of x and y, doubled, as a fold: counts and sums."""
+
+    def init(self) -> np.ndarray:
+        return np.zeros(3)
+
+    def update(self, state: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return state + [len(x), x.sum(), y.sum()]
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a + b
+
+    def finish(self, state: np.ndarray) -> np.ndarray:
+        return 2 * state[1:] / state[0]
+
+
+_BLOCK_MEANS = (
     f"""WITH u AS (SELECT o_totalprice / 100000 AS x, (o_orderstatus = 'F')::INT AS y, ('0x' || substr({_hmac_sql('subject', 'o_custkey::VARCHAR', 'block/v1')}, 1, 15))::BIGINT % 8 AS block FROM orders),
     b AS (SELECT block, 2 * avg(x) AS a, 2 * avg(y) AS c FROM u GROUP BY block), s AS (SELECT least(1, 1 / sqrt(a * a + c * c)) AS s, a, c FROM b)
     SELECT unnest([0, 1])::INT AS coord, unnest([round(sum(a * s) / 8, 7), round(sum(c * s) / 8, 7)])::DOUBLE AS value FROM s"""
 )
+
+
+@_query(_BLOCK_MEANS)
+def folded_block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a user's fold, whose states are merged: no task holds a block's rows."""
+    o = _t(spark, sf_dir, "orders").select(clean.unit_id(F.col("o_custkey")).alias("unit"), (F.col("o_totalprice") / 100_000).alias("x"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    mean = np.mean([privacy.clipped(u, 1.0) for u in blocks.folded_updates(o, ["x"], _Means(), TEST_KEY, 8, 2)], axis=0)
+    return spark.createDataFrame([(k, round(float(v), 7)) for k, v in enumerate(mean)], "coord int, value double")
+
+
+@_query(_BLOCK_MEANS)
 def block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of a user's function over eight blocks of subjects, each block's result clipped; before noise."""
     o = _t(spark, sf_dir, "orders").select(clean.unit_id(F.col("o_custkey")).alias("unit"), (F.col("o_totalprice") / 100_000).alias("x"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))

@@ -106,6 +106,41 @@ def test_block_functions(rows):
     assert one.shape == (2,)
 
 
+def test_folds_of_blocks(rows):
+    """Equal to the function on whole blocks in any partitioning; one block's failure leaves the others."""
+    from pyspark import cloudpickle
+
+    class Mean:
+        bad, wrong = None, False
+
+        def init(self):
+            return np.zeros(3)
+
+        def update(self, state, x, y):
+            if self.bad is not None and (x[:, 0] == self.bad).any():
+                raise RuntimeError
+            return state + [len(x), *x.sum(0)]
+
+        def merge(self, a, b):
+            return a + b
+
+        def finish(self, state):
+            return np.zeros(9) if self.wrong else state[1:] / state[0]
+
+    assert cloudpickle.dumps(Mean)
+    frame = rows.select(F.col("i").cast("string").alias("unit"), "y", "a", "b")
+    want = blocks.block_updates(frame, ["a", "b"], lambda x, y, config: x.mean(0), {}, KEY, 4, 2)
+    fold = Mean()
+    for df in (frame.coalesce(1), frame.repartition(40)):
+        np.testing.assert_allclose(blocks.folded_updates(df, ["a", "b"], fold, KEY, 4, 2), want, rtol=1e-12)
+    fold.bad = float(frame.where("unit = '7'").first()["a"])
+    got = blocks.folded_updates(frame, ["a", "b"], fold, KEY, 4, 2)
+    assert sum(not np.any(u) for u in got) == 1 and all(not np.any(g) or np.allclose(g, w) for g, w in zip(got, want, strict=True))
+    fold.bad, fold.wrong = None, True
+    assert not np.any(blocks.folded_updates(frame, ["a", "b"], fold, KEY, 4, 2)) and not np.any(blocks.folded_updates(frame.limit(0), ["a", "b"], Mean(), KEY, 4, 2))
+    assert blocks.private_fold(frame, ["a", "b"], Mean(), KEY, KEY, 4, 2, 1.0, 1.0, 1e-6).shape == (2,)
+
+
 def test_links(spark):
     df = spark.createDataFrame([([0.5, -0.5, 2.0],)], "z array<double>")
     for loss in ("cross_entropy", "ordinal"):
