@@ -9,8 +9,8 @@ Payloads are stored as 8-bit greyscale PNG images, 64 samples wide: lossless, on
 
 Edge cases: null and empty HTML give an empty sequence; unclosed, wrongly nested and unknown tags are
 tolerated, and the content of script, style and comments is no text; a reference without a known digest stays, with
-null payload columns; a payload that many references name is stored and decoded once; payloads
-of equal content have equal stored bytes; null payloads count as empty; other columns are not read.
+null payload columns; a payload that many references name is resolved once for each of them; payloads
+of equal content have equal digests and stored bytes, and are stored and decoded once for each row that brings them; null payloads count as empty; other columns are not read.
 """
 
 from __future__ import annotations
