@@ -1,5 +1,7 @@
 """The pipeline's stages on a small corpus, and the registered queries against their SQL."""
 
+import re
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -33,7 +35,51 @@ def test_stages(spark):
 
 @needs_data
 def test_run(spark):
-    assert corpus_pipeline.run(spark, str(DATA)).count() > 0
+    """On the driver's tables: who is kept by language, copies and links, as plain Python finds them; whole documents, packed without gaps."""
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    last = {}
+    for r in rows:
+        if r["text"] and any(c.isalpha() for c in r["text"]):
+            last[lower(r["text"])] = max(r["doc_id"], last.get(lower(r["text"]), -1))
+    sets = {}
+    for text, i in last.items():
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    top = {i: i for i in sets}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    at = {}
+    for i, s in sets.items():
+        for x in s:
+            at.setdefault(x, []).append(i)
+    for a, b in {(a, b) for ids in at.values() for a in ids for b in ids if a < b}:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((root(a), root(b)))
+            top[y] = x
+    pieces = corpus_pipeline.run(spark, str(DATA)).collect()
+    assert {p["doc_id"] for p in pieces} == {root(i) for i in sets}
+    of, sequences = {}, {}
+    for p in pieces:
+        of.setdefault(p["doc_id"], []).append(p)
+        sequences.setdefault(p["sequence_id"], []).append(p)
+    for ps in of.values():
+        end = 0
+        for p in sorted(ps, key=lambda p: p["start"]):
+            assert p["start"] == end and p["length"] > 0
+            end += p["length"]
+        assert {p["doc_tokens"] for p in ps} == {end}
+    for ps in sequences.values():
+        end = 0
+        for p in sorted(ps, key=lambda p: p["offset"]):
+            assert p["offset"] == end
+            end += p["length"]
+        assert end <= 4096
 
 
 @needs_data
@@ -52,6 +98,11 @@ def test_sql(spark, name):
 @needs_data
 @pytest.mark.parametrize("name", sorted(set(llm.QUERIES) - set(llm.SQL)))
 def test_other_queries(spark, name):
-    df = llm.QUERIES[name](spark, str(DATA))
-    rows = df.count()
-    assert rows >= spark.read.parquet(f"{DATA}/documents.parquet").count()
+    """A row for each row of the whole table, or several for each; no row is lost."""
+    table, key = {"op11_whitening": ("embeddings", "vec_id"), "op12_extraction": ("pages", "page_id")}.get(name, ("documents", "doc_id"))
+    want = Counter(r[0] for r in spark.read.parquet(f"{DATA}/{table}.parquet").select(key).collect())
+    got = Counter(r[0] for r in llm.QUERIES[name](spark, str(DATA)).select(key).collect())
+    if name == "op9_packing":
+        assert set(got) == set(want)
+    else:
+        assert got == {i: n * (8 if name == "op11_whitening" else 1) for i, n in want.items()}
