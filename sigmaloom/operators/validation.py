@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean, keyed
+from ..sources import store
 from . import metrics, privacy, statistics, trees
 
 #: Engines whose folds are grown in shared scans; the others are trained fold by fold.
@@ -96,7 +97,7 @@ def cross_validated(engine: str, df: DataFrame, schema: trees.TreeSchema, target
     statistics of all scores are released once. Returns the metrics of that vector, and sigma of its noise (0 without a budget); neither
     models nor figures of a fold leave, as a difference of two of them would tell of one."""
     budget = privacy.fold_budget(epsilon, delta, folds) if epsilon is not None else None
-    rows = with_folds(df, schema, target, unit, key, folds, "_fold")
+    rows = store.staged(with_folds(df, schema, target, unit, key, folds, "_fold"), "folds")  # read for the models and for their scores
     models = train_folds(engine, rows, schema, target, "_fold", folds, key, *(budget["fold"] if budget else (None, None)), secret=secret, **parameters)
     scored = out_of_fold(rows, models, schema, "_fold", [target])
     vector = np.zeros(2 * bins if schema.task == "binary" else 5)

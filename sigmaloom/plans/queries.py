@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, keyed, models, paths
 from ..operators import joins, linear, metrics, pooling, privacy, statistics, trees, units, validation
-from ..sources import readers
+from ..sources import readers, store
 from . import contract as contracts
 from . import prepare as prepared
 from . import tree_sql
@@ -506,7 +506,7 @@ def random_forest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folds(engine: str, spark: SparkSession, sf_dir: str, folds: int, **parameters: float) -> DataFrame:
     """Rows of an order are in one fold; each is scored by the model that has not seen its order."""
-    rows = _tree_rows(spark, sf_dir).withColumn("fold", keyed.fold(TEST_KEY, clean.unit_id(F.col("l_orderkey")), folds))
+    rows = store.staged(_tree_rows(spark, sf_dir).withColumn("fold", keyed.fold(TEST_KEY, clean.unit_id(F.col("l_orderkey")), folds)), "folds")  # one hash a row
     models = [trees.sanitised(m, _SCHEMA) for m in validation.train_folds(engine, rows, _SCHEMA, "y", "fold", folds, TEST_KEY, **parameters)]
     scored = validation.out_of_fold(rows, models, _SCHEMA, "fold", ["fold", "y"])
     right = ((F.col("prediction") >= 0.5) == (F.col("y") == 1)).cast("double")
