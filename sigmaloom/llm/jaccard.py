@@ -15,11 +15,13 @@ A document's set is that of its distinct shingles of five words. Two documents l
    dealt to blocks by their least hash, which near copies mostly share, and a block gets the lists of its classes: those
    entries whose component is larger than that of some class of the block on that list, so each pair of components
    is looked at from its smaller one, and a list that one large component fills costs as much as the others on it.
-   In a block every class is a query of DivideSkip: its short lists are merged with a heap, its long ones are probed by
+   In a block every class is a query of DivideSkip: its short lists are merged, its long ones are probed by
    binary search, and classes that reach the required count stay, if lengths and places allow a link. A block that gets
-   many entries is divided by candidates.
-4. Pairs are verified on their whole sets, many candidates of one query at once, again by DivideSkip. Components over all links
-   are found by star rounds.
+   many entries is divided by candidates. It gives out the classes that have a partner, not the pairs: of a group of near copies
+   in two components there may be as many pairs as the product of their sizes.
+4. Those classes are verified on their whole sets, again by DivideSkip: queries and candidates of a block meet in cells of bounded size,
+   where each query is asked of all candidates at once, and gives a link for each component that it reaches. Components over
+   all links are found by star rounds.
 
 Edge cases: a text of fewer than five words is one shingle of all its words; null text and text without words have an empty set, no
 link, and are their own component; rows that share a doc_id are rows of their own and share what they link to; a null
@@ -28,7 +30,6 @@ doc_id counts for no minimum; texts are read whole; other columns are not read;
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -48,8 +49,8 @@ MATCHES = 8
 FREQUENT, REPORTED = 16, 3
 #: Postings of a block's own classes, and the entries that one group of a block holds, about.
 BLOCK_POSTINGS, GROUP_ENTRIES = 200_000, 2_000_000
-#: Candidates of one query that are verified as one group.
-QUERY_BLOCK = 256
+#: Candidates of one query of a star that are verified as one group, and elements of queries and of candidates that meet in one cell, about.
+QUERY_BLOCK, CELL_ELEMENTS = 256, 2_000_000
 _BUFFER = 4_000_000
 #: Lists that a pair of classes must share, if their sizes are nq and nc: all that a link shares if that is less than MATCHES.
 _ENOUGH = f"least({MATCHES}, (4 * greatest(nq, nc) + 4) div 5)"
@@ -93,16 +94,16 @@ def links(a: int, b: int, shared: int) -> bool:
 
 def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids that occur on `least` or more of the sorted lists, and on how many. The longest lists are left out of the merge: an id
-    needs `least` less their number on the others, which a heap merges; the long ones are then probed by binary search."""
+    needs `least` less their number on the others, which are merged; the long ones are then probed by binary search."""
     lists = sorted((x for x in lists if len(x)), key=len, reverse=True)
     if len(lists) < max(least, 1):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     n_long = min(least - 1, int(least / (0.01 * math.log2(len(lists[0]) + 1) + 1)))
-    count: dict[int, int] = {}
-    for c in heapq.merge(*(x.tolist() for x in lists[n_long:])):
-        count[c] = count.get(c, 0) + 1
-    left = np.fromiter((c for c, k in count.items() if k >= least - n_long), np.int64)
-    shared = np.fromiter((count[c] for c in left.tolist()), np.int64, len(left))
+    merged = np.sort(np.concatenate(lists[n_long:]))
+    at = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
+    shared = np.diff(at, append=len(merged))
+    able = shared >= least - n_long
+    left, shared = merged[at[able]], shared[able]
     for probed, held in enumerate(lists[:n_long]):
         able = shared + (n_long - probed) >= least
         left, shared = left[able], shared[able]
@@ -119,22 +120,32 @@ class InvertedLists:
 
     def __init__(self, elements: np.ndarray, owner: np.ndarray) -> None:
         order = np.lexsort((owner, elements))
-        self.elements, self.owner = elements[order], owner[order]
+        self.elements, self.owner, self.order = elements[order], owner[order], order
+
+    def ranges(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(self.elements, query, "left"), np.searchsorted(self.elements, query, "right")
 
     def of(self, query: np.ndarray) -> list[np.ndarray]:
-        begin, end = np.searchsorted(self.elements, query, "left"), np.searchsorted(self.elements, query, "right")
+        begin, end = self.ranges(query)
         return [self.owner[a:z] for a, z in zip(begin.tolist(), end.tolist(), strict=True) if z > a]
 
 
+class WholeSets:
+    """Sets that queries are verified on."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.index = InvertedLists(np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes))
+
+    def linked(self, query: np.ndarray) -> list[int]:
+        """The places of the sets that link with the query; such a set has 4/5 of its elements."""
+        found = zip(*divide_skip(self.index.of(query), required(len(query))), strict=True)
+        return [int(c) for c, k in found if links(len(query), int(self.sizes[c]), int(k))]
+
+
 def linked(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
     """The places of the sets that link with the query."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    near = np.flatnonzero(5 * np.minimum(sizes, len(query)) >= 4 * np.maximum(sizes, len(query)))
-    if not len(near):
-        return []
-    index = InvertedLists(np.concatenate([sets[i] for i in near]), np.repeat(near, sizes[near]))
-    least = -(-4 * (len(query) + int(sizes[near].min())) // 9)
-    return [int(c) for c, k in zip(*divide_skip(index.of(query), least), strict=True) if links(len(query), int(sizes[c]), int(k))]
+    return WholeSets(sets).linked(query) if sets else []
 
 
 class Block:
@@ -147,20 +158,35 @@ class Block:
         self.cid, first, owner = np.unique(x["cid"][candidates], return_index=True, return_inverse=True)
         self.n, self.size, self.comp = (x[k][candidates[first]] for k in ("n", "size", "comp"))
         self.lists = InvertedLists(x["h"][candidates], owner)
-        self.own = self._by_owner(candidates, owner, len(self.cid))
+        self.spot = x["spot"][candidates][self.lists.order].astype(np.int64)
 
     def _by_owner(self, rows: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows by owner and element, and where each owner's begin."""
         order = np.lexsort((self.x["h"][rows], owner))
         return rows[order], np.searchsorted(owner[order], np.arange(n + 1))
 
-    def pairs(self) -> list[tuple[int, int]]:
-        """(query, candidate) of classes of different components that may link, from the smaller component."""
-        x, out = self.x, []
+    def _shared(self, held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each candidate wanted, in order: how many elements it shares with the rows held, and the last places of these in the
+        prefix held and in its own."""
+        begin, end = self.lists.ranges(self.x["h"][held])
+        size = end - begin
+        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        known = np.zeros(len(self.cid), bool)
+        known[wanted] = True
+        keep = known[self.lists.owner[at]]
+        at, spot = at[keep], np.repeat(self.x["spot"][held], size)[keep].astype(np.int64)
+        order = np.argsort(self.lists.owner[at], kind="stable")
+        owner = self.lists.owner[at[order]]
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        return np.diff(first, append=len(owner)), np.maximum.reduceat(spot[order], first), np.maximum.reduceat(self.spot[at[order]], first)
+
+    def meeting(self) -> list[tuple[int, int, int, bool]]:
+        """(cid, comp, n, whether as a query) of the classes that are in a pair of query and candidate of different components that
+        may link, from the smaller component."""
+        x, out, taken = self.x, [], np.zeros(len(self.cid), bool)
         asked = np.flatnonzero(x["query"])
         cids, owner = np.unique(x["cid"][asked], return_inverse=True)
         rows, begin = self._by_owner(asked, owner, len(cids))
-        mine, at = self.own
         for i, q in enumerate(cids.tolist()):
             held = rows[begin[i] : begin[i + 1]]
             n, size, comp = (int(x[k][held[0]]) for k in ("n", "size", "comp"))
@@ -170,14 +196,16 @@ class Block:
             found, _ = divide_skip(self.lists.of(x["h"][held]), least)
             m = self.n[found]
             able = (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & ((self.size[found] > size) | ((self.size[found] == size) & (self.comp[found] > comp)))
-            for c in found[able].tolist():
-                other = mine[at[c] : at[c + 1]]
-                _, a, b = np.intersect1d(x["h"][held], x["h"][other], assume_unique=True, return_indices=True)
-                larger = max(n, int(self.n[c]))
-                most = len(a) + min(n - int(x["spot"][held[a]].max()), int(self.n[c]) - int(x["spot"][other[b]].max())) - 1
-                if len(a) >= min(MATCHES, required(larger)) and 9 * most >= 4 * (n + int(self.n[c])):
-                    out.append((q, int(self.cid[c])))
-        return out
+            found, m = found[able], m[able]
+            if not len(found):
+                continue
+            shared, mine, theirs = self._shared(held, found)
+            most = shared + np.minimum(n - mine, m - theirs) - 1
+            found = found[(shared >= np.minimum(MATCHES, required(np.maximum(m, n)))) & (9 * most >= 4 * (n + m))]
+            if len(found):
+                taken[found] = True
+                out.append((q, comp, n, True))
+        return out + [(int(self.cid[c]), int(self.comp[c]), int(self.n[c]), False) for c in np.flatnonzero(taken).tolist()]
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -288,9 +316,10 @@ def _on_enough(lists: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """q, part, cid, elements of the classes wanted (cid, a, b, n, doc, groups), where doc is a document of each and groups are the (q, part)
-    to send it to. A text is told by its id, and its set by its name; texts without an id by the name alone."""
-    schema = common.shape("q long, part long, cid long, elements binary")
+    """q, part, comp, asked, cid, elements of the classes wanted (cid, a, b, n, doc, groups), where doc is a document of each and groups are
+    the (q, part) to send it to, as which component and whether as a query. A text is told by its id, and its set by its name; texts
+    without an id by the name alone."""
+    schema, fields = common.shape("q long, part long, comp long, asked long, cid long, elements binary"), ("q", "part", "comp", "asked")
     named = texts.where("doc_id is not null").join(wanted.where("doc is not null").withColumnRenamed("doc", "doc_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +334,7 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for lo in range(0, len(owner), 64):  # a batch of some sets at once
                 some = owner[lo : lo + 64]
                 elements = pa.array([sets[rows[i]].tobytes() for i in some.tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([flat.field("q")[lo : lo + 64], flat.field("part")[lo : lo + 64], pa.array(cid[some]), elements], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(flat.field(f)[lo : lo + 64] for f in fields), pa.array(cid[some]), elements], schema=schema)
 
     out = named.select("doc_id", "text", "a", "b", "n", "cid", "groups").mapInArrow(run, common.spark_type(schema))
     nameless = wanted.where("doc is null")
@@ -320,7 +349,7 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=all_sets)
 
     found = texts.where("doc_id is null").mapInArrow(run_all, common.spark_type(all_sets)).join(nameless, ["a", "b", "n"])
-    return out.unionByName(found.select(F.explode("groups").alias("g"), "cid", "elements").select("g.q", "g.part", "cid", "elements"))
+    return out.unionByName(found.select(F.explode("groups").alias("g"), "cid", "elements").select(*(f"g.{f}" for f in fields), "cid", "elements"))
 
 
 def _stars(lists: DataFrame) -> DataFrame:
@@ -366,7 +395,8 @@ def _in_groups(df: DataFrame, keys: tuple[str, ...], schema: pa.Schema, work) ->
 
 
 def _across(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """q, c: pairs of classes of different components that may link. comps: cid, comp, size of the classes that are linked."""
+    """to, group, cid, comp, n, asked: the classes of each block's group that may link with one of another component there, as queries or
+    candidates. comps: cid, comp, size of the classes that are linked."""
     rank = F.struct("size", "comp")
     entries = lists.join(comps, "cid", "left").withColumns({"comp": F.coalesce("comp", "cid"), "size": F.coalesce("size", F.lit(1).cast("long"))})
     mixed = entries.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("h")
@@ -385,27 +415,50 @@ def _across(lists: DataFrame, comps: DataFrame) -> DataFrame:
     own = F.expr("pmod(xxhash64(cid), groups)")
     dealt = dealt.join(groups, "to").withColumn("own", own).withColumn("group", F.explode(F.when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).otherwise(F.array("own"))))
     dealt = dealt.select("to", "group", "h", "cid", "n", "spot", "size", "comp", "query", (F.col("candidate") & (F.col("own") == F.col("group"))).alias("candidate"))
-    schema = common.shape("q long, c long")
-    return _in_groups(dealt, ("to", "group"), schema, lambda x: Block(x | {"h": x["h"].view(np.uint64)}).pairs() if x["candidate"].any() else []).distinct()
+    schema = common.shape("to long, group long, cid long, comp long, n long, asked boolean")
 
+    def search(x: dict) -> list[tuple]:
+        return [(int(x["to"][0]), int(x["group"][0]), *row) for row in Block(x | {"h": x["h"].view(np.uint64)}).meeting()] if x["candidate"].any() else []
 
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """u, v: the pairs that link. A group is a query with a part of its candidates."""
+    return _in_groups(dealt, ("to", "group"), schema, search)
+
+
+def _in_cells(met: DataFrame) -> DataFrame:
+    """cid, groups: where the classes of blocks' groups go. Queries and candidates of a group are parted by their elements, and each part of
+    the one meets each of the other in a cell."""
+    ways = lambda asked: F.greatest(F.ceil(F.sum(F.when(F.col("asked") == asked, F.col("n"))) / CELL_ELEMENTS), F.lit(1).cast("long"))
+    parts = met.groupBy("to", "group").agg(ways(True).alias("down"), ways(False).alias("across"))
+    dealt = met.join(parts, ["to", "group"]).withColumns({"own": F.expr("pmod(xxhash64(cid), if(asked, down, across))"), "others": F.expr("explode(sequence(0L, if(asked, across, down) - 1))")})
+    cell = F.expr("group * 1048576L + if(asked, own * across + others, others * across + own)")
+    group = F.struct(F.col("to").alias("q"), cell.alias("part"), "comp", F.col("asked").cast("long").alias("asked"))
+    return dealt.groupBy("cid").agg(F.collect_list(group).alias("groups"))
+
+
+def _in_stars(pairs: DataFrame) -> DataFrame:
+    """cid, groups: where the classes of pairs q, c go. A group is a query with a part of its candidates, each a component of its own."""
     parts = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("parts"))
-    candidates = pairs.join(parts, "q").select("q", F.pmod(F.xxhash64("c"), "parts").alias("part"), F.col("c").alias("cid"))
-    queries = parts.select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("q").alias("cid"))
-    wanted = candidates.unionByName(queries).groupBy("cid").agg(F.collect_list(F.struct("q", "part")).alias("groups")).join(classes.select("cid", "a", "b", "n", "doc"), "cid")
-    dealt = _sets(texts, wanted)
+    candidates = pairs.join(parts, "q").select("q", F.pmod(F.xxhash64("c"), "parts").alias("part"), F.col("c").alias("cid"), F.lit(0).cast("long").alias("asked"))
+    queries = parts.select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("q").alias("cid"), F.lit(1).cast("long").alias("asked"))
+    return candidates.unionByName(queries).groupBy("cid").agg(F.collect_list(F.struct("q", "part", F.col("cid").alias("comp"), "asked")).alias("groups"))
+
+
+def _verified(dealt: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """u, v: links of the queries of each group with its candidates, one for each component of these. dealt: cid, groups."""
+    sets = _sets(texts, dealt.join(classes.select("cid", "a", "b", "n", "doc"), "cid"))
     schema = common.shape("u long, v long")
 
     def search(x: dict) -> list[tuple[int, int]]:
-        q, held = int(x["q"][0]), {}
-        for cid, elements in zip(x["cid"].tolist(), x["elements"], strict=True):
-            held[cid] = np.frombuffer(elements.as_buffer(), np.uint64)
-        query, names = held.pop(q), list(held)
-        return [(q, names[i]) for i in linked(query, list(held.values()))]
+        held = [np.frombuffer(e.as_buffer(), np.uint64) for e in x["elements"]]
+        queries, candidates = np.flatnonzero(x["asked"] == 1).tolist(), np.flatnonzero(x["asked"] == 0)
+        if not queries or not len(candidates):
+            return []
+        whole, cid, comp, out = WholeSets([held[c] for c in candidates.tolist()]), x["cid"].tolist(), x["comp"].tolist(), []
+        for q in queries:
+            reached = {comp[c]: cid[c] for c in candidates[whole.linked(held[q])].tolist() if comp[c] != comp[q]}
+            out += [(cid[q], c) for c in reached.values()]
+        return out
 
-    return _in_groups(dealt, ("q", "part"), schema, search)
+    return _in_groups(sets, ("q", "part"), schema, search)
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,12 +470,12 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     classes = documents.where("n > 0").groupBy(*name).agg(F.min("doc_id").alias("doc"), F.min("row").alias("cid"), F.count(F.lit(1)).alias("rows"))
     classes = common.staged(classes, "classes")
     lists = common.staged(_lists(documents, classes), "lists")
-    near = common.staged(_verified(common.staged(_stars(lists), "pairs"), texts, classes), "links")
+    near = common.staged(_verified(_in_stars(common.staged(_stars(lists), "pairs")), texts, classes), "links")
     comps = common.staged(components(near), "components")
     sized = comps.join(comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("node").alias("cid"), F.col("component").alias("comp"), "size")
-    pairs = common.staged(_across(lists, sized), "pairs")
-    if not pairs.isEmpty():
-        far = _verified(pairs, texts, classes)
+    met = common.staged(_across(lists, sized), "meeting")
+    if not met.isEmpty():
+        far = _verified(_in_cells(met), texts, classes)
         comps = common.staged(components(far.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
     named = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
