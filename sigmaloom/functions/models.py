@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from .clean import FEATURE_LIMIT, LOGIT_LIMIT, clamp, saturated
 
 
+def held(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), where x is evaluated once for a row, however often `use` names it, inside lambdas too."""
+    return F.get(F.transform(F.array(x), lambda v: use(v)), F.lit(0))
+
+
 def softplus(z: Column) -> Column:
     return F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0))
 
@@ -40,13 +46,12 @@ def class_losses(z: Column, y: Column, classes: int, margin: float = 1.0) -> dic
     """The loss of an array of outputs z by name. y: a class for cross_entropy, multi_margin and ordinal (whose z has one output less than
     classes, for a class above each of the first ones), an array of 0 and 1 for multilabel_bce."""
     safe = F.transform(z, lambda v: saturated(v, LOGIT_LIMIT))
-    top = F.array_max(safe)
     own = F.get(safe, y.cast("int"))
     above = F.transform(safe, lambda v, k: softplus(v) - F.when(y > k, v).otherwise(F.lit(0.0)))
-    others = F.transform(safe, lambda v, k: F.when(k == y, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(float(margin)) - own + v)))
+    others = lambda mine: F.transform(safe, lambda v, k: F.when(k == y, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.lit(float(margin)) - mine + v)))
     return {
-        "cross_entropy": top + F.log(total(F.transform(safe, lambda v: F.exp(v - top)))) - own,
-        "multi_margin": total(others) / classes,
+        "cross_entropy": F.array_max(safe) + F.log(total(_exponentials(safe))) - own,
+        "multi_margin": held(own, lambda mine: total(others(mine))) / classes,
         "ordinal": total(above) / (classes - 1),
     }
 
@@ -72,8 +77,7 @@ def predictions(logits: Column, loss: str) -> Column:
         edges = F.concat(F.array(F.lit(1.0)), falling, F.array(F.lit(0.0)))
         parts = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda k: F.greatest(edges[k - 1] - edges[k], F.lit(0.0)))
         return normalised(parts)
-    top = F.array_max(z)
-    return normalised(F.transform(z, lambda v: F.exp(v - top)))
+    return normalised(_exponentials(z))
 
 
 def total(x: Column) -> Column:
@@ -82,13 +86,18 @@ def total(x: Column) -> Column:
 
 def normalised(x: Column) -> Column:
     """Shares of the sum; equal shares if the sum is 0."""
-    s = total(x)
-    return F.transform(x, lambda v: F.when(s > 0, v / s).otherwise(F.lit(1.0) / F.size(x)))
+    shares = lambda y, s: F.transform(y, lambda v: F.when(s > 0, v / s).otherwise(F.lit(1.0) / F.size(y)))
+    return held(x, lambda y: held(total(y), lambda s: shares(y, s)))
+
+
+def _exponentials(x: Column) -> Column:
+    """exp(v - the largest) of each element."""
+    return held(x, lambda y: held(F.array_max(y), lambda top: F.transform(y, lambda v: F.exp(v - top))))
 
 
 def linear(x: Column, weights: list[list[float]], bias: list[float] | None = None) -> Column:
-    rows = [total(F.zip_with(x, F.array(*[F.lit(float(w)) for w in row]), lambda a, b: a * b)) + F.lit(float(bias[k]) if bias else 0.0) for k, row in enumerate(weights)]
-    return F.array(*rows)
+    rows = lambda y: [total(F.zip_with(y, F.array(*[F.lit(float(w)) for w in row]), lambda a, b: a * b)) + F.lit(float(bias[k]) if bias else 0.0) for k, row in enumerate(weights)]
+    return held(x, lambda y: F.array(*rows(y)))
 
 
 def gelu(v: Column) -> Column:
@@ -179,9 +188,9 @@ ACTIVATIONS = {
 
 
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
-    mean = total(x) / F.size(x)
-    var = total(F.transform(x, lambda v: (v - mean) * (v - mean))) / F.size(x)
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+    var = lambda y, mean: total(F.transform(y, lambda v: (v - mean) * (v - mean))) / F.size(y)
+    scaled = lambda y, mean, root: F.transform(y, lambda v: (v - mean) / root)
+    return held(x, lambda y: held(total(y) / F.size(y), lambda mean: held(F.sqrt(var(y, mean) + eps), lambda root: scaled(y, mean, root))))
 
 
 def _divide(a: Column, b: Column) -> Column:
@@ -205,8 +214,7 @@ def _affine(x: Column, scale: float, shift: float) -> Column:
 
 
 def _softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    return normalised(F.transform(x, lambda v: F.exp(v - top)))
+    return normalised(_exponentials(x))
 
 
 def build(spec: list[dict], x: Column) -> Column:

@@ -159,3 +159,11 @@ def test_functions_beyond_spark(spark):
     mu = math.exp(0.5)
     p = math.gamma(5) / (math.gamma(2) * math.gamma(4)) * (2 / (2 + mu)) ** 2 * (mu / (2 + mu)) ** 3
     assert got[0]["n"] == pytest.approx(-math.log(p))
+
+
+def test_the_input_of_a_layer_is_evaluated_once(spark):
+    """An input that differs at each evaluation: the layers' sums hold only if all of a layer sees one."""
+    x = F.array(*[F.rand(k) for k in range(5)])
+    layers = {k: models.build([{"op": k}], x) for k in ("layernorm", "softmax")} | {"twice": models.build([{"op": "linear", "weights": [[1.0] * 5, [-1.0] * 5]}], x)}
+    for row in spark.range(20).select(*[models.total(c).alias(k) for k, c in layers.items()]).collect():
+        assert abs(row["layernorm"]) < 1e-9 and abs(row["softmax"] - 1) < 1e-9 and abs(row["twice"]) < 1e-9
