@@ -35,6 +35,26 @@ LEAST_GAP = 64
 MEMORY, MEMORY_BYTES = 3_000_000, 48 << 20
 
 
+#: Marks that close a word; lower-case letters of one byte, and those of two bytes, up to U+017F, by code point.
+_MARK, _ASCII_LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")], _ASCII_LETTER[97:123] = True, True
+_LETTER = np.array([c > 191 and chr(c).isalpha() and chr(c).islower() for c in range(0x180)] + [False] * (0x800 - 0x180))
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from U+0100 on; the space stays.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = np.arange(256).astype("<u2")
+_BYTE_CHARS[[b for b in range(256) if b not in _PRINTED]] = np.arange(256, 512 - len(_PRINTED))
+_BYTE_CHARS[32] = 32
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text are, or are part of, lower-case letters up to U+017F."""
+    out = _ASCII_LETTER[data]
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5)) if len(data) else np.zeros(0, np.int64)
+    lead = lead[_LETTER[(data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63]]
+    out[lead] = out[lead + 1] = True
+    return out
+
+
 class CapacityTree:
     """Open windows by remaining capacity; tightest(n) takes one with the least capacity of n or more."""
 
@@ -163,7 +183,8 @@ class WordIds:
     A batch is cut into words over its bytes, and each distinct word that is not known yet is encoded once. What is known
     lies in arrays sorted by the words' hashes, about fifty bytes a word. Words that share a hash are compared byte by byte; if any differ,
     the batch is encoded without hashes. An unknown word is taken as a stem and the closing
-    marks after its last letter, and stems go to the tokenizer many in one call, with a special token between them."""
+    marks after its last letter, and stems go to the tokenizer many in one call, with a special token between them. Stems of lower-case
+    letters are told by their bytes and go to the model alone, as the characters that stand for bytes in it."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -190,15 +211,17 @@ class WordIds:
     def _plain_tokenizer(self) -> tuple[object, np.ndarray]:
         """The same model without its normaliser and its split, for words of lower-case letters, which these leave as they are;
         and which ids end a word. None if the file's normaliser or split may do other things."""
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         spec = json.loads(self.tokenizer.to_str())
         suffix = spec["model"].get("end_of_word_suffix")
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", ())]
         if not suffix or steps != ["NFC", "Replace", "Lowercase"] or "[\\p{L}]+" not in spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", ""):
             return None, np.zeros(0, bool)
-        plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
-        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        options = {k: v for k, v in spec["model"].items() if k not in ("type", "vocab", "merges") and v is not None}
+        plain = Tokenizer(models.BPE(spec["model"]["vocab"], merges, cache_capacity=0, **options))  # it is asked for a word once
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
         return plain, ends
@@ -221,12 +244,14 @@ class WordIds:
             known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == value
         old, new = np.flatnonzero(known), np.flatnonzero(~known)
         first = where[inverse]
-        same = common.same_words(plain, start, size, plain, start[first], size[first]).all()
-        if not same or not common.same_words(plain, start[where[old]], size[where[old]], self.text[: self.text_used], self.text_first[at[old]], self.text_size[at[old]]).all():
+        same = size == size[first]
+        long = np.flatnonzero(size > 8)  # up to eight bytes are one step of the hash, a bijection for words of one size
+        same[long] &= common.same_words(plain, start[long], size[long], plain, start[first[long]], size[first[long]])
+        if not same.all() or not common.same_words(plain, start[where[old]], size[where[old]], self.text[: self.text_used], self.text_first[at[old]], self.text_size[at[old]]).all():
             return self._by_bytes(whole, plain, start, end, offsets)
         if len(new):
             spots = where[new]
-            self._learn(value[new], at[new], [whole[a:z].decode() for a, z in zip(start[spots].tolist(), end[spots].tolist(), strict=True)], [plain[a:z] for a, z in zip(start[spots].tolist(), end[spots].tolist(), strict=True)])
+            self._learn(value[new], at[new], whole, plain, start[spots], end[spots])
             at = np.searchsorted(self.hashes, value)
         word = at[inverse]
         count = self.count[word]
@@ -248,13 +273,37 @@ class WordIds:
         stems = self._stems({x for pair in split for x in pair if x})
         return [stems[s] + stems[m] if m else stems[s] for s, m in split]
 
-    def _learn(self, hashes: np.ndarray, at: np.ndarray, words: list[str], plain: list[np.ndarray]) -> None:
-        found = self._encoded(words)
-        text, size = np.concatenate(plain), np.array([len(x) for x in plain], np.int64)
+    def _new_words(self, whole: bytes, plain: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The ids of each word; those of lower-case letters and closing marks are told by their bytes."""
+        if self.plain is None:
+            return self._encoded([whole[a:z].decode() for a, z in zip(start.tolist(), end.tolist(), strict=True)])
+        stop = end.copy()
+        more = np.arange(len(stop))
+        while len(more):
+            more = more[(stop[more] > start[more]) & _MARK[plain[stop[more] - 1]]]
+            stop[more] -= 1
+        other = np.append(0, np.cumsum(~_letters(plain)))
+        lower = (stop > start) & (other[stop] == other[start])
+        raw, out = plain.tobytes(), [b""] * len(start)
+        stems = [raw[a:z] for a, z in zip(start[lower].tolist(), stop[lower].tolist(), strict=True)]
+        tails = [raw[a:z] for a, z in zip(stop[lower].tolist(), end[lower].tolist(), strict=True)]
+        known = self._plain_ids(list(dict.fromkeys(stems)))
+        marks = self._stems({x.decode() for x in set(tails) if x})
+        for i, stem, tail in zip(np.flatnonzero(lower).tolist(), stems, tails, strict=True):
+            out[i] = known[stem] + marks[tail.decode()] if tail else known[stem]
+        rest = np.flatnonzero(~lower)
+        for i, ids in zip(rest.tolist(), self._encoded([whole[a:z].decode() for a, z in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]), strict=True):
+            out[i] = ids
+        return out
+
+    def _learn(self, hashes: np.ndarray, at: np.ndarray, whole: bytes, plain: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        found, size = self._new_words(whole, plain, start, end), end - start
+        begin = np.cumsum(size) - size
+        text = plain[np.arange(size.sum()) + np.repeat(start - begin, size)]
         while self.text_used + len(text) > len(self.text):
             self.text = np.concatenate([self.text, np.zeros_like(self.text)])
         self.text[self.text_used : self.text_used + len(text)] = text
-        spot = self.text_used + np.append(0, np.cumsum(size)[:-1])
+        spot = self.text_used + begin
         self.text_used += len(text)
         self.text_first, self.text_size = np.insert(self.text_first, at, spot), np.insert(self.text_size, at, size)
         fresh = np.frombuffer(b"".join(found), "<u4")
@@ -276,17 +325,25 @@ class WordIds:
         stem = word.rstrip(".,;:!?")
         return (stem, word[len(stem) :]) if stem and stem[-1].isalpha() else (word, "")
 
+    def _plain_ids(self, stems: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of stems of lower-case letters by the model alone."""
+        out: dict[bytes, bytes] = {}
+        for i in range(0, len(stems), 512):
+            group = stems[i : i + 512]
+            text = _BYTE_CHARS[np.frombuffer(b" ".join(group), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            raw, cut = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            out.update((x, raw[a:z]) for x, a, z in zip(group, cut[:-1], cut[1:], strict=True))
+        return out
+
     def _stems(self, stems: set[str]) -> dict[str, bytes]:
         lower = lambda x: x.lower() if x.isascii() or (max(x) <= "\u017f" and "\u0130" not in x) else x
         whole = lambda x: x.isalpha() and x.islower() and (x.isascii() or max(x) <= "\u017f" and "\u00aa" not in x and "\u00ba" not in x)
         out: dict[str, bytes] = {}
         low = {x: lower(x) for x in stems}
         simple = [x for x, y in low.items() if self.plain is not None and whole(y)]
-        for i in range(0, len(simple), 512):
-            group = simple[i : i + 512]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(map(low.__getitem__, group))], add_special_tokens=False)[0].ids, "<u4")
-            raw, cut = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            out.update((x, raw[a:z]) for x, a, z in zip(group, cut[:-1], cut[1:], strict=True))
+        known = self._plain_ids(list({low[x].encode() for x in simple}))
+        out.update((x, known[low[x].encode()]) for x in simple)
         other = [x for x in stems if x not in out and self.mark_text and self.mark_text not in x]
         between = f" {self.mark_text} "
         for i in range(0, len(other), 512):

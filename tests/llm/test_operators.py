@@ -714,6 +714,25 @@ def test_divide_skip_finds_what_counting_finds():
 # --- 9: packing ------------------------------------------------------------------------------------------------------------
 
 
+def test_new_words_are_told_by_their_bytes():
+    """Every letter up to U+024F in and before a word, marks and other signs behind it; only few words need the tokenizer itself."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    plain, ids = Tokenizer.from_file(path), packing.WordIds(path)
+    words_ = [f"{a}{chr(c)}{b}" for c in range(0xA1, 0x250) if not chr(c).isspace() for a, b in (("", ""), ("ab", "cd"), ("ab", ".")) if c != 0xAD]
+    words_ += ["...", ".", "a", "a.", "a.b.", "abc.,;:!?", "ab1", "x!y", "ABC", "École", "\u0130x", "dž", "ŉa", "ſs"]
+    found, ends = ids.batch(pa.array(words_))
+    assert [found[a:z].tolist() for a, z in zip(ends[:-1], ends[1:], strict=True)] == [plain.encode(w, add_special_tokens=False).ids for w in words_]
+    asked, encoded = [], packing.WordIds._encoded
+    ids.forget()
+    ids._encoded = lambda w: asked.extend(w) or encoded(ids, w)
+    ids.batch(pa.array(["casa árbol, niño: größe x1 École"]))
+    assert sorted(asked) == ["x1", "École"]
+
+
+
 def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
